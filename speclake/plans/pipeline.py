@@ -1,0 +1,114 @@
+"""Pages in, facts and documents out.
+
+``extract_pages`` is one narrow pass: scan, parse, classify, extract.  Every
+page runs the operators of its own site only, inside one conditional, so the
+pages are read and parsed once and never shuffled, whatever the number of
+sites.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from speclake.operators.classify import (
+    SITE_BY_ADDRESS,
+    canonical_url,
+    site_name,
+    site_of_page,
+)
+from speclake.operators.hits import HITS
+from speclake.operators.page import page_of, with_headings
+from speclake.operators.parse import TREE_COLUMNS, parse_pages
+from speclake.operators.registry import run_specs
+from speclake.plans.assemble import documents_from_hits, kv_raw_from_hits
+from speclake.sources.sites import Sites, load_sites
+
+
+def source_marks(sites: Sites) -> tuple[str, ...]:
+    """Strings that a page's text must hold for an operator to search it."""
+    wanted = any(
+        (spec.get("extract") or {}).get("image", {}).get("search_patterns")
+        for site in sites.all()
+        for spec in site.specs
+        if spec.get("type") == "schneider_json"
+    )
+    return ("p_Doc_Ref=",) if wanted else ()
+
+
+def site_hits(vendor: Column, sites: Sites) -> Column:
+    """Hits of the operators of the page's site."""
+    page = page_of()
+    generic = sites.spec_source("")
+    answer = run_specs(page, generic.specs, generic.name)
+    for site in reversed(sites.all()):
+        if site.vendor != generic.vendor:
+            answer = F.when(
+                vendor == site.vendor, run_specs(page, site.specs, site.name)
+            ).otherwise(answer)
+    return answer.cast(HITS)
+
+
+def read_trees(pages: DataFrame, sites: Sites, html: str = "html") -> DataFrame:
+    """Parsed pages with their headings."""
+    return with_headings(parse_pages(pages, html, source_marks(sites)))
+
+
+def extract_pages(
+    pages: DataFrame,
+    sites: Sites | None = None,
+    html: str = "html",
+    vendor: Column | None = None,
+    by_address: tuple[tuple[str, str], ...] = SITE_BY_ADDRESS,
+) -> DataFrame:
+    """One row per page: the columns of the page other than its text, ``vendor``,
+    ``vendor_name``, ``canonical_url``, ``last_heading``, ``hits`` and ``error``.
+
+    ``vendor`` skips classification where the site is known beforehand.
+    """
+    sites = sites or load_sites()
+    page = page_of()
+    keys = [name for name in pages.columns if name != html]
+    decided = site_of_page(page, sites, by_address) if vendor is None else vendor
+    classified = read_trees(pages, sites, html).select(
+        *keys,
+        *TREE_COLUMNS,
+        "headings",
+        canonical_url(page).alias("canonical_url"),
+        decided.alias("vendor"),
+    )
+    return classified.select(
+        *keys,
+        "vendor",
+        site_name(F.col("vendor"), sites).alias("vendor_name"),
+        "canonical_url",
+        F.try_element_at("headings", F.lit(-1))["text"].alias("last_heading"),
+        site_hits(F.col("vendor"), sites).alias("hits"),
+        "error",
+    )
+
+
+def extract_facts(pages: DataFrame, sites: Sites | None = None, **options) -> DataFrame:
+    """All writes of all pages, one row per write (``kv_raw``)."""
+    return kv_raw_from_hits(extract_pages(pages, sites, **options), _keys(pages, options))
+
+
+def extract_documents(
+    pages: DataFrame,
+    sites: Sites | None = None,
+    extracted_at: Column | None = None,
+    **options,
+) -> DataFrame:
+    """One result document per page."""
+    return documents_from_hits(
+        extract_pages(pages, sites, **options), _keys(pages, options), extracted_at
+    )
+
+
+def quarantine(extracted: DataFrame) -> DataFrame:
+    """Pages that could not be read, with the reason."""
+    return extracted.where(F.col("error").isNotNull())
+
+
+def _keys(pages: DataFrame, options: dict) -> list[str]:
+    return [name for name in pages.columns if name != options.get("html", "html")]
