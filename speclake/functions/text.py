@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 # White space as Unicode-aware programs see it.  Java's \s and
 # Spark's trim know only the ASCII part, so the characters are listed.
-SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+OTHER_SPACE = (
+    r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = " " + OTHER_SPACE
 # Escapes and comment marks that count as white space.
-_FILLER = rf"(?s)(?:[{SPACE}]|\\[tn]|\\x3C!----(?:>|&gt;)|<!--.*?-->)+"
+_MARKS = r"\\(?:[tn]|x3C!----(?:>|&gt;))|<!--(?s:.*?)-->"
+# Ordinary single spaces do not match, so plain text is not rebuilt.
+_RUNS = rf"[{SPACE}]{{2,}}|[{OTHER_SPACE}]"
 
 
 def strip(value: Column) -> Column:
@@ -18,7 +23,8 @@ def strip(value: Column) -> Column:
 
 def clean_text(value: Column) -> Column:
     """White space, comments and literal ``\\t`` / ``\\n`` become one space; never NULL."""
-    return F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), _FILLER, " "))
+    marked = F.regexp_replace(F.coalesce(value, F.lit("")), _MARKS, " ")
+    return F.trim(F.regexp_replace(marked, _RUNS, " "))
 
 
 def clean_plain_text(value: Column) -> Column:

@@ -19,13 +19,18 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Executors get this module with the job, installed there or not.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODE_FIELDS = (
     "pre INT, last INT, parent INT, depth INT, tag STRING, "
     "attrs MAP<STRING, STRING>, classes ARRAY<STRING>, nth INT, t0 INT, t1 INT"

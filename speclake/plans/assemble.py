@@ -99,9 +99,11 @@ def documents_from_hits(
 
 def kv_raw_from_hits(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per write, numbered in write order."""
+    # The outer form on purpose: for the inner one the optimizer would test the
+    # array in a filter below, and so work out all hits a second time.
     return extracted.select(
-        *keys, F.posexplode("hits").alias("hit_ord", "h")
-    ).select(
+        *keys, F.posexplode_outer("hits").alias("hit_ord", "h")
+    ).where(F.col("hit_ord").isNotNull()).select(
         *keys,
         *[
             F.col("hit_ord") if name == "hit_ord" else F.col(f"h.{name}").alias(name)
@@ -113,7 +115,10 @@ def kv_raw_from_hits(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
 def kv_from_hits(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per kept (section, key), without a shuffle."""
     return (
-        extracted.select(*keys, F.posexplode(last_writes(F.col("hits"))).alias("key_ord", "w"))
+        extracted.select(
+            *keys, F.posexplode_outer(last_writes(F.col("hits"))).alias("key_ord", "w")
+        )
+        .where(F.col("key_ord").isNotNull())
         .select(
             *keys,
             F.col("w.key.section").alias("section"),
@@ -156,8 +161,8 @@ def section_counts(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
     return documents.select(
         *keys,
         F.size("kv").cast("bigint").alias("sections"),
-        F.explode("kv").alias("section", "entries"),
-    ).select(*keys, "sections", "section", F.size("entries").cast("bigint").alias("items"))
+        F.explode_outer("kv").alias("section", "entries"),
+    ).where(F.col("section").isNotNull()).select(*keys, "sections", "section", F.size("entries").cast("bigint").alias("items"))
 
 
 def preview_documents(
@@ -167,11 +172,12 @@ def preview_documents(
     first_sections = F.slice(F.map_entries("kv"), F.lit(1), F.lit(sections))
     first_keys = F.slice(F.map_entries(F.col("s.value")), F.lit(1), F.lit(entries))
     return (
-        documents.select(*keys, F.posexplode(first_sections).alias("section_no", "s"))
+        documents.select(*keys, F.posexplode_outer(first_sections).alias("section_no", "s"))
         .select(
             *keys, "section_no", F.col("s.key").alias("section"),
-            F.posexplode(first_keys).alias("key_no", "e"),
+            F.posexplode_outer(first_keys).alias("key_no", "e"),
         )
+        .where(F.col("key_no").isNotNull())
         .select(
             *keys, "section_no", "section", "key_no", F.col("e.key").alias("key"),
             preview(F.col("e.value")).alias("value"),

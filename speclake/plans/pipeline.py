@@ -8,6 +8,7 @@ sites.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,23 @@ def source_marks(sites: Sites) -> tuple[str, ...]:
     return ("p_Doc_Ref=",) if wanted else ()
 
 
-def site_hits(vendor: Column, sites: Sites) -> Column:
-    """Hits of the operators of the page's site."""
-    page = page_of()
+def site_hits(sites: Sites) -> Column:
+    """Hits of the operators of the page's site, by the column ``vendor``.
+
+    Kept per site list and Spark context: putting together the expressions of
+    many sites takes the driver some seconds.
+    """
+    key = (id(sites), id(SparkContext._active_spark_context))
+    if key not in _SITE_HITS:
+        _SITE_HITS[key] = (sites, _site_hits(sites))
+    return _SITE_HITS[key][1]
+
+
+_SITE_HITS: dict[tuple[int, int], tuple[Sites, Column]] = {}
+
+
+def _site_hits(sites: Sites) -> Column:
+    page, vendor = page_of(), F.col("vendor")
     generic = sites.spec_source("")
     answer = run_specs(page, generic.specs, generic.name)
     for site in reversed(sites.all()):
@@ -83,7 +98,7 @@ def extract_pages(
         site_name(F.col("vendor"), sites).alias("vendor_name"),
         "canonical_url",
         F.try_element_at("headings", F.lit(-1))["text"].alias("last_heading"),
-        site_hits(F.col("vendor"), sites).alias("hits"),
+        site_hits(sites).alias("hits"),
         "error",
     )
 

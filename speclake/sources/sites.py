@@ -101,10 +101,15 @@ def _rule_kind(rule: dict) -> tuple[str, str]:
     return str(kind), str(arg)
 
 
+_BUILT_IN: list[Sites] = []
+
+
 def load_sites(path: str | Path | None = None) -> Sites:
     """Sites of a YAML or JSON file, or the built-in ones."""
     if path is None:
-        return Sites(SITES)
+        if not _BUILT_IN:
+            _BUILT_IN.append(Sites(SITES))
+        return _BUILT_IN[0]
     file = Path(path)
     if not file.exists():
         raise FileNotFoundError(f"no site configuration at {file}")
