@@ -16,6 +16,25 @@ def _json_path(path: str, indexes: bool) -> str:
     return "$" + "".join(steps)
 
 
+def parse_strict(text: Column) -> Column:
+    """JSON text as VARIANT; NULL if anything but white space follows the value.
+
+    Spark's parser stops after the first value, so the text is read as the only
+    member of a list.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.get(
+        F.transform(
+            F.array(listed),
+            lambda v: F.when(
+                F.try_variant_get(v, "$[1]", "variant").isNull(),
+                F.try_variant_get(v, "$[0]", "variant"),
+            ),
+        ),
+        F.lit(0),
+    )
+
+
 def path_get(value: Column, path: str, kind: str = "variant", indexes: bool = False) -> Column:
     """Member at a dotted path; SQL NULL if any step is missing.
 
@@ -29,8 +48,11 @@ def path_get(value: Column, path: str, kind: str = "variant", indexes: bool = Fa
 def is_truthy(value: Column) -> Column:
     """False for a missing value, null, false, 0, '' and empty containers."""
     text = value.try_cast("string")
+    is_string = F.schema_of_variant(value) == "STRING"
     return F.coalesce(
-        ~F.is_variant_null(value) & ~text.isin("", "0", "0.0", "-0.0", "false", "[]", "{}"),
+        ~F.is_variant_null(value)
+        & (text != "")
+        & (is_string | ~text.isin("0", "0.0", "-0.0", "false", "[]", "{}")),
         F.lit(False),
     )
 
@@ -47,7 +69,7 @@ def without_escapes(text: Column) -> Column:
 
 def repair_escapes(text: Column) -> Column:
     """Parsed JSON; on failure one retry with the escapes taken out."""
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(without_escapes(text)))
+    return F.coalesce(parse_strict(text), parse_strict(without_escapes(text)))
 
 
 def repair_attribute_text(text: Column) -> Column:
@@ -60,7 +82,7 @@ def repair_attribute_text(text: Column) -> Column:
 
 
 def repair_attribute(text: Column) -> Column:
-    return F.try_parse_json(repair_attribute_text(text))
+    return parse_strict(repair_attribute_text(text))
 
 
 def merged_path(sources: Column, path: str) -> Column:

@@ -74,15 +74,28 @@ def prefix_base(url: Column, base: str) -> Column:
     )
 
 
+_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
+
+
+def authority(url: Column) -> Column:
+    """Host with user and port; '' if the address has none.
+
+    By pattern, since landed addresses need not be valid: Spark's own parser
+    gives up on those.
+    """
+    return F.regexp_extract(url, _SCHEME + r"//([^/?#]*)", 1)
+
+
+def url_path(url: Column) -> Column:
+    """Path without query, fragment and the parameters of its last part."""
+    path = F.regexp_extract(url, _SCHEME + r"(?://[^/?#]*)?([^?#]*)", 1)
+    return F.regexp_replace(path, ";[^/]*$", "")
+
+
 def page_file_name(url: Column) -> Column:
     """Name of the landed file; query and fragment do not count."""
-    # AUTHORITY, not HOST: port and user belong to the name.
-    host = F.replace(
-        F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("")), F.lit("www."), F.lit("")
-    )
-    path = F.regexp_replace(
-        F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "^/+|/+$", ""
-    )
+    host = F.replace(authority(url), F.lit("www."), F.lit(""))
+    path = F.regexp_replace(url_path(url), "^/+|/+$", "")
     name = F.when(path != "", F.concat(host, F.lit("_"), path)).otherwise(host)
     name = F.substring(F.regexp_replace(name, rf"[^{_NAME_CHARS}\-.]", "_"), 1, 200)
     return F.concat(F.regexp_replace(name, r"[_.]+$", ""), F.lit(".html"))
@@ -127,7 +140,7 @@ def set_rendition(url: Column, rendition: str = "rendition_369_jpg") -> Column:
 
 def site_class(url: Column) -> Column:
     """Which landing rule set a URL belongs to, by host."""
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("")))
+    host = F.lower(authority(url))
     answer = F.lit("other")
     for mark, site in reversed(SITE_BY_HOST):
         answer = F.when(F.contains(host, F.lit(mark)), F.lit(site)).otherwise(answer)

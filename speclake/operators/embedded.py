@@ -11,6 +11,7 @@ from speclake.functions.json_paths import (
     as_text,
     is_truthy,
     merged_path,
+    parse_strict,
     path_get,
     repair_attribute,
     repair_escapes,
@@ -42,7 +43,7 @@ def model_text(page: Page) -> Column:
 
 def product_documents(page: Page) -> Column:
     """Structured data of type Product, in page order."""
-    parsed = F.transform(json_ld_bodies(page), F.try_parse_json)
+    parsed = F.transform(json_ld_bodies(page), parse_strict)
     return F.filter(parsed, lambda v: path_get(v, "@type", "string") == "Product")
 
 
@@ -112,7 +113,7 @@ def _image_address(value: Column) -> Column:
 
 def _groups_text(model: Column) -> Column:
     """Attribute groups as JSON text, which keeps members in written order."""
-    mended = F.when(F.try_parse_json(model).isNotNull(), model).otherwise(
+    mended = F.when(parse_strict(model).isNotNull(), model).otherwise(
         without_escapes(model)
     )
 

@@ -9,7 +9,8 @@ order:
 * ``texts`` are the plain text runs; an element owns ``texts[t0 .. t1 - 1]``;
 * ``scripts`` are the script bodies;
 * ``template_nodes`` / ``template_texts`` hold the trees of templates whose
-  only content is text (``owner`` is the template element).
+  only content is text (``owner`` is the template element);
+* ``spans``, on demand, are the places of the elements in the page text.
 
 Everything after this step is Spark SQL expressions on that row, so a page is
 never shuffled.  The work of one task is one input row at a time.
@@ -53,6 +54,10 @@ VOID_TAGS = frozenset(
 UNREAD_TAGS = frozenset("script style template rt rp".split())
 SPACED_TAGS = frozenset("pre textarea".split())
 
+SPAN_FIELD = (
+    "spans ARRAY<STRUCT<start: INT, inner: INT, inner_end: INT, end: INT>>"
+)
+
 _ASCII_SPACES = " \n\t\f\r"
 _HEX_ESCAPE = re.compile(r"\\x([0-9A-Fa-f]{2})")
 _ESCAPE_WINDOW = 1000
@@ -75,8 +80,14 @@ def decode_escaped(page: str) -> str:
 class _Tree(HTMLParser):
     """Collects one document as flat node, text and script lists."""
 
-    def __init__(self) -> None:
+    def __init__(self, page: str | None = None) -> None:
+        """``page``: the text to be fed, if element places are wanted."""
         super().__init__(convert_charrefs=False)
+        self.spans: list[list[int]] = []
+        self._page = page
+        self._lines = [0]
+        if page is not None:
+            self._lines += [m.end() for m in re.finditer("\n", page)]
         self.nodes: list[list] = []
         self.texts: list[str] = []
         self.scripts: list[tuple[int, str | None, str]] = []
@@ -109,6 +120,10 @@ class _Tree(HTMLParser):
             self._inside_template[pre] = []
         elif tag == "template":
             self._inside_template[pre] = []
+        if self._page is not None:
+            start = self._place()
+            inner = start + len(self.get_starttag_text() or "")
+            self.spans.append([start, inner, inner, inner])
         self._open.append(pre)
         self._open_tags[tag] = self._open_tags.get(tag, 0) + 1
         self._sibling_counts.append({})
@@ -149,8 +164,19 @@ class _Tree(HTMLParser):
             return
         closed = None
         while closed != tag:
-            closed = self.nodes[self._open[-1]][4]
+            top = self._open[-1]
+            closed = self.nodes[top][4]
             self._close_top()
+            if self._page is not None:
+                here = self._place()
+                after = here
+                if closed == tag:
+                    after = self._page.find(">", here) + 1 or len(self._page)
+                self.spans[top][2:] = [here, after]
+
+    def _place(self) -> int:
+        line, column = self.getpos()
+        return self._lines[line - 1] + column
 
     # -- text -------------------------------------------------------------
     def handle_data(self, data):
@@ -198,6 +224,8 @@ class _Tree(HTMLParser):
         self.close()
         self._flush()
         while self._open:
+            if self._page is not None:
+                self.spans[self._open[-1]][2:] = [len(self._page)] * 2
             self._close_top()
 
     def text_templates(self) -> Iterator[tuple[int, str]]:
@@ -211,8 +239,8 @@ class _Tree(HTMLParser):
                 yield pre, children[0]
 
 
-def read_tree(page: str) -> _Tree:
-    tree = _Tree()
+def read_tree(page: str, positions: bool = False) -> _Tree:
+    tree = _Tree(page if positions else None)
     tree.feed(page)
     tree.finish()
     return tree
@@ -286,7 +314,8 @@ class _NodeColumns:
 class _PageColumns:
     """Column lists for one output batch of parsed pages."""
 
-    def __init__(self) -> None:
+    def __init__(self, positions: bool = False) -> None:
+        self.spans: list[list[dict]] | None = [] if positions else None
         self.nodes = _NodeColumns()
         self.texts: list[list[str]] = []
         self.scripts: list[list[dict]] = []
@@ -300,7 +329,7 @@ class _PageColumns:
         inner: list[tuple[int, _Tree]] = []
         try:
             page = decode_escaped(page or "")
-            tree = read_tree(page)
+            tree = read_tree(page, self.spans is not None)
             inner = [(owner, read_tree(text)) for owner, text in tree.text_templates()]
         except Exception as problem:  # one bad page must not end the job
             error = f"{type(problem).__name__}: {problem}"
@@ -317,14 +346,19 @@ class _PageColumns:
             template_texts.extend(part.texts)
         self.template_nodes.end_page()
         self.template_texts.append(template_texts)
-        keep = any(mark in page for mark in source_marks) if source_marks and page else False
+        keep = bool(page) and (
+            self.spans is not None or any(mark in page for mark in source_marks)
+        )
+        if self.spans is not None:
+            names = ("start", "inner", "inner_end", "end")
+            self.spans.append([dict(zip(names, span, strict=True)) for span in tree.spans])
         self.sources.append(page if keep else None)
         self.errors.append(error)
 
     def arrays(self) -> list[pa.Array]:
         strings = pa.list_(pa.string())
         script = pa.struct([("pre", pa.int32()), ("type", pa.string()), ("body", pa.string())])
-        return [
+        columns = [
             self.nodes.array(),
             pa.array(self.texts, strings),
             pa.array(self.scripts, pa.list_(script)),
@@ -333,30 +367,43 @@ class _PageColumns:
             pa.array(self.sources, pa.string()),
             pa.array(self.errors, pa.string()),
         ]
+        if self.spans is not None:
+            span = pa.struct(
+                [(name, pa.int32()) for name in ("start", "inner", "inner_end", "end")]
+            )
+            columns.append(pa.array(self.spans, pa.list_(span)))
+        return columns
 
 
 TREE_COLUMNS = ("nodes", "texts", "scripts", "template_nodes", "template_texts", "source", "error")
 
 
 def parse_pages(
-    pages: DataFrame, html: str = "html", source_marks: tuple[str, ...] = ()
+    pages: DataFrame,
+    html: str = "html",
+    source_marks: tuple[str, ...] = (),
+    positions: bool = False,
 ) -> DataFrame:
     """Adds the page tree to every page row and drops the ``html`` column.
 
     ``source_marks``: keep the (decoded) page text in ``source`` for pages that
     contain one of these strings; all other pages drop it here.
 
+    ``positions``: adds ``spans`` (by element) and keeps ``source`` of all pages.
+
     A page that cannot be read keeps its row, with ``error`` set and no nodes.
     """
     kept = [field for field in pages.schema.fields if field.name != html]
-    schema = T.StructType(kept + T.StructType.fromDDL(TREE_FIELDS).fields)
+    tree = T.StructType.fromDDL(f"{TREE_FIELDS}, {SPAN_FIELD}" if positions else TREE_FIELDS)
+    schema = T.StructType(kept + tree.fields)
     names = [field.name for field in kept]
+    out_names = schema.names
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(html))
             other = [batch.column(batch.schema.get_field_index(name)) for name in names]
-            start, size, out = 0, 0, _PageColumns()
+            start, size, out = 0, 0, _PageColumns(positions)
             for row in range(len(column)):
                 page = column[row].as_py()
                 out.add(page, source_marks)
@@ -365,9 +412,7 @@ def parse_pages(
                 # leaves as several output batches.
                 if size >= _OUTPUT_CHARS or row + 1 == len(column):
                     part = [values.slice(start, row + 1 - start) for values in other]
-                    yield pa.RecordBatch.from_arrays(
-                        part + out.arrays(), names=names + list(TREE_COLUMNS)
-                    )
-                    start, size, out = row + 1, 0, _PageColumns()
+                    yield pa.RecordBatch.from_arrays(part + out.arrays(), names=out_names)
+                    start, size, out = row + 1, 0, _PageColumns(positions)
 
     return pages.select(*names, html).mapInArrow(read, schema)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from speclake.functions.json_paths import parse_strict
 from speclake.functions.text import clean_plain_text, clean_text, strip
 from speclake.functions.urls import (
     DATASHEET_WORDS,
@@ -115,12 +116,9 @@ def image(
         )
         for rule in rules
     ]
-    nothing = F.array().cast("array<string>")
-    chosen = nothing
+    chosen = F.array().cast("array<string>")
     for urls in reversed(found):
-        chosen = let(
-            urls, lambda u, rest=chosen: F.when(F.size(u) > 0, u).otherwise(rest)
-        )
+        chosen = _first_filled(urls, chosen)
 
     def write(urls: Column) -> Column:
         if take == "all":
@@ -134,6 +132,10 @@ def image(
     return let(chosen, write)
 
 
+def _first_filled(urls: Column, others: Column) -> Column:
+    return let(urls, lambda u: F.when(F.size(u) > 0, u).otherwise(others))
+
+
 LD_JSON_TYPE = "application/ld+json"
 _LEVEL = "array<struct<place:array<int>,body:string>>"
 _FOUND = "array<struct<place:array<int>,url:string>>"
@@ -143,7 +145,7 @@ def json_ld_bodies(page: Page) -> Column:
     """Structured-data scripts that are well-formed, in page order."""
     marked = F.filter(page.scripts, lambda s: s["type"] == LD_JSON_TYPE)
     return F.filter(
-        F.transform(marked, lambda s: s["body"]), lambda b: F.try_parse_json(b).isNotNull()
+        F.transform(marked, lambda s: s["body"]), lambda b: parse_strict(b).isNotNull()
     )
 
 

@@ -87,6 +87,12 @@ def documents_from_hits(
         *keys,
         F.col("vendor_name").alias("vendor"),
         kv_map(F.col("hits")).alias("kv"),
+        F.array_distinct(
+            F.transform(
+                F.filter("hits", lambda h: h["value_kind"] == "json"),
+                lambda h: F.struct(h["section"].alias("section"), h["key"].alias("key")),
+            )
+        ).alias("json_keys"),
         stats_map(F.col("hits")).alias("stats"),
         F.struct(
             F.nullif(F.col("canonical_url"), F.lit("")).alias("canonical_url"),

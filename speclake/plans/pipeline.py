@@ -64,9 +64,10 @@ def _site_hits(sites: Sites) -> Column:
     return answer.cast(HITS)
 
 
-def read_trees(pages: DataFrame, sites: Sites, html: str = "html") -> DataFrame:
+def read_trees(pages: DataFrame, sites: Sites | None = None, html: str = "html") -> DataFrame:
     """Parsed pages with their headings."""
-    return with_headings(parse_pages(pages, html, source_marks(sites)))
+    marks = source_marks(sites) if sites else ()
+    return with_headings(parse_pages(pages, html, marks))
 
 
 def extract_pages(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Needed for right results: repeated JSON keys keep the last value, repeated
@@ -31,6 +32,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def staged(rows: DataFrame) -> DataFrame:
+    """Rows that several later steps read, worked out once.
+
+    Checkpointed in the cluster's shared folder where ``spark.checkpoint.dir``
+    names one; else kept on the executors, and worked out again if one is lost.
+    """
+    if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return rows.checkpoint()
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Spreads a *file scan* that has fewer splits than there are cores.
 
