@@ -41,6 +41,7 @@ STATE_CHARS = 200
 
 PART_COLUMNS = ("part", "frag_no", "html")
 HEAD, BODY, TAIL = 0, 1, 2
+SALTS = 32
 
 
 def inner_html(page: Page, rule: str, without: str | None = None) -> Column:
@@ -111,7 +112,8 @@ def framed_parts(skeletons: DataFrame, fragments: DataFrame, keys: Sequence[str]
     """Parts of skeleton + fragments: head, fragments with page breaks, tail.
 
     ``skeletons`` has one row (keys, html) per listing, ``fragments`` has
-    (keys, frag_no, html).  A skeleton without placeholder is the document.
+    (keys, frag_no, html); fragments without content are left out.  A skeleton
+    without placeholder is the document.
     """
     holds = F.contains("html", F.lit(PLACEHOLDER))
     heads = skeletons.select(
@@ -128,10 +130,19 @@ def framed_parts(skeletons: DataFrame, fragments: DataFrame, keys: Sequence[str]
             "html", F.instr("html", PLACEHOLDER) + F.lit(len(PLACEHOLDER))
         ).alias("html"),
     )
-    # Only the number of the first fragment is needed to place the breaks.
-    firsts = fragments.groupBy(*keys).agg(F.min("frag_no").alias("first_no"))
-    framed = skeletons.where(holds).select(*keys).join(firsts, list(keys))
-    bodies = fragments.join(framed, list(keys)).select(
+    # To place the breaks a fragment needs one number of its listing.  That
+    # number is repeated per salt, so a listing with very many fragments is
+    # joined in as many tasks.
+    full = fragments.where(F.col("html") != "")
+    firsts = full.groupBy(*keys).agg(F.min("frag_no").alias("first_no"))
+    framed = (
+        skeletons.where(holds)
+        .select(*keys)
+        .join(firsts, list(keys))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    salted = full.withColumn("_salt", F.pmod(F.hash("frag_no"), F.lit(SALTS)))
+    bodies = salted.join(framed, [*keys, "_salt"]).select(
         *keys,
         F.lit(BODY).alias("part"),
         F.col("frag_no").cast("bigint").alias("frag_no"),
