@@ -22,6 +22,7 @@ import html as html_entities
 import re
 import sys
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -58,6 +59,26 @@ SPAN_FIELD = (
     "spans ARRAY<STRUCT<start: INT, inner: INT, inner_end: INT, end: INT>>"
 )
 
+# Markup that every HTML reader takes the same way.  Most pages hold nothing
+# else and are read by this one pattern; all others go through HTMLParser.
+_REGULAR = re.compile(
+    r"""<(?:(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:_.\-]*)
+          (?P<attrs>(?:\s+[a-zA-Z_:@][^\s"'<>/=]*
+             (?:=(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+))?)*)\s*(?P<empty>/?)>
+         |!--(?!-?>)[^-]*(?:-[^-]+)*-->
+         |!(?:DOCTYPE|doctype)[^>]*>)
+      |(?P<text>[^<]+)""",
+    re.VERBOSE,
+)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:=(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+)))?""")
+_REFERENCE = re.compile(
+    r"&(?:#([0-9]+|[xX][0-9a-fA-F]+);|([a-zA-Z][a-zA-Z0-9]*);|(?![a-zA-Z#]))"
+)
+_RAW_END = {
+    tag: re.compile(rf"</(?P<space>\s*){tag}(?P<close>\s*>)?", re.IGNORECASE)
+    for tag in ("script", "style")
+}
+
 _ASCII_SPACES = " \n\t\f\r"
 _HEX_ESCAPE = re.compile(r"\\x([0-9A-Fa-f]{2})")
 _ESCAPE_WINDOW = 1000
@@ -77,6 +98,24 @@ def decode_escaped(page: str) -> str:
     return page
 
 
+def _numbered(number: str) -> str:
+    code = int(number[1:], 16) if number[0] in "xX" else int(number)
+    if 0x80 <= code <= 0x9F:
+        return bytes([code]).decode("cp1252", errors="ignore") or chr(code)
+    if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
+        return "\N{REPLACEMENT CHARACTER}"
+    return chr(code)
+
+
+def _named(name: str) -> str:
+    return html5.get(f"{name};", f"&{name}")
+
+
+def _referenced(match: re.Match) -> str:
+    number, name = match.groups()
+    return _numbered(number) if number else _named(name) if name else "&"
+
+
 class _Tree(HTMLParser):
     """Collects one document as flat node, text and script lists."""
 
@@ -183,11 +222,10 @@ class _Tree(HTMLParser):
         self._run.append(data)
 
     def handle_charref(self, name):
-        self._run.append(html_entities.unescape(f"&#{name};"))
+        self._run.append(_numbered(name))
 
     def handle_entityref(self, name):
-        value = html_entities.unescape(f"&{name};")
-        self._run.append(f"&{name}" if value == f"&{name};" else value)
+        self._run.append(_named(name))
 
     def handle_comment(self, data):
         self._flush()
@@ -220,12 +258,64 @@ class _Tree(HTMLParser):
         elif self.nodes[self._unread[-1]][4] == "script":
             self._body[self._unread[-1]].append(run)
 
+    def read_regular(self, page: str) -> bool:
+        """Reads a page of regular markup; False, half read, at anything else."""
+        at, size = 0, len(page)
+        match_at = _REGULAR.match
+        while at < size:
+            found = match_at(page, at)
+            if found is None:
+                return False
+            at = found.end()
+            end, tag, attrs, empty, text = found.group("end", "tag", "attrs", "empty", "text")
+            if text is not None:
+                if "&" in text:
+                    marks = text.count("&")
+                    text, known = _REFERENCE.subn(_referenced, text)
+                    if known != marks:
+                        return False
+                self._run.append(text)
+            elif tag is None:
+                if page.startswith("<!--", found.start()):
+                    self.handle_comment(page[found.start() + 4 : at - 3])
+                else:
+                    self._flush()
+            elif end:
+                if attrs or empty:
+                    return False
+                self.handle_endtag(tag.lower())
+            else:
+                tag = tag.lower()
+                pairs = []
+                if attrs:
+                    for name, double, one, bare in _ATTR.findall(attrs):
+                        value = double or one or bare
+                        if "&" in value:
+                            value = html_entities.unescape(value)
+                        pairs.append((name.lower(), value))
+                self._start(tag, pairs)
+                if empty or tag in VOID_TAGS:
+                    self._close_top()
+                elif tag in _RAW_END:
+                    close = _RAW_END[tag].search(page, at)
+                    if close is None or close["space"] or not close["close"]:
+                        return False
+                    if close.start() > at:
+                        self._run.append(page[at : close.start()])
+                    self.handle_endtag(tag)
+                    at = close.end()
+        self._close_all(size)
+        return True
+
     def finish(self) -> None:
         self.close()
+        self._close_all(len(self._page or ""))
+
+    def _close_all(self, size: int) -> None:
         self._flush()
         while self._open:
             if self._page is not None:
-                self.spans[self._open[-1]][2:] = [len(self._page)] * 2
+                self.spans[self._open[-1]][2:] = [size, size]
             self._close_top()
 
     def text_templates(self) -> Iterator[tuple[int, str]]:
@@ -240,6 +330,10 @@ class _Tree(HTMLParser):
 
 
 def read_tree(page: str, positions: bool = False) -> _Tree:
+    if not positions:
+        tree = _Tree()
+        if tree.read_regular(page):
+            return tree
     tree = _Tree(page if positions else None)
     tree.feed(page)
     tree.finish()

@@ -128,3 +128,57 @@ def test_null_page_and_large_batches(spark):
         F.sum(F.size("nodes")).alias("n"), F.count("error").alias("errors")
     )
     assert sorted(map(tuple, sizes.collect())) == [(1, 0, 0), (2, 600_000, 0)]
+
+
+def state(tree):
+    return tree.nodes, tree.texts, tree.scripts, list(tree.text_templates())
+
+
+def slow_tree(page):
+    from speclake.operators.parse import _Tree
+
+    tree = _Tree()
+    tree.feed(page)
+    tree.finish()
+    return tree
+
+
+PIECES = [
+    "<p>", "</p>", "<P class=' a  b '>", "<a href='x&amp;y' B>", "<a href=/p/1?x=1&y=2>", "</a >",
+    "<br>", "<br/>", "</br>", "<img src=x/>", "<i/>", "<i x=\"1\"/>", "<div\n id=d\n>", "</div>",
+    "<script>", "<script type='t'>if (a<b) x='</p>' & y</script>", "</script>", "<style>p{}</style>",
+    "<SCRIPT>x</Script>", "<script>x</script >", "<template>", "</template>", "&lt;b>", "&#233;",
+    "&#x1F600;", "&#128;", "&#129;", "&#55296;", "&nbsp;", "&notit;", "&nope;", "&amp", "& ", "&",
+    "&#;", "&#x;", "text", "  \n ", " ", "<!-- c -->", "<!---->", "<!-->", "<!-- a--b -->",
+    "<!-- x - - -->", "<!DOCTYPE html>", "<!doctype x>", "<?pi x>", "<![CDATA[x]]>", "< b", "<",
+    "a > b", "<x-y:z.w>", "</x-y:z.w>", "<a b = c>", "<a b='c'd>", "<a 'q'>", "<pre> \n ", "</pre>",
+    "<a é=ü>", "é", "<textarea>", "<rt>", "</rt>", "</ p>", "</p x>", "<a/b>", "<p\x00>",
+]
+
+
+def test_regular_reading_equals_the_full_parser():
+    import random
+
+    random.seed(3)
+    regular = 0
+    for _ in range(20_000):
+        page = "".join(random.choices(PIECES, k=random.randint(1, 9)))
+        from speclake.operators.parse import _Tree
+
+        fast = _Tree()
+        if fast.read_regular(page):
+            regular += 1
+            assert state(fast) == state(slow_tree(page)), page
+    assert regular > 2000
+
+
+def test_given_pages_are_regular():
+    import pyarrow.parquet as pq
+
+    from speclake.operators.parse import _Tree
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()
+    for page in pages:
+        fast = _Tree()
+        assert fast.read_regular(page)
+        assert state(fast) == state(slow_tree(page))
