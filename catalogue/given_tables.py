@@ -36,7 +36,7 @@ def parsed_pages(spark, folder):
     f"SELECT doc_id, {sql_clean('text')} AS cleaned FROM documents",
 )
 def clean_documents(spark, folder):
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", "doc_id").select(
         "doc_id", text.clean_text(F.col("text")).alias("cleaned")
     )
 
@@ -51,7 +51,7 @@ def clean_documents(spark, folder):
         FROM documents""",
 )
 def plain_documents(spark, folder):
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", "doc_id").select(
         "doc_id",
         text.clean_plain_text(F.col("text")).alias("plain"),
         text.strip_tags(F.col("text")).alias("untagged"),

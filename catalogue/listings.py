@@ -15,6 +15,7 @@ from speclake.operators.parse import parse_pages
 from speclake.plans import fragments as frags
 from speclake.plans import pipeline
 from speclake.plans.variants import variant_rows
+from speclake.session import staged
 from speclake.sources.sinks import landed_pages, latest
 from speclake.sources.sites import Sites, load_sites
 from speclake.streaming.pages import page_stream, stream_documents
@@ -207,15 +208,15 @@ def merge_fragments(spark, folder):
     landed = parse_pages(
         turns.select("conv_id", "turn", page.alias("html")), positions=True
     ).withColumn("headings", F.array())
-    fragments = landed.select(
+    fragments = staged(landed.select(
         "conv_id", P("turn").alias("frag_no"),
         listing.inner_html(body, listing.RESULTS, listing.PAGINATION).alias("html"),
-    )
+    ))
     skeletons = parse_pages(
         turns.join(firsts, ["conv_id", "turn"], "left_semi").select("conv_id", page.alias("html")),
         positions=True,
     ).withColumn("headings", F.array()).select("conv_id", listing.skeleton(body).alias("html"))
-    return listing.framed_parts(skeletons, fragments, ["conv_id"])
+    return listing.framed_parts(staged(skeletons), fragments, ["conv_id"])
 
 
 @query("close_fragments", """

@@ -113,23 +113,24 @@ def framed_parts(skeletons: DataFrame, fragments: DataFrame, keys: Sequence[str]
 
     ``skeletons`` has one row (keys, html) per listing, ``fragments`` has
     (keys, frag_no, html); fragments without content are left out.  A skeleton
-    without placeholder is the document.
+    without placeholder is the document.  Both are read twice, so rows that
+    are costly to make should be staged.
     """
     holds = F.contains("html", F.lit(PLACEHOLDER))
-    heads = skeletons.select(
-        *keys,
-        F.lit(HEAD).alias("part"),
-        F.lit(None).cast("bigint").alias("frag_no"),
-        F.substring_index("html", PLACEHOLDER, 1).alias("html"),
+    rest = F.substr(F.col("html"), F.instr("html", PLACEHOLDER) + F.lit(len(PLACEHOLDER)))
+    frame = F.array(
+        F.struct(
+            F.lit(HEAD).alias("part"),
+            F.substring_index("html", PLACEHOLDER, 1).alias("text"),
+        ),
+        F.struct(F.lit(TAIL).alias("part"), F.when(holds, rest).alias("text")),
     )
-    tails = skeletons.where(holds).select(
+    frames = skeletons.select(*keys, F.explode(frame).alias("f")).select(
         *keys,
-        F.lit(TAIL).alias("part"),
+        "f.part",
         F.lit(None).cast("bigint").alias("frag_no"),
-        F.substr(
-            "html", F.instr("html", PLACEHOLDER) + F.lit(len(PLACEHOLDER))
-        ).alias("html"),
-    )
+        F.col("f.text").alias("html"),
+    ).where(F.col("html").isNotNull())
     # To place the breaks a fragment needs one number of its listing.  That
     # number is repeated per salt, so a listing with very many fragments is
     # joined in as many tasks.
@@ -150,7 +151,7 @@ def framed_parts(skeletons: DataFrame, fragments: DataFrame, keys: Sequence[str]
         .otherwise(F.concat(F.lit(PAGE_BREAK), F.col("html")))
         .alias("html"),
     )
-    return heads.unionByName(bodies).unionByName(tails)
+    return frames.unionByName(bodies)
 
 
 def closed_parts(fragments: DataFrame, keys: Sequence[str], first_no: int = 0) -> DataFrame:

@@ -150,16 +150,17 @@ class Page:
 
     def section(self, node: Column) -> Column:
         """Nearest heading before the element; a heading around it counts."""
-        before = F.filter(self.headings, lambda h: h["pre"] < node["pre"])
-        return F.coalesce(last_of(before)["text"], F.lit(UNKNOWN))
+        nearest = F.get(self.headings, node["heads"] - 1)
+        # Only below a heading without text is a second look needed.
+        return F.coalesce(
+            F.nullif(nearest, F.lit("")),
+            last_filled(F.slice(self.headings, F.lit(1), node["heads"])),
+            F.lit(UNKNOWN),
+        )
 
 
-def _heading_array(page: Page) -> Column:
-    marked = F.transform(
-        page.select(tags(*HEADINGS)),
-        lambda h: F.struct(h["pre"].alias("pre"), page.text(h).alias("text")),
-    )
-    return F.filter(marked, lambda h: h["text"] != "")
+def last_filled(texts: Column) -> Column:
+    return last_of(F.filter(texts, lambda text: text != ""))
 
 
 def page_of(**overrides: Column) -> Page:
@@ -170,5 +171,7 @@ def page_of(**overrides: Column) -> Page:
 
 
 def with_headings(parsed: DataFrame) -> DataFrame:
-    """Adds ``headings``: start order and text of every heading that has text."""
-    return parsed.withColumn("headings", _heading_array(page_of()))
+    """Adds ``headings``: the text of every heading, in page order."""
+    page = page_of()
+    texts = F.transform(page.select(tags(*HEADINGS)), page.text)
+    return parsed.withColumn("headings", texts)

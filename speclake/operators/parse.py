@@ -6,6 +6,8 @@ order:
 * ``nodes[i]`` is the element with start order ``i``; its descendants are
   exactly ``nodes[i + 1 .. nodes[i].last]``, so "inside" is an array slice and
   never a join;
+* ``nodes[i].heads`` headings start before the element, so its section is one
+  lookup in the list of headings;
 * ``texts`` are the plain text runs; an element owns ``texts[t0 .. t1 - 1]``;
 * ``scripts`` are the script bodies;
 * ``template_nodes`` / ``template_texts`` hold the trees of templates whose
@@ -35,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NODE_FIELDS = (
     "pre INT, last INT, parent INT, depth INT, tag STRING, "
-    "attrs MAP<STRING, STRING>, classes ARRAY<STRING>, nth INT, t0 INT, t1 INT"
+    "attrs MAP<STRING, STRING>, classes ARRAY<STRING>, nth INT, t0 INT, t1 INT, heads INT"
 )
 TREE_FIELDS = (
     f"nodes ARRAY<STRUCT<{NODE_FIELDS}>>, "
@@ -54,6 +56,7 @@ VOID_TAGS = frozenset(
 )
 UNREAD_TAGS = frozenset("script style template rt rp".split())
 SPACED_TAGS = frozenset("pre textarea".split())
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 SPAN_FIELD = (
     "spans ARRAY<STRUCT<start: INT, inner: INT, inner_end: INT, end: INT>>"
@@ -134,6 +137,7 @@ class _Tree(HTMLParser):
         self._open_tags: dict[str, int] = {}
         self._unread: list[int] = []
         self._spaced = 0
+        self._heads = 0
         self._run: list[str] = []
         self._sibling_counts: list[dict[str, int]] = [{}]
         self._body: dict[int, list[str]] = {}
@@ -152,8 +156,10 @@ class _Tree(HTMLParser):
         here = len(self.texts)
         self.nodes.append(
             [pre, pre, parent, len(self._open), tag, values,
-             values.get("class", "").split(), nth, here, here]
+             values.get("class", "").split(), nth, here, here, self._heads]
         )
+        if tag in HEADING_TAGS:
+            self._heads += 1
         if parent in self._inside_template:
             self._inside_template[parent].append(pre)
             self._inside_template[pre] = []
@@ -344,7 +350,7 @@ class _NodeColumns:
     """Column lists for one output batch of node arrays."""
 
     def __init__(self, with_owner: bool = False) -> None:
-        self.plain: list[list] = [[] for _ in range(8)]
+        self.plain: list[list] = [[] for _ in range(9)]
         self.owners: list[int] | None = [] if with_owner else None
         self.attr_names: list[str] = []
         self.attr_values: list[str] = []
@@ -355,11 +361,11 @@ class _NodeColumns:
 
     def add(self, nodes: list[list], owner: int = -1, shift: int = 0) -> None:
         if nodes:
-            pre, last, parent, depth, tag, attrs, classes, nth, t0, t1 = zip(*nodes)
+            pre, last, parent, depth, tag, attrs, classes, nth, t0, t1, heads = zip(*nodes)
             if shift:
                 t0, t1 = [t + shift for t in t0], [t + shift for t in t1]
             for column, values in zip(
-                self.plain, (pre, last, parent, depth, tag, nth, t0, t1), strict=True
+                self.plain, (pre, last, parent, depth, tag, nth, t0, t1, heads), strict=True
             ):
                 column.extend(values)
             for values in attrs:
@@ -376,7 +382,7 @@ class _NodeColumns:
         self.ends.append(len(self.plain[0]))
 
     def array(self) -> pa.ListArray:
-        pre, last, parent, depth, tag, nth, t0, t1 = self.plain
+        pre, last, parent, depth, tag, nth, t0, t1, heads = self.plain
         attrs = pa.MapArray.from_arrays(
             pa.array(self.attr_ends, pa.int32()),
             pa.array(self.attr_names, pa.string()),
@@ -388,8 +394,8 @@ class _NodeColumns:
         numbers = {
             name: pa.array(values, pa.int32())
             for name, values in zip(
-                ("pre", "last", "parent", "depth", "nth", "t0", "t1"),
-                (pre, last, parent, depth, nth, t0, t1),
+                ("pre", "last", "parent", "depth", "nth", "t0", "t1", "heads"),
+                (pre, last, parent, depth, nth, t0, t1, heads),
                 strict=True,
             )
         }
@@ -397,7 +403,7 @@ class _NodeColumns:
             "pre": numbers["pre"], "last": numbers["last"], "parent": numbers["parent"],
             "depth": numbers["depth"], "tag": pa.array(tag, pa.string()), "attrs": attrs,
             "classes": classes, "nth": numbers["nth"], "t0": numbers["t0"],
-            "t1": numbers["t1"],
+            "t1": numbers["t1"], "heads": numbers["heads"],
         }
         if self.owners is not None:
             fields = {"owner": pa.array(self.owners, pa.int32()), **fields}

@@ -19,7 +19,7 @@ from speclake.operators.classify import (
     site_of_page,
 )
 from speclake.operators.hits import HITS
-from speclake.operators.page import page_of, with_headings
+from speclake.operators.page import last_filled, page_of, with_headings
 from speclake.operators.parse import TREE_COLUMNS, parse_pages
 from speclake.operators.registry import run_specs
 from speclake.plans.assemble import documents_from_hits, kv_raw_from_hits
@@ -98,7 +98,7 @@ def extract_pages(
         "vendor",
         site_name(F.col("vendor"), sites).alias("vendor_name"),
         "canonical_url",
-        F.try_element_at("headings", F.lit(-1))["text"].alias("last_heading"),
+        last_filled(F.col("headings")).alias("last_heading"),
         site_hits(sites).alias("hits"),
         "error",
     )

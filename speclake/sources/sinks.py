@@ -18,17 +18,18 @@ from speclake.operators.selectors import tags
 
 
 def latest(rows: DataFrame, name: Sequence[str], newest: Sequence[str]) -> DataFrame:
-    """Newest row per name.
+    """Newest row per name; ``newest`` tells the rows of a name apart.
 
-    ``max_by`` combines before the shuffle, so a name shared by very many rows
-    (pages without an address) moves one row per task.
+    Winners are found on the narrow columns, combined before the shuffle.  Rows
+    are then matched by name and ``newest`` together, so a name shared by very
+    many rows (pages without an address) is no hot key.
     """
-    columns = [c for c in rows.columns if c not in name]
-    return (
+    winners = (
         rows.groupBy(*name)
-        .agg(F.max_by(F.struct(*columns), F.struct(*newest)).alias("row"))
-        .select(*name, "row.*")
+        .agg(F.max(F.struct(*newest)).alias("newest"))
+        .select(*name, "newest.*")
     )
+    return rows.join(winners, [*name, *newest], "left_semi")
 
 
 def json_values(kv: Column, kinds: Column | None = None) -> Column:

@@ -15,7 +15,7 @@ def tags(page):
 def test_unclosed_elements_nest():
     tree = read_tree("<p>a<p>b")
     assert [(n[4], n[2]) for n in tree.nodes] == [("p", -1), ("p", 0)]
-    assert tree.texts == ["a", "b"] and tree.nodes[0][8:] == [0, 2]
+    assert tree.texts == ["a", "b"] and tree.nodes[0][8:10] == [0, 2]
 
 
 def test_end_tags():
