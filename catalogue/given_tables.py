@@ -14,12 +14,12 @@ from catalogue.base import (
     table,
 )
 from speclake.functions import json_paths, text, urls
-from speclake.operators import classify, singles
+from speclake.operators import classify
 from speclake.operators.listing import page_changed, page_class
 from speclake.operators.page import page_of
 from speclake.operators.parse import parse_pages
 from speclake.operators.selectors import tags
-from speclake.plans import pipeline
+from speclake.plans import extraction
 from speclake.plans.assemble import kv_from_hits
 from speclake.sources.sinks import crawl_records
 from speclake.sources.sites import Sites
@@ -27,7 +27,7 @@ from speclake.sources.sites import Sites
 
 def parsed_pages(spark, folder):
     pages = table(spark, folder, "pages", "page_id").select("page_id", "url", "html")
-    return pipeline.read_trees(pages)
+    return extraction.read_trees(pages)
 
 
 # --- text and addresses -------------------------------------------------------------
@@ -345,7 +345,7 @@ _SQL_H1 = sql_clean(sql_entities("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
 def crawl(spark, folder):
     pages = table(spark, folder, "pages", "page_id").select("page_id", "url", "html")
     # The page text is needed twice, as tree and as text, and both stay on one row.
-    parsed = pipeline.read_trees(pages.withColumn("text", F.col("html")))
+    parsed = extraction.read_trees(pages.withColumn("text", F.col("html")))
     records = crawl_records(
         parsed.withColumn("_id", F.col("page_id")),
         page_of(),
@@ -390,7 +390,7 @@ def page_attributes(spark, folder):
         },
     })
     pages = table(spark, folder, "pages", "page_id").select("page_id", "html")
-    hits = pipeline.extract_pages(pages, sites)
+    hits = extraction.extract_pages(pages, sites)
     return kv_from_hits(hits, ["page_id"]).select("page_id", "section", "key", "value")
 
 

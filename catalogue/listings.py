@@ -13,7 +13,6 @@ from speclake.operators import listing
 from speclake.operators.page import page_of
 from speclake.operators.parse import parse_pages
 from speclake.plans import fragments as frags
-from speclake.plans import pipeline
 from speclake.plans.variants import variant_rows
 from speclake.session import staged
 from speclake.sources.sinks import landed_pages, latest

@@ -10,10 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.base import markup, query, table
-from speclake.functions import json_paths, text, urls
-from speclake.operators import singles
-from speclake.operators.page import page_of
-from speclake.plans import assemble, pipeline
+from speclake.functions import json_paths
+from speclake.plans import assemble, extraction
 from speclake.sources.sinks import document_json
 from speclake.sources.sites import Sites, load_sites
 
@@ -36,7 +34,7 @@ def built_in(vendor: str) -> Sites:
 
 
 def hits(pages: DataFrame, sites: Sites) -> DataFrame:
-    return pipeline.extract_pages(pages, sites, vendor=F.lit("generic"))
+    return extraction.extract_pages(pages, sites, vendor=F.lit("generic"))
 
 
 def kv(pages: DataFrame, sites: Sites, key: str = KEY) -> DataFrame:
@@ -444,7 +442,7 @@ def document_cards(spark, folder):
     FROM part""")
 def documents_json(spark, folder):
     pages = parts(spark, folder).select(KEY, table_page().alias("html"))
-    documents = pipeline.extract_documents(
+    documents = extraction.extract_documents(
         pages, built_in("siemens"), F.lit("2024-01-31 10:11:12").cast("timestamp"),
         vendor=F.lit("generic"),
     )
@@ -523,7 +521,7 @@ def _sectioned(spark, folder):
     )
     page = F.replace(page, F.lit("<dt>a<dd>"), F.lit("<dt>a</dt><dd>"))
     pages = parts(spark, folder).select(KEY, page.alias("html"))
-    return pipeline.extract_documents(
+    return extraction.extract_documents(
         pages, only({"type": "dl"}), vendor=F.lit("generic")
     )
 
@@ -542,36 +540,78 @@ def mixed_pages(spark, folder):
         .when(kind == 1, F.lit('<link rel=canonical href="https://mall.industry.siemens.com/x">'))
         .when(kind == 2, F.lit('<div id="specifications"></div>'))
         .when(kind == 3, F.lit('<b class="x my-characteristic-title-y"></b>'))
-        .when(kind == 4, F.lit("<div plain-all-data='{}'></div>"))
+        .when(kind == 4, F.lit("<div class=x></div>"))
         .when(kind == 5, F.lit("<p>By PHOENIX \n\n</p>  <p>Contact</p><p>Phoenix Contact</p>"))
         .when(kind == 6, F.lit('<b class="characteristic-title"></b><i id="specifications"></i>'))
         .when(kind == 7, F.lit('<link rel="canonical" href="https://house.com/x">'))
         .otherwise(F.lit('<link rel="canonical"><script>"phoenix contact"</script>'))
     )
+    held = F.when(
+        kind.isin(4, 7),
+        markup("<div plain-all-data='{\"dataSheetTitle\":\"", P("s_name"), "\"}'></div>"),
+    ).otherwise(F.lit(""))
+    # Every page has something to read for every site.
     page = markup(
-        "<html><body>", mark, "<h2>", P("s_name"), "</h2><p>Nation: ", P("s_nationkey"),
-        "</p></body></html>",
+        '<html><meta name="description" content=" ', P("s_name"),
+        '"><script type="application/ld+json">{"@type":"Product","name":"', P("s_name"),
+        '"}</script><body>', mark, held, "<h2>", P("s_name"), "</h2><p>Nation: ",
+        P("s_nationkey"), '</p><div class="product-application-text">', P("s_name"),
+        "</div></body></html>",
     )
     return table(spark, folder, "supplier", "s_suppkey").select("s_suppkey", page.alias("html"))
 
 
 @query("vendor_mixed", f"SELECT s_suppkey, {_MIXED} AS vendor FROM supplier")
 def vendor_mixed(spark, folder):
-    extracted = pipeline.extract_pages(mixed_pages(spark, folder))
+    extracted = extraction.extract_pages(mixed_pages(spark, folder))
     return extracted.select("s_suppkey", P("vendor_name").alias("vendor"))
 
 
 @query("mixed_facts", f"""
-    SELECT s_suppkey, {_MIXED} AS vendor, s_name AS section, 'Nation' AS key,
-           CAST(s_nationkey AS VARCHAR) AS value
-    FROM supplier WHERE s_suppkey % 9 = 8""")
+    WITH t AS (SELECT *, {_MIXED} AS vendor FROM supplier)
+    SELECT s_suppkey, vendor,
+           CASE vendor WHEN 'Generic' THEN s_name WHEN 'Schneider Electric' THEN 'Metadata'
+                       ELSE 'Product Info' END AS section,
+           CASE vendor WHEN 'Generic' THEN 'Nation' WHEN 'Schneider Electric' THEN 'dataSheetTitle'
+                       WHEN 'ABB' THEN 'Product Name' ELSE 'Description' END AS key,
+           CASE vendor WHEN 'Generic' THEN CAST(s_nationkey AS VARCHAR) ELSE s_name END AS value
+    FROM t""")
 def mixed_facts(spark, folder):
-    extracted = pipeline.extract_pages(mixed_pages(spark, folder))
+    extracted = extraction.extract_pages(mixed_pages(spark, folder))
     return assemble.kv_from_hits(
         extracted, ["s_suppkey", "vendor_name"]
     ).select("s_suppkey", P("vendor_name").alias("vendor"), "section", "key", "value")
 
 
+@query("site_specs", """
+    WITH sites(vendor, site_name, specs) AS (VALUES
+           ('siemens', 'Siemens', 7), ('vega', 'VEGA', 4), ('nexans', 'Nexans', 3),
+           ('phoenix', 'Phoenix Contact', 6), ('abb', 'ABB', 1),
+           ('schneider', 'Schneider Electric', 2), ('generic', 'Generic', 4))
+    SELECT s_suppkey, coalesce(a.site_name, g.site_name) AS site_name,
+           coalesce(a.specs, g.specs) AS specs
+    FROM supplier
+    LEFT JOIN sites a ON a.vendor = CASE s_suppkey % 3 WHEN 0 THEN 'siemens' WHEN 1 THEN 'abb'
+                                                       ELSE 'unknown' END
+    JOIN sites g ON g.vendor = 'generic'""")
+def site_specs(spark, folder):
+    # Site configuration as tables; its size is that of the site file.
+    sites = load_sites()
+    counts = sites.specs(spark).groupBy("vendor").agg(F.count("*").cast("int").alias("specs"))
+    config = F.broadcast(
+        sites.vendors(spark).join(counts, "vendor").withColumnRenamed("name", "site_name")
+    )
+    kind = P("s_suppkey") % 3
+    vendor = (
+        F.when(kind == 0, F.lit("siemens")).when(kind == 1, F.lit("abb"))
+        .otherwise(F.lit("unknown"))
+    )
+    known = [s.vendor for s in sites.all()]
+    entry = F.when(vendor.isin(known), vendor).otherwise(F.lit("generic"))
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", entry.alias("vendor"))
+    return suppliers.join(config, "vendor").select("s_suppkey", "site_name", "specs")
+
+
 # --- page text that came escaped, and lists of addresses -----------------------------------------------
 @query("decode_escaped", TABLE_KV)
 def decode_escaped(spark, folder):

@@ -145,6 +145,10 @@ class Page:
             node.isNotNull(), clean_text(F.array_join(self.runs(node), " "))
         )
 
+    def first_text(self, rule: str | Selector, within: Column | None = None) -> Column:
+        """Cleaned text of the first match; NULL if there is none."""
+        return let(self.first(rule, within), self.text)
+
     def raw_text(self, node: Column, separator: str = "") -> Column:
         return F.array_join(self.runs(node), separator)
 

@@ -96,11 +96,11 @@ def rows_with_noise(
         if multiple_values:
             values = F.filter(F.transform(chosen, rest.text), lambda v: v != "")
             return F.array_join(values, " | ")
-        return rest.text(first_of(chosen))
+        return let(first_of(chosen), rest.text)
 
     def row_hit(row: Column) -> Column:
         # The key is read before the noise goes, the value after it.
-        label = page.text(page.first(key, page.subtree(row)))
+        label = page.first_text(key, page.subtree(row))
         text = (
             let(noise(row), lambda gone: value_text(page.without(gone), row))
             if remove_noise
@@ -111,7 +111,7 @@ def rows_with_noise(
     found = page.select(rows)
     removed = None
     if remove_noise:
-        keyed = F.filter(found, lambda r: page.text(page.first(key, page.subtree(r))) != "")
+        keyed = F.filter(found, lambda r: page.first_text(key, page.subtree(r)) != "")
         removed = F.flatten(F.transform(keyed, noise))
     return present(F.transform(found, row_hit)), removed
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from speclake.functions.text import clean_list_price, clean_text, clean_your_price
+from speclake.functions.text import clean_list_price, clean_your_price
 from speclake.functions.urls import absolute_url
 from speclake.operators.hits import none, single
 from speclake.operators.page import Page, first_of, let
@@ -42,7 +42,7 @@ def variant_records(
             return page.first(fields[name], below)
 
         def text(name: str) -> Column:
-            return page.text(element(name))
+            return page.first_text(fields[name], below)
 
         values: dict[str, Column] = {}
         for name in ("title", "description", "availability"):
@@ -128,8 +128,8 @@ def _specs(page: Page, below: Column, config: Mapping) -> Column:
     def pair(row: Column) -> Column:
         inner = page.subtree(row)
         return F.struct(
-            page.text(page.first(config["key"], inner)).alias("key"),
-            page.text(page.first(config["value"], inner)).alias("value"),
+            page.first_text(config["key"], inner).alias("key"),
+            page.first_text(config["value"], inner).alias("value"),
         )
 
     pairs = F.filter(

@@ -164,11 +164,15 @@ def stats(kv_raw: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def section_counts(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Items per section, with the number of sections of the page."""
-    return documents.select(
-        *keys,
-        F.size("kv").cast("bigint").alias("sections"),
-        F.explode_outer("kv").alias("section", "entries"),
-    ).where(F.col("section").isNotNull()).select(*keys, "sections", "section", F.size("entries").cast("bigint").alias("items"))
+    return (
+        documents.select(
+            *keys,
+            F.size("kv").cast("bigint").alias("sections"),
+            F.explode_outer("kv").alias("section", "entries"),
+        )
+        .where(F.col("section").isNotNull())
+        .select(*keys, "sections", "section", F.size("entries").cast("bigint").alias("items"))
+    )
 
 
 def preview_documents(

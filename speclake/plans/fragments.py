@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from speclake.operators.ordered import with_value_before
 from speclake.operators.page import UNKNOWN
 from speclake.plans.assemble import kv_raw_from_hits, last_write
-from speclake.plans.pipeline import extract_pages
+from speclake.plans.extraction import extract_pages
 from speclake.session import staged
 from speclake.sources.sites import Sites
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speclake.functions.urls import page_file_name
-from speclake.operators.page import Page, first_of
+from speclake.operators.page import Page
 from speclake.operators.selectors import tags
 
 
@@ -84,9 +84,8 @@ def page_metadata(page: Page) -> Column:
     def meta(attribute: str, value: str) -> Column:
         return page.first(f"meta[{attribute}='{value}']")["attrs"]["content"]
 
-    title = first_of(page.select(tags("title")))
     return F.struct(
-        page.text(title).alias("title"),
+        page.first_text(tags("title")).alias("title"),
         meta("name", "description").alias("description"),
         meta("name", "keywords").alias("keywords"),
         meta("property", "og:title").alias("og_title"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from speclake.plans.pipeline import extract_documents
+from speclake.plans.extraction import extract_documents
 from speclake.sources.sites import Sites
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"

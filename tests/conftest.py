@@ -34,14 +34,14 @@ def extract(spark):
     """(spec or specs, {name: page}) -> {name: [(section, key, value), ...]} in write order."""
     from pyspark.sql import functions as F
 
-    from speclake.plans import pipeline
+    from speclake.plans import extraction
     from speclake.sources.sites import Sites
 
     def run(specs, pages: dict[str, str], name: str = "Any"):
         specs = [specs] if isinstance(specs, dict) else list(specs)
         sites = Sites({"generic": {"name": name, "specs": specs}})
         frame = spark.createDataFrame(list(pages.items()), "name STRING, html STRING")
-        rows = pipeline.extract_pages(frame, sites, vendor=F.lit("generic")).collect()
+        rows = extraction.extract_pages(frame, sites, vendor=F.lit("generic")).collect()
         return {
             row.name: [(h.section, h.key, h.value) for h in row.hits] for row in rows
         }

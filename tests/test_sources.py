@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from speclake.plans import fragments, pipeline
+from speclake.plans import extraction, fragments
 from speclake.session import spread, staged
 from speclake.sources import readers, sinks
 from speclake.sources.default_sites import SITES
@@ -69,7 +69,7 @@ def test_document_files(spark, tmp_path):
     )
     frame = spark.createDataFrame([(1, page)], "page_id INT, html STRING")
     at = F.lit("2026-01-02 03:04:05").cast("timestamp")
-    documents = pipeline.extract_documents(frame, extracted_at=at)
+    documents = extraction.extract_documents(frame, extracted_at=at)
     out = str(tmp_path / "out")
     sinks.write_documents(documents, out)
     row = spark.read.json(out).first()
@@ -111,7 +111,7 @@ def test_crawl_record(spark):
         "<meta property='og:description'>"
     )
     frame = spark.createDataFrame([(page, "u")], "html STRING, url STRING")
-    parsed = pipeline.read_trees(frame.withColumn("text", F.col("html")))
+    parsed = extraction.read_trees(frame.withColumn("text", F.col("html")))
     row = sinks.crawl_records(
         parsed, page_of(), F.col("url"), F.col("text"),
         F.lit("2026-01-02 03:04:05.5").cast("timestamp"),
@@ -145,7 +145,7 @@ def test_fragments_equal_the_merged_page(spark):
     }
     merged = spark.createDataFrame([(1, "".join(parts))], "page INT, html STRING")
     # The first table is left open on purpose: fragments are parsed on their own.
-    kv = pipeline.extract_documents(
+    kv = extraction.extract_documents(
         merged, sites, vendor=F.lit("generic")
     ).first().kv
     want = {(s, k, v) for s, entries in kv.items() for k, v in entries.items()}
@@ -168,7 +168,7 @@ def test_stream_equals_batch(spark, tmp_path):
         ).awaitTermination()
     columns = ["page_id", "vendor", "kv", "stats", "metadata"]
     got = spark.read.parquet(str(tmp_path / "out")).select(columns).orderBy("page_id").collect()
-    want = pipeline.extract_documents(
+    want = extraction.extract_documents(
         pages, sites, extracted_at=at
     ).select(columns).orderBy("page_id").collect()
     assert got == want and len(got) == 50
@@ -182,8 +182,8 @@ def test_bad_page_is_set_aside(spark, monkeypatch):
 
     monkeypatch.setattr(parse, "read_tree", fails)
     frame = spark.createDataFrame([(1, "x")], "page_id INT, html STRING")
-    extracted = pipeline.extract_pages(frame, Sites({"generic": {"specs": [{"type": "dl"}]}}))
-    row = pipeline.quarantine(extracted).first()
+    extracted = extraction.extract_pages(frame, Sites({"generic": {"specs": [{"type": "dl"}]}}))
+    row = extraction.quarantine(extracted).first()
     assert row.error == "ValueError: no" and row.hits == []
 
 
@@ -202,7 +202,7 @@ def test_session_helpers(spark):
 def test_one_pass_without_shuffle(spark):
     """Scan to documents of all sites is one stage: no exchange, one parse."""
     frame = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").drop("url")
-    documents = pipeline.extract_documents(frame)
+    documents = extraction.extract_documents(frame)
     plan = documents._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan

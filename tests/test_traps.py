@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speclake.operators.classify import site_of_page
 from speclake.operators.page import page_of
-from speclake.plans import assemble, pipeline
+from speclake.plans import assemble, extraction
 from speclake.sources.sites import Sites, load_sites
 
 
@@ -202,7 +202,7 @@ SITES = {
 ])
 def test_sites(spark, page, site):
     frame = spark.createDataFrame([(page,)], "html STRING")
-    trees = pipeline.read_trees(frame)
+    trees = extraction.read_trees(frame)
     assert trees.select(site_of_page(page_of(), Sites(SITES))).first()[0] == site
 
 
@@ -215,7 +215,7 @@ def test_documents(spark):
         {"type": "attribute", "selector": "i", "attribute": "v", "target_section": "Unknown",
          "target_key": "a"},
     ]}})
-    document = pipeline.extract_documents(pages, sites, vendor=F.lit("generic")).first()
+    document = extraction.extract_documents(pages, sites, vendor=F.lit("generic")).first()
     assert document.kv == {"Unknown": {"a": "2"}}
     assert document.stats == {"dl": 1, "attribute": 1}
     assert document.metadata.canonical_url is None
@@ -229,7 +229,7 @@ def test_empty_section_stays(spark):
             "\"<br>\"}]}]}]}}'></div>")
     sites = Sites({"generic": {"specs": [load_sites().spec_source("schneider").specs[0]]}})
     frame = spark.createDataFrame([(1, page)], "page_id INT, html STRING")
-    extracted = pipeline.extract_pages(frame, sites, vendor=F.lit("generic"))
+    extracted = extraction.extract_pages(frame, sites, vendor=F.lit("generic"))
     document = assemble.documents_from_hits(extracted, ["page_id"]).first()
     assert document.kv == {"T": {}} and document.stats == {"schneider_json": 1}
     assert assemble.kv_from_hits(extracted, ["page_id"]).count() == 0
