@@ -360,7 +360,9 @@ def json_merge(spark, folder):
     )
 
 
-@query("json_repair")
+@query("json_repair", f"""
+    SELECT {KEY}, '{{"a":"it\\\\u0027s \\\\d \\"' || p_name || '\\" & <b>","size":' || p_size || '}}'
+             AS mended, p_size AS size FROM part""")
 def json_repair(spark, folder):
     raw = markup(
         '{"a":"it\\\'s \\d \\\\"', P("p_name"), '\\" &amp; &lt;b&gt;","size":', P("p_size"), "}"
@@ -527,14 +529,14 @@ def _sectioned(spark, folder):
 
 
 # --- all sites at once -------------------------------------------------------------------------------
-_MIXED = """CASE s_suppkey % 9
+_MIXED = f"""CASE {KEY} % 9
     WHEN 0 THEN 'ABB' WHEN 1 THEN 'Siemens' WHEN 2 THEN 'Siemens' WHEN 3 THEN 'VEGA'
     WHEN 4 THEN 'Schneider Electric' WHEN 5 THEN 'Phoenix Contact' WHEN 6 THEN 'Siemens'
     WHEN 7 THEN 'Schneider Electric' ELSE 'Generic' END"""
 
 
 def mixed_pages(spark, folder):
-    kind = P("s_suppkey") % 9
+    kind = P(KEY) % 9
     mark = (
         F.when(kind == 0, F.lit('<link rel="canonical" href="https://new.ABB.com/x">'))
         .when(kind == 1, F.lit('<link rel=canonical href="https://mall.industry.siemens.com/x">'))
@@ -548,39 +550,39 @@ def mixed_pages(spark, folder):
     )
     held = F.when(
         kind.isin(4, 7),
-        markup("<div plain-all-data='{\"dataSheetTitle\":\"", P("s_name"), "\"}'></div>"),
+        markup("<div plain-all-data='{\"dataSheetTitle\":\"", P("p_name"), "\"}'></div>"),
     ).otherwise(F.lit(""))
     # Every page has something to read for every site.
     page = markup(
-        '<html><meta name="description" content=" ', P("s_name"),
-        '"><script type="application/ld+json">{"@type":"Product","name":"', P("s_name"),
-        '"}</script><body>', mark, held, "<h2>", P("s_name"), "</h2><p>Nation: ",
-        P("s_nationkey"), '</p><div class="product-application-text">', P("s_name"),
+        '<html><meta name="description" content=" ', P("p_name"),
+        '"><script type="application/ld+json">{"@type":"Product","name":"', P("p_name"),
+        '"}</script><body>', mark, held, "<h2>", P("p_name"), "</h2><p>Size: ",
+        P("p_size"), '</p><div class="product-application-text">', P("p_name"),
         "</div></body></html>",
     )
-    return table(spark, folder, "supplier", "s_suppkey").select("s_suppkey", page.alias("html"))
+    return parts(spark, folder).select(KEY, page.alias("html"))
 
 
-@query("vendor_mixed", f"SELECT s_suppkey, {_MIXED} AS vendor FROM supplier")
+@query("vendor_mixed", f"SELECT {KEY}, {_MIXED} AS vendor FROM part")
 def vendor_mixed(spark, folder):
     extracted = extraction.extract_pages(mixed_pages(spark, folder))
-    return extracted.select("s_suppkey", P("vendor_name").alias("vendor"))
+    return extracted.select(KEY, P("vendor_name").alias("vendor"))
 
 
 @query("mixed_facts", f"""
-    WITH t AS (SELECT *, {_MIXED} AS vendor FROM supplier)
-    SELECT s_suppkey, vendor,
-           CASE vendor WHEN 'Generic' THEN s_name WHEN 'Schneider Electric' THEN 'Metadata'
+    WITH t AS (SELECT *, {_MIXED} AS vendor FROM part)
+    SELECT {KEY}, vendor,
+           CASE vendor WHEN 'Generic' THEN p_name WHEN 'Schneider Electric' THEN 'Metadata'
                        ELSE 'Product Info' END AS section,
-           CASE vendor WHEN 'Generic' THEN 'Nation' WHEN 'Schneider Electric' THEN 'dataSheetTitle'
+           CASE vendor WHEN 'Generic' THEN 'Size' WHEN 'Schneider Electric' THEN 'dataSheetTitle'
                        WHEN 'ABB' THEN 'Product Name' ELSE 'Description' END AS key,
-           CASE vendor WHEN 'Generic' THEN CAST(s_nationkey AS VARCHAR) ELSE s_name END AS value
+           CASE vendor WHEN 'Generic' THEN CAST(p_size AS VARCHAR) ELSE p_name END AS value
     FROM t""")
 def mixed_facts(spark, folder):
     extracted = extraction.extract_pages(mixed_pages(spark, folder))
     return assemble.kv_from_hits(
-        extracted, ["s_suppkey", "vendor_name"]
-    ).select("s_suppkey", P("vendor_name").alias("vendor"), "section", "key", "value")
+        extracted, [KEY, "vendor_name"]
+    ).select(KEY, P("vendor_name").alias("vendor"), "section", "key", "value")
 
 
 @query("site_specs", """

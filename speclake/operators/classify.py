@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from speclake.operators.page import Page, let
+from speclake.operators.page import Page, first_of, let
 from speclake.operators.selectors import Step
 from speclake.sources.sites import DetectRule, Sites
 
@@ -33,7 +33,7 @@ def canonical_url(page: Page) -> Column:
         lambda n: (n["tag"] == "link")
         & F.array_contains(F.split(n["attrs"]["rel"], r"\s+"), "canonical"),
     )
-    return F.get(links, F.lit(0))["attrs"]["href"]
+    return first_of(links)["attrs"]["href"]
 
 
 def site_by_address(url: Column, rules: tuple[tuple[str, str], ...] = SITE_BY_ADDRESS) -> Column:
@@ -48,15 +48,16 @@ def page_text_lower(page: Page) -> Column:
     return F.lower(F.array_join(page.texts, ""))
 
 
-def rule_holds(page: Page, rule: DetectRule, page_text: Column) -> Column:
+def rule_holds(page: Page, rule: DetectRule, page_text: Column | None) -> Column:
     if rule.kind == "id":
         return F.exists(page.nodes, lambda n: Step(id=rule.arg).holds(n))
     if rule.kind == "selector":
         return F.size(page.select(rule.arg)) > 0
     if rule.kind == "class_contains":
+        # The joined list holds every class name, and their sequence too.
         return F.exists(
             page.nodes,
-            lambda n: F.exists(n["classes"], lambda c: F.contains(c, F.lit(rule.arg))),
+            lambda n: F.contains(F.array_join(n["classes"], " "), F.lit(rule.arg)),
         )
     if rule.kind == "text_contains":
         return F.contains(page_text, F.lit(rule.arg.lower()))
@@ -67,16 +68,21 @@ def rule_holds(page: Page, rule: DetectRule, page_text: Column) -> Column:
 def site_by_rules(page: Page, sites: Sites) -> Column:
     """First site, by priority and rule order, with a rule that holds.
 
-    One conditional: later rules run only on pages that earlier ones missed.
+    One conditional: later rules run only on pages that earlier ones missed,
+    and page text is put together only where a text rule is reached.
     """
-
-    def decide(text: Column) -> Column:
-        answer = F.lit(GENERIC)
-        for vendor, rule in reversed(sites.rules_in_order()):
-            answer = F.when(rule_holds(page, rule, text), F.lit(vendor)).otherwise(answer)
-        return answer
-
-    return let(page_text_lower(page), decide)
+    rules = sites.rules_in_order()
+
+    def decide(at: int, text: Column | None) -> Column:
+        if at == len(rules):
+            return F.lit(GENERIC)
+        vendor, rule = rules[at]
+        if rule.kind == "text_contains" and text is None:
+            return let(page_text_lower(page), lambda joined: decide(at, joined))
+        holds = rule_holds(page, rule, text)
+        return F.when(holds, F.lit(vendor)).otherwise(decide(at + 1, text))
+
+    return decide(0, None)
 
 
 def site_of_page(

@@ -377,7 +377,10 @@ def _description(data: Column, path: str = "") -> Column:
         F.transform(F.filter(sentences, is_truthy), _spoken), " "
     )
     plain = F.when(F.schema_of_variant(value) == "STRING", as_text(value))
-    return single(INFO, "Description", strip_tags(F.coalesce(joined, plain)))
+    # As with table values: text that is only tags is written as ''.
+    text = F.nullif(F.coalesce(joined, plain), F.lit(""))
+    written = hit(F.lit(INFO), F.lit("Description"), strip_tags(text))
+    return F.filter(F.array(written), lambda h: h["value"].isNotNull())
 
 
 def product_image(

@@ -83,19 +83,38 @@ _RAW_END = {
 }
 
 _ASCII_SPACES = " \n\t\f\r"
-_HEX_ESCAPE = re.compile(r"\\x([0-9A-Fa-f]{2})")
+# The escapes of a page that was stored as a string literal.
+_ESCAPE = re.compile(
+    r"""\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|([0-7]{1,3})
+         |([\\'"abfnrtv\n]))""",
+    re.VERBOSE,
+)
+_SHORT_ESCAPES = {
+    "\\": "\\", "'": "'", '"': '"', "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r",
+    "t": "\t", "v": "\v", "\n": "",
+}
 _ESCAPE_WINDOW = 1000
 _OUTPUT_CHARS = 4_000_000
 
+def _unescaped(match: re.Match) -> str:
+    two, four, eight, octal, short = match.groups()
+    if short:
+        return _SHORT_ESCAPES[short]
+    code = int(octal, 8) if octal else int(two or four or eight, 16)
+    if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
+        return "\N{REPLACEMENT CHARACTER}"
+    return chr(code)
+
+
 def decode_escaped(page: str) -> str:
     """Undo the two ways in which a whole page is found escaped.
 
-    Only the first 1,000 characters decide.  ``\\xNN`` escapes are decoded one
-    by one, so other characters of the page are left as they are.
+    Only the first 1,000 characters decide.  Escapes are decoded one by one, so
+    characters that are not escaped are left as they are.
     """
     head = page[:_ESCAPE_WINDOW]
     if "\\x3C" in head or "\\x3E" in head:
-        return _HEX_ESCAPE.sub(lambda m: chr(int(m.group(1), 16)), page)
+        return _ESCAPE.sub(_unescaped, page)
     if "&lt;" in head:
         return html_entities.unescape(page)
     return page

@@ -20,6 +20,7 @@ SCALE_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # Case mapping of whole pages by the JVM is much faster than by ICU.
     "spark.sql.icu.caseMappings.enabled": "false",
 }

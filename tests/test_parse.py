@@ -75,7 +75,11 @@ def test_positions():
 
 
 def test_decode():
-    assert decode_escaped("\\x3Cp\\x3E\xe9\\u0041") == "<p>\xe9\\u0041"
+    # As a string literal, but what is not escaped stays.
+    page = "\\x3Cp a=\\\"b\\\"\\x3E\xe9\\u0041\\n\\101\\\\n\\d\\x3\\uD800\\" + "\n!"
+    assert decode_escaped(page) == '<p a="b">\xe9A\nA\\n\\d\\x3\ufffd!'
+    plain = "\\x3Cb c=\\'\\\"\\' \\t\\x41\\u00e9\\U0001F600\\0\\18\\v"
+    assert decode_escaped(plain) == plain.encode().decode("unicode-escape")
     late = "x" * 1000 + "\\x3C"
     assert decode_escaped(late) == late
     assert decode_escaped("&lt;p&gt;&amp;amp;") == "<p>&amp;"
