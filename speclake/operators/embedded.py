@@ -31,6 +31,8 @@ GROUP_PATHS = (
     "attributeGroups.items",
 )
 DATASHEET_CODE = "DatSheTecInf"
+# Fixed value: only patterns that start with this host search the page text.
+IMAGE_HOST = "download.schneider-electric.com"
 _SCRIPT_SEAM = "</script><script>"
 
 
@@ -394,7 +396,7 @@ def product_image(
     """First image address of five places, in the preferred size."""
     if not enabled:
         return none()
-    tries = [_image_in_source(page, p) for p in search_patterns if p.startswith(_IMAGE_HOST)][:1]
+    tries = [_image_in_source(page, p) for p in search_patterns if p.startswith(IMAGE_HOST.replace(".", r"\."))][:1]
     tries += [
         css_url(page.first("div.zoom__viewer")["attrs"]["style"]),
         page.first("img.zoom__img")["attrs"]["src"],
@@ -406,8 +408,6 @@ def product_image(
     return single(target_section, target_key, sized)
 
 
-# Fixed value: only patterns for this host search the page text.
-_IMAGE_HOST = r"download\.schneider-electric\.com"
 
 
 def _image_in_source(page: Page, pattern: str) -> Column:

@@ -18,6 +18,7 @@ from speclake.operators.classify import (
     site_name,
     site_of_page,
 )
+from speclake.operators.embedded import IMAGE_HOST
 from speclake.operators.hits import HITS
 from speclake.operators.page import last_filled, page_of, with_headings
 from speclake.operators.parse import TREE_COLUMNS, parse_pages
@@ -34,7 +35,7 @@ def source_marks(sites: Sites) -> tuple[str, ...]:
         for spec in site.specs
         if spec.get("type") == "schneider_json"
     )
-    return ("p_Doc_Ref=",) if wanted else ()
+    return (IMAGE_HOST,) if wanted else ()
 
 
 def site_hits(sites: Sites) -> Column:
