@@ -48,6 +48,7 @@ class Page:
 
     nodes: Column
     texts: Column
+    ink: Column
     headings: Column
     scripts: Column
     source: Column
@@ -145,6 +146,12 @@ class Page:
             node.isNotNull(), clean_text(F.array_join(self.runs(node), " "))
         )
 
+    def fits(self, node: Column, most: int) -> Column:
+        """False only if the cleaned text must be longer than ``most`` characters."""
+        if self.removed is not None:
+            return F.lit(True)
+        return F.get(self.ink, node["t1"]) - F.get(self.ink, node["t0"]) <= most
+
     def first_text(self, rule: str | Selector, within: Column | None = None) -> Column:
         """Cleaned text of the first match; NULL if there is none."""
         return let(self.first(rule, within), self.text)
@@ -169,7 +176,7 @@ def last_filled(texts: Column) -> Column:
 
 def page_of(**overrides: Column) -> Page:
     names = (
-        "nodes", "texts", "headings", "scripts", "source", "template_nodes", "template_texts",
+        "nodes", "texts", "ink", "headings", "scripts", "source", "template_nodes", "template_texts",
     )
     return Page(**{name: overrides.get(name, F.col(name)) for name in names})
 

@@ -17,6 +17,8 @@ from speclake.operators.page import UNKNOWN, Page, first_of, last_of, let
 from speclake.operators.selectors import Step, tags
 
 LABEL_LINE = r"^(.{2,80}):\s*(.{1,200})$"
+# Characters other than white space that a label line holds at most.
+_LABEL_LINE_MOST = 80 + 1 + 200
 LABEL_TAGS = ("p", "li", "div", "span")
 
 
@@ -199,4 +201,8 @@ def label_value(
             ),
         )
 
-    return present(F.transform(page.select(tags(*elements)), element_hit))
+    found = page.select(tags(*elements))
+    if pattern == LABEL_LINE:
+        # Wrappers around whole parts of a page are most of the text to read.
+        found = F.filter(found, lambda e: page.fits(e, _LABEL_LINE_MOST))
+    return present(F.transform(found, element_hit))

@@ -9,6 +9,9 @@ order:
 * ``nodes[i].heads`` headings start before the element, so its section is one
   lookup in the list of headings;
 * ``texts`` are the plain text runs; an element owns ``texts[t0 .. t1 - 1]``;
+* ``ink[j] - ink[i]`` characters other than white space, at the least, remain
+  of ``texts[i .. j - 1]`` when it is cleaned: elements with too much text for a
+  pattern are told without putting their text together;
 * ``scripts`` are the script bodies;
 * ``template_nodes`` / ``template_texts`` hold the trees of templates whose
   only content is text (``owner`` is the template element);
@@ -43,6 +46,7 @@ NODE_FIELDS = (
 TREE_FIELDS = (
     f"nodes ARRAY<STRUCT<{NODE_FIELDS}>>, "
     "texts ARRAY<STRING>, "
+    "ink ARRAY<INT>, "
     "scripts ARRAY<STRUCT<pre INT, type STRING, body STRING>>, "
     f"template_nodes ARRAY<STRUCT<owner INT, {NODE_FIELDS}>>, "
     "template_texts ARRAY<STRING>, "
@@ -369,6 +373,22 @@ def read_tree(page: str, positions: bool = False) -> _Tree:
     return tree
 
 
+def ink_counts(texts: list[str]) -> list[int]:
+    """Running lower bound of the characters that cleaning leaves.
+
+    Cleaning takes out white space, escapes with a backslash and comments.  A
+    comment may reach over several runs, so a page with one counts nothing.
+    """
+    if any("<!--" in text for text in texts):
+        return [0] * (len(texts) + 1)
+    total, counts = 0, [0]
+    for text in texts:
+        if "\\" not in text:
+            total += len("".join(text.split()))
+        counts.append(total)
+    return counts
+
+
 class _NodeColumns:
     """Column lists for one output batch of node arrays."""
 
@@ -443,6 +463,7 @@ class _PageColumns:
         self.spans: list[list[dict]] | None = [] if positions else None
         self.nodes = _NodeColumns()
         self.texts: list[list[str]] = []
+        self.ink: list[list[int]] = []
         self.scripts: list[list[dict]] = []
         self.template_nodes = _NodeColumns(with_owner=True)
         self.template_texts: list[list[str]] = []
@@ -462,6 +483,7 @@ class _PageColumns:
         self.nodes.add(tree.nodes)
         self.nodes.end_page()
         self.texts.append(tree.texts)
+        self.ink.append(ink_counts(tree.texts))
         self.scripts.append(
             [{"pre": pre, "type": kind, "body": body} for pre, kind, body in tree.scripts]
         )
@@ -486,6 +508,7 @@ class _PageColumns:
         columns = [
             self.nodes.array(),
             pa.array(self.texts, strings),
+            pa.array(self.ink, pa.list_(pa.int32())),
             pa.array(self.scripts, pa.list_(script)),
             self.template_nodes.array(),
             pa.array(self.template_texts, strings),
@@ -500,7 +523,7 @@ class _PageColumns:
         return columns
 
 
-TREE_COLUMNS = ("nodes", "texts", "scripts", "template_nodes", "template_texts", "source", "error")
+TREE_COLUMNS = ("nodes", "texts", "ink", "scripts", "template_nodes", "template_texts", "source", "error")
 
 
 def parse_pages(

@@ -27,6 +27,22 @@ def test_label_lines(extract):
     assert found["long value"] == [] and found["script"] == []
 
 
+def test_long_texts_are_told_apart(extract):
+    """The shortcut for long texts changes nothing: same hits as without it."""
+    import random
+
+    random.seed(5)
+    bits = ["a", "bc ", ": ", " ", "&nbsp;", "\\t", "x" * 60, "<b>y</b>", "<p>", "</p>", "<div>",
+            "</div>", "&lt;!-- ", " -->", "\n", "<i>:</i>", "long " * 30]
+    pages = {
+        str(i): "<div>" + "".join(random.choices(bits, k=random.randint(2, 25)))
+        for i in range(400)
+    }
+    quick = extract({"type": "label_value"}, pages)
+    plain = extract({"type": "label_value", "pattern": r"^(.{2,80}):\s*(.{1,200})(?:)$"}, pages)
+    assert quick == plain and sum(map(len, quick.values())) > 100
+
+
 def test_definition_lists(extract):
     found = extract({"type": "dl", "container": ".nope"}, {
         "shifted": "<dl><dt>A</dt><dd>1</dd><dd>2</dd><dt>B</dt><dd>3</dd></dl>",
