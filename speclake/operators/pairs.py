@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 
 from speclake.functions.text import clean_text
 from speclake.operators.hits import hit, none, present
-from speclake.operators.page import UNKNOWN, Page, first_of, last_of, let
+from speclake.operators.page import (
+    HEADINGS,
+    UNKNOWN,
+    Page,
+    first_of,
+    inside,
+    last_of,
+    let,
+)
 from speclake.operators.selectors import Step, tags
 
 LABEL_LINE = r"^(.{2,80}):\s*(.{1,200})$"
@@ -141,19 +149,40 @@ def list_split(
     is not in ``skip_texts``.
     """
     skipped = [text.lower() for text in skip_texts]
+    # Headings are found by their number; other headers by a search.
+    numbered = set(section_headers) <= set(HEADINGS)
 
-    def header(element: Column) -> Column:
-        return F.struct(element["pre"].alias("pre"), page.text(element).alias("text"))
+    def header_texts(box: Column) -> Column:
+        """Place and text of all headers; the text is NULL if it starts no section."""
 
-    def usable(h: Column) -> Column:
-        kept = h["text"] != ""
-        return kept & ~F.lower(h["text"]).isin(skipped) if skipped else kept
+        def header(h: Column) -> Column:
+            starts = h["tag"].isin(list(section_headers)) & (box.isNull() | inside(h, box))
+            text = let(F.when(starts, page.text(h)), lambda t: F.when(usable(t), t))
+            return F.struct(h["pre"].alias("pre"), text.alias("text"))
+
+        return F.transform(
+            page.select(tags(*(HEADINGS if numbered else section_headers))), header
+        )
+
+    def last_text(headers: Column) -> Column:
+        return last_of(F.filter(headers, lambda h: h["text"].isNotNull()))["text"]
+
+    def section_text(element: Column, headers: Column) -> Column:
+        if not numbered:
+            return last_text(F.filter(headers, lambda h: h["pre"] < element["pre"]))
+        return F.coalesce(
+            F.get(headers, element["heads"] - 1)["text"],
+            last_text(F.slice(headers, F.lit(1), element["heads"])),
+        )
+
+    def usable(text: Column) -> Column:
+        kept = text != ""
+        return kept & ~F.lower(text).isin(skipped) if skipped else kept
 
     def item_hit(element: Column, headers: Column) -> Column:
         pieces = F.split(page.raw_text(element, split_on), _quoted(split_on))
         parts = F.filter(F.transform(pieces, clean_text), lambda p: p != "")
-        before = F.filter(headers, lambda h: h["pre"] < element["pre"])
-        section = F.coalesce(last_of(before)["text"], F.lit(UNKNOWN))
+        section = F.coalesce(section_text(element, headers), F.lit(UNKNOWN))
         return let(
             parts,
             lambda p: F.when(
@@ -166,16 +195,14 @@ def list_split(
             ),
         )
 
-    def scoped(scope: Column) -> Column:
-        headers = F.filter(
-            F.transform(page.select(tags(*section_headers), scope), header), usable
-        )
+    def boxed(box: Column) -> Column:
+        scope = F.when(box.isNull(), page.nodes).otherwise(page.subtree(box))
         return let(
-            headers,
+            header_texts(box),
             lambda hs: F.transform(page.select(items, scope), lambda e: item_hit(e, hs)),
         )
 
-    return present(let(page.scope(container), scoped))
+    return present(let(page.first(container), boxed))
 
 
 def _quoted(separator: str) -> str:

@@ -41,27 +41,55 @@ def kv_map(hits: Column) -> Column:
     Empty values go; a section that loses all its values stays as an empty map.
     """
 
-    def sections(writes: Column) -> Column:
-        names = F.array_distinct(F.transform(writes, lambda w: w["key"]["section"]))
-        return F.map_from_arrays(
-            names,
+    placed = F.transform(
+        last_writes(hits),
+        lambda w, i: F.struct(
+            w["key"]["section"].alias("section"),
+            i.alias("place"),
+            w["key"]["key"].alias("key"),
+            w["value"]["value"].alias("value"),
+        ),
+    )
+
+    def entries(group: Column) -> Column:
+        kept = F.filter(group, lambda w: w["value"] != "")
+        return F.map_from_entries(
+            F.transform(kept, lambda w: F.struct(w["key"].alias("key"), w["value"].alias("value")))
+        )
+
+    def sections(writes: Column, starts: Column) -> Column:
+        def group(start: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(starts, i + 1), F.size(writes))
+            first = F.get(writes, start)
+            return F.struct(
+                first["place"].alias("place"),
+                first["section"].alias("section"),
+                F.slice(writes, start + 1, end - start).alias("writes"),
+            )
+
+        # Sections stand in the order of their first writes.
+        return let(
+            F.sort_array(F.transform(starts, group)),
+            lambda gs: F.map_from_arrays(
+                F.transform(gs, lambda g: g["section"]),
+                F.transform(gs, lambda g: entries(g["writes"])),
+            ),
+        )
+
+    def borders(writes: Column) -> Column:
+        starts = F.filter(
             F.transform(
-                names,
-                lambda name: F.map_from_entries(
-                    F.transform(
-                        F.filter(
-                            writes,
-                            lambda w: (w["key"]["section"] == name) & (w["value"]["value"] != ""),
-                        ),
-                        lambda w: F.struct(
-                            w["key"]["key"].alias("key"), w["value"]["value"].alias("value")
-                        ),
-                    )
+                writes,
+                lambda w, i: F.when(
+                    (i == 0) | (F.get(writes, i - 1)["section"] != w["section"]), i
                 ),
             ),
+            lambda i: i.isNotNull(),
         )
+        return let(starts, lambda found: sections(writes, found))
 
-    return let(last_writes(hits), sections)
+    # Sorted by section, so that each section is one slice: no search per section.
+    return let(F.sort_array(placed), borders)
 
 
 def stats_map(hits: Column) -> Column:

@@ -206,3 +206,42 @@ def test_one_pass_without_shuffle(spark):
     plan = documents._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan
+
+
+def test_counts_cover_keys_and_partitions_do_not_matter(spark):
+    from catalogue.rendered import mixed_pages
+
+    pages = mixed_pages(spark, "/root/testdata/sf0.001")
+    at = F.lit("2026-01-02 03:04:05").cast("timestamp")
+    found = []
+    for n in (1, 8):
+        documents = documents_of(pages.repartition(n, "p_partkey"), at)
+        found.append({r.p_partkey: (r.vendor, r.kv, r.stats) for r in documents})
+    assert found[0] == found[1] and len(found[0]) == 200
+    for _, kv, stats in found[0].values():
+        assert sum(stats.values()) >= sum(map(len, kv.values()))
+
+
+def documents_of(pages, at):
+    return extraction.extract_documents(pages, extracted_at=at).collect()
+
+
+def test_large_page_stays_near_linear(spark):
+    """A merged listing of 8,000 sections and 32,000 writes on one page."""
+    import time
+
+    piece = (
+        "<h3>H{0}</h3><table><tr><td>a</td><td>{0}</td></tr></table><p>Size: {0}</p>"
+        "<ul><li><b>x</b>y</li></ul><dl><dt>q</dt><dd>r</dd></dl>"
+    )
+    page = "<body>" + "".join(piece.format(i) for i in range(8000))
+    frame = spark.createDataFrame([(1, page)], "page_id INT, html STRING")
+    start = time.perf_counter()
+    row = extraction.extract_documents(frame, vendor=F.lit("generic")).select(
+        F.size("kv").alias("sections"), "stats", F.element_at("kv", "H7999").alias("last")
+    ).first()
+    assert row.sections == 8000 and row.stats == {
+        "dl": 8000, "table": 8000, "label_value": 8000, "li_split": 8000
+    }
+    assert row.last == {"a": "7999", "Size": "7999", "x": "y", "q": "r"}
+    assert time.perf_counter() - start < 60

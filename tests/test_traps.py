@@ -105,6 +105,13 @@ def test_list_split(extract):
     assert found["before any"] == [("Unknown", "a", "b c")]
 
 
+def test_list_split_below_other_headers(extract):
+    found = extract({"type": "li_split", "section_headers": ["h2", "caption"]}, {
+        "p": "<h2>A</h2><li><b>a</b>1</li><caption>B</caption><h3>no</h3><li><b>b</b>2</li>",
+    })
+    assert found["p"] == [("A", "a", "1"), ("B", "b", "2")]
+
+
 def test_first_match(extract):
     found = extract(
         [
