@@ -396,7 +396,8 @@ def product_image(
     """First image address of five places, in the preferred size."""
     if not enabled:
         return none()
-    tries = [_image_in_source(page, p) for p in search_patterns if p.startswith(IMAGE_HOST.replace(".", r"\."))][:1]
+    host = IMAGE_HOST.replace(".", r"\.")
+    tries = [_image_in_source(page, p) for p in search_patterns if p.startswith(host)]
     tries += [
         css_url(page.first("div.zoom__viewer")["attrs"]["style"]),
         page.first("img.zoom__img")["attrs"]["src"],
