@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speclake.llm import decontaminate
+from speclake.llm import decontaminate, quality
 from speclake.llm.shared import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,61 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
     )
     return decontaminate.digest(report)
+
+
+# White-space words of a text; counts of a pattern in a text.
+_SQL_WORDS = r"coalesce(regexp_extract_all({text}, '[^\x20\x09-\x0D]+'), [])"
+
+
+def _sql_count(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({text}, '{pattern}'))"
+
+
+_SQL_LINE_OK = f"""
+    {_sql_count('line', quality.NOT_SPACE + '+')} = 0 OR (
+      regexp_matches(line, '{quality.SENTENCE.replace("'", "''")}')
+      AND {_sql_count('line', quality.SEPARATORS)} * 3 < n
+      AND {_sql_count('line', quality.SYMBOLS)} * 2 < n
+      AND {_sql_count('line', quality.SHOUT)} * 2 < n
+      AND NOT (n <= {quality.STOCK_WORDS}
+               AND regexp_matches(line, '(?i)({quality.BOILERPLATE})')))
+"""
+
+
+@query(
+    "op7_quality",
+    f"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, {_SQL_WORDS.format(text='text')} AS w
+      FROM documents),
+    triples AS (
+      SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS gram FROM (
+        SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+    repeats AS (
+      SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+        SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (
+          SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM triples)
+        WHERE c > 1)
+      GROUP BY doc_id),
+    lines AS (
+      SELECT doc_id, line, {_sql_count('line', quality.NOT_SPACE + '+')} AS n FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+    judged AS (
+      SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
+             coalesce(sum(n) FILTER ({_SQL_LINE_OK}), 0)::BIGINT AS n_clean_words
+      FROM lines GROUP BY doc_id),
+    counted AS (
+      SELECT doc_id, len(w)::BIGINT AS n_words,
+             coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             {_sql_count('text', quality.SYMBOLS)}::BIGINT AS n_symbols,
+             n_dup_lines::BIGINT AS n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_clean_words
+      FROM d JOIN judged USING (doc_id) LEFT JOIN repeats USING (doc_id))
+    SELECT *, n_words < {quality.LEAST_WORDS}
+              OR 100 * n_repeat_words > {quality.REPEATED} * n_words AS base_failed,
+           NOT base_failed AND 100 * (n_words - n_clean_words) <= {quality.LOSS} * n_words AS kept
+    FROM counted
+    """,
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"))
