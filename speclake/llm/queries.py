@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speclake.llm import decontaminate, quality
+from speclake.llm import decontaminate, pieces, quality, secrets_scan, token_ids
 from speclake.llm.shared import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -127,3 +134,21 @@ _SQL_LINE_OK = f"""
 )
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"))
+
+
+@query("op9_pieces")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    return pieces.encode(table(spark, folder, "documents"), model, digests=True)
+
+
+@query("op5_token_ids")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return token_ids.round_trip(
+        table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), end_id=2
+    )
+
+
+@query("op3_secrets")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets_scan.digest(secrets_scan.scan(table(spark, folder, "documents")))
