@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speclake.llm import decontaminate, pieces, quality, secrets_scan, token_ids
+from speclake.llm import decontaminate, main_text, pieces, quality, secrets_scan, token_ids
 from speclake.llm.shared import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_secrets")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_scan.digest(secrets_scan.scan(table(spark, folder, "documents")))
+
+
+@query("op4_main_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages"))
