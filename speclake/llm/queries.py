@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speclake.llm import decontaminate, main_text, pieces, quality, secrets_scan, token_ids
+from speclake.llm import (
+    decontaminate,
+    line_dedup,
+    main_text,
+    pieces,
+    quality,
+    secrets_scan,
+    token_ids,
+)
 from speclake.llm.shared import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +165,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_main_text")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract(table(spark, folder, "pages"))
+
+
+@query("op8_line_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(table(spark, folder, "documents"))
