@@ -13,6 +13,7 @@ from speclake.llm import (
     pieces,
     quality,
     secrets_scan,
+    suffix_dedup,
     token_ids,
 )
 from speclake.llm.shared import prepared
@@ -170,3 +171,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_line_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(table(spark, folder, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, folder, "documents"))
