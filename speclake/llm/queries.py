@@ -13,6 +13,7 @@ from speclake.llm import (
     pieces,
     quality,
     secrets_scan,
+    similar,
     suffix_dedup,
     token_ids,
 )
@@ -176,3 +177,32 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_suffix_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.report(table(spark, folder, "documents"))
+
+
+@query(
+    "op2_similar",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_SQL_WORDS.format(text='text')} AS w FROM documents),
+    sets AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {similar.N}
+                     THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - {similar.N} + 2),
+                            lambda i: array_to_string(w[i:i + {similar.N} - 1], ' '))) END AS s
+      FROM d),
+    named AS (SELECT doc_id, len(s) AS n, list_sort(s) AS s FROM sets),
+    kept AS (SELECT min(doc_id) AS rep, any_value(n) AS n, s FROM named WHERE n > 0 GROUP BY s),
+    each AS (SELECT rep, n, unnest(s) AS g FROM kept),
+    links AS (
+      SELECT a.rep AS x, b.rep AS y FROM each a JOIN each b ON a.g = b.g AND a.rep != b.rep
+      GROUP BY a.rep, b.rep, a.n, b.n
+      HAVING 100 * count(*) >= {similar.PERCENT} * (a.n + b.n - count(*))),
+    reach AS (
+      SELECT rep AS x, rep AS y FROM kept
+      UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+    roots AS (SELECT x AS rep, min(y) AS root FROM reach GROUP BY x)
+    SELECT doc_id, named.n::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id
+    FROM named LEFT JOIN kept ON named.s = kept.s LEFT JOIN roots USING (rep)
+    """,
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.classes(table(spark, folder, "documents"))
