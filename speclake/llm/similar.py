@@ -499,7 +499,10 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
     least = (
         rows.where(F.col("class").isNotNull())
         .groupBy(F.col("class").alias("_class"))
-        .agg(F.min("id").alias("component"), F.min(F.struct("id", "h")).alias("first"))
+        .agg(
+            F.min("id").alias("component"),
+            F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("first"),
+        )
     )
     return rows.join(least, F.col("class") == F.col("_class"), "left")
 
@@ -513,7 +516,10 @@ def first_of_each(
     """
     shown = _classes(docs, key, text, n, percent)
     gone = (
-        shown.where(F.col("class").isNotNull() & (F.struct("id", "h") != F.col("first")))
+        shown.where(
+            F.col("class").isNotNull()
+            & (F.struct(F.col("id").isNull(), "id", "h") != F.col("first"))
+        )
         .select(F.col("id").alias("_id"), F.col("h").alias("_h"))
         .distinct()
     )
