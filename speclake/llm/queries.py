@@ -16,6 +16,7 @@ from speclake.llm import (
     similar,
     suffix_dedup,
     token_ids,
+    warc,
 )
 from speclake.llm.shared import prepared
 
@@ -206,3 +207,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return similar.classes(table(spark, folder, "documents"))
+
+
+@query("op10_warc")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as WARC records, read back; every revisit with what it stands for."""
+    files = warc.history(table(spark, folder, "pages"))
+    return warc.digest(warc.resolve(warc.read(files)))
