@@ -37,9 +37,9 @@ from speclake.llm.shared import arrow_schema, in_arrow, shared_folder
 
 MAGIC = b"IDEF"
 SAMPLE = 256  # every 256th boundary's place is kept
-IDS = 1 << 21  # ids per segment
-RANGE_BYTES = 32 << 20  # text bytes per range of the key
-KEPT = 400_000
+IDS = 1 << 20  # ids per segment
+RANGE_BYTES = 16 << 20  # text bytes per range of the key
+KEPT = 150_000
 
 
 class EliasFano:
@@ -232,7 +232,7 @@ def write(
 
     def encode(batch):
         encoder = loaded(tokenizer)
-        for some in W.slices(batch, "t"):
+        for some in W.slices(batch, "t", W.PIECE):
             keys = some.column(0)
             place = np.searchsorted(borders, keys.fill_null(-(1 << 63)).to_numpy(), "right")
             ids = encoder.encoded([t or "" for t in some.column(1).to_pylist()])
