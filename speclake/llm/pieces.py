@@ -37,7 +37,7 @@ from speclake.llm import words as W
 from speclake.llm.shared import arrow_schema, in_arrow
 
 BLANK = "▁"
-KEPT = 500_000
+KEPT = 200_000
 LONG = 48
 _NONE = np.int32(2**31 - 1)  # no such pair
 
@@ -302,7 +302,7 @@ def encode(
 
     def step(batch):
         vocabulary = loaded(model)
-        for some in W.slices(batch, "_text"):
+        for some in W.slices(batch, "_text", W.PIECE // 2):
             texts = some.column(1).to_pylist()
             ids = vocabulary.encoded(texts)
             lists = [i.tolist() for i in ids]
