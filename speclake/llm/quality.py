@@ -155,18 +155,25 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def cleaned(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """Documents that are kept, with their passing lines as text."""
-    whole = F.coalesce(F.col(f"row.{text}").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"))
-    rows = rows.select("row", passing(whole).alias("lines"), words(whole).alias("found"))
-    n = F.size("found")
-    clean = F.aggregate(
-        "lines", F.lit(0).cast("long"), lambda total, line: total + _count(line, NOT_SPACE + "+")
-    )
-    kept = rows.where(
-        (n >= LEAST_WORDS)
-        & (100 * (n - clean) <= LOSS * n)
-        & (100 * repeated_words(F.col("found")) <= REPEATED * n)
-    ).withColumn("out", F.array_join("lines", "\n"))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+    def verdict(found: Column, lines: Column) -> Column:
+        n = F.size(found)
+        clean = F.aggregate(
+            lines, F.lit(0), lambda total, line: total + _count(line, NOT_SPACE + "+")
+        )
+        kept = (
+            (n >= LEAST_WORDS)
+            & (100 * (n - clean) <= LOSS * n)
+            & (100 * repeated_words(found) <= REPEATED * n)
+        )
+        return F.when(kept, F.array(F.array_join(lines, "\n"))).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    # Exploding one text or none, so the verdict is worked out once per row.
+    out = _let(words(whole), lambda found: _let(passing(whole), lambda x: verdict(found, x)))
+    rows = docs.select(F.struct("*").alias("row"), F.explode(out).alias("out"))
     columns = [
         F.col("out").alias(c)
         if c == text
@@ -175,4 +182,4 @@ def cleaned(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Dat
         else F.col(f"row.`{c}`").alias(c)
         for c in docs.columns
     ]
-    return kept.select(*columns)
+    return rows.select(*columns)
