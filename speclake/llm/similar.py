@@ -293,6 +293,81 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def sketches(whole: DataFrame) -> DataFrame:
+    """(set, n, sketch): the parity of shingles per bit, as 64-bit words."""
+    schema = "set LONG, n INT, sketch ARRAY<LONG>"
+    shape = arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            values, at = np.asarray(batch.column(2).values), np.asarray(batch.column(2).offsets)
+            found = [sketch(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.record_batch(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                ],
+                schema=shape,
+            )
+
+    return whole.mapInArrow(run, schema)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits; their number is a power of two, twice the shingles or more."""
+    bits = 64
+    while bits < 2 * len(shingles):
+        bits *= 2
+    places = W.mixed(shingles.view(np.uint64)) & np.uint64(bits - 1)
+    odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows) folded to fewer words; parities add up."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def may_link(differing, a, b, percent: int):
+    """Whether sets of a and b shingles with so many differing bits can be linked.
+
+    Linked sets differ in (a + b) * (100 - percent) / (100 + percent) shingles at most.
+    """
+    return (100 + percent) * differing <= (100 - percent) * (a + b)
+
+
+def _passing(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their sketches do not rule out."""
+    first = drawn.select(F.col("set").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
+    second = drawn.select(F.col("set").alias("b"), "n", F.col("sketch").alias("y"))
+    rows = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "m", "n", "x", "y")
+    schema = "a LONG, b LONG"
+    shape = arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            m, n = (np.asarray(batch.column(i), np.int64) for i in (2, 3))
+            (x, at), (y, to) = (
+                (np.asarray(c.values).view(np.uint64), np.asarray(c.offsets))
+                for c in (batch.column(4), batch.column(5))
+            )
+            differing = np.zeros(batch.num_rows, np.int64)
+            for i in range(batch.num_rows):
+                p, q = x[None, at[i] : at[i + 1]], y[None, to[i] : to[i + 1]]
+                words = min(p.shape[1], q.shape[1])
+                differing[i] = np.bitwise_count(folded(p, words) ^ folded(q, words)).sum()
+            taken = pa.array(np.flatnonzero(may_link(differing, m, n, percent)))
+            yield pa.record_batch([batch.column(0).take(taken), batch.column(1).take(taken)], schema=shape)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those that are linked; shingles are compared one by one."""
     first = whole.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
@@ -327,8 +402,8 @@ def _with_roots(met: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def _across_few(apart: DataFrame, done: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Links between components, at keys of few sets."""
+def _across_few(apart: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components, at keys of few sets."""
     few = apart.where(F.col("c") <= FEW)
     a, b = few.alias("a"), few.alias("b")
     pairs = (
@@ -340,16 +415,15 @@ def _across_few(apart: DataFrame, done: DataFrame, whole: DataFrame, percent: in
         )
         .select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
         .distinct()
-        .join(done, ["a", "b"], "left_anti")
     )
-    return _linked(pairs, whole, percent)
+    return _passing(pairs, drawn, percent)
 
 
-def _across_many(apart: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Links between components, at keys of many sets: block by block.
+def _across_many(apart: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components, at keys of many sets: block by block.
 
     A component with many sets at a key has blocks of its own; two blocks of
-    one component are not compared.
+    one component are not compared.  Blocks hold sketches only.
     """
     many = apart.where(F.col("c") > FEW).select("key", "set", "root")
     sizes = many.groupBy("key", "root").agg(F.count("*").alias("own"))
@@ -377,9 +451,9 @@ def _across_many(apart: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     )
     # One block holds about BLOCK sets.
     filled = (
-        placed.join(whole, "set")
+        placed.join(drawn, "set")
         .groupBy("key", F.struct("part", "block").alias("at"))
-        .agg(F.collect_list(F.struct("set", "root", "shingles")).alias("sets"))
+        .agg(F.collect_list(F.struct("set", "root", "n", "sketch")).alias("sets"))
     )
     rows = (
         pairs.join(filled.select("key", F.col("at").alias("x"), F.col("sets").alias("first")), ["key", "x"])
@@ -392,76 +466,66 @@ def _across_many(apart: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                found = _block_links(_block(batch.column(0), i), _block(batch.column(1), i), percent)
-                yield pa.record_batch(
-                    [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
-                    schema=shape,
-                )
+                found = _block_pairs(_block(batch.column(0), i), _block(batch.column(1), i), percent)
+                yield pa.record_batch([pa.array(x) for x in found], schema=shape)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).distinct()
 
 
 def _block(column: pa.ListArray, i: int):
-    """Sets, roots and shingles of one block."""
+    """Sets of one block by the number of words in their sketches."""
     low, high = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
-    rows = column.values[low : high]
-    names, roots = (np.asarray(rows.field(k)) for k in ("set", "root"))
-    lists = rows.field("shingles")
-    offsets = np.asarray(lists.offsets)
-    return names, roots, np.asarray(lists.values)[offsets[0] : offsets[-1]], np.diff(offsets)
-
-
-def _block_links(first, second, percent: int) -> list[tuple[int, int]]:
-    """One link for every two components that have any between these blocks."""
-    names, roots, x, sizes = first
-    others, their, y, counts = second
-    common = np.intersect1d(x, y)
-    overlap = np.zeros((len(names), len(others)), np.float32)
-    xi, xr = _places(x, sizes, common)
-    yi, yr = _places(y, counts, common)
-    for low in range(0, len(common), 4096):  # a slice of the shingles at a time
-        p = np.zeros((len(names), 4096), np.float32)
-        q = np.zeros((len(others), 4096), np.float32)
-        some, them = (xi >= low) & (xi < low + 4096), (yi >= low) & (yi < low + 4096)
-        p[xr[some], xi[some] - low] = 1
-        q[yr[them], yi[them] - low] = 1
-        overlap += p @ q.T
-    union = sizes[:, None] + counts[None, :] - overlap
-    hit = (100 * overlap >= percent * union) & (roots[:, None] != their[None, :])
-    out = {}
-    for i, j in zip(*np.nonzero(hit), strict=True):
-        a, b = sorted((int(roots[i]), int(their[j])))
-        out.setdefault((a, b), (int(names[i]), int(others[j])))
-    return list(out.values())
-
-
-def _places(values, sizes, common):
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
-    known = common[at] == values if len(common) else np.zeros(len(values), bool)
-    return at[known], rows[known]
+    rows = column.values[low:high]
+    names, roots, sizes = (np.asarray(rows.field(k)) for k in ("set", "root", "n"))
+    lists = rows.field("sketch")
+    at, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+    words = np.diff(at)
+    out = []
+    for w in np.unique(words):
+        some = np.flatnonzero(words == w)
+        bits = values[at[some][:, None] + np.arange(w)]
+        out.append((names[some], roots[some], sizes[some].astype(np.int64), bits))
+    return out
+
+
+def _block_pairs(first, second, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (greater, lesser) of different components that sketches do not rule out."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for names, roots, sizes, bits in first:
+        for others, their, counts, more in second:
+            words = min(bits.shape[1], more.shape[1])
+            x, y = folded(bits, words), folded(more, words)
+            differing = np.zeros((len(x), len(y)), np.int64)
+            for k in range(words):
+                differing += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+            hit = may_link(differing, sizes[:, None], counts[None, :], percent)
+            i, j = np.nonzero(hit & (roots[:, None] != their[None, :]))
+            a.append(np.maximum(names[i], others[j]))
+            b.append(np.minimum(names[i], others[j]))
+    return np.concatenate(a), np.concatenate(b)
 
 
 def set_links(whole: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between sets that join all components that have a link between them."""
     firsts = staged(_firsts(whole, percent))
+    drawn = staged(sketches(whole.join(firsts.select("set"), "set", "left_semi")))
     x = boundary(_costs(firsts))
     met = _meetings(firsts, x, percent)
     counts = met.groupBy("key").agg(F.count("*").alias("c"), F.min("set").alias("leader"))
     met = staged(met.join(counts.where("c > 1"), "key"))
-    leaders = met.select(F.col("leader").alias("set"), F.lit(True).alias("leads")).distinct()
-    sizes = firsts.select("set", "n").join(leaders, "set").select(
-        F.col("set").alias("leader"), F.col("n").alias("m")
+    leaders = met.select("leader").distinct()
+    sizes = firsts.join(leaders, F.col("set") == F.col("leader")).select(
+        "leader", F.col("n").alias("m")
     )
     done = staged(
         met.where("set != leader")
-        .select(F.col("set").alias("a"), F.col("leader"), "n")
+        .select(F.col("set").alias("a"), "leader", "n")
         .distinct()
         .join(sizes, "leader")
         .where(_fits(F.col("n"), F.col("m"), percent))
         .select("a", F.col("leader").alias("b"))
     )
-    links = staged(_linked(done, whole, percent))
+    links = staged(_linked(_passing(done, drawn, percent), whole, percent))
     placed = _with_roots(met, components(links))
     spread = (
         placed.groupBy("key")
@@ -470,10 +534,10 @@ def set_links(whole: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("key")
     )
     apart = staged(placed.join(spread, "key").select("key", "set", "n", "root", "c"))
-    return (
-        links.unionByName(_across_few(apart, done, whole, percent))
-        .unionByName(_across_many(apart, whole, percent))
-    )
+    across = _across_few(apart, drawn, percent).unionByName(_across_many(apart, drawn, percent))
+    # A leader is the least set of its key, so pairs with leaders come in this order too.
+    left = staged(across.distinct().join(done, ["a", "b"], "left_anti"))
+    return links.unionByName(_linked(left, whole, percent))
 
 
 def classes(

@@ -83,3 +83,20 @@ def test_null_keys_and_repeated_rows(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id LONG, text STRING")
     assert similar.classes(frame).collect() == []
+
+
+def test_sketches_rule_out_no_linked_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 7, 40, 400, 3000):
+        x = rng.integers(-(2**63), 2**63 - 1, n)
+        for edits in {0, n // 20, n // 8, n // 7}:
+            y = np.concatenate((x[edits:], rng.integers(-(2**63), 2**63 - 1, edits // 2)))
+            common = len(np.intersect1d(x, y))
+            if 100 * common < 75 * (len(x) + len(y) - common):
+                continue
+            a, b = similar.sketch(x)[None, :], similar.sketch(y)[None, :]
+            words = min(a.shape[1], b.shape[1])
+            differing = np.bitwise_count(similar.folded(a, words) ^ similar.folded(b, words)).sum()
+            assert similar.may_link(int(differing), len(x), len(y), 75)
