@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speclake.session import configure, spread
+from speclake.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,10 +30,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, folder: str, name: str, key: str | None = None) -> DataFrame:
-    """A given table; with ``key``, spread over the cores if it is one small file."""
-    scan = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(scan, key) if key else scan
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def rendering(rows: DataFrame, *columns: str) -> DataFrame:
+    """Narrow rows that are about to be rendered as pages, dealt out evenly.
+
+    A row grows a hundred times when it becomes a page, so rows are dealt out
+    while they are narrow, whatever their number, and never by a key.
+    """
+    chosen = rows.select(*columns) if columns else rows
+    return chosen.repartition(chosen.sparkSession.sparkContext.defaultParallelism)
 
 
 def markup(*parts: str | Column) -> Column:

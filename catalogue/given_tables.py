@@ -26,7 +26,7 @@ from speclake.sources.sites import Sites
 
 
 def parsed_pages(spark, folder):
-    pages = table(spark, folder, "pages", "page_id").select("page_id", "url", "html")
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return extraction.read_trees(pages)
 
 
@@ -36,7 +36,7 @@ def parsed_pages(spark, folder):
     f"SELECT doc_id, {sql_clean('text')} AS cleaned FROM documents",
 )
 def clean_documents(spark, folder):
-    return table(spark, folder, "documents", "doc_id").select(
+    return table(spark, folder, "documents").select(
         "doc_id", text.clean_text(F.col("text")).alias("cleaned")
     )
 
@@ -51,7 +51,7 @@ def clean_documents(spark, folder):
         FROM documents""",
 )
 def plain_documents(spark, folder):
-    return table(spark, folder, "documents", "doc_id").select(
+    return table(spark, folder, "documents").select(
         "doc_id",
         text.clean_plain_text(F.col("text")).alias("plain"),
         text.strip_tags(F.col("text")).alias("untagged"),
@@ -275,19 +275,13 @@ def state_change(spark, folder):
         GROUP BY page_id, tag""",
 )
 def tag_counts(spark, folder):
-    pages = table(spark, folder, "pages", "page_id").select("page_id", "html")
-    names = F.transform("nodes", lambda n: n["tag"])
-    # Counted on the page row: the elements of a page are all there.
-    counted = F.transform(
-        F.array_distinct(names),
-        lambda tag: F.struct(
-            tag.alias("tag"), F.size(F.filter(names, lambda t: t == tag)).alias("n")
-        ),
-    )
+    pages = table(spark, folder, "pages").select("page_id", "html")
+    # Counts are combined before the shuffle, so few rows are sent.
     return (
-        parse_pages(pages)
-        .select("page_id", F.explode_outer(counted).alias("c"))
-        .select("page_id", F.col("c.tag").alias("tag"), F.col("c.n").cast("bigint").alias("n"))
+        parse_pages(pages, want=("nodes",))
+        .select("page_id", F.explode("nodes.tag").alias("tag"))
+        .groupBy("page_id", "tag")
+        .agg(F.count("*").alias("n"))
     )
 
 
@@ -338,29 +332,28 @@ _SQL_H1 = sql_clean(sql_entities("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
 @query(
     "crawl_records",
     f"""SELECT page_id, url, '2024-01-31T10:11:12.000000' AS scraped_at, {_SQL_TITLE} AS title,
-               CAST(NULL AS VARCHAR) AS description, length(html) AS html_length,
-               TRUE AS success
+               CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS keywords,
+               CAST(NULL AS VARCHAR) AS og_title, CAST(NULL AS VARCHAR) AS og_description,
+               url || '#end' AS final_url, length(html) AS html_length, TRUE AS success
         FROM pages""",
 )
 def crawl(spark, folder):
-    pages = table(spark, folder, "pages", "page_id").select("page_id", "url", "html")
-    # The page text is needed twice, as tree and as text, and both stay on one row.
-    parsed = extraction.read_trees(pages.withColumn("text", F.col("html")))
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    # The length is taken before the parse, so the text is handed over once.
+    sized = pages.withColumn("length", F.length("html").cast("bigint"))
     records = crawl_records(
-        parsed.withColumn("_id", F.col("page_id")),
+        parse_pages(sized, want=("nodes", "texts", "error")),
         page_of(),
-        F.concat_ws(" ", F.col("page_id"), F.col("url")),
-        F.col("text"),
+        F.col("url"),
         F.lit("2024-01-31 10:11:12").cast("timestamp"),
+        html_length=F.col("length"),
+        final_url=F.concat("url", F.lit("#end")),
+        keys=("page_id",),
     )
     return records.select(
-        F.substring_index("url", " ", 1).cast("bigint").alias("page_id"),
-        F.substring_index("url", " ", -1).alias("url"),
-        "scraped_at",
-        "metadata.title",
-        "metadata.description",
-        F.col("html_length").cast("bigint").alias("html_length"),
-        "success",
+        "page_id", "url", "scraped_at", "metadata.title", "metadata.description",
+        "metadata.keywords", "metadata.og_title", "metadata.og_description",
+        "metadata.final_url", "html_length", "success",
     )
 
 
@@ -389,7 +382,7 @@ def page_attributes(spark, folder):
             ],
         },
     })
-    pages = table(spark, folder, "pages", "page_id").select("page_id", "html")
+    pages = table(spark, folder, "pages").select("page_id", "html")
     hits = extraction.extract_pages(pages, sites)
     return kv_from_hits(hits, ["page_id"]).select("page_id", "section", "key", "value")
 
@@ -477,7 +470,7 @@ def page_list_class(spark, folder):
         .when(kind == 2, F.lit('<label for="listView">List</label>'))
         .otherwise(F.lit(""))
     )
-    pages = table(spark, folder, "pages", "page_id").select(
+    pages = table(spark, folder, "pages").select(
         "page_id", url.alias("url"), F.concat("html", mark).alias("html")
     )
     return parse_pages(pages).withColumn("headings", F.array()).select(

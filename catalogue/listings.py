@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from catalogue.base import markup, query, sql_clean, table
+from catalogue.base import markup, query, rendering, sql_clean, table
 from catalogue.rendered import KEY, kv, only, parts
 from speclake.operators import listing
 from speclake.operators.page import page_of
 from speclake.operators.parse import parse_pages
 from speclake.plans import fragments as frags
 from speclake.plans.variants import variant_rows
-from speclake.session import staged
+from speclake.session import shared_root, staged
 from speclake.sources.sinks import landed_pages, latest
 from speclake.sources.sites import Sites, load_sites
 from speclake.streaming.pages import page_stream, stream_documents
@@ -61,21 +60,21 @@ def order_variants(spark, folder):
         F.lit('<article class="se-result-pos"><template><b class="sh-ListPrice">5</b></template>'
               '</article>'),
     ).otherwise(F.lit('<article class="se-result-pos">no fields</article>'))
-    # Markup held as text must not stand at the front of a page, where it would
-    # make the whole page count as escaped.
     page = markup(
-        "<body>", F.repeat(F.lit(" "), F.lit(1000)),
-        '<article class="se-result-pos x"><span class="se-result-pos-subtitle">',
+        '<body><article class="se-result-pos x"><span class="se-result-pos-subtitle">',
         P("l_partkey"), '</span><a class="se-result-pos-item-title" href="/p/', P("l_partkey"),
         '"><span>Part ', P("l_partkey"), '</span></a><p class="se-pic"><img ', image,
         '></p><b class="sh-ListPrice">', price, " EUR\n/ </b>", own_price,
         '<u class="sh-AvailabilityTitle__text">', P("l_returnflag"), "  ", P("l_linestatus"),
         "</u></article>", bare, "</body>",
     )
-    lines = table(spark, folder, "lineitem", "l_orderkey")
+    lines = rendering(table(spark, folder, "lineitem"))
     pages = lines.select("l_orderkey", page.alias("html"))
     spec = load_sites().spec_source("phoenix").specs[5]
-    return variant_rows(parse_pages(pages).withColumn("headings", F.array()), ["l_orderkey"], spec).select(
+    # These pages hold markup as text, so that says nothing about the whole page.
+    want = ("nodes", "texts", "template_nodes", "template_texts")
+    parsed = parse_pages(pages, want=want, escape_window=0)
+    return variant_rows(parsed, ["l_orderkey"], spec).select(
         "l_orderkey", "item_reference", "title", "url", "image", "list_price", "your_price",
         "availability",
     )
@@ -152,7 +151,7 @@ def _event_fragments(spark, folder):
         "<dl><dt>early</dt><dd>", P("props"), "</dd></dl>", heading, "<dl><dt>late</dt><dd>",
         P("event_type"), "</dd></dl>",
     )
-    pages = table(spark, folder, "events", "event_id").select(
+    pages = rendering(table(spark, folder, "events")).select(
         "user_id", P("event_id").alias("frag_no"), page.alias("html")
     )
     return frags.extract_fragments(
@@ -201,7 +200,7 @@ def merge_fragments(spark, folder):
         P("role"), '</p><div class="x se-pagination"><a>1</a><i class=se-pagination></i></div><b>é',
         P("turn"), '</b><nav class="se-pagination">2</nav></div><footer>f</footer></body></html>',
     )
-    turns = table(spark, folder, "conversations", "conv_id")
+    turns = rendering(table(spark, folder, "conversations"))
     firsts = turns.groupBy("conv_id").agg(F.min("turn").alias("turn"))
     body = page_of()
     landed = parse_pages(
@@ -219,18 +218,18 @@ def merge_fragments(spark, folder):
 
 
 @query("close_fragments", """
-    SELECT conv_id, 1 AS part, turn AS frag_no,
-           CASE WHEN turn = 0 THEN '<html><body>' || role || ' 0' ELSE '<div>' || role || '</div>'
-           END AS html
+    SELECT conv_id, 1 AS part, turn + conv_id % 3 - 1 AS frag_no,
+           CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id)
+                THEN '<html><body>' || role || ' ' || turn
+                ELSE '<html><body>' || role || ' ' || turn || '</body></html>' END AS html
     FROM conversations
     UNION ALL
-    SELECT conv_id, 2, NULL, '</body></html>' FROM conversations WHERE turn = 0""")
+    SELECT conv_id, 2, NULL, '</body></html>' FROM conversations GROUP BY conv_id""")
 def close_fragments(spark, folder):
-    page = F.when(
-        P("turn") == 0, markup("<html><body>", P("role"), " 0</body></html>")
-    ).otherwise(markup("<div>", P("role"), "</div>"))
+    # Page numbers start at -1, 0 or 1.
+    page = markup("<html><body>", P("role"), " ", P("turn"), "</body></html>")
     turns = table(spark, folder, "conversations").select(
-        "conv_id", P("turn").alias("frag_no"), page.alias("html")
+        "conv_id", (P("turn") + P("conv_id") % 3 - 1).alias("frag_no"), page.alias("html")
     )
     return listing.closed_parts(turns, ["conv_id"])
 
@@ -261,7 +260,9 @@ def merge_tabs(spark, folder):
         markup("<HTML><BODY class=x>\n", P("o_orderstatus"), "</BODY></HTML>")
     )
     pages = orders.select("o_orderkey", first.alias("html"))
-    tabs = orders.where(key % 5 != 4).select("o_orderkey", second.alias("html"))
+    # The same tab may have been landed twice.
+    twice = F.explode(F.array_repeat(second, (key % 2 + 1).cast("int")))
+    tabs = orders.where(key % 5 != 4).select("o_orderkey", twice.alias("html"))
     return listing.append_tab(pages, tabs, ["o_orderkey"])
 
 
@@ -336,8 +337,7 @@ def stream_extract(spark, folder):
          "target_section": "Page", "target_key": "Lang"},
         {"type": "text", "selector": "div.ad", "target_section": "Page", "target_key": "Ad"},
     ]}})
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="speclake-")
-    place = f"{shared}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     pages = page_stream(spark, folder, "pages.parquet")
     run = stream_documents(pages, f"{place}/out", f"{place}/checkpoint", sites)
     run.awaitTermination()

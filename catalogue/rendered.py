@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogue.base import markup, query, table
+from catalogue.base import markup, query, rendering, table
 from speclake.functions import json_paths
 from speclake.plans import assemble, extraction
 from speclake.sources.sinks import document_json
@@ -19,7 +19,7 @@ KEY = "p_partkey"
 
 
 def parts(spark, folder) -> DataFrame:
-    return table(spark, folder, "part", KEY)
+    return rendering(table(spark, folder, "part"))
 
 
 def only(*specs: dict, name: str = "Any") -> Sites:
@@ -428,7 +428,7 @@ def document_cards(spark, folder):
         '<div class="cards"><div class="card"><h3>Second</h3><li class="language selected" '
         'data-url="/no"></li></div></div>',
     )
-    pages = table(spark, folder, "supplier", "s_suppkey").select("s_suppkey", page.alias("html"))
+    pages = rendering(table(spark, folder, "supplier")).select("s_suppkey", page.alias("html"))
     # The runs of a title are stripped one by one and joined without a space.
     return kv(pages, built_in("vega"), "s_suppkey")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,24 +39,45 @@ def is_datasheet_url(url: Column) -> Column:
     return found
 
 
-def absolute_url(url: Column, base: str) -> Column:
-    """Joins an address to a bare ``scheme://host`` base, as a browser does.
+def _without_dots(path: Column) -> Column:
+    """A rooted path with ``.`` and ``..`` parts resolved; it keeps a closing slash."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
 
-    ``./`` and ``../`` at the front are resolved against the root.
-    """
+    def walk(done: Column, part: Column) -> Column:
+        return (
+            F.when(part == ".", done)
+            .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+            .otherwise(F.concat(done, F.array(part)))
+        )
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), walk)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    closed = F.when(ends, F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(
+        path.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(closed, "/"))
+    ).otherwise(path)
+
+
+def absolute_url(url: Column, base: str) -> Column:
+    """Joins an address to a base address, as a browser does."""
     if not base:
         return url
-    scheme = base.split("://", 1)[0]
-    root = base.rstrip("/")
-    relative = F.regexp_replace(url, r"^(?:\.{1,2}/)+", "")
+    parts = urlsplit(base)
+    root = f"{parts.scheme}://{parts.netloc}"
+    folder = parts.path.rsplit("/", 1)[0] + "/"
+    page = base.split("#", 1)[0]
+    bare = page.split("?", 1)[0]
+    # Dots count in the path only.
+    path = F.regexp_extract(url, r"^[^?#]*", 0)
+    rest = F.substr(url, F.length(path) + 1)
+    rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(folder), path))
     return (
-        F.when(url.rlike(r"^https?:"), url)
-        .when(F.startswith(url, F.lit("//")), F.concat(F.lit(scheme + ":"), url))
-        .when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url)
+        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url)
+        .when(F.startswith(url, F.lit("//")), F.concat(F.lit(parts.scheme + ":"), url))
         .when(url == "", F.lit(base))
-        .when(F.startswith(url, F.lit("/")), F.concat(F.lit(root), url))
-        .when(url.rlike(r"^[?#]"), F.concat(F.lit(root), url))
-        .otherwise(F.concat(F.lit(root + "/"), relative))
+        .when(F.startswith(url, F.lit("#")), F.concat(F.lit(page), url))
+        .when(F.startswith(url, F.lit("?")), F.concat(F.lit(bare), url))
+        .otherwise(F.concat(F.lit(root), _without_dots(rooted), rest))
     )
 
 

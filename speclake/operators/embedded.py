@@ -143,13 +143,6 @@ def _list(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
 
 
-def _set(text: Column) -> Column:
-    """Whether a raw member counts as true."""
-    return F.coalesce(
-        ~text.isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False)
-    )
-
-
 def attribute_groups(items: Column) -> Column:
     """One hit per visible attribute, and one for the first data sheet.
 
@@ -157,24 +150,27 @@ def attribute_groups(items: Column) -> Column:
     the attributes of its group.
     """
 
-    def value_text(raw: Column) -> Column:
-        return F.when(
-            F.startswith(raw, F.lit("{")), F.get_json_object(raw, "$.text")
-        ).otherwise(raw)
+    def value_text(value: Column) -> Column:
+        """Text of a string or of an object's ``text`` that is set; other kinds have none."""
+        kind = F.schema_of_variant(value)
+        return F.when(kind == "STRING", as_text(value)).when(
+            F.startswith(kind, F.lit("OBJECT")), let(path_get(value, "text"), _if_set)
+        )
 
     def attribute_hit(section: Column, entry: Column) -> Column:
         def read(data: Column) -> Column:
-            hidden = _set(data["isInternal"]) | _set(data["internal"])
-            name = F.when(
-                F.map_contains_key(data, "attributeName"), data["attributeName"]
-            ).otherwise(entry["key"])
-            texts = F.filter(
-                F.transform(let(data["values"], _list), value_text), lambda t: t != ""
+            hidden = let(path_get(data, "isInternal"), is_truthy) | let(
+                path_get(data, "internal"), is_truthy
             )
-            # Without a text the joined value is '' and the hit is dropped.
+            name = F.coalesce(let(path_get(data, "attributeName"), _spoken), entry["key"])
+            values = F.try_variant_get(data, "$.values", "array<variant>")
+            texts = F.filter(F.transform(values, value_text), lambda t: t.isNotNull())
+            # Without any text the joined value is '' and the hit is dropped.
             return F.when(~hidden, hit(section, name, F.array_join(texts, " / ")))
 
-        return let(_object(entry["value"]), read)
+        return F.when(
+            F.startswith(entry["value"], F.lit("{")), let(F.try_parse_json(entry["value"]), read)
+        )
 
     def datasheet(group: Column) -> Column:
         first = first_of(
@@ -186,10 +182,13 @@ def attribute_groups(items: Column) -> Column:
         return F.nullif(F.get_json_object(first, "$.link.documentId"), F.lit(""))
 
     def read_group(raw: Column) -> Column:
-        return let(_object(raw), read_members)
+        return let(
+            F.try_parse_json(raw), lambda whole: let(_object(raw), lambda d: read_members(whole, d))
+        )
 
-    def read_members(data: Column) -> Column:
-        visible = ~F.map_contains_key(data, "visible") | _set(data["visible"])
+    def read_members(whole: Column, data: Column) -> Column:
+        # Read from the whole group: as a member's text, "false" and false look alike.
+        visible = ~F.map_contains_key(data, "visible") | let(path_get(whole, "visible"), is_truthy)
         section = F.when(
             F.map_contains_key(data, "description"), data["description"]
         ).otherwise(F.lit("Specifications"))

@@ -25,6 +25,8 @@ TAB_SEAM = (
     "<!-- === APPENDED DATA: TECHNISCHE GEGEVENS TAB === -->\n"
     "<!-- ============================================= -->\n\n"
 )
+TAB_BODY = r"(?is)<body[^>]*>.*?</body>"
+TAB_OPENING = r"(?is)^<body[^>]*>"
 RESULTS = "#se-result"
 PAGINATION = ".se-pagination"
 LISTING_MARKS = {
@@ -154,18 +156,27 @@ def framed_parts(skeletons: DataFrame, fragments: DataFrame, keys: Sequence[str]
     return frames.unionByName(bodies)
 
 
-def closed_parts(fragments: DataFrame, keys: Sequence[str], first_no: int = 0) -> DataFrame:
-    """Parts of page 1 without its closing tags, further pages, one closing."""
+def closed_parts(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Parts of the first page without its closing tags, further pages, one closing.
+
+    The first page is the one with the least number of its listing.
+    """
+    firsts = fragments.groupBy(*keys).agg(F.min("frag_no").alias("first_no"))
+    salted = fragments.withColumn("_salt", F.pmod(F.hash("frag_no"), F.lit(SALTS)))
+    numbered = salted.join(
+        firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
+        [*keys, "_salt"],
+    )
     bare = F.replace(
         F.replace(F.col("html"), F.lit("</body>"), F.lit("")), F.lit("</html>"), F.lit("")
     )
-    bodies = fragments.select(
+    bodies = numbered.select(
         *keys,
         F.lit(BODY).alias("part"),
         F.col("frag_no").cast("bigint").alias("frag_no"),
-        F.when(F.col("frag_no") == first_no, bare).otherwise(F.col("html")).alias("html"),
+        F.when(F.col("frag_no") == F.col("first_no"), bare).otherwise(F.col("html")).alias("html"),
     )
-    ends = fragments.where(F.col("frag_no") == first_no).select(
+    ends = firsts.select(
         *keys,
         F.lit(TAIL).alias("part"),
         F.lit(None).cast("bigint").alias("frag_no"),
@@ -176,10 +187,17 @@ def closed_parts(fragments: DataFrame, keys: Sequence[str], first_no: int = 0) -
 
 def append_tab(pages: DataFrame, tabs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Puts what is inside the body of the second tab before ``</body>`` of the
-    first, at every place it stands; a page without second tab is kept as it is."""
-    inner = F.regexp_extract("tab", r"(?is)<body[^>]*>(.*?)</body>", 1)
-    content = F.when(F.col("tab").rlike(r"(?is)<body[^>]*>.*?</body>"), inner).otherwise(
-        F.col("tab")
+    first, at every place it stands; a page without second tab is kept as it is.
+
+    Of several tabs of one page the one with the least text counts.
+    """
+    # The whole match starts with a tag, so an empty match means no body.
+    body = F.regexp_extract("tab", TAB_BODY, 0)
+    content = let(
+        body,
+        lambda b: F.when(b == "", F.col("tab")).otherwise(
+            F.regexp_replace(F.left(b, F.length(b) - F.lit(len("</body>"))), TAB_OPENING, "")
+        ),
     )
     added = F.concat(F.lit(TAB_SEAM), content)
     merged = F.when(
@@ -187,15 +205,16 @@ def append_tab(pages: DataFrame, tabs: DataFrame, keys: Sequence[str]) -> DataFr
         F.replace(F.col("html"), F.lit("</body>"), F.concat(added, F.lit("\n</body>"))),
     ).otherwise(F.concat("html", added))
     return pages.join(
-        tabs.select(*keys, F.col("html").alias("tab")), list(keys), "left"
+        tabs.groupBy(*keys).agg(F.min("html").alias("tab")), list(keys), "left"
     ).select(*keys, F.coalesce(merged, "html").alias("html"))
 
 
-def listing_state(page: Page) -> Column:
-    """What tells one page of a listing from the next."""
+def listing_state(page: Page, chars: int = STATE_CHARS) -> Column:
+    """What tells one page of a listing from the next: the ids of its product
+    list, or else the first ``chars`` characters of its text."""
     wrapper = first_of(page.select(tags("product-cards-wrapper")))
     body = first_of(page.select(tags("body")))
-    text = let(body, lambda b: F.left(page.raw_text(b), F.lit(STATE_CHARS)))
+    text = let(body, lambda b: F.left(page.raw_text(b), F.lit(chars)))
     return let(
         wrapper,
         lambda w: F.when(w.isNotNull(), w["attrs"]["product-ids"]).otherwise(text),

@@ -67,6 +67,8 @@ class Page:
 
     def _below(self, node: Column, chain: tuple[Step, ...]) -> Column:
         """Walks up from ``node`` and meets the outer steps of a chain in turn."""
+        if any(step.child for step in chain):
+            return self._below_with_children(node, chain)
         outer = chain[:-1]
         start = F.struct(node["parent"].alias("at"), F.lit(len(outer)).alias("left"))
 
@@ -88,6 +90,49 @@ class Page:
         )
         return F.aggregate(turns, start, climb, lambda state: state["left"] == 0)
 
+    def _below_with_children(self, node: Column, chain: tuple[Step, ...]) -> Column:
+        """The same where some steps must be met by the very parent.
+
+        ``far`` and ``near`` are the outer steps, as bits, that may be met next
+        by any element further up, or only by the next one.
+        """
+        outer = chain[:-1]
+        last = len(outer) - 1
+        bit = F.lit(1 << last)
+        start = F.struct(
+            node["parent"].alias("at"),
+            (F.lit(0) if chain[-1].child else bit).alias("far"),
+            (bit if chain[-1].child else F.lit(0)).alias("near"),
+            F.lit(False).alias("done"),
+        )
+
+        def climb(state: Column, _turn: Column) -> Column:
+            def meet(here: Column) -> Column:
+                open_now = state["far"].bitwiseOR(state["near"])
+                far, near, done = state["far"], F.lit(0), state["done"]
+                for i, step in enumerate(outer):
+                    met = (open_now.bitwiseAND(F.lit(1 << i)) != 0) & F.coalesce(
+                        step.holds(here), F.lit(False)
+                    )
+                    if i == 0:
+                        done = done | met
+                        continue
+                    before = F.when(met, F.lit(1 << (i - 1))).otherwise(F.lit(0))
+                    if step.child:
+                        near = near.bitwiseOR(before)
+                    else:
+                        far = far.bitwiseOR(before)
+                return F.struct(
+                    here["parent"].alias("at"), far.alias("far"), near.alias("near"), done.alias("done")
+                )
+
+            return let(F.get(self.nodes, state["at"]), meet)
+
+        turns = F.when(node["depth"] > 0, F.sequence(F.lit(1), node["depth"])).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.aggregate(turns, start, climb, lambda state: state["done"])
+
     def holds(self, node: Column, rule: Selector) -> Column:
         tests = []
         for chain in rule:

@@ -27,7 +27,7 @@ import gc
 import html as html_entities
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -100,7 +100,8 @@ _SHORT_ESCAPES = {
     "\\": "\\", "'": "'", '"': '"', "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r",
     "t": "\t", "v": "\v", "\n": "",
 }
-_ESCAPE_WINDOW = 1000
+# Fixed value: how far into a page it is looked for signs of being escaped.
+ESCAPE_WINDOW = 1000
 _OUTPUT_CHARS = 4_000_000
 
 def _unescaped(match: re.Match) -> str:
@@ -113,13 +114,14 @@ def _unescaped(match: re.Match) -> str:
     return chr(code)
 
 
-def decode_escaped(page: str) -> str:
+def decode_escaped(page: str, window: int = ESCAPE_WINDOW) -> str:
     """Undo the two ways in which a whole page is found escaped.
 
-    Only the first 1,000 characters decide.  Escapes are decoded one by one, so
-    characters that are not escaped are left as they are.
+    The first ``window`` characters decide; 0 takes pages as they are.  Escapes
+    are decoded one by one, so characters that are not escaped are left as they
+    are.
     """
-    head = page[:_ESCAPE_WINDOW]
+    head = page[:window]
     if "\\x3C" in head or "\\x3E" in head:
         return _ESCAPE.sub(_unescaped, page)
     if "&lt;" in head:
@@ -459,7 +461,8 @@ class _NodeColumns:
 class _PageColumns:
     """Column lists for one output batch of parsed pages."""
 
-    def __init__(self, positions: bool = False) -> None:
+    def __init__(self, positions: bool = False, window: int = ESCAPE_WINDOW) -> None:
+        self.window = window
         self.spans: list[list[dict]] | None = [] if positions else None
         self.nodes = _NodeColumns()
         self.texts: list[list[str]] = []
@@ -474,7 +477,7 @@ class _PageColumns:
         error = None
         inner: list[tuple[int, _Tree]] = []
         try:
-            page = decode_escaped(page or "")
+            page = decode_escaped(page or "", self.window)
             tree = read_tree(page, self.spans is not None)
             inner = [(owner, read_tree(text)) for owner, text in tree.text_templates()]
         except Exception as problem:  # one bad page must not end the job
@@ -502,25 +505,22 @@ class _PageColumns:
         self.sources.append(page if keep else None)
         self.errors.append(error)
 
-    def arrays(self) -> list[pa.Array]:
+    def arrays(self, names: list[str]) -> list[pa.Array]:
         strings = pa.list_(pa.string())
         script = pa.struct([("pre", pa.int32()), ("type", pa.string()), ("body", pa.string())])
-        columns = [
-            self.nodes.array(),
-            pa.array(self.texts, strings),
-            pa.array(self.ink, pa.list_(pa.int32())),
-            pa.array(self.scripts, pa.list_(script)),
-            self.template_nodes.array(),
-            pa.array(self.template_texts, strings),
-            pa.array(self.sources, pa.string()),
-            pa.array(self.errors, pa.string()),
-        ]
-        if self.spans is not None:
-            span = pa.struct(
-                [(name, pa.int32()) for name in ("start", "inner", "inner_end", "end")]
-            )
-            columns.append(pa.array(self.spans, pa.list_(span)))
-        return columns
+        span = pa.struct([(name, pa.int32()) for name in ("start", "inner", "inner_end", "end")])
+        make = {
+            "nodes": self.nodes.array,
+            "texts": lambda: pa.array(self.texts, strings),
+            "ink": lambda: pa.array(self.ink, pa.list_(pa.int32())),
+            "scripts": lambda: pa.array(self.scripts, pa.list_(script)),
+            "template_nodes": self.template_nodes.array,
+            "template_texts": lambda: pa.array(self.template_texts, strings),
+            "source": lambda: pa.array(self.sources, pa.string()),
+            "error": lambda: pa.array(self.errors, pa.string()),
+            "spans": lambda: pa.array(self.spans, pa.list_(span)),
+        }
+        return [make[name]() for name in names]
 
 
 TREE_COLUMNS = ("nodes", "texts", "ink", "scripts", "template_nodes", "template_texts", "source", "error")
@@ -531,9 +531,17 @@ def parse_pages(
     html: str = "html",
     source_marks: tuple[str, ...] = (),
     positions: bool = False,
+    want: Sequence[str] | None = None,
+    escape_window: int = ESCAPE_WINDOW,
 ) -> DataFrame:
     """Adds the page tree to every page row and drops the ``html`` column.
 
+    ``want``: the tree columns to make and hand over, all by default; columns
+    are not pruned through the parse, so callers that read few should say so.
+
+    ``escape_window``: how many characters of a page decide whether it is
+    escaped as a whole; 0 takes pages as they are.
+
     ``source_marks``: keep the (decoded) page text in ``source`` for pages that
     contain one of these strings; all other pages drop it here.
 
@@ -543,26 +551,39 @@ def parse_pages(
     """
     kept = [field for field in pages.schema.fields if field.name != html]
     tree = T.StructType.fromDDL(f"{TREE_FIELDS}, {SPAN_FIELD}" if positions else TREE_FIELDS)
+    if want is not None:
+        if unknown := set(want) - set(tree.names):
+            raise ValueError(f"no such tree columns: {sorted(unknown)}")
+        tree = T.StructType([f for f in tree.fields if f.name in want])
+    made = tree.names
     schema = T.StructType(kept + tree.fields)
     names = [field.name for field in kept]
     out_names = schema.names
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Trees hold no cycles, and looking for some takes a tenth of the time.
+        collecting = gc.isenabled()
         gc.disable()
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(html))
-            other = [batch.column(batch.schema.get_field_index(name)) for name in names]
-            start, size, out = 0, 0, _PageColumns(positions)
-            for row in range(len(column)):
-                page = column[row].as_py()
-                out.add(page, source_marks)
-                size += len(page or "")
-                # Trees are larger than their pages, so a large input batch
-                # leaves as several output batches.
-                if size >= _OUTPUT_CHARS or row + 1 == len(column):
-                    part = [values.slice(start, row + 1 - start) for values in other]
-                    yield pa.RecordBatch.from_arrays(part + out.arrays(), names=out_names)
-                    start, size, out = row + 1, 0, _PageColumns(positions)
+        try:
+            for batch in batches:
+                yield from trees(batch)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def trees(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        column = batch.column(batch.schema.get_field_index(html))
+        other = [batch.column(batch.schema.get_field_index(name)) for name in names]
+        start, size, out = 0, 0, _PageColumns(positions, escape_window)
+        for row in range(len(column)):
+            page = column[row].as_py()
+            out.add(page, source_marks)
+            size += len(page or "")
+            # Trees are larger than their pages, so a large input batch
+            # leaves as several output batches.
+            if size >= _OUTPUT_CHARS or row + 1 == len(column):
+                part = [values.slice(start, row + 1 - start) for values in other]
+                yield pa.RecordBatch.from_arrays(part + out.arrays(made), names=out_names)
+                start, size, out = row + 1, 0, _PageColumns(positions, escape_window)
 
     return pages.select(*names, html).mapInArrow(read, schema)

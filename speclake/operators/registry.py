@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,8 +112,42 @@ def register(name: str, operator: Operator, reads_earlier: bool = False) -> None
         READS_EARLIER.add(name)
 
 
+def checked(operator: Operator, page: Page, spec: dict, context: Context) -> Column:
+    """The operator's hits; an error if its parameters cannot be used.
+
+    Patterns are tried here, as a bad one would fail only when a page comes.
+    """
+    pattern = spec.get("pattern")
+    if pattern is not None:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    return operator(page, spec, context)
+
+
+def failed_specs(sites) -> list[tuple[str, int, str, str]]:
+    """(vendor, spec_ord, type, error) of every spec that is skipped, of all sites."""
+    from speclake.operators.page import page_of
+
+    failed = []
+    for site in sites.all():
+        for at, spec in enumerate(site.specs):
+            kind = spec.get("type")
+            operator = OPERATORS.get(kind)
+            if operator is None:
+                failed.append((site.vendor, at, str(kind), "unknown operator type"))
+                continue
+            try:
+                checked(operator, page_of(), spec, Context(site.name, none()))
+            except Exception as problem:
+                text = str(problem).strip().split("\n")[0]
+                failed.append((site.vendor, at, kind, f"{type(problem).__name__}: {text}"))
+    return failed
+
+
 def run_specs(page: Page, specs: tuple[dict, ...], site_name: str) -> Column:
-    """Hits of all specs, in order; unknown types are skipped with a warning.
+    """Hits of all specs, in order.
+
+    Unknown types and specs whose parameters cannot be used are skipped with a
+    warning, and the others go on; ``failed_specs`` lists them.
 
     An operator that reads earlier hits, or that takes elements out of the
     page, gets them as a bound value, so nothing is worked out twice.
@@ -128,13 +163,19 @@ def run_specs(page: Page, specs: tuple[dict, ...], site_name: str) -> Column:
                 at += 1
                 continue
             counted = COUNTED_AS.get(kind, kind)
+            context = Context(site_name, none())
+            try:
+                hits = checked(operator, page, spec, context)
+            except Exception as problem:
+                warnings.warn(f"spec {at} of type {kind!r} skipped: {problem}", stacklevel=3)
+                at += 1
+                continue
             if kind in READS_EARLIER:
                 return let(_joined(found), lambda earlier: rest(page, at + 1, [
                     earlier,
                     stamp(operator(page, spec, Context(site_name, earlier)), at, counted),
                 ]))
-            context = Context(site_name, none())
-            found = [*found, stamp(operator(page, spec, context), at, counted)]
+            found = [*found, stamp(hits, at, counted)]
             at += 1
             if context.removed is not None:
                 return let(

@@ -1,9 +1,10 @@
 """Element selectors as predicates on node structs.
 
 A selector is a list of alternatives; an alternative is a chain of steps joined
-by "descendant of".  The string form knows the features that site rules use:
-``tag``, ``#id``, ``.class``, ``[a]``, ``[a='v']``, ``[a*='v']``,
-``:not(.class)``, ``:nth-of-type(n)``, spaces and commas.
+by "descendant of" or, after ``>``, "child of".  The string form knows the
+features that site rules use: ``tag``, ``#id``, ``.class``, ``[a]``,
+``[a='v']``, ``[a*='v']``, ``[a^='v']``, ``[a$='v']``, ``:not(.class)``,
+``:nth-of-type(n)``, spaces, ``>`` and commas.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PIECE = re.compile(
-    r"""(?P<comma>\s*,\s*)|(?P<gap>\s+)
+    r"""(?P<comma>\s*,\s*)|(?P<child>\s*>\s*)|(?P<gap>\s+)
       |\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)
-      |\[(?P<attr>[\w:-]+)(?:(?P<op>\*?=)(?P<quote>["']?)(?P<value>.*?)(?P=quote))?\]
+      |\[\s*(?P<attr>[\w:-]+)\s*
+         (?:(?P<op>[*^$]?=)\s*(?P<quote>["']?)(?P<value>.*?)(?P=quote)\s*)?\]
       |:not\(\.(?P<without>[\w-]+)\)|:nth-of-type\((?P<nth>\d+)\)
       |(?P<tag>\*|[A-Za-z][\w-]*)""",
     re.VERBOSE,
@@ -35,6 +37,7 @@ class Step:
     attrs: tuple[tuple[str, str, str], ...] = ()
     without: tuple[str, ...] = ()
     nth: int | None = None
+    child: bool = False  # of the step before, not just below it
 
     def holds(self, node: Column) -> Column:
         tests = []
@@ -50,7 +53,8 @@ class Step:
             elif op == "=":
                 tests.append(held == value)
             else:
-                tests.append(F.contains(held, F.lit(value)) if value else F.lit(False))
+                test = {"*=": F.contains, "^=": F.startswith, "$=": F.endswith}[op]
+                tests.append(test(held, F.lit(value)) if value else F.lit(False))
         tests += [~F.array_contains(node["classes"], name) for name in self.without]
         if self.nth is not None:
             tests.append(node["nth"] == self.nth)
@@ -74,6 +78,10 @@ def selector(text: str) -> Selector:
         step = chains[-1][-1]
         if found["comma"]:
             chains.append([{}])
+        elif found["child"]:
+            if not step:
+                raise ValueError(f"selector {text!r}: nothing before '>'")
+            chains[-1].append({"child": True})
         elif found["gap"]:
             chains[-1].append({})
         elif found["id"]:

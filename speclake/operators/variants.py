@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,14 +96,25 @@ def _template_text(page: Page, card: Column, rule: str) -> Column:
     Markup that is part of the page needs no second look: it was already
     searched with the card.
     """
-    found = F.filter(
-        page.template_nodes,
-        lambda n: (n["owner"] > card["pre"])
-        & (n["owner"] <= card["last"])
-        & _flat(rule, n),
+    chosen = selector(rule)
+
+    def first_in(owned: Column, owner: Column) -> Column:
+        # Each template is a tree of its own, indexed from its own start.
+        return let(
+            F.filter(owned, lambda n: n["owner"] == owner),
+            lambda tree: replace(page, nodes=tree, removed=None).first(chosen),
+        )
+
+    def search(owned: Column) -> Column:
+        owners = F.array_distinct(F.transform(owned, lambda n: n["owner"]))
+        found = F.transform(owners, lambda owner: first_in(owned, owner))
+        return first_of(F.filter(found, lambda n: n.isNotNull()))
+
+    owned = F.filter(
+        page.template_nodes, lambda n: (n["owner"] > card["pre"]) & (n["owner"] <= card["last"])
     )
     return let(
-        first_of(found),
+        let(owned, search),
         lambda n: F.when(
             n.isNotNull(),
             F.array_join(
@@ -112,16 +124,6 @@ def _template_text(page: Page, card: Column, rule: str) -> Column:
     )
 
 
-def _flat(rule: str, node: Column) -> Column:
-    chains = selector(rule)
-    if any(len(chain) > 1 for chain in chains):
-        raise ValueError(f"template lookup needs a one-step selector, not {rule!r}")
-    test = F.lit(False)
-    for (step,) in chains:
-        test = test | step.holds(node)
-    return test
-
-
 def _specs(page: Page, below: Column, config: Mapping) -> Column:
     """Nested label and value rows of a card; NULL if there are none."""
 

@@ -8,6 +8,8 @@ sites.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +23,10 @@ from speclake.operators.classify import (
 from speclake.operators.embedded import IMAGE_HOST
 from speclake.operators.hits import HITS
 from speclake.operators.page import last_filled, page_of, with_headings
-from speclake.operators.parse import TREE_COLUMNS, parse_pages
+from speclake.operators.parse import ESCAPE_WINDOW, TREE_COLUMNS, parse_pages
 from speclake.operators.registry import run_specs
 from speclake.plans.assemble import documents_from_hits, kv_raw_from_hits
+from speclake.session import require_settings
 from speclake.sources.sites import Sites, load_sites
 
 
@@ -41,16 +44,18 @@ def source_marks(sites: Sites) -> tuple[str, ...]:
 def site_hits(sites: Sites) -> Column:
     """Hits of the operators of the page's site, by the column ``vendor``.
 
-    Kept per site list and Spark context: putting together the expressions of
-    many sites takes the driver some seconds.
+    Kept with the site list, per Spark context: putting together the
+    expressions of many sites takes the driver some seconds.
     """
-    key = (id(sites), id(SparkContext._active_spark_context))
-    if key not in _SITE_HITS:
-        _SITE_HITS[key] = (sites, _site_hits(sites))
-    return _SITE_HITS[key][1]
+    context = SparkContext._active_spark_context
+    kept = _SITE_HITS.get(sites)
+    if kept is None or kept[0] is not context:
+        kept = _SITE_HITS[sites] = (context, _site_hits(sites))
+    return kept[1]
 
 
-_SITE_HITS: dict[tuple[int, int], tuple[Sites, Column]] = {}
+# Goes with its site list.
+_SITE_HITS: WeakKeyDictionary[Sites, tuple[SparkContext, Column]] = WeakKeyDictionary()
 
 
 def _site_hits(sites: Sites) -> Column:
@@ -65,10 +70,15 @@ def _site_hits(sites: Sites) -> Column:
     return answer.cast(HITS)
 
 
-def read_trees(pages: DataFrame, sites: Sites | None = None, html: str = "html") -> DataFrame:
+def read_trees(
+    pages: DataFrame,
+    sites: Sites | None = None,
+    html: str = "html",
+    escape_window: int = ESCAPE_WINDOW,
+) -> DataFrame:
     """Parsed pages with their headings."""
     marks = source_marks(sites) if sites else ()
-    return with_headings(parse_pages(pages, html, marks))
+    return with_headings(parse_pages(pages, html, marks, escape_window=escape_window))
 
 
 def extract_pages(
@@ -77,17 +87,19 @@ def extract_pages(
     html: str = "html",
     vendor: Column | None = None,
     by_address: tuple[tuple[str, str], ...] = SITE_BY_ADDRESS,
+    escape_window: int = ESCAPE_WINDOW,
 ) -> DataFrame:
     """One row per page: the columns of the page other than its text, ``vendor``,
     ``vendor_name``, ``canonical_url``, ``last_heading``, ``hits`` and ``error``.
 
     ``vendor`` skips classification where the site is known beforehand.
     """
+    require_settings(pages.sparkSession)
     sites = sites or load_sites()
     page = page_of()
     keys = [name for name in pages.columns if name != html]
     decided = site_of_page(page, sites, by_address) if vendor is None else vendor
-    classified = read_trees(pages, sites, html).select(
+    classified = read_trees(pages, sites, html, escape_window).select(
         *keys,
         *TREE_COLUMNS,
         "headings",

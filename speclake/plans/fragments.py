@@ -22,7 +22,10 @@ from speclake.sources.sites import Sites
 # Types whose section is the nearest heading.
 UNDER_HEADINGS = ("table", "dl", "rows", "label_value")
 # Types that write the first match of the document.
-FIRST_MATCH = ("attribute", "text", "meta_description", "datasheet_link")
+FIRST_MATCH = (
+    "attribute", "text", "meta_description", "datasheet_link", "image",
+    "schneider_json", "abb_json", "vega_pdf", "phoenix_pdf",
+)
 # One value that holds a whole list: read as rows, see ``variant_rows``.
 LISTS = ("product_variants",)
 

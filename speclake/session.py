@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Needed for right results: repeated JSON keys keep the last value, repeated
-# map keys keep the last value, time stamps are read as UTC.
+# map keys keep the last value, time stamps are read as UTC, and letters are
+# lower-cased by the JVM's tables (ICU's may differ, and are much slower).
 RESULT_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.icu.caseMappings.enabled": "false",
 }
 
 # A compressed split of page text grows many times when read, and one page is
@@ -21,8 +24,6 @@ SCALE_SETTINGS = {
     "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
-    # Case mapping of whole pages by the JVM is much faster than by ICU.
-    "spark.sql.icu.caseMappings.enabled": "false",
 }
 
 
@@ -33,24 +34,34 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def staged(rows: DataFrame) -> DataFrame:
-    """Rows that several later steps read, worked out once.
+def require_settings(spark: SparkSession) -> None:
+    """An error that names the settings results depend on, if one is not as it must be."""
+    wrong = [n for n, v in RESULT_SETTINGS.items() if (spark.conf.get(n, None) or "").lower() != v.lower()]
+    if wrong:
+        raise RuntimeError(f"call speclake.session.configure first; not set: {', '.join(wrong)}")
 
-    Checkpointed in the cluster's shared folder where ``spark.checkpoint.dir``
-    names one; else kept on the executors, and worked out again if one is lost.
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only where it is unset (a session of one machine, as in tests) a folder of
+    this machine is taken.
     """
-    if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return rows.checkpoint()
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="speclake-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Spreads a *file scan* that has fewer splits than there are cores.
+def staged(rows: DataFrame) -> DataFrame:
+    """Rows that several later steps read, worked out once and at once.
 
-    Large inputs have enough splits and pass through without a shuffle; a
-    single small file would otherwise keep the whole job in one task.
+    They are checkpointed in the shared folder, so nothing is lost with an
+    executor; with ``spark.cleaner.referenceTracking.cleanCheckpoints`` the
+    files go when the rows are no longer used.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, *keys)
+    shared_root(rows.sparkSession)
+    return rows.checkpoint()

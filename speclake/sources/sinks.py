@@ -94,12 +94,20 @@ def page_metadata(page: Page) -> Column:
 
 
 def crawl_records(
-    parsed: DataFrame, page: Page, url: Column, html: Column, scraped_at: Column,
-    final_url: Column | None = None,
+    parsed: DataFrame, page: Page, url: Column, scraped_at: Column,
+    html: Column | None = None, html_length: Column | None = None,
+    final_url: Column | None = None, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """One record per landed page, as the crawl documents it."""
+    """One record per landed page, as the crawl documents it, with the page's keys.
+
+    The record holds the page text if ``html`` is given; its length alone can
+    be taken before the parse.
+    """
     meta = page_metadata(page)
+    text = [] if html is None else [html.alias("html")]
+    length = F.length(html) if html_length is None else html_length
     return parsed.select(
+        *keys,
         url.alias("url"),
         F.date_format(scraped_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("scraped_at"),
         F.struct(
@@ -111,7 +119,7 @@ def crawl_records(
             meta["og_title"].alias("og_title"),
             meta["og_description"].alias("og_description"),
         ).alias("metadata"),
-        html.alias("html"),
-        F.length(html).alias("html_length"),
+        *text,
+        length.alias("html_length"),
         F.col("error").isNull().alias("success"),
     )

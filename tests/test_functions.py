@@ -153,6 +153,9 @@ def test_selector_reading():
         Step("a", None, ("x", "y"), (("b", "", ""), ("c", "*=", "d e")), ("z",), 2),
     ),)
     assert selector("#i p , *") == ((Step(id="i"), Step("p")), (Step(),))
-    for bad in ("a > b", "a:hover", "a ~ b", "[a^='b']"):
+    assert selector("a > b c[d ^= 'e']") == (
+        (Step("a"), Step("b", child=True), Step("c", attrs=(("d", "^=", "e"),))),
+    )
+    for bad in ("> b", "a:hover", "a ~ b", "[a|='b']"):
         with pytest.raises(ValueError):
             selector(bad)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalogue.base import QUERIES, SQL
 from tests.compare import differences, spark_rows, sql_rows
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    names, rows = spark_rows(queries()[name](spark, FOLDER))
-    sql = oracle_sql().get(name)
+    names, rows = spark_rows(QUERIES[name](spark, FOLDER))
+    sql = SQL.get(name)
     if sql is None:
         assert sum(rows.values()) > 0
         return

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from speclake.plans import extraction, fragments
-from speclake.session import spread, staged
+from speclake.session import configure, require_settings, staged
 from speclake.sources import readers, sinks
 from speclake.sources.default_sites import SITES
 from speclake.sources.sites import Sites, load_sites
@@ -113,8 +113,8 @@ def test_crawl_record(spark):
     frame = spark.createDataFrame([(page, "u")], "html STRING, url STRING")
     parsed = extraction.read_trees(frame.withColumn("text", F.col("html")))
     row = sinks.crawl_records(
-        parsed, page_of(), F.col("url"), F.col("text"),
-        F.lit("2026-01-02 03:04:05.5").cast("timestamp"),
+        parsed, page_of(), F.col("url"), F.lit("2026-01-02 03:04:05.5").cast("timestamp"),
+        html=F.col("text"),
     ).first()
     assert row.scraped_at == "2026-01-02T03:04:05.500000" and row.success
     assert row.html_length == len(page)
@@ -187,16 +187,19 @@ def test_bad_page_is_set_aside(spark, monkeypatch):
     assert row.error == "ValueError: no" and row.hits == []
 
 
-def test_session_helpers(spark):
-    small = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
-    assert spread(small, "p_partkey").rdd.getNumPartitions() == 8
+def test_session_helpers(spark, monkeypatch):
     many = spark.range(0, 100, 1, 20)
-    assert spread(many).rdd.getNumPartitions() == 20
     kept = staged(many)
     assert kept.count() == 100 and kept.rdd.getNumPartitions() == 20
-    # Kept rows are not worked out again, wherever they are kept.
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "InMemory" in plan or "Scan ExistingRDD" in plan
+    # Kept rows are not worked out again, and lie in the shared folder.
+    assert "Scan ExistingRDD" in kept._jdf.queryExecution().executedPlan().toString()
+    require_settings(spark)
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    try:
+        with pytest.raises(RuntimeError, match="mapKeyDedupPolicy"):
+            require_settings(spark)
+    finally:
+        configure(spark)
 
 
 def test_one_pass_without_shuffle(spark):
