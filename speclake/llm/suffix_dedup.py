@@ -45,6 +45,7 @@ from speclake.llm.shared import arrow_schema, in_arrow, staged
 LEAST = 50
 RUN = 8
 WINDOW = 20
+PART = 50_000  # sorted rows of one head that are compared at once
 BYTES = 6  # of a word's hash in a context
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -233,32 +234,24 @@ def _extended(ends: DataFrame) -> DataFrame:
     def compare(batches):
         """Rows come sorted; each is compared with the nearest of another document."""
         held: list[tuple] = []
-        group = None
+        known: list[int] = []  # what held rows agree on with rows that are gone
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[3:5] + row[6:7] != group and held:
-                    yield from _flush(held)
-                    held = []
-                group = row[3:5] + row[6:7]
+                if held and row[3:5] + row[6:7] != held[-1][3:5] + held[-1][6:7]:
+                    yield _batch(held, _best(held), known)
+                    held, known = [], []
                 held.append(row)
-                if len(held) >= 50_000:
-                    # A long group goes on from its last documents' rows.
-                    done, held = _part(held)
-                    yield done
+                known.append(0)
+                if len(held) >= PART:
+                    # The last document's rows, and one of another, go on.
+                    cut = len(held) - 1
+                    while cut > 0 and held[cut][:2] == held[-1][:2]:
+                        cut -= 1
+                    best = [max(x) for x in zip(_best(held), known, strict=True)]
+                    yield _batch(held[:cut], best, best)
+                    held, known = held[cut:], best[cut:]
         if held:
-            yield from _flush(held)
-
-    def _flush(held):
-        yield _batch(held, _best(held))
-
-    def _part(held):
-        last = held[-1][:2]
-        cut = len(held) - 1
-        while cut > 0 and held[cut][:2] == last:
-            cut -= 1
-        if cut <= 0:
-            return _batch([], []), held
-        return _batch(held[:cut], _best(held)[:cut]), held[cut:]
+            yield _batch(held, _best(held), known)
 
     def _best(held):
         best = [0] * len(held)
@@ -272,11 +265,12 @@ def _extended(ends: DataFrame) -> DataFrame:
                 before = i
         return best
 
-    def _batch(rows, best):
+    def _batch(rows, best, known):
         columns = list(zip(*[r[:4] for r in rows], strict=True)) or [(), (), (), ()]
+        words = [max(best[i], known[i]) for i in range(len(rows))]
         return pa.record_batch(
             [pa.array(c, f.type) for c, f in zip(columns, list(shape)[:4], strict=True)]
-            + [pa.array(best, pa.int32())],
+            + [pa.array(words, pa.int32())],
             schema=shape,
         )
 

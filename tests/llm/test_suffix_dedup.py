@@ -42,8 +42,11 @@ def case(rng, size):
     return [*rows, (90, None), (91, ""), (92, rows[3][1]), (93, rows[3][1]), (94, again), (95, again)]
 
 
-@pytest.mark.parametrize(("seed", "size", "least"), [(5, 400, 50), (6, 400, 34), (7, 6, 50)])
-def test_against_brute_force(documents, seed, size, least):
+@pytest.mark.parametrize(
+    ("seed", "size", "least", "part"), [(5, 400, 50, 9), (6, 400, 34, 50_000), (7, 6, 50, 3)]
+)
+def test_against_brute_force(documents, monkeypatch, seed, size, least, part):
+    monkeypatch.setattr(S, "PART", part)
     rows = case(random.Random(seed), size)
     words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
     must, may = covered(words, least), covered(words, least - S.WINDOW + 1)
