@@ -6,13 +6,16 @@ mistake with the extraction.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.base import markup, query, rendering, table
 from speclake.functions import json_paths
 from speclake.plans import assemble, extraction
-from speclake.sources.sinks import document_json
+from speclake.session import shared_root
+from speclake.sources.sinks import document_json, read_documents, write_documents
 from speclake.sources.sites import Sites, load_sites
 
 KEY = "p_partkey"
@@ -454,6 +457,30 @@ def documents_json(spark, folder):
     )
 
 
+_LONG = "https://mall.industry.siemens.com/" + "x" * 90 + "/"
+
+
+@query("latest_documents", f"""
+    SELECT {KEY}, '{_LONG}' || {KEY} AS url, CAST(p_size + 1 AS VARCHAR) AS size FROM part""")
+def latest_documents(spark, folder):
+    """Written twice and read back; the addresses share their first 100 characters."""
+    path = f"{shared_root(spark)}/documents-{uuid.uuid4().hex}"
+    at = F.lit("2024-01-31 10:11:12").cast("timestamp")
+    for run in (1, 0):  # the newer one first
+        page = markup(
+            '<link rel="canonical" href="' + _LONG, P(KEY), '"><b class="s">', P("p_size") + run, "</b>"
+        )
+        spec = {"type": "text", "selector": "b.s", "target_section": "S", "target_key": "Size"}
+        pages = parts(spark, folder).select(KEY, page.alias("html"))
+        documents = extraction.extract_documents(pages, only(spec), at, vendor=F.lit("generic"))
+        write_documents(documents, path, at + F.make_interval(mins=F.lit(run)))
+    found = read_documents(spark, path)
+    return found.select(
+        F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias(KEY), "url",
+        F.get_json_object("document", "$.kv.S.Size").alias("size"),
+    )
+
+
 def _overwrite_sites():
     sizes = [
         {"type": "attribute", "selector": rule, "attribute": "v",

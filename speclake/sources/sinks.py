@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speclake.functions.urls import page_file_name
@@ -61,13 +61,36 @@ def document_json(documents: DataFrame) -> DataFrame:
     )
     return documents.select(
         F.left("file_name", F.lit(6)).alias("run_date"),
+        F.col("metadata.canonical_url").alias("url"),
         "file_name",
         F.to_json(document).alias("document"),
     )
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    document_json(documents).write.mode("append").partitionBy("run_date").json(path)
+def write_documents(documents: DataFrame, path: str, written_at: Column | None = None) -> None:
+    """Appends the documents with their address and the time of this write."""
+    at = F.current_timestamp() if written_at is None else written_at
+    documents_of = document_json(documents).withColumn("written_at", at)
+    documents_of.write.mode("append").partitionBy("run_date").json(path)
+
+
+WRITTEN = "run_date STRING, url STRING, file_name STRING, document STRING, written_at TIMESTAMP"
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents as they stand: of one day and page the one written last.
+
+    A page is its full address, as different pages may share a file name; pages
+    without an address are told apart by file name only, as when each write
+    replaces the file before.
+    """
+    written = spark.read.schema(WRITTEN).json(path)
+    # Of two documents of one time either will do, so a hash of the text decides.
+    named = written.withColumns(
+        {"page": F.coalesce("url", "file_name"), "mark": F.xxhash64("document")}
+    )
+    newest = latest(named, ["run_date", "page"], ["written_at", "mark"])
+    return newest.dropDuplicates(["run_date", "page"]).drop("page", "mark")
 
 
 def landed_pages(pages: DataFrame, url: str = "url") -> DataFrame:
