@@ -22,10 +22,17 @@ The join goes by size.
 
 Sets that meet at a key are not paired all with all.  First each is compared
 with the key's leader, which costs one comparison per entry; what is linked so
-becomes one component.  Then only sets of different components are compared:
-as pairs where a key has up to ``FEW`` sets, else block by block, where blocks
-of one component are left out and a task returns links only.  All comparisons
-count shingles exactly, so no link between components is lost.
+becomes one component.  Sets that meet at keys of several components form
+families, directly or in steps, and only sets of one family and of different
+components are compared: block by block, where blocks of one component are left
+out.
+
+Before shingles are compared one by one, sketches are: bit i of a sketch tells
+whether an odd number of shingles falls to i.  Where two sketches differ the
+sets must, so more differing bits than a linked pair may have shingles rule it
+out for sure.  A sketch has about 2 to 4 bits per shingle, a 25th of the
+shingles' own size.  What passes is compared exactly: no link between
+components is lost.
 
 Defined cases: NULL and empty texts, and texts of white space, have an empty
 set and are linked with nothing; a text of fewer than ``N`` words has its whole
@@ -49,8 +56,7 @@ from speclake.llm.shared import arrow_schema, staged
 N = 5
 PERCENT = 75
 SPARE = 16  # one more common shingle is asked for per so many, in the filter
-FEW = 32  # sets of a key that are still compared as pairs
-BLOCK = 256  # sets of a block
+BLOCK = 512  # sets of a block
 BROADCAST = 1_000_000  # keys that may be broadcast, 24 bytes each
 
 
@@ -402,62 +408,59 @@ def _with_roots(met: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def _across_few(apart: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components, at keys of few sets."""
-    few = apart.where(F.col("c") <= FEW)
-    a, b = few.alias("a"), few.alias("b")
-    pairs = (
-        a.join(b, F.col("a.key") == F.col("b.key"))
-        .where(
-            (F.col("a.set") > F.col("b.set"))
-            & (F.col("a.root") != F.col("b.root"))
-            & _fits(F.col("a.n"), F.col("b.n"), percent)
-        )
-        .select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
-        .distinct()
+def _families(apart: DataFrame) -> DataFrame:
+    """(set, root, family): sets that meet at keys of several components, directly or in steps.
+
+    A pair that meets at many keys is in one family, so it is compared once.
+    """
+    leaders = apart.groupBy("key").agg(F.min("set").alias("leader"))
+    steps = apart.join(leaders, "key").where("set != leader").select("set", "leader").distinct()
+    return (
+        components(steps, "set", "leader")
+        .select(F.col("node").alias("set"), F.col("root").alias("family"))
+        .join(apart.select("set", "root").distinct(), "set")
     )
-    return _passing(pairs, drawn, percent)
 
 
-def _across_many(apart: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components, at keys of many sets: block by block.
+def _across(apart: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components, family by family and block by block.
 
-    A component with many sets at a key has blocks of its own; two blocks of
+    A component with many sets in a family has blocks of its own; two blocks of
     one component are not compared.  Blocks hold sketches only.
     """
-    many = apart.where(F.col("c") > FEW).select("key", "set", "root")
-    sizes = many.groupBy("key", "root").agg(F.count("*").alias("own"))
+    every = staged(_families(apart))
+    sizes = every.groupBy("family", "root").agg(F.count("*").alias("own"))
     part = F.when(F.col("own") * 2 >= BLOCK, F.col("root"))
-    placed = many.join(sizes, ["key", "root"]).withColumn("part", part)
-    totals = placed.groupBy("key", "part").agg(F.count("*").alias("total"))
+    placed = every.join(sizes, ["family", "root"]).withColumn("part", part)
+    totals = placed.groupBy("family", "part").agg(F.count("*").alias("total"))
     placed = placed.join(
-        totals.select(F.col("key").alias("_k"), F.col("part").alias("_p"), "total"),
-        (F.col("key") == F.col("_k")) & F.col("part").eqNullSafe(F.col("_p")),
+        totals.select(F.col("family").alias("_f"), F.col("part").alias("_p"), "total"),
+        (F.col("family") == F.col("_f")) & F.col("part").eqNullSafe(F.col("_p")),
     ).withColumn(
         "block", F.pmod(F.xxhash64("set"), F.ceil(F.col("total") / BLOCK)).cast("int")
     )
-    placed = staged(placed.select("key", "part", "block", "set", "root"))
-    blocks = placed.select("key", "part", "block").distinct()
+    placed = staged(placed.select("family", "part", "block", "set", "root"))
+    blocks = placed.select("family", "part", "block").distinct()
     one, two = blocks.alias("one"), blocks.alias("two")
     order = lambda side: F.struct(F.col(f"{side}.part"), F.col(f"{side}.block"))
-    pairs = one.join(two, F.col("one.key") == F.col("two.key")).where(
+    pairs = one.join(two, F.col("one.family") == F.col("two.family")).where(
         F.col("one.part").isNull() & F.col("two.part").isNull() & (order("one") <= order("two"))
         | ~F.col("one.part").eqNullSafe(F.col("two.part")) & (order("one") < order("two"))
     )
     pairs = pairs.select(
-        F.col("one.key").alias("key"),
+        F.col("one.family").alias("family"),
         F.struct("one.part", "one.block").alias("x"),
         F.struct("two.part", "two.block").alias("y"),
     )
     # One block holds about BLOCK sets.
     filled = (
         placed.join(drawn, "set")
-        .groupBy("key", F.struct("part", "block").alias("at"))
+        .groupBy("family", F.struct("part", "block").alias("at"))
         .agg(F.collect_list(F.struct("set", "root", "n", "sketch")).alias("sets"))
     )
     rows = (
-        pairs.join(filled.select("key", F.col("at").alias("x"), F.col("sets").alias("first")), ["key", "x"])
-        .join(filled.select("key", F.col("at").alias("y"), F.col("sets").alias("second")), ["key", "y"])
+        pairs.join(filled.select("family", F.col("at").alias("x"), F.col("sets").alias("first")), ["family", "x"])
+        .join(filled.select("family", F.col("at").alias("y"), F.col("sets").alias("second")), ["family", "y"])
         .select("first", "second")
     )
     schema = "a LONG, b LONG"
@@ -533,10 +536,9 @@ def set_links(whole: DataFrame, percent: int = PERCENT) -> DataFrame:
         .where("low != high")
         .select("key")
     )
-    apart = staged(placed.join(spread, "key").select("key", "set", "n", "root", "c"))
-    across = _across_few(apart, drawn, percent).unionByName(_across_many(apart, drawn, percent))
+    apart = staged(placed.join(spread, "key").select("key", "set", "root"))
     # A leader is the least set of its key, so pairs with leaders come in this order too.
-    left = staged(across.distinct().join(done, ["a", "b"], "left_anti"))
+    left = staged(_across(apart, drawn, percent).join(done, ["a", "b"], "left_anti"))
     return links.unionByName(_linked(left, whole, percent))
 
 

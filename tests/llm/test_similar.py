@@ -39,11 +39,10 @@ def family(rng, voc, n, copies, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("few", [32, 4])
-def test_equals_brute_force(spark, documents, monkeypatch, few):
-    monkeypatch.setattr(similar, "FEW", few)
-    monkeypatch.setattr(similar, "BLOCK", 8)
-    rng = random.Random(few)
+@pytest.mark.parametrize("block", [512, 8])
+def test_equals_brute_force(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(block)
     voc = [f"w{i}" for i in range(300)]
     texts = [None, "", " \n\t", "one two", "one two", "a b c d e", "a b c d e f"]
     texts += family(rng, voc, 120, 60, 7)
