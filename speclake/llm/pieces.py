@@ -7,7 +7,7 @@ Characters that are no piece become their bytes.
 
 In these vocabularies no piece has a blank after another character, so merges
 never cross from one word to the next: words are encoded alone, and the ids of
-words met before are kept (``KEPT`` of them at most; then they start anew).
+words met lately are kept.
 The vocabulary is checked for that, and otherwise texts are encoded whole.
 Words not met before are encoded together: the agendas of all of them are the
 rows of one array, and each round merges every word's best pair.  Words of more
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speclake.llm import words as W
-from speclake.llm.shared import arrow_schema, in_arrow
+from speclake.llm.shared import Kept, arrow_schema, in_arrow
 
 BLANK = "▁"
-KEPT = 200_000
+KEPT = 250_000  # words of each of two generations
 LONG = 48
 _NONE = np.int32(2**31 - 1)  # no such pair
 
@@ -67,7 +67,7 @@ class Pieces:
         self.begin, self.end, self.unknown = sp.bos_id(), sp.eos_id(), sp.unk_id()
         by_word = all(BLANK not in p.lstrip(BLANK) for p in self.pieces)
         self.cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if by_word else r"(?s).+").findall
-        self.known: dict[str, bytes] = {}
+        self.known = Kept(KEPT)
         self._index()
 
     def _index(self) -> None:
@@ -134,6 +134,8 @@ class Pieces:
 
     def merged_together(self, words: list[str]) -> list[bytes]:
         """Ids of many words, as bytes."""
+        if len(words) > 50_000:
+            return self.merged_together(words[:50_000]) + self.merged_together(words[50_000:])
         out: list[bytes] = [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for low, high in ((0, 4), (4, 8), (8, 12), (12, 20), (20, LONG)):
@@ -251,13 +253,7 @@ class Pieces:
     def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of texts, each with begin and end."""
         cut = [self.cut(BLANK + t.replace(" ", BLANK)) if t else () for t in texts]
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        new = list(set().union(*cut).difference(known))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            known.update(zip(some, self.merged_together(some), strict=True))
+        known = self.known.of(set().union(*cut), self.merged_together)
         out = []
         for words in cut:
             body = b"".join([known[w] for w in words])

@@ -62,3 +62,28 @@ def arrow_schema(schema: T.StructType | str) -> pa.Schema:
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     return to_arrow_schema(schema)
+
+
+class Kept:
+    """What was worked out for words met lately.
+
+    Two generations of at most ``most`` words or so: when the young one is full
+    it becomes the old one, and words that are met again move up.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, wanted: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dictionary that holds all wanted words."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        missing = wanted.difference(self.young)
+        again = missing.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in again)
+        new = list(missing.difference(again))
+        if new:
+            self.young.update(zip(new, make(new), strict=True))
+        return self.young

@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speclake.llm import words as W
-from speclake.llm.shared import arrow_schema, in_arrow, shared_folder
+from speclake.llm.shared import Kept, arrow_schema, in_arrow, shared_folder
 
 MAGIC = b"IDEF"
 SAMPLE = 256  # every 256th boundary's place is kept
 IDS = 1 << 20  # ids per segment
 RANGE_BYTES = 16 << 20  # text bytes per range of the key
-KEPT = 150_000
+KEPT = 250_000  # words of each of two generations
 
 
 class EliasFano:
@@ -150,7 +150,7 @@ class Encoder:
     """Ids of texts by the tokenizers library.
 
     Where the tokenizer drops white space, words are encoded alone and the ids
-    of words met before are kept (``KEPT`` at most); else texts go in whole.
+    of words met lately are kept; else texts go in whole.
     """
 
     def __init__(self, path: str):
@@ -170,24 +170,25 @@ class Encoder:
         self.folds = lower and self._ids("ABCDEFGHIJKLMNOPQRSTUVWXYZ") == self._ids(
             "abcdefghijklmnopqrstuvwxyz"
         )
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Kept(KEPT)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[str]) -> None:
+    def _learnt(self, new: list[str]) -> list[bytes]:
+        """Ids of words: joined by a special token, so the library is called seldom."""
         number, mark = self.mark
-        plain = [w for w in new if not any(s in w for s in self.specials)]
-        for w in set(new).difference(plain):
-            self.known[w] = np.array(self._ids(w), "<u4").tobytes()
+        plain = [w for w in new if w and not any(s in w for s in self.specials)]
+        found = {w: np.array(self._ids(w), "<u4").tobytes() for w in set(new).difference(plain)}
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
             ids = np.array(self._ids(mark.join(some)), "<u4")
             cut = np.flatnonzero(ids == number)
             data, low = ids.tobytes(), 0
             for w, high in zip(some, [*cut.tolist(), len(ids)], strict=True):
-                self.known[w] = data[4 * low : 4 * high]
+                found[w] = data[4 * low : 4 * high]
                 low = high + 1
+        return [found[w] for w in new]
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -199,10 +200,7 @@ class Encoder:
             if self.folds and t.isascii() and "<" not in t:
                 t = t.lower()
             cut.append(t.replace("\n", " ").split(" "))
-        if len(self.known) > KEPT:
-            self.known = {"": b""}
-        known = self.known
-        self._learn(list(set().union(*cut).difference(known)))
+        known = self.known.of(set().union(*cut), self._learnt)
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
