@@ -18,7 +18,7 @@ from speclake.llm import (
     token_ids,
     warc,
 )
-from speclake.llm.shared import prepared
+from speclake.llm.shared import prepared, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -212,5 +212,5 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_warc")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as WARC records, read back; every revisit with what it stands for."""
-    files = warc.history(table(spark, folder, "pages"))
+    files = staged(warc.history(table(spark, folder, "pages")))
     return warc.digest(warc.resolve(warc.read(files)))

@@ -36,7 +36,6 @@ from urllib.parse import quote, unquote, urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from speclake.llm.shared import arrow_schema, staged
 
@@ -51,8 +50,10 @@ TRACKING = re.compile(r"(utm_[a-z]+|gclid|fbclid|ref|phpsessid|jsessionid|sid)$"
 
 RECORD = (
     "record_id STRING, kind STRING, url STRING, at TIMESTAMP, refers_to STRING, profile STRING, "
-    "digest STRING, status INT, headers MAP<STRING, STRING>, body BINARY, error STRING"
+    "digest STRING, status INT, headers MAP<STRING, STRING>, body BINARY, error STRING, "
+    "address STRING"
 )
+PART = 4 << 20  # bytes of records that are handed over at once
 
 
 def canonical(url: str | None) -> str | None:
@@ -165,16 +166,27 @@ def parsed(data: bytes | None) -> list[dict]:
 
 
 def read(files: DataFrame, content: str = "content") -> DataFrame:
-    """Records of WARC bytes, one or more per row."""
+    """Records of WARC bytes, one or more per row, with their canonical addresses."""
     shape = arrow_schema(RECORD)
 
+    def batch_of(rows):
+        for r in rows:
+            r["headers"] = list((r["headers"] or {}).items())
+            r["address"] = canonical(r["url"])
+        return pa.record_batch([pa.array([r[f.name] for r in rows], f.type) for f in shape], schema=shape)
+
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
             for data in batch.column(0):
-                rows = parsed(data.as_py())
-                yield pa.RecordBatch.from_pylist(
-                    [r | {"headers": list((r["headers"] or {}).items())} for r in rows], schema=shape
-                )
+                found = parsed(data.as_py())
+                rows += found
+                size += sum(len(r["body"] or b"") + 500 for r in found)
+                if size >= PART:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return files.select(F.col(content).cast("binary")).mapInArrow(run, RECORD)
 
@@ -183,13 +195,6 @@ def payload_digest(body: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
 
 
-def with_address(records: DataFrame, name: str = "address") -> DataFrame:
-    """Adds the canonical address of ``url``."""
-
-    address = F.pandas_udf(lambda urls: urls.map(canonical), T.StringType())
-    return records.withColumn(name, address("url"))
-
-
 def _tag(headers: str) -> Column:
     return F.col(headers)["etag"]
 
@@ -246,12 +251,12 @@ def latest_before(captures: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Every revisit with what it stands for.
+    """Every revisit, of records as ``read`` gives them, with what it stands for.
 
     Columns: record_id, url, at, source (record id of the response, NULL if
     there is none), resolved, reason, status, headers (merged), digest, length.
     """
-    captures = with_address(records).where(
+    captures = records.where(
         F.col("kind").isin("response", "revisit") & F.col("error").isNull()
     )
     full = (F.col("kind") == "response") & (F.col("status") == 200)
@@ -318,6 +323,7 @@ def history(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     from datetime import UTC, datetime, timedelta
 
     def run(batches):
+        done, size = [], 0
         for batch in batches:
             for k, u, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k is None:
@@ -352,10 +358,13 @@ def history(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                         "digest": None,
                     },
                 ]
-                yield pa.record_batch(
-                    [pa.array([b"".join(written(r) for r in (full, *revisits))], pa.binary())],
-                    names=["content"],
-                )
+                done.append(b"".join(written(r) for r in (full, *revisits)))
+                size += len(done[-1])
+                if size >= PART:
+                    yield pa.record_batch([pa.array(done, pa.binary())], names=["content"])
+                    done, size = [], 0
+        if done:
+            yield pa.record_batch([pa.array(done, pa.binary())], names=["content"])
 
     return pages.select(F.col(key).cast("long"), F.col(url), F.col(html)).mapInArrow(run, HISTORY)
 
