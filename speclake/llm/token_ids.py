@@ -23,9 +23,11 @@ table gives no segments; other columns are left out.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ MAGIC = b"IDEF"
 SAMPLE = 256  # every 256th boundary's place is kept
 IDS = 1 << 20  # ids per segment
 RANGE_BYTES = 16 << 20  # text bytes per range of the key
-KEPT = 250_000  # words of each of two generations
+MARKS = ".,;:!?*$%&#"
+KEPT = 120_000  # words of each of two generations
 
 
 class EliasFano:
@@ -171,12 +174,52 @@ class Encoder:
             "abcdefghijklmnopqrstuvwxyz"
         )
         self.known = Kept(KEPT)
+        # Ids that end a run of letters, where the vocabulary marks them so.
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learnt(self, new: list[str]) -> list[bytes]:
-        """Ids of words: joined by a special token, so the library is called seldom."""
+        """Ids of words.
+
+        A run of letters and the marks after it are encoded apart by the
+        tokenizers that drop white space, so words are cut there, and runs of
+        letters go to the library joined by blanks: each ends with an end id.
+        """
+        if not self.ends.any():
+            return self._learnt_whole(new)
+        cut = [(w, w.rstrip(MARKS)) for w in new]
+        plain = {
+            c for _, c in cut
+            if c and c.isalpha() and (c.isascii() or is_normalized("NFC", c) and c.lower().isalpha())
+        }
+        found: dict[str, bytes] = {"": b""}
+        cores = list(plain)
+        for at in range(0, len(cores), 2000):
+            some = cores[at : at + 2000]
+            ids = np.array(self._ids(" ".join(some)), "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                found.update(zip(some, self._learnt_whole(some), strict=True))
+                continue
+            data, low = ids.tobytes(), 0
+            for w, high in zip(some, (4 * ends).tolist(), strict=True):
+                found[w] = data[low:high]
+                low = high
+        rest = {w for w, c in cut if c not in plain}
+        rest |= {w[len(c) :] for w, c in cut if c in plain}
+        rest.discard("")
+        rest = list(rest)
+        found.update(zip(rest, self._learnt_whole(rest), strict=True))
+        return [found[c] + found[w[len(c) :]] if c in plain else found[w] for w, c in cut]
+
+    def _learnt_whole(self, new: list[str]) -> list[bytes]:
+        """Ids of any words: joined by a special token, so the library is called seldom."""
         number, mark = self.mark
         plain = [w for w in new if w and not any(s in w for s in self.specials)]
         found = {w: np.array(self._ids(w), "<u4").tobytes() for w in set(new).difference(plain)}
