@@ -18,7 +18,9 @@ The join goes by size.
 * Heavy sets: the inverted lists of the first n - o(n) + 1 shingles are
   scanned.  Lists hold heavy sets, and light ones near enough in size.
 * x is chosen by cost: for every size, the pairs of shingles to enumerate
-  against the list entries to scan, both counted.
+  against the list entries to scan, both counted.  As an entry is compared with
+  its list's leader only, it costs a row and a comparison, however long the
+  list is.
 
 Sets that meet at a key are not paired all with all.  First each is compared
 with the key's leader, which costs one comparison per entry; what is linked so
@@ -264,7 +266,10 @@ def _costs(firsts: DataFrame) -> list[tuple[int, int, int]]:
     """One row per set size."""
     scans = firsts.select("set", "n", F.explode(F.slice("s", 1, F.col("scan"))).alias("s"))
     lists = scans.groupBy("s").agg(F.count("*").alias("c"))
-    heavy = scans.join(lists, "s").groupBy("n").agg(F.sum("c").alias("heavy"))
+    # An entry whose list has others is a row and a comparison with the leader.
+    heavy = (
+        scans.join(lists.where("c > 1"), "s").groupBy("n").agg((F.count("*") * 2).alias("heavy"))
+    )
     k = F.size("s").cast("long")
     light = firsts.groupBy("n").agg(F.sum(k * (k - 1) / 2).cast("long").alias("light"))
     rows = light.join(heavy, "n", "left").collect()
