@@ -1,12 +1,16 @@
 """Line dedup by aligning pairs of documents.
 
-Documents are paired when they share a line: a rare line (held by ``RARE``
-documents at most) pairs all its documents, any other pairs each document with
-the first that holds it, so the pairs of a line grow with its documents and
-never with their square, and no shared line is passed over.  Each pair is
-aligned by patience diff: common ends, then lines that are unique in both, in
-their longest common order, then the gaps between.  Runs of aligned lines with
-``LEAST_WORDS`` words or more are deleted from the later document.
+A block is a run of consecutive lines that just reaches ``LEAST_WORDS`` words,
+counted on from its first line or back from its last: all lines of any longer
+common run lie in common blocks.  A block held by ``RARE`` documents at most
+pairs all of them, and each pair is aligned by patience diff: common ends, then
+lines that are unique in both, in their longest common order, then the gaps
+between.  Runs of aligned lines with ``LEAST_WORDS`` words or more are deleted
+from the later document.  A block held by more documents is deleted from all
+but the first without pairing them.  So pairs grow with the documents and never
+with their square, and all that the alignment of every pair would delete is
+deleted; beyond ``RARE`` documents, common blocks that an alignment passes over
+(moved, or repeated in a document) are deleted too.
 
 Documents are ordered by their key.  A line is compared without white space at
 its ends, as a 64-bit hash; lines without a word are neither compared nor
@@ -71,8 +75,116 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def pairs_of(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """Pairs (early, late) of documents that share a line."""
+def blocks_of(hashes, words, starts, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last lines of all blocks of several documents, and the blocks' hashes.
+
+    ``starts`` has the first line of each document and, as its last, the number of lines.
+    """
+    n = len(hashes)
+    sums = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    each = np.arange(n)
+    doc = np.searchsorted(starts, each, "right")
+    ends = np.searchsorted(sums, sums[:-1] + least) - 1
+    begins = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    ahead, back = ends < n, begins >= 0
+    low = np.concatenate((each[ahead], begins[back]))
+    high = np.concatenate((ends[ahead], each[back]))
+    same = doc[low] == doc[high]
+    low, high = low[same], high[same]
+    value = (high - low + 1).astype(np.uint64)
+    lines = np.asarray(hashes, np.int64).view(np.uint64)
+    for step in range(int((high - low).max(initial=-1)) + 1):
+        on = low + step <= high
+        mixed = (value[on] ^ lines[low[on] + step]) * np.uint64(0x9E3779B97F4A7C15)
+        value[on] = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return low, high, (value ^ (value >> np.uint64(32))).view(np.int64)
+
+
+def _doc_type(lines: DataFrame) -> str:
+    return f"STRUCT<id: {lines.schema['doc'].dataType['id'].dataType.simpleString()}, h: BIGINT>"
+
+
+def _flat(column) -> np.ndarray:
+    return np.asarray(column.flatten())
+
+
+def _starts(column) -> np.ndarray:
+    offsets = np.asarray(column.offsets)
+    return offsets - offsets[0]
+
+
+def shared_blocks(lines: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Documents and their blocks that others hold too, with number and first of the holders."""
+    schema = f"doc {_doc_type(lines)}, blocks ARRAY<BIGINT>"
+    shape = arrow_schema(schema)
+
+    def step(batch):
+        starts = _starts(batch.column(1))
+        low, _, value = blocks_of(_flat(batch.column(1)), _flat(batch.column(2)), starts, least)
+        order = np.argsort(low, kind="stable")
+        offsets = np.searchsorted(low[order], starts).astype(np.int32)
+        blocks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[order]))
+        yield pa.record_batch([batch.column(0), blocks], schema=shape)
+
+    rows = lines.where(F.col("doc.id").isNotNull()).select("doc", "hashes", "words")
+    held = in_arrow(rows, step, schema).select(
+        "doc", F.explode(F.array_distinct("blocks")).alias("hash")
+    ).distinct()
+    counted = (
+        held.groupBy("hash")
+        .agg(F.count("*").alias("n"), F.min("doc").alias("first"))
+        .where("n > 1")
+    )
+    return held.join(counted, "hash")
+
+
+def block_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (early, late) of documents that share a block of ``RARE`` holders at most."""
+    return _all_pairs(shared.where(F.col("n") <= RARE)).distinct()
+
+
+def _all_pairs(shared: DataFrame) -> DataFrame:
+    return (
+        shared.groupBy("hash")
+        .agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+        .select(F.posexplode("docs").alias("i", "late"), "docs")
+        .select(F.explode(F.slice("docs", 1, F.col("i"))).alias("early"), "late")
+    )
+
+
+def block_places(lines: DataFrame, shared: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Per document: places of the blocks of more holders than ``RARE``, but for the first's."""
+    late = (
+        shared.where((F.col("n") > RARE) & (F.col("doc") != F.col("first")))
+        .groupBy("doc")
+        .agg(F.collect_list("hash").alias("known"))
+    )
+    rows = lines.join(late, "doc").select("doc", "hashes", "words", "places", "known")
+    schema = f"doc {_doc_type(lines)}, gone ARRAY<INT>"
+    shape = arrow_schema(schema)
+
+    def step(batch):
+        gone = []
+        for n in range(batch.num_rows):
+            hashes, words, places, known = (
+                np.asarray(batch.column(i)[n].values) for i in range(1, 5)
+            )
+            low, high, value = blocks_of(hashes, words, np.array([0, len(hashes)]), least)
+            found = np.isin(value, known)
+            inside = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(inside, low[found], 1)
+            np.add.at(inside, high[found] + 1, -1)
+            gone.append(places[np.cumsum(inside)[:-1] > 0].tolist())
+        yield pa.record_batch([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], schema=shape)
+
+    return in_arrow(rows, step, schema)
+
+
+def pairs_of(lines: DataFrame, rare: int) -> DataFrame:
+    """Pairs (early, late) by lines: all of a line's documents up to ``rare``, else with the first.
+
+    Fewer than all pairs; for comparisons only.
+    """
     held = lines.where(F.col("doc.id").isNotNull()).select(
         "doc", F.explode(F.array_distinct("hashes")).alias("hash")
     ).distinct()
@@ -86,13 +198,7 @@ def pairs_of(lines: DataFrame, rare: int = RARE) -> DataFrame:
         F.col("first").alias("early"), F.col("doc").alias("late")
     )
     # At most ``rare`` documents per line.
-    few = (
-        shared.where(F.col("n") <= rare)
-        .groupBy("hash")
-        .agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-        .select(F.posexplode("docs").alias("i", "late"), "docs")
-        .select(F.explode(F.slice("docs", 1, F.col("i"))).alias("early"), "late")
-    )
+    few = _all_pairs(shared.where(F.col("n") <= rare))
     return star.unionByName(few).distinct()
 
 
@@ -170,16 +276,21 @@ def common_lines(x: list[int], y: list[int], words: list[int], least: int) -> li
     return out
 
 
-def deletions(lines: DataFrame, rare: int = RARE, least: int = LEAST_WORDS) -> DataFrame:
-    """Per document that loses lines: their places in the text, rising."""
+def deletions(
+    lines: DataFrame, rare: int | None = None, least: int = LEAST_WORDS
+) -> DataFrame:
+    """Per document that loses lines: their places in the text, rising.
+
+    With ``rare``, only the pairs of ``pairs_of`` are aligned, and blocks are not looked for.
+    """
+    shared = staged(shared_blocks(lines, least)) if rare is None else None
+    pairs = block_pairs(shared) if rare is None else pairs_of(lines, rare)
     late = lines.select(F.col("doc").alias("late"), "hashes", "words", "places").distinct()
     early = lines.select(F.col("doc").alias("early"), F.col("hashes").alias("others")).distinct()
-    rows = pairs_of(lines, rare).join(early, "early").join(late, "late").select(
+    rows = pairs.join(early, "early").join(late, "late").select(
         F.col("late").alias("doc"), "others", "hashes", "words", "places"
     )
-    schema = "doc STRUCT<id: {}, h: BIGINT>, gone ARRAY<INT>".format(
-        lines.schema["doc"].dataType["id"].dataType.simpleString()
-    )
+    schema = f"doc {_doc_type(lines)}, gone ARRAY<INT>"
     shape = arrow_schema(schema)
 
     def align(batch):
@@ -197,6 +308,8 @@ def deletions(lines: DataFrame, rare: int = RARE, least: int = LEAST_WORDS) -> D
         )
 
     found = in_arrow(rows, align, schema)
+    if rare is None:
+        found = found.unionByName(block_places(lines, shared, least))
     return (
         found.select("doc", F.explode("gone").alias("place"))
         .distinct()
@@ -207,7 +320,7 @@ def deletions(lines: DataFrame, rare: int = RARE, least: int = LEAST_WORDS) -> D
 
 def report(
     docs: DataFrame, key: str = "doc_id", text: str = "text",
-    rare: int = RARE, least: int = LEAST_WORDS,
+    rare: int | None = None, least: int = LEAST_WORDS,
 ) -> DataFrame:
     """Per document: key, n_lines, words, and number, words and places of deleted lines."""
     lines = staged(lines_of(docs, key, text))
@@ -230,7 +343,7 @@ def report(
 
 def deduped(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars",
-    rare: int = RARE, least: int = LEAST_WORDS,
+    rare: int | None = None, least: int = LEAST_WORDS,
 ) -> DataFrame:
     """The documents without the deleted lines; those that lose every word are left out."""
     lines = staged(lines_of(docs, key, text))

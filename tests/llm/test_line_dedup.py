@@ -90,3 +90,46 @@ def test_null_keys_are_left_alone(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     frame = spark.createDataFrame([(None, text), (1, text), (None, text)], "doc_id LONG, text STRING")
     assert L.deduped(frame).count() == 3
+
+
+def all_blocks(rows, least):
+    """Every run of ``least`` words or more: its documents with the places of its lines."""
+    found = {}
+    for k, t in rows:
+        split = [(i, x.strip(" \t\n\v\f\r")) for i, x in enumerate((t or "").split("\n"))]
+        split = [(i, x) for i, x in split if x]
+        for a in range(len(split)):
+            for b in range(a, len(split)):
+                if sum(len(x.split()) for _, x in split[a : b + 1]) >= least:
+                    places = found.setdefault(tuple(x for _, x in split[a : b + 1]), {})
+                    places.setdefault(k, set()).update(i for i, _ in split[a : b + 1])
+    return found
+
+
+def test_holds_all_that_all_pairs_delete(documents):
+    for seed in (1, 2, 3):
+        rows = case(random.Random(seed))
+        found = {r.doc_id: set(r.deleted) for r in L.report(documents(rows)).collect()}
+        want = {k: set(v) for k, v in brute(rows, len(rows), L.LEAST_WORDS).items()}
+        most = {k: set() for k in want}
+        for held in all_blocks(rows, L.LEAST_WORDS).values():
+            for k in held.keys() - {min(held)}:
+                most[k] |= held[k]
+                if len(held) > L.RARE:
+                    want[k] |= held[k]
+        # Blocks of more holders may be longer parts of those of fewer, never the other way.
+        assert all(want[k] <= found[k] <= most[k] for k in want)
+        assert found == want
+
+
+def test_frequent_blocks(documents):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    twice = [(0, f"{long}\nown\n{long}\nend of the first"), *((k, f"b{k}\n{long}\ne{k}") for k in range(1, 12))]
+    found = {r.doc_id: r.deleted for r in L.report(documents(twice)).collect()}
+    assert found == {0: [], **{k: [1] for k in range(1, 12)}}
+    short = [f"{x} line of five words" for x in "abc"]
+    # Each line has another first holder, so no document shares the block with any of them.
+    apart = [(k, f"{x}\nmore of {k}") for k, x in enumerate(short)]
+    block = [(k, f"top {k}\n" + "\n".join(short) + f"\nend {k}") for k in range(3, 15)]
+    found = {r.doc_id: r.deleted for r in L.report(documents(apart + block)).collect()}
+    assert found == {**{k: [] for k in range(4)}, **{k: [1, 2, 3] for k in range(4, 15)}}
