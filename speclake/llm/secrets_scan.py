@@ -12,10 +12,13 @@ Kinds, in this order:
 * ``github``, ``npm``: tokens that end in the CRC-32 of what comes before
 * ``pem``: private keys whose Base64 body decodes to one whole DER sequence
 * ``jwt``: tokens whose head decodes to an object that names an algorithm
-* ``iban``, ``card``: account and card numbers with a right check number
+* ``iban``, ``card``: account and card numbers with a right check number.  All
+  lengths that end before a blank, a hyphen or other text are tried; where
+  numbers overlap, those of a length that their country or first digits have
+  come first, then the leftmost, then the longest
 
-Spans are code points, end exclusive.  Matches of a kind never overlap; the
-leftmost counts.
+Spans are code points, end exclusive.  Matches of a kind never overlap; but
+for account and card numbers, the leftmost counts.
 
 Defined cases: NULL and empty texts have no spans; repeated rows are each
 scanned; an empty table gives no rows; other columns are left out.
@@ -28,6 +31,7 @@ import binascii
 import json
 import re
 import zlib
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +58,28 @@ PEM = re.compile(
     rb"-----BEGIN ([A-Z0-9]+ )?PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1?PRIVATE KEY-----"
 )
 JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-IBAN = re.compile(rb"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])")
+IBAN = re.compile(rb"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
+CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9]){12,18}")
+IBAN_GOES_ON, CARD_GOES_ON = re.compile(rb"[A-Za-z0-9]"), re.compile(rb"[0-9]")
+LEAST_IBAN, LEAST_CARD = 12, 13
+# Lengths by country and by first digits; numbers of other lengths come after them.
+IBAN_SIZES = {
+    country.encode(): size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+CARD_SIZES = re.compile(
+    rb"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|3[47][0-9]{13}"
+    rb"|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}"
+    rb"|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}"
+    rb"|6(?:011|4[4-9][0-9]|[25][0-9]{2})[0-9]{12,15}|(?:5[06-8]|6[0-9])[0-9]{11,17}"
+)
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -105,6 +129,33 @@ def luhn_holds(text: bytes) -> bool:
     return (sum(digits[-1::-2]) + sum(doubled)) % 10 == 0 and len(set(digits)) > 1
 
 
+def iban_usual(text: bytes) -> bool:
+    return len(text.replace(b" ", b"")) == IBAN_SIZES.get(text[:2])
+
+
+def card_usual(text: bytes) -> bool:
+    return bool(CARD_SIZES.fullmatch(text.translate(None, b" -")))
+
+
+def numbers(text: bytes, starts, longest, goes_on, least: int, holds, usual) -> list[tuple[int, int]]:
+    """Numbers with a right check, none of which overlap."""
+    found = []
+    for start in starts:
+        match = longest.match(text, start)
+        size = 0
+        for end, c in enumerate(match[0] if match else b"", start + 1):
+            size += c not in b" -"
+            if size >= least and c not in b" -" and not goes_on.match(text, end):
+                if holds(text[start:end]):
+                    found.append((not usual(text[start:end]), start, -end))
+    out: list[tuple[int, int]] = []
+    for _, start, end in sorted(found):
+        at = bisect(out, (start, -end))
+        if (not at or out[at - 1][1] <= start) and (at == len(out) or -end <= out[at][0]):
+            out.insert(at, (start, -end))
+    return out
+
+
 # Keyword, kind, pattern anchored at the keyword, and the check of a match.
 RULES = [
     *((w, "assign", ASSIGN, lambda m: len(m[1]) >= LEAST_VALUE) for w in ASSIGN_WORDS),
@@ -162,17 +213,12 @@ def spans_of(text: bytes) -> list[tuple[int, int, int]]:
     for match in HEX_RUN.finditer(text.translate(HEX_CLASS)):
         out.append((match.start(), KINDS.index("hex"), match.end()))
     classes = text.translate(CLASSES)
-    for kind, first, pattern, holds in (
-        ("iban", IBAN_START, IBAN, iban_holds),
-        ("card", CARD_START, CARD, luhn_holds),
+    for kind, first, *rule in (
+        ("iban", IBAN_START, IBAN, IBAN_GOES_ON, LEAST_IBAN, iban_holds, iban_usual),
+        ("card", CARD_START, CARD, CARD_GOES_ON, LEAST_CARD, luhn_holds, card_usual),
     ):
-        taken = 0
-        for hit in first.finditer(classes):
-            if hit.start() >= taken:
-                match = pattern.match(text, hit.start())
-                if match and holds(match[0]):
-                    taken = match.end()
-                    out.append((match.start(), KINDS.index(kind), match.end()))
+        starts = (hit.start() for hit in first.finditer(classes))
+        out.extend((s, KINDS.index(kind), e) for s, e in numbers(text, starts, *rule))
     return sorted(out)
 
 

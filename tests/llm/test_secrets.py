@@ -73,3 +73,41 @@ def test_digest(documents):
     row = S.digest(S.scan(documents([(1, "token=abcdef"), (2, None)]))).orderBy("doc_id").collect()
     assert row[0].spans == "assign:0:12" and row[0].n_assign == 1 and row[1].spans == ""
     assert S.scan(documents([])).collect() == []
+
+
+def own(text, kind):
+    return [(s, e) for s, k, e in S.spans_of(text.encode()) if S.KINDS[k] == kind]
+
+
+def test_cards_beside_other_digits():
+    card = "4242 4242 4242 4242"
+    for month in range(1, 13):
+        for year in range(21, 31):
+            assert own(f"{card} {month:02}/{year}", "card") == [(0, 19)]
+    for cvv in range(1000):
+        # A card of 19 digits where these hold too.
+        longer = S.luhn_holds(f"{card} {cvv:03}".encode())
+        assert own(f"{card} {cvv:03}", "card") == [(0, 23 if longer else 19)]
+    for n in range(30):  # no first digits of cards of 18
+        assert own(f"no {n:02} {card.replace(' ', '-')} 12.", "card") == [(6, 25)]
+    assert own("3782 822463 10005 12/27, 5555-5555-5555-4444 7", "card") == [(0, 17), (25, 44)]
+    assert own("4242424242424242123", "card") == [] and own("4242424242424241 12", "card") == []
+
+
+def test_ibans_before_other_words():
+    numbers = [
+        "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332",
+        "HU42 1177 3016 1111 1018 0000 0000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947",
+    ]
+    for number in numbers:
+        for held in (number, number.replace(" ", "")):
+            for tail in ("", " EUR", " BIC", " BKAUATWW", " EUR 100", " 12", " IBAN BIC", " Euro", ", X"):
+                assert own(f"to {held}{tail}", "iban") == [(3, 3 + len(held))], held + tail
+    assert own("AT62 1904 3002 3457 3201 EUR", "iban") == []
+    assert own("AT611904300234573201x", "iban") == []
+
+
+def test_ibans_of_their_countrys_length_come_first():
+    number = "AT61 1904 3002 3457 3201"
+    longer = [w for w in range(1000) if S.iban_holds(f"{number} {w:03}".encode())]
+    assert longer and all(own(f"{number} {w:03}", "iban") == [(0, 24)] for w in longer)
