@@ -5,8 +5,9 @@ Blocks become lines; a line's ratio is its text over its tags, with text in
 links left out.  Ratios are smoothed with a Gaussian along the page, and a
 threshold from their spread parts content lines from the rest.  The region is
 the innermost element that holds most of the content lines' text; an article
-or main element is not entered further, and there every line counts.
-Elsewhere the region starts and ends at content lines.
+or main element is not entered further, and there every line counts, lists and
+tables of links too.  Elsewhere the region starts and ends at content lines,
+and list items and cells that are links for the most part are left out.
 
 Markup that says what it is never counts: navigation, headers, footers, asides,
 forms, scripts, styles, notices, adverts and reader comments, by element, role,
@@ -233,9 +234,10 @@ def main_text(page: str | None) -> str:
             inside = titles[-1:] + inside
     links = ("li", "td", "dd", "ul", "ol")
     kept = [
-        lines[i].text
-        for i in inside
-        if not (lines[i].tag in links and lines[i].linked >= 0.8 * len(lines[i].text))
+        x.text
+        for x in (lines[i] for i in inside)
+        if not (x.tag in links and x.linked >= 0.8 * len(x.text))
+        or any(reader.names[n] in CONTENT for n in x.path)
     ]
     return " ".join(kept)
 

@@ -50,3 +50,29 @@ def test_given_articles(spark):
         article = re.search(r"<article>(.*?)</article>", texts[r.page_id], re.S)[1]
         plain = re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br)>", " ", article))
         assert r.text == " ".join(html.unescape(plain).split()) and r.n_chars == len(r.text)
+
+
+LINKED = (
+    "<ol><li><a href=/1>First source, 2001</a></li><li><a href=/2>Second source</a>.</li></ol>"
+    "<table><tr><th>Name</th><th>Mass</th></tr><tr><td><a href=/a>Bolt</a></td><td>5 g</td></tr></table>"
+    "<dl><dt>See</dt><dd><a href=/b>Nuts</a></dd></dl>"
+)
+READ = "First source, 2001 Second source. Name Mass Bolt 5 g See Nuts"
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_links_in_articles_stay(tag):
+    page = f"<ul><li><a href=/>Home</a></ul><{tag}><h1>T</h1><p>{LONG}</p>{LINKED}</{tag}>"
+    assert M.main_text(page) == f"T {LONG} {READ}"
+    apart = f"<{tag}><p>{LONG}</p><nav>{LINKED}</nav><div class=related>{LINKED}</div></{tag}>"
+    assert M.main_text(apart) == LONG
+
+
+def test_links_in_articles_of_a_wider_region():
+    parts = "".join(f"<article><p>{LONG}</p>{LINKED}<p>{LONG}</p></article>" for _ in range(3))
+    assert M.main_text(f"<div>{parts}</div>") == " ".join([f"{LONG} {READ} {LONG}"] * 3)
+
+
+def test_links_elsewhere_are_left_out():
+    page = f"<div><p>{LONG}</p><ul><li><a href=/>Home</a></li></ul><p>{LONG}</p></div>"
+    assert M.main_text(page) == f"{LONG} {LONG}"
