@@ -10,7 +10,7 @@ is spread over many tasks; each range is written once and is then a part of
 its own.  Within a part, the latest response before each row is the last one
 seen; what crosses parts is, for an address that spans several, the latest
 response of each part, one row per address and part.  Only then are headers
-and bodies joined, by record.
+joined, by record, and by ``with_bodies`` the pages.
 
 A revisit is resolved only if its validators agree with the response's: strong
 entity tags must be equal, weak ones equal but for the mark, and without a tag
@@ -310,6 +310,32 @@ def resolve(records: DataFrame) -> DataFrame:
     )
 
 
+def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
+    """What ``resolve`` gave for these records, with the page: the body of the source.
+
+    NULL where the revisit is not resolved.
+    """
+    bodies = (
+        records.where((F.col("kind") == "response") & F.col("error").isNull())
+        .where("status = 200")
+        .select(
+            F.col("record_id").alias("_source"),
+            F.col("digest").alias("_digest"),
+            F.octet_length("body").cast("long").alias("_length"),
+            "body",
+        )
+        # Records of one id may differ: the body is of the digest that was given.
+        .dropDuplicates(["_source", "_digest", "_length"])
+    )
+    same = (
+        F.col("resolved")
+        & (F.col("source") == F.col("_source"))
+        & F.col("digest").eqNullSafe(F.col("_digest"))
+        & F.col("length").eqNullSafe(F.col("_length"))
+    )
+    return resolved.join(bodies, same, "left").drop("_source", "_digest", "_length")
+
+
 HISTORY = "content BINARY"
 
 
@@ -318,7 +344,8 @@ def history(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Per page: a full response, then three later revisits: one with the same
     entity tag, one whose tag has changed, one with a weak tag and new headers
-    under another spelling of the address.  Times follow from the key.
+    under another spelling of the address.  Times follow from the key; pages
+    without one are named by a hash of address and text.
     """
     from datetime import UTC, datetime, timedelta
 
@@ -326,15 +353,17 @@ def history(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         done, size = [], 0
         for batch in batches:
             for k, u, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k is None:
-                    continue
                 data = (body or "").encode()
+                name = k
+                if k is None:
+                    name = hashlib.sha1(repr(u).encode() + b"\n" + data).hexdigest()
+                    k = int(name[:8], 16)
                 start = datetime(2024, 1, 1, tzinfo=UTC) + timedelta(hours=k % 5000, minutes=k % 50)
                 tag = f'"{hashlib.sha1(data).hexdigest()[:16]}"'
                 digest = payload_digest(data)
                 base = {"refers_to": None, "profile": None, "digest": digest, "body": b"", "url": u}
                 full = base | {
-                    "record_id": f"urn:page:{k}:0", "kind": "response", "at": start, "status": 200,
+                    "record_id": f"urn:page:{name}:0", "kind": "response", "at": start, "status": 200,
                     "headers": {"Content-Type": "text/html", "ETag": tag, "Cache-Control": "max-age=60",
                                 "Content-Length": str(len(data))},
                     "body": data,
@@ -345,15 +374,15 @@ def history(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     spelled = u.split("#")[0]
                 revisits = [
                     base | again | {
-                        "record_id": f"urn:page:{k}:1", "at": start + timedelta(days=1),
+                        "record_id": f"urn:page:{name}:1", "at": start + timedelta(days=1),
                         "headers": {"ETag": tag, "Content-Length": "0"},
                     },
                     base | again | {
-                        "record_id": f"urn:page:{k}:2", "at": start + timedelta(days=2),
-                        "headers": {"ETag": f'"{k}"'}, "digest": None,
+                        "record_id": f"urn:page:{name}:2", "at": start + timedelta(days=2),
+                        "headers": {"ETag": f'"{name}"'}, "digest": None,
                     },
                     base | again | {
-                        "record_id": f"urn:page:{k}:3", "at": start + timedelta(days=3), "url": spelled,
+                        "record_id": f"urn:page:{name}:3", "at": start + timedelta(days=3), "url": spelled,
                         "headers": {"ETag": "W/" + tag, "Cache-Control": f"max-age={k % 90}"},
                         "digest": None,
                     },

@@ -104,3 +104,27 @@ def test_history_gives_every_page_three_revisits(spark):
     assert sum(r.resolved for r in again) > 0.8 * len(again)
     assert {r.reason for r in again} <= {"resolved", "validators differ"}
     assert {r.reason for r in rows if r.record_id.endswith(":2")} == {"validators differ"}
+
+
+def test_bodies_are_those_of_the_sources(spark):
+    rng = random.Random(9)
+    records = [record(rng, n, ["http://a.com/x", "http://b.com/"]) for n in range(200)]
+    files = spark.createDataFrame([(warc.written(r),) for r in [*records, *records[:20]]], "content BINARY")
+    found = warc.read(files)
+    resolved = warc.resolve(found)
+    rows = warc.with_bodies(resolved, found).collect()
+    assert len(rows) == resolved.count() and any(r.resolved for r in rows)
+    bodies = {r["record_id"]: r["body"] for r in records}
+    for r in rows:
+        got = None if r.body is None else bytes(r.body)
+        assert got == (bodies[r.source] if r.resolved else None)
+
+
+def test_history_of_pages_without_a_key(spark):
+    pages = [(None, "http://a.com/1", "one"), (None, "http://a.com/2", "two"), (7, "http://a.com/3", "x")]
+    frame = spark.createDataFrame(pages, "page_id LONG, url STRING, html STRING")
+    found = warc.read(warc.history(frame))
+    rows = warc.with_bodies(warc.resolve(found), found).collect()
+    assert len(rows) == 9 and len({r.record_id for r in rows}) == 9
+    again = {r.url: bytes(r.body) for r in rows if r.record_id.endswith(":1")}
+    assert again == {u: t.encode() for _, u, t in pages}
