@@ -62,9 +62,14 @@ def fragment_kv(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Last write per listing, section and key, over all its fragments.
 
     Operators that take the first match of a document take that of its first
-    fragment.  Product lists stay rows and are not part of this.
+    fragment.  Product lists stay rows and are not part of this, see
+    ``fragment_listing``.
     """
     facts = fragment_facts(extracted, keys).where(~F.col("extractor_type").isin(*LISTS))
+    return _last_write(facts, keys)
+
+
+def _last_write(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     place = F.when(
         F.col("extractor_type").isin(*FIRST_MATCH), -F.col("frag_no")
     ).otherwise(F.col("frag_no"))
@@ -72,6 +77,44 @@ def fragment_kv(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return last_write(placed, keys, ("spec_ord", "frag_place", "hit_ord"))
 
 
+def fragment_listing(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All of a listing: its facts as ``fragment_kv`` gives them, and its product
+    list with one row per item, in the order (frag_no, item_no).
+
+    Both are NULL for facts.  Of several specs that write the list, or a fact
+    in its place, the last counts, as on the merged page.
+    """
+    facts = fragment_facts(extracted, keys)
+    is_list = F.col("extractor_type").isin(*LISTS)
+    # Of a list only the number of its spec is compared, not its items.
+    marked = facts.withColumns({
+        "value": F.when(is_list, F.col("spec_ord").cast("string")).otherwise(F.col("value")),
+        "value_kind": F.when(is_list, F.lit("list")).otherwise(F.col("value_kind")),
+    })
+    last = staged(_last_write(marked, keys))
+    listed = F.col("value_kind").eqNullSafe("list")
+    names = [*keys, "section", "key"]
+    heads = last.where(listed).select(
+        *[F.col(n).alias(f"_{n}") for n in names],
+        F.col("value").cast("int").alias("_spec_ord"), "key_ord",
+    )
+    items = facts.where(is_list).select(
+        *names, "spec_ord", "frag_no",
+        F.posexplode_outer(F.from_json("value", "ARRAY<STRING>")).alias("item_no", "value"),
+        F.lit("json").alias("value_kind"),
+    ).where(F.col("item_no").isNotNull())
+    same = F.col("spec_ord") == F.col("_spec_ord")
+    for n in names:
+        same &= F.col(n).eqNullSafe(F.col(f"_{n}"))
+    columns = [*names, "frag_no", "item_no", "value", "value_kind", "key_ord"]
+    rows = items.join(heads, same).select(*columns)
+    kept = last.where(~listed).withColumns({
+        "frag_no": F.lit(None).cast(rows.schema["frag_no"].dataType),
+        "item_no": F.lit(None).cast("int"),
+    })
+    return kept.select(*columns).unionByName(rows)
+
+
 def fragment_canonical(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Canonical address of each listing: that of its first fragment with one."""
     return extracted.groupBy(*keys).agg(

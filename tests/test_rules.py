@@ -183,3 +183,35 @@ def test_first_match_types_over_fragments(spark):
     merged = spark.createDataFrame([(1, "".join(parts))], "page INT, html STRING")
     kv = extraction.extract_documents(merged, sites, vendor=F.lit("generic")).first().kv
     assert got == [(s, k, v) for s, entries in kv.items() for k, v in entries.items()]
+
+
+def test_listing_has_facts_and_items(spark):
+    """Facts and list of a listing in one result, as on the merged page."""
+    def card(n):
+        return f'<div class=card><b>T "{n}", é</b><i>R{n}</i></div>'
+
+    parts = [
+        "<p>Size: 1</p>" + card(1) + card(2), "<dl><dt>d</dt><dd>1</dd></dl>",
+        card(3) + "<p>Size: 2</p>", card(4),
+    ]
+    first = {"type": "product_variants", "variant_selector": "div.card", "fields": {"title": "i"}}
+    second = first | {"fields": {"title": "b", "ref": "i"}}
+    fact = {"type": "text", "selector": "dd", "target_section": "Product Variants", "target_key": "Items"}
+    for specs in ([{"type": "dl"}, first, second, {"type": "label_value"}], [first, fact], [fact, first]):
+        sites = Sites({"generic": {"specs": specs}})
+        frame = spark.createDataFrame(
+            [(k, i, p) for k in (1, None) for i, p in enumerate(parts)],
+            "page INT, frag_no INT, html STRING",
+        )
+        pieces = fragments.extract_fragments(frame, F.lit("generic"), ["page"], sites)
+        rows = fragments.fragment_listing(pieces, ["page"]).collect()
+        merged = spark.createDataFrame([(1, "".join(parts))], "page INT, html STRING")
+        kv = extraction.extract_documents(merged, sites, vendor=F.lit("generic")).first().kv
+        want = {(s, k): v for s, entries in kv.items() for k, v in entries.items()}
+        for page in (1, None):
+            own = [r for r in rows if r.page == page]
+            got = {(r.section, r.key): r.value for r in own if r.item_no is None}
+            items = sorted((r.frag_no, r.item_no, r.value) for r in own if r.item_no is not None)
+            if items:
+                got["Product Variants", "Items"] = f"[{','.join(v for *_, v in items)}]"
+            assert got == want
