@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from speclake.llm import (
     decontaminate,
+    filter_audit,
     line_dedup,
     main_text,
     pieces,
@@ -214,3 +215,60 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as WARC records, read back; every revisit with what it stands for."""
     files = staged(warc.history(table(spark, folder, "pages")))
     return warc.digest(warc.resolve(warc.read(files)))
+
+
+@query(
+    "op11_filter_audit",
+    rf"""
+    WITH w AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             {_SQL_WORDS.format(text='text')} AS w,
+             min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+      FROM documents),
+    d AS (
+      SELECT doc_id, part,
+             (len(w) < {filter_audit.LEAST_WORDS})::INT
+             + 2 * (100 * len(list_distinct(w)) < {filter_audit.LEAST_DISTINCT} * len(w))::INT
+             + 4 * (100 * {_sql_count('text', '[A-Z]')}
+                    > {filter_audit.MOST_CAPITALS} * length(text))::INT
+             + 8 * regexp_matches(text, '[#$%&*|]')::INT
+             + 16 * coalesce(doc_id > least, false)::INT AS mask
+      FROM w),
+    tags AS (
+      SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+      FROM labels GROUP BY doc_id),
+    cells AS (
+      SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good,
+             coalesce(sum(toxic), 0) AS toxic
+      FROM d LEFT JOIN tags USING (doc_id) GROUP BY part, mask),
+    f AS (SELECT unnest(range(5)) AS f),
+    orders AS (
+      SELECT [a.f, b.f, c.f, e.f, 10 - a.f - b.f - c.f - e.f] AS o
+      FROM f a, f b, f c, f e
+      WHERE a.f NOT IN (b.f, c.f, e.f) AND b.f NOT IN (c.f, e.f) AND c.f != e.f),
+    steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+    met AS (
+      SELECT part, o, n, good, toxic, mask,
+             list_min(list_filter(range(1, 6), lambda i: mask & (1 << o[i]) > 0)) AS gone
+      FROM cells, orders),
+    each AS (
+      SELECT m.part, s.o, s.step, s.o[s.step] AS f,
+             sum(n) FILTER (gone IS NULL OR gone > s.step) AS kept,
+             sum(n) FILTER (gone = s.step) AS removed,
+             sum(n) FILTER (gone < s.step AND mask & (1 << s.o[s.step]) > 0) AS redundant,
+             sum(n) FILTER (mask = 1 << s.o[s.step]) AS unique_fails,
+             sum(good) FILTER (gone = s.step) AS good_lost,
+             sum(toxic) FILTER (gone = s.step) AS toxic_lost
+      FROM met m JOIN steps s ON m.o = s.o GROUP BY m.part, s.o, s.step)
+    SELECT part, array_to_string(list_transform(o, lambda x: chr((65 + x)::INT)), '') AS filter_order,
+           step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
+           coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+           coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+           coalesce(good_lost, 0)::BIGINT AS good_lost,
+           coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+           coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+    FROM each
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
