@@ -17,6 +17,7 @@ from speclake.llm import (
     similar,
     suffix_dedup,
     token_ids,
+    turn_repair,
     warc,
 )
 from speclake.llm.shared import prepared, staged
@@ -272,3 +273,107 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# crc32 of ASCII text: a table of 256 entries, then one step per character.
+_SQL_CRC_TABLE = """
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+"""
+_SQL_CRC = """
+    xor(4294967295, list_reduce(list_concat([4294967295],
+      list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))
+"""
+
+
+@query(
+    "op13_turn_repair",
+    rf"""
+    WITH RECURSIVE crc AS ({_SQL_CRC_TABLE}),
+    marked AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_SQL_CRC.format(text="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}
+             % 20 AS k
+      FROM conversations, crc),
+    damaged AS (
+      SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM marked WHERE k != 0),
+    placed AS (
+      SELECT *, row_number() OVER (
+               PARTITION BY conv_id
+               ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i
+      FROM damaged),
+    faults AS (
+      SELECT *, instr('sua', left(role || ' ', 1)) AS ini,
+             regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS fin,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen
+      FROM placed),
+    r AS (
+      SELECT *, fin = '' AS blank, fin != '' AND seen AS again,
+             fin NOT IN ('', '.', '!', '?') AND NOT seen AS cut, fin = '' OR seen AS go,
+             CASE WHEN fin NOT IN ('', '.', '!', '?') THEN 3 ELSE 0 END AS c,
+             instr('su ua au', lag(role[1]) OVER w || role[1]) % 3 = 1 AS legal
+      FROM faults WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+    sizes AS (
+      SELECT conv_id, count(*) AS n, sum(blank::INT) AS blank, sum(again::INT) AS duplicate,
+             sum(cut::INT) AS truncated, sum((NOT legal AND i > 1)::INT) AS illegal,
+             coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+      FROM r GROUP BY conv_id),
+    back AS (
+      SELECT conv_id, n + 1 AS i, [0, 6, 3, 0] AS v FROM sizes
+      UNION ALL
+      SELECT conv_id, i, [least(w[1], 3 + u), least(w[2], 3 + u), u, least(w[4], 3 + w[3])]
+      FROM (
+        SELECT *, least(w[3], 3 + w[4]) AS u FROM (
+          SELECT r.conv_id, r.i, [
+              least(4 + v[1], CASE WHEN NOT go AND ini = 1 THEN c + v[2]
+                                   WHEN NOT go AND ini = 2 THEN c + v[3] END,
+                    CASE WHEN NOT go THEN 3 + c + v[3] END),
+              least(4 + v[2], CASE WHEN NOT go THEN (ini != 2)::INT * 3 + c + v[3] END),
+              least(4 + v[3], CASE WHEN NOT go THEN (ini != 3)::INT * 3 + c + v[4] END),
+              least(4 + v[4], CASE WHEN NOT go THEN (ini != 2)::INT * 3 + c + v[3] END)] AS w
+          FROM back b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1))),
+    way AS (
+      SELECT conv_id, 1::BIGINT AS i, 1 AS s, '' AS letter, NULL::VARCHAR AS line, 0 AS step
+      FROM sizes
+      UNION ALL
+      SELECT conv_id, CASE letter WHEN 'I' THEN i ELSE i + 1 END,
+             CASE letter WHEN 'D' THEN s WHEN 'K' THEN kept ELSE forced END, letter,
+             CASE letter WHEN 'D' THEN NULL WHEN 'K' THEN role || ':' || text
+                  ELSE CASE forced WHEN 3 THEN 'user:' ELSE 'assistant:' END
+                       || CASE letter WHEN 'I' THEN '' ELSE text END END, step + 1
+      FROM (
+        SELECT *, CASE WHEN here[s] = 4 + after[s] THEN 'D'
+                       WHEN here[s] = 3 + here[forced] THEN 'I'
+                       WHEN NOT go AND here[s] = c + after[kept] THEN 'K' ELSE 'R' END AS letter
+        FROM (
+          SELECT w.conv_id, w.i, w.s, w.step, r.role, r.text, r.go, r.c, b.v AS here, e.v AS after,
+                 CASE w.s WHEN 3 THEN 4 ELSE 3 END AS forced,
+                 CASE WHEN w.s = 1 AND ini = 1 THEN 2 WHEN w.s != 3 AND ini = 2 THEN 3
+                      WHEN w.s = 3 AND ini = 3 THEN 4 END AS kept
+          FROM way w
+          JOIN back b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = w.i
+          LEFT JOIN back e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1
+          LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i)
+        WHERE after IS NOT NULL OR here[s] > 0)),
+    done AS (
+      SELECT conv_id, string_agg(letter, '' ORDER BY step) AS audit,
+             coalesce(string_agg(line, chr(10) ORDER BY step), '') AS repaired
+      FROM way GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+           coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v[1], 0)::BIGINT AS cost,
+           coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1
+    LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.report(table(spark, folder, "conversations"))
