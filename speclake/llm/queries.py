@@ -10,6 +10,7 @@ from speclake.llm import (
     decontaminate,
     filter_audit,
     line_dedup,
+    lm_score,
     main_text,
     pieces,
     quality,
@@ -377,3 +378,8 @@ _SQL_CRC = """
 )
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return turn_repair.report(table(spark, folder, "conversations"))
+
+
+@query("op12_lm_score")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.report(table(spark, folder, "documents"))
