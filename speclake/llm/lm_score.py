@@ -45,8 +45,8 @@ from speclake.llm import recurrent
 from speclake.llm.shared import arrow_schema, staged
 
 FOLDS, HELD_OUT = 5, 1  # documents of this remainder are not learned from
-HEAVY = 1 << 16
-WORDS = 1024  # words with an output of their own, the end among them
+HEAVY = 1 << 18
+WORDS = 512  # words with an output of their own, the end among them
 RARE = 16  # classes of other words
 ROUNDS = 4
 RATE = 0.01
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, known: Lexicon, rounds: int = ROUNDS, rate: float = RAT
 
 _SCORED = (
     "row LONG, doc_id {key}, held_out BOOLEAN, n_tokens LONG, n_known LONG, base DOUBLE, score DOUBLE, "
-    "light ARRAY<STRUCT<word: BINARY, n: LONG>>"
+    "light ARRAY<BINARY>"
 )
 
 
@@ -262,7 +262,6 @@ def _read(docs: DataFrame, known: Lexicon, parameters: np.ndarray) -> DataFrame:
                 for i, row in enumerate(batch.column("row").to_pylist()):
                     words = _words(batch.column("text")[i].as_py())
                     numbers = reader.read(words)
-                    light = Counter([words[j] for j in np.flatnonzero(numbers >= heavy)])
                     waiting[row] = (
                         batch.column("doc_id")[i].as_py(),
                         batch.column("held_out")[i].as_py(),
@@ -270,7 +269,7 @@ def _read(docs: DataFrame, known: Lexicon, parameters: np.ndarray) -> DataFrame:
                         int(seen[numbers].sum()),
                         float(base[numbers].sum()),
                         float(inside[numbers].sum()),
-                        [{"word": w, "n": n} for w, n in light.items()],
+                        [words[j] for j in np.flatnonzero(numbers >= heavy)],
                     )
                     yield row, reader.symbols[numbers]
 
@@ -296,14 +295,14 @@ def score(docs: DataFrame, counts: DataFrame, known: Lexicon, parameters: np.nda
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     rows = staged(_read(docs, known, parameters))
     # Light words: fewer than 1 / HEAVY of all tokens each, so no task gets many rows of one word.
-    light = rows.select("row", F.explode("light").alias("light")).select("row", "light.word", "light.n")
+    light = rows.select("row", F.explode("light").alias("word"))
     c = F.coalesce("c", F.lit(0))
     sums = (
         light.join(counts.select("word", "c"), "word", "left")
         .groupBy("row")
         .agg(
-            F.sum(F.col("n") * F.log10(c + F.lit(0.5))).alias("more"),
-            F.sum(F.when(c > 0, F.col("n"))).alias("met"),
+            F.sum(F.log10(c + F.lit(0.5))).alias("more"),
+            F.count_if(c > 0).alias("met"),
         )
     )
     more = F.coalesce("more", F.lit(0.0))

@@ -29,7 +29,7 @@ Parameters = dict[str, np.ndarray]
 class Shape(NamedTuple):
     words: int  # frequent words; number 0 ends a text
     rare: int  # classes of other words
-    width: int = 64  # words of a class
+    width: int = 32  # words of a class
     state: int = 16
 
     @property
@@ -58,13 +58,13 @@ def initial(shape: Shape, counts: np.ndarray, seed: int = 7) -> Parameters:
     outer = np.concatenate((mass, np.log(counts[shape.words :] + 0.5)))
     # Every class starts from its own mean, so that its weights learn small differences.
     return {
-        "input": weights(shape.symbols, 3 * h, scale=0.3),
-        "again": weights(h, 3 * h, scale=h**-0.5),
-        "reset_bias": np.zeros(h, np.float32),
-        "outer": weights(h, c + shape.rare, scale=0.05),
-        "outer_bias": (outer - outer.max()).astype(np.float32),
-        "inner": weights(c, h, w, scale=0.05),
-        "inner_bias": (inside - peak[:, None]).astype(np.float32),
+        "input": weights(shape.symbols, 3 * h, scale=0.3),  # update, reset, new state
+        "again": weights(3 * h, h, scale=h**-0.5),
+        "reset_bias": np.zeros((h, 1), np.float32),
+        "outer": weights(c + shape.rare, h, scale=0.05),
+        "outer_bias": (outer - outer.max()).astype(np.float32)[:, None],
+        "inner": weights(c, w, h, scale=0.05),
+        "inner_bias": (inside - peak[:, None]).astype(np.float32)[:, :, None],
     }
 
 
@@ -143,147 +143,206 @@ def windows(texts: Iterable[tuple[object, np.ndarray]], many: int, steps: int) -
         )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+class Space:
+    """Arrays for a window of given size, used again and again.
 
+    Lanes are the last axis, so all sums over states and outcomes run along
+    whole rows of lanes.
+    """
 
-def _states(p: Parameters, read: np.ndarray, active: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
-    """States after each step of a window, and what backpropagation needs."""
-    h = state.shape[1]
-    out = np.zeros((len(read), *state.shape), np.float32)
-    kept = []
-    for t, n in enumerate(active):
-        symbols = read[t, :n]
-        before = state[:n] * (symbols != 0)[:, None]  # a text starts with a zero state
-        own = p["input"][symbols]
-        past = before @ p["again"]
-        gates = _sigmoid(own[:, : 2 * h] + past[:, : 2 * h])
-        update, reset = gates[:, :h], gates[:, h:]
-        inner = past[:, 2 * h :] + p["reset_bias"]
-        new = np.tanh(own[:, 2 * h :] + reset * inner)
-        state = out[t]
-        state[:n] = new + update * (before - new)
-        kept.append((symbols, before, update, reset, inner, new))
-    return out, kept
+    def __init__(self, shape: Shape, steps: int, many: int, kind: type = np.float32):
+        h, c = shape.state, shape.classes + shape.rare
+        self.state = np.zeros((h, many), kind)
+        self.out = np.empty((steps, h, many), kind)
+        self.before = np.empty((steps, h, many), kind)
+        self.gates = np.empty((steps, 2 * h, many), kind)
+        self.inner = np.empty((steps, h, many), kind)
+        self.new = np.empty((steps, h, many), kind)
+        self.past = np.empty((3 * h, many), kind)
+        self.outer = np.empty((steps, c, many), kind)
+        self.back = np.empty((steps, h, many), kind)
+        self.owns = np.empty((steps, 3 * h, many), kind)
+        self.pasts = np.empty((steps, 3 * h, many), kind)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _sigmoid(x: np.ndarray) -> None:
     """In place."""
-    if x.size and x.max() > 60:  # one look at all is cheaper than one per row
-        x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+
+
+def _states(p: Parameters, space: Space, window: Window) -> None:
+    """States after each step, and all that backpropagation needs.  Lanes that end go on as zeros."""
+    h, many = space.state.shape
+    state = np.zeros_like(space.state)
+    state[:, : len(window.order)] = space.state[:, window.order]
+    steps = len(window.active)
+    space.before[:steps] = 0
+    for t, n in enumerate(window.active):
+        symbols = window.read[t, :n]
+        before = space.before[t, :, :n]
+        np.multiply(state[:, :n], (symbols != 0).astype(state.dtype), out=before)  # a text starts at zero
+        own = p["input"].take(symbols, axis=0).T
+        past = np.matmul(p["again"], before, out=space.past[:, :n] if n == many else None)
+        gates, inner, new = space.gates[t, :, :n], space.inner[t, :, :n], space.new[t, :, :n]
+        np.add(own[: 2 * h], past[: 2 * h], out=gates)
+        _sigmoid(gates)
+        np.add(past[2 * h :], p["reset_bias"], out=inner)
+        np.multiply(gates[h:], inner, out=new)
+        new += own[2 * h :]
+        np.tanh(new, out=new)
+        state = space.out[t]
+        state[:, n:] = 0
+        here = state[:, :n]
+        np.subtract(before, new, out=here)
+        here *= gates[:h]
+        here += new
+    space.state = state.copy()
 
 
 def _by_class(shape: Shape, symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(class, places, numbers inside the class) of the frequent words among the symbols."""
-    classes = symbols // shape.width
-    order = np.argsort(np.where(symbols < shape.words, classes, shape.classes), kind="stable")
-    ends = np.searchsorted(classes[order][: int((symbols < shape.words).sum())], np.arange(shape.classes), "right")
+    frequent = np.flatnonzero((symbols < shape.words) & (symbols >= 0))
+    classes = symbols[frequent] // shape.width
+    order = frequent[np.argsort(classes.astype(np.uint16), kind="stable")]
     start = 0
-    for k, end in enumerate(ends):
-        if end > start:
-            places = order[start:end]
+    for k, many in enumerate(np.bincount(classes, minlength=shape.classes)):
+        if many:
+            places = order[start : start + many]
             yield k, places, symbols[places] % shape.width
-        start = end
+        start += many
 
 
 def _classes(shape: Shape, symbols: np.ndarray) -> np.ndarray:
     return np.where(symbols < shape.words, symbols // shape.width, symbols - shape.words + shape.classes)
 
 
-def log_probabilities(p: Parameters, shape: Shape, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of every symbol after its state."""
-    outer = _log_softmax(states @ p["outer"] + p["outer_bias"])
-    found = outer[np.arange(len(symbols)), _classes(shape, symbols)].astype(np.float64)
-    for k, places, numbers in _by_class(shape, symbols):
-        inner = _log_softmax(states[places] @ p["inner"][k] + p["inner_bias"][k])
-        found[places] += inner[np.arange(len(places)), numbers]
-    return found
-
-
-def _on(window: Window) -> np.ndarray:
-    return np.arange(window.read.shape[1])[None, :] < window.active[:, None]
+def _exponentials(x: np.ndarray, axis: int) -> np.ndarray:
+    """Exponentials in place and their sums along an axis."""
+    if x.size and x.max() > 60:  # a look at all is cheaper than one per column
+        x -= x.max(axis=axis, keepdims=True)
+    np.exp(x, out=x)
+    return x.sum(axis=axis)
+
+
+def _outputs(p: Parameters, shape: Shape, space: Space, window: Window, learn: bool) -> tuple[np.ndarray, Parameters]:
+    """Natural log of each symbol's probability, [step, lane].
+
+    To learn from them, gradients of the outputs' parameters come along, and
+    ``space.back`` holds those of the states.  Places behind a lane's end count
+    for nothing.
+    """
+    steps, many = len(window.active), space.state.shape[1]
+    on = np.arange(many)[None, :] < window.active[:, None]
+    symbols = np.zeros((steps, many), np.int64)
+    symbols[:, : window.wanted.shape[1]] = window.wanted
+    out, outer = space.out[:steps], space.outer[:steps]
+    np.matmul(p["outer"], out, out=outer)
+    outer += p["outer_bias"]
+    sums = _exponentials(outer, 1)
+    step, lane = np.indices((steps, many), sparse=True)
+    classes = _classes(shape, symbols)
+    found = np.log(np.maximum(outer[step, classes, lane] / sums, 1e-35)).astype(np.float64)
+    g: Parameters = {}
+    if learn:
+        outer *= (on / sums)[:, None, :].astype(outer.dtype)
+        outer[step, classes, lane] -= on
+        g["outer"] = np.matmul(outer, out.transpose(0, 2, 1)).sum(axis=0)
+        g["outer_bias"] = outer.sum(axis=2).sum(axis=0)[:, None]
+        np.matmul(p["outer"].T, outer, out=space.back[:steps])
+        g["inner"], g["inner_bias"] = np.zeros_like(p["inner"]), np.zeros_like(p["inner_bias"])
+        more = np.zeros((steps * many, shape.state), outer.dtype)
+    rows = out.transpose(0, 2, 1).reshape(-1, shape.state)
+    flat_found = found.reshape(-1)
+    for k, places, numbers in _by_class(shape, np.where(on, symbols, -1).ravel()):
+        mine, r = rows.take(places, axis=0), np.arange(len(places))
+        inner = np.matmul(p["inner"][k], mine.T)
+        inner += p["inner_bias"][k]
+        sums = _exponentials(inner, 0)
+        flat_found[places] += np.log(np.maximum(inner[numbers, r] / sums, 1e-35))
+        if learn:
+            inner *= 1 / sums
+            inner[numbers, r] -= 1
+            g["inner"][k] = inner @ mine
+            g["inner_bias"][k] = inner.sum(axis=1)[:, None]
+            more[places] = (p["inner"][k].T @ inner).T
+    if learn:
+        space.back[:steps] += more.reshape(steps, many, -1).transpose(0, 2, 1)
+    found *= on
+    return found, g
 
 
 def score(
-    p: Parameters, shape: Shape, texts: Iterable[tuple[object, np.ndarray]], many: int = 512, steps: int = 64
+    p: Parameters, shape: Shape, texts: Iterable[tuple[object, np.ndarray]], many: int = 256, steps: int = 32
 ) -> Iterator[tuple[object, float]]:
     """(key, natural log of the text's probability), each text when it has been read to its end."""
-    state = np.zeros((many, shape.state), np.float32)
+    space = Space(shape, steps, many)
     total: dict = {}
     for window in windows(texts, many, steps):
-        out, _ = _states(p, window.read, window.active, state[window.order])
-        state = out[-1]
-        on = _on(window)
-        found = log_probabilities(p, shape, out[on], window.wanted[on])
-        sums = np.bincount(window.texts[on], found, len(window.keys))
+        _states(p, space, window)
+        found, _ = _outputs(p, shape, space, window, learn=False)
+        lanes = window.texts.shape[1]
+        sums = np.bincount(window.texts.ravel(), found[:, :lanes].ravel(), len(window.keys))
         for key, value in zip(window.keys, sums.tolist(), strict=True):
             total[key] = total.get(key, 0.0) + value
         for key in window.ended:
             yield key, total.pop(key)
 
 
-def gradients(
-    p: Parameters, shape: Shape, read: np.ndarray, wanted: np.ndarray, active: np.ndarray, state: np.ndarray
-) -> tuple[float, Parameters, np.ndarray]:
-    """Mean loss of a window, its gradients, and the last states."""
+def gradients(p: Parameters, shape: Shape, space: Space, window: Window) -> tuple[int, float, Parameters]:
+    """Symbols of a window, their mean loss, and its gradients; ``space.state`` goes on."""
     h = shape.state
-    out, kept = _states(p, read, active, state)
-    on = np.arange(out.shape[1])[None, :] < active[:, None]
-    states, symbols = out[on], wanted[on]
-    n = len(symbols)
-    rows = np.arange(n)
-
-    outer = _log_softmax(states @ p["outer"] + p["outer_bias"])
-    classes = _classes(shape, symbols)
-    loss = -float(outer[rows, classes].sum())
-    np.exp(outer, out=outer)
-    outer[rows, classes] -= 1
-    outer /= n
-    g = {name: np.zeros_like(x) for name, x in p.items()}
-    g["outer"] = states.T @ outer
-    g["outer_bias"] = outer.sum(axis=0)
-    back = outer @ p["outer"].T
-    for k, places, numbers in _by_class(shape, symbols):
-        mine, r = states[places], np.arange(len(places))
-        inner = _log_softmax(mine @ p["inner"][k] + p["inner_bias"][k])
-        loss -= float(inner[r, numbers].sum())
-        np.exp(inner, out=inner)
-        inner[r, numbers] -= 1
-        inner /= n
-        g["inner"][k] = mine.T @ inner
-        g["inner_bias"][k] = inner.sum(axis=0)
-        back[places] += inner @ p["inner"][k].T
-
-    ahead = np.zeros_like(out[0])  # gradient that comes from the next step
-    whole = np.zeros((*on.shape, h), np.float32)
-    whole[on] = back
-    owns, befores, pasts, met = [], [], [], []
+    steps = len(window.active)
+    n = int(window.active.sum())
+    _states(p, space, window)
+    found, g = _outputs(p, shape, space, window, learn=True)
+    ahead = np.zeros_like(space.state)  # gradient that comes from the next step
+    symbols = np.zeros((steps, ahead.shape[1]), np.int64)
+    symbols[:, : window.read.shape[1]] = window.read
     weights = p["again"].T
-    for t in range(len(active) - 1, -1, -1):
-        symbols, before, update, reset, inner, new = kept[t]
-        m = active[t]
-        total = whole[t, :m] + ahead[:m]
-        d_new = total * (1 - update) * (1 - new * new)
-        d_update = total * (before - new) * update * (1 - update)
-        d_inner = d_new * reset
-        d_reset = d_new * inner * reset * (1 - reset)
-        past = np.concatenate((d_update, d_reset, d_inner), axis=1)
-        d_before = total * update + past @ weights
-        ahead = np.zeros_like(ahead)
-        ahead[:m] = d_before * (symbols != 0)[:, None]
-        g["reset_bias"] += d_inner.sum(axis=0)
-        owns.append(np.concatenate((d_update, d_reset, d_new), axis=1))
-        befores.append(before)
-        pasts.append(past)
-        met.append(symbols)
-    g["again"] = np.concatenate(befores).T @ np.concatenate(pasts)
-    symbols = np.concatenate(met)
-    places = (symbols[:, None].astype(np.int64) * (3 * h) + np.arange(3 * h)).ravel()
-    added = np.bincount(places, np.concatenate(owns).ravel(), p["input"].size)
-    g["input"] = added.reshape(p["input"].shape).astype(p["input"].dtype)
-    return loss / n, g, out[-1]
+    for t in range(steps - 1, -1, -1):
+        before, new = space.before[t], space.new[t]
+        update, reset = space.gates[t, :h], space.gates[t, h:]
+        m = window.active[t]
+        if m < ahead.shape[1]:  # lanes that are over: nothing was read there
+            for x in (new, space.gates[t], space.inner[t]):
+                x[:, m:] = 0
+        own, past = space.owns[t], space.pasts[t]
+        d_update, d_reset, d_new = own[:h], own[h : 2 * h], own[2 * h :]
+        total = space.back[t]
+        total += ahead
+        np.multiply(total, update, out=ahead)
+        np.subtract(total, ahead, out=d_new)
+        np.multiply(new, new, out=d_reset)
+        d_reset *= d_new
+        d_new -= d_reset
+        np.subtract(before, new, out=d_update)
+        d_update *= ahead
+        np.multiply(d_update, update, out=d_reset)
+        d_update -= d_reset
+        d_inner = past[2 * h :]
+        np.multiply(d_new, reset, out=d_inner)
+        np.subtract(1, reset, out=d_reset)
+        d_reset *= d_inner
+        d_reset *= space.inner[t]
+        past[: 2 * h] = own[: 2 * h]
+        ahead += weights @ past
+        ahead *= symbols[t] != 0
+    g["input"] = _gathered(symbols, space.owns[:steps], p["input"])
+    g["again"] = np.matmul(space.pasts[:steps], space.before[:steps].transpose(0, 2, 1)).sum(axis=0)
+    g["reset_bias"] = space.pasts[:steps, 2 * h :].sum(axis=2).sum(axis=0)[:, None]
+    for x in g.values():
+        x /= n
+    return n, -float(found.sum()) / n, g
+
+
+def _gathered(symbols: np.ndarray, columns: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Sums of the columns [step, number, lane] of equal symbols."""
+    width = like.shape[1]
+    places = symbols[:, None, :] * width + np.arange(width)[None, :, None]
+    return np.bincount(places.ravel(), columns.ravel(), like.size).reshape(like.shape).astype(like.dtype)
 
 
 class Adam:
@@ -299,7 +358,8 @@ class Adam:
         norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
         by = min(1.0, self.most / max(norm, 1e-12))
         rate = self.rate * float(np.sqrt(1 - 0.999**self.turn)) / (1 - 0.9**self.turn)
-        for name, x in g.items():
+        for name in p:
+            x = g[name]
             x *= by
             mean, square = self.mean[name], self.square[name]
             mean += 0.1 * (x - mean)
@@ -309,14 +369,13 @@ class Adam:
 
 
 def train(
-    p: Parameters, shape: Shape, adam: Adam, texts: Iterable[tuple[object, np.ndarray]], many: int = 256, steps: int = 32
+    p: Parameters, shape: Shape, adam: Adam, texts: Iterable[tuple[object, np.ndarray]], many: int = 256, steps: int = 16
 ) -> tuple[int, float]:
     """One pass over texts, parameters changed in place; symbols met and the sum of their losses."""
-    state = np.zeros((many, shape.state), np.float32)
+    space = Space(shape, steps, many)
     met, total = 0, 0.0
     for window in windows(texts, many, steps):
-        n = int(window.active.sum())
-        loss, g, state = gradients(p, shape, window.read, window.wanted, window.active, state[window.order])
+        n, loss, g = gradients(p, shape, space, window)
         adam.step(p, g)
         met, total = met + n, total + loss * n
     return met, total
