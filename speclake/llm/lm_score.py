@@ -49,7 +49,7 @@ HEAVY = 1 << 18
 WORDS = 512  # words with an output of their own, the end among them
 RARE = 16  # classes of other words
 ROUNDS = 4
-RATE = 0.01
+RATE = 0.02
 LONGEST = 64
 SLICE = 1024
 DISTINCT = 1 << 19  # words a task counts before it hands them on

@@ -11,18 +11,24 @@ and a step costs (classes + width) outputs instead of one per word.
 
 Several texts run side by side in *lanes*.  A lane reads text after text; at a
 text's start its state is zero, and otherwise the state goes on from window to
-window, whatever the text's length.  Texts are taken from a stream, so no more
-than one text per lane is held.  In training, gradients go back to the
-window's start only (truncated backpropagation through time).
+window, whatever the text's length.  Texts are taken from a stream, the longest
+of those at hand first, so that few lanes are left waiting for a long one; no
+more is held than a text per lane and ``POOL`` symbols.  In training, gradients go back to the
+window's start only (truncated backpropagation through time), and a text of more
+than ``PART`` symbols is read in parts, side by side, each from a zero state.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 
+POOL = 1 << 21
+PART = 1 << 10
+
 Parameters = dict[str, np.ndarray]
 
 
@@ -92,9 +98,24 @@ class Window(NamedTuple):
     ended: list  # those that end in it
 
 
+def _longest_first(texts: Iterable[tuple[object, np.ndarray]]) -> Iterator[tuple[object, np.ndarray]]:
+    """The texts, the longest of ``POOL`` symbols at hand first."""
+    heap, size = [], 0
+    for number, (key, symbols) in enumerate(texts):
+        heapq.heappush(heap, (-len(symbols), number, key, symbols))
+        size += len(symbols)
+        while size > POOL:
+            n, _, key, symbols = heapq.heappop(heap)
+            size += n
+            yield key, symbols
+    while heap:
+        _, _, key, symbols = heapq.heappop(heap)
+        yield key, symbols
+
+
 def windows(texts: Iterable[tuple[object, np.ndarray]], many: int, steps: int) -> Iterator[Window]:
     """Deals texts (key, symbols; each ends with 0) to lanes, a lane's next text when one ends."""
-    source = iter(texts)
+    source = _longest_first(texts)
     # [key, symbols, place]
     running: list[list | None] = [None] * many
     while True:
@@ -164,6 +185,15 @@ class Space:
         self.owns = np.empty((steps, 3 * h, many), kind)
         self.pasts = np.empty((steps, 3 * h, many), kind)
 
+    def fitted(self, shape: Shape, window: Window) -> Space:
+        """A space of half the lanes, once half of them have no more texts."""
+        steps, _, many = self.out.shape
+        if 2 * len(window.order) > many or many == 1:
+            return self
+        less = Space(shape, steps, many // 2, self.out.dtype.type)
+        less.state = self.state
+        return less.fitted(shape, window)
+
 
 def _sigmoid(x: np.ndarray) -> None:
     """In place."""
@@ -175,8 +205,8 @@ def _sigmoid(x: np.ndarray) -> None:
 
 def _states(p: Parameters, space: Space, window: Window) -> None:
     """States after each step, and all that backpropagation needs.  Lanes that end go on as zeros."""
-    h, many = space.state.shape
-    state = np.zeros_like(space.state)
+    _, h, many = space.out.shape
+    state = np.zeros((h, many), space.out.dtype)
     state[:, : len(window.order)] = space.state[:, window.order]
     steps = len(window.active)
     space.before[:steps] = 0
@@ -234,7 +264,7 @@ def _outputs(p: Parameters, shape: Shape, space: Space, window: Window, learn: b
     ``space.back`` holds those of the states.  Places behind a lane's end count
     for nothing.
     """
-    steps, many = len(window.active), space.state.shape[1]
+    steps, many = len(window.active), space.out.shape[2]
     on = np.arange(many)[None, :] < window.active[:, None]
     symbols = np.zeros((steps, many), np.int64)
     symbols[:, : window.wanted.shape[1]] = window.wanted
@@ -281,6 +311,7 @@ def score(
     space = Space(shape, steps, many)
     total: dict = {}
     for window in windows(texts, many, steps):
+        space = space.fitted(shape, window)
         _states(p, space, window)
         found, _ = _outputs(p, shape, space, window, learn=False)
         lanes = window.texts.shape[1]
@@ -374,7 +405,9 @@ def train(
     """One pass over texts, parameters changed in place; symbols met and the sum of their losses."""
     space = Space(shape, steps, many)
     met, total = 0, 0.0
-    for window in windows(texts, many, steps):
+    parts = ((key, symbols[i : i + PART]) for key, symbols in texts for i in range(0, len(symbols), PART))
+    for window in windows(parts, many, steps):
+        space = space.fitted(shape, window)
         n, loss, g = gradients(p, shape, space, window)
         adam.step(p, g)
         met, total = met + n, total + loss * n
