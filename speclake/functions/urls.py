@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column
@@ -58,26 +59,34 @@ def _without_dots(path: Column) -> Column:
     ).otherwise(path)
 
 
-def absolute_url(url: Column, base: str) -> Column:
-    """Joins an address to a base address, as a browser does."""
-    if not base:
-        return url
+def base_parts(base: str) -> tuple[str, ...]:
+    """What joining an address to a base needs of the base."""
     parts = urlsplit(base)
     root = f"{parts.scheme}://{parts.netloc}"
     folder = parts.path.rsplit("/", 1)[0] + "/"
     page = base.split("#", 1)[0]
-    bare = page.split("?", 1)[0]
+    return f"{parts.scheme}:", root, folder, page, page.split("?", 1)[0], base
+
+
+def absolute_url(url: Column, base: str) -> Column:
+    """Joins an address to a base address, as a browser does."""
+    return absolute_from(url, [F.lit(part) for part in base_parts(base)]) if base else url
+
+
+def absolute_from(url: Column, parts: Sequence[Column]) -> Column:
+    """``absolute_url`` with the parts of the base as columns."""
+    scheme, root, folder, page, bare, base = parts
     # Dots count in the path only.
     path = F.regexp_extract(url, r"^[^?#]*", 0)
     rest = F.substr(url, F.length(path) + 1)
-    rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(folder), path))
+    rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
     return (
         F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url)
-        .when(F.startswith(url, F.lit("//")), F.concat(F.lit(parts.scheme + ":"), url))
-        .when(url == "", F.lit(base))
-        .when(F.startswith(url, F.lit("#")), F.concat(F.lit(page), url))
-        .when(F.startswith(url, F.lit("?")), F.concat(F.lit(bare), url))
-        .otherwise(F.concat(F.lit(root), _without_dots(rooted), rest))
+        .when(F.startswith(url, F.lit("//")), F.concat(scheme, url))
+        .when(url == "", base)
+        .when(F.startswith(url, F.lit("#")), F.concat(page, url))
+        .when(F.startswith(url, F.lit("?")), F.concat(bare, url))
+        .otherwise(F.concat(root, _without_dots(rooted), rest))
     )
 
 

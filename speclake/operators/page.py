@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speclake.functions.text import clean_text
-from speclake.operators.selectors import Selector, Step, selector, tags
+from speclake.operators.selectors import Selector, Step, held_by_data, selector, tags
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 UNKNOWN = "Unknown"
@@ -133,15 +133,20 @@ class Page:
         )
         return F.aggregate(turns, start, climb, lambda state: state["done"])
 
-    def holds(self, node: Column, rule: Selector) -> Column:
+    def holds(self, node: Column, rule: Selector | Column) -> Column:
+        if isinstance(rule, Column):
+            return held_by_data(self.nodes, node, rule)
         tests = []
         for chain in rule:
             test = chain[-1].holds(node)
             tests.append(test & self._below(node, chain) if len(chain) > 1 else test)
         return reduce(Column.__or__, tests)
 
-    def select(self, rule: str | Selector, within: Column | None = None) -> Column:
-        """Matching elements in document order, below ``within`` if given."""
+    def select(self, rule: str | Selector | Column, within: Column | None = None) -> Column:
+        """Matching elements in document order, below ``within`` if given.
+
+        A rule may also be a column, see ``selectors.as_data``; NULL selects nothing.
+        """
         chosen = selector(rule) if isinstance(rule, str) else rule
         pool = self.nodes if within is None else within
         found = F.filter(pool, lambda node: self.holds(node, chosen))
@@ -158,12 +163,12 @@ class Page:
             ),
         )
 
-    def first(self, rule: str | Selector, within: Column | None = None) -> Column:
+    def first(self, rule: str | Selector | Column, within: Column | None = None) -> Column:
         return first_of(self.select(rule, within))
 
-    def scope(self, container: str | None) -> Column:
+    def scope(self, container: str | Column | None) -> Column:
         """Elements below the first container; the whole page if there is none."""
-        if not container:
+        if not isinstance(container, Column) and not container:
             return self.nodes
         return let(
             self.first(container),

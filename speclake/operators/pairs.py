@@ -26,7 +26,7 @@ from speclake.operators.selectors import Step, tags
 
 LABEL_LINE = r"^(.{2,80}):\s*(.{1,200})$"
 # Characters other than white space that a label line holds at most.
-_LABEL_LINE_MOST = 80 + 1 + 200
+LABEL_LINE_MOST = 80 + 1 + 200
 LABEL_TAGS = ("p", "li", "div", "span")
 
 
@@ -231,5 +231,5 @@ def label_value(
     found = page.select(tags(*elements))
     if pattern == LABEL_LINE:
         # Wrappers around whole parts of a page are most of the text to read.
-        found = F.filter(found, lambda e: page.fits(e, _LABEL_LINE_MOST))
+        found = F.filter(found, lambda e: page.fits(e, LABEL_LINE_MOST))
     return present(F.transform(found, element_hit))

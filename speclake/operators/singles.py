@@ -58,6 +58,18 @@ def meta_description(
     return single(target_section, target_key, value)
 
 
+def names_datasheet(page: Page, element: Column) -> Column:
+    """Whether the text of a link speaks of a datasheet."""
+
+    def has_word(words: Column) -> Column:
+        found = F.lit(False)
+        for word in DATASHEET_WORDS:
+            found = found | F.contains(words, F.lit(word))
+        return found
+
+    return let(F.lower(clean_text(page.raw_text(element))), has_word)
+
+
 def datasheet_link(
     page: Page,
     selectors: Sequence[str] = (),
@@ -74,19 +86,10 @@ def datasheet_link(
         held = F.transform(elements, lambda e: e["attrs"][name])
         return F.filter(held, is_datasheet_url)
 
-    def named(e: Column) -> Column:
-        def has_word(words: Column) -> Column:
-            found = F.lit(False)
-            for word in DATASHEET_WORDS:
-                found = found | F.contains(words, F.lit(word))
-            return found
-
-        return let(F.lower(clean_text(page.raw_text(e))), has_word)
-
     links = page.select(((Step(tag="a", attrs=(("href", "", ""),)),),))
     tries = [first_of(addresses(page.select(rule), attribute)) for rule in selectors]
     # The address test is cheaper than the text test and goes first.
-    by_text = F.filter(links, lambda e: let(e["attrs"]["href"], is_datasheet_url) & named(e))
+    by_text = F.filter(links, lambda e: let(e["attrs"]["href"], is_datasheet_url) & names_datasheet(page, e))
     tries.append(first_of(by_text)["attrs"]["href"])
     address = let(F.coalesce(*tries), lambda url: absolute_url(url, base_url))
     return single(target_section, target_key, address)
