@@ -346,3 +346,114 @@ def stream_extract(spark, folder):
         "page_id", "vendor", P("kv")["Page"]["Lang"].alias("lang"),
         P("kv")["Page"]["Ad"].alias("ad"),
     )
+
+
+# --- what a listing's fragments give together ---------------------------------------------
+def _listings(spark, folder, html, specs):
+    """Events as fragments of one listing per user."""
+    pages = rendering(table(spark, folder, "events").select("user_id", "event_id")).select(
+        "user_id", P("event_id").alias("frag_no"), html.alias("html")
+    )
+    return frags.extract_fragments(pages, F.lit("generic"), ["user_id"], only(*specs))
+
+
+def _where(test, *parts):
+    return F.when(test, markup(*parts)).otherwise(F.lit(""))
+
+
+@query("fragment_first_match", """
+    WITH e AS (SELECT user_id, event_id AS e FROM events),
+    a AS (SELECT user_id, min(e) AS e FROM e WHERE e % 4 < 2 GROUP BY user_id),
+    d1 AS (SELECT user_id, min(e) AS e FROM e WHERE e % 11 = 3 GROUP BY user_id),
+    d2 AS (SELECT user_id, min(e) AS e FROM e WHERE e % 5 = 2 GROUP BY user_id),
+    c AS (SELECT user_id, min(e) AS e FROM e WHERE e % 7 < 2 GROUP BY user_id)
+    SELECT user_id, 'General' AS section, 'A' AS key, '/e' || e AS value FROM a WHERE e % 4 = 1
+    UNION ALL
+    SELECT user_id, 'Downloads', 'Sheet',
+           coalesce('https://h.test/y' || d1.e, 'https://h.test/x' || d2.e) || '.pdf'
+    FROM d1 FULL JOIN d2 USING (user_id)
+    UNION ALL
+    SELECT user_id, 'Product Info', 'Last', '/i' || max(e) || '.png' FROM e WHERE e % 3 = 0 GROUP BY user_id
+    UNION ALL
+    SELECT user_id, 'Product Info', 'All', '["' || string_agg('/w' || e, '","' ORDER BY e) || '"]'
+    FROM e WHERE e % 6 = 1 GROUP BY user_id
+    UNION ALL
+    SELECT user_id, 'Downloads', 'T' || e, 'https://www.vega.com/p' || e FROM c WHERE e % 7 = 1""")
+def fragment_first_match(spark, folder):
+    e = P("event_id")
+    page = markup(
+        _where(e % 4 == 0, '<a class="k">no address</a>'),
+        _where(e % 4 == 1, '<a class="k" href="/e', e, '">x</a>'),
+        _where(e % 5 == 2, '<a class="d2" href="/x', e, '.pdf">x</a><a class="d1" href="/no">x</a>'),
+        _where(e % 11 == 3, '<a class="d1" href="/y', e, '.pdf">x</a>'),
+        _where(e % 3 == 0, '<img class="y" src="/i0"><img class="y" src="/i', e, '.png"><img class="y">'),
+        _where(e % 6 == 1, '<img class="w" src="/w', e, '">'),
+        _where(e % 7 == 0, '<div class="cards"></div>'),
+        _where(
+            e % 7 == 1, '<div class="cards"><div class="card"><h3>T', e,
+            '</h3><li class="language selected" data-url="/p', e, '"></li></div></div>',
+        ),
+    )
+    found = _listings(spark, folder, page, (
+        {"type": "attribute", "selector": ".k", "target_key": "A"},
+        {"type": "datasheet_link", "selectors": [".d1", ".d2"], "target_key": "Sheet",
+         "base_url": "https://h.test/"},
+        {"type": "image", "selectors": ["img.z", "img.y"], "take": "last", "target_key": "Last"},
+        {"type": "image", "selector": "img.w", "take": "all", "target_key": "All"},
+        {"type": "vega_pdf"},
+    ))
+    return frags.fragment_kv(found, ["user_id"]).select("user_id", "section", "key", "value")
+
+
+@query("fragment_list_sections", """
+    WITH t AS (
+      SELECT user_id, event_id,
+             last_value(CASE WHEN event_id % 3 = 0 THEN 'S' || event_id END IGNORE NULLS)
+               OVER (PARTITION BY user_id ORDER BY event_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM events)
+    SELECT user_id, event_id AS frag_no, coalesce(before, 'Unknown') AS section,
+           'early' AS key, event_id::VARCHAR AS value FROM t
+    UNION ALL
+    SELECT user_id, event_id,
+           CASE WHEN event_id % 3 = 0 THEN 'S' || event_id ELSE coalesce(before, 'Unknown') END,
+           'late', event_id::VARCHAR FROM t
+    UNION ALL
+    SELECT user_id, event_id, 'Page ' || event_id, 'other', event_id::VARCHAR FROM t""")
+def fragment_list_sections(spark, folder):
+    """Two list operators, each with a running section of its own headers."""
+    e = P("event_id")
+    page = markup(
+        "<h2>Page ", e, "</h2><ul><li><b>early</b><i>", e, "</i></li></ul>",
+        _where(e % 3 == 0, "<h3>S", e, "</h3>"), _where(e % 3 == 1, "<h4> skip THIS </h4>"),
+        "<ul><li><b>late</b><i>", e, "</i></li></ul><p><b>other</b><i>", e, "</i></p>",
+    )
+    found = _listings(spark, folder, page, (
+        {"type": "li_split", "skip_texts": ["Skip this"]},
+        {"type": "li_split", "items": "p", "section_headers": ["h2"]},
+    ))
+    return frags.fragment_facts(found, ["user_id"]).select(
+        "user_id", "frag_no", "section", "key", "value"
+    )
+
+
+@query("fragment_article_pdf", f"""
+    WITH w AS (SELECT user_id, max(event_id) AS e FROM events WHERE event_id % 9 = 4 GROUP BY user_id),
+    c AS (SELECT user_id, min(event_id) AS e FROM events WHERE event_id % 13 = 2 GROUP BY user_id),
+    n AS (SELECT user_id, coalesce(w.e, c.e)::VARCHAR AS n FROM w FULL JOIN c USING (user_id))
+    SELECT user_id, 'https://www.phoenixcontact.com/product/pdf/api/v1/' || to_base64(encode(n))
+           || '?_realm=be&_locale=de-DE&blocks=commercial-data%2Ctechnical-data%2Cdrawings%2Capprovals'
+           || '%2Cclassifications%2Cenvironmental-compliance-data%2Call-accessories&action=DOWNLOAD'
+           AS value
+    FROM n""")
+def fragment_article_pdf(spark, folder):
+    """An article number in one fragment, the operator that reads it in all of them."""
+    e = P("event_id")
+    page = markup(
+        _where(e % 13 == 2, '<link rel="canonical" href="https://h.test/a-', e, '">'),
+        "<h2>Other</h2><dl><dt>Artikelnummer</dt><dd>no</dd></dl>",
+        _where(e % 9 == 4, "<h2>Productdetails</h2><dl><dt>Artikelnummer</dt><dd>", e, "</dd></dl>"),
+    )
+    found = _listings(spark, folder, page, ({"type": "dl"}, {"type": "phoenix_pdf", "locale": "de-DE"}))
+    facts = frags.fragment_kv(found, ["user_id"])
+    return facts.where(P("key") == "PDF Datasheet").select("user_id", "value")

@@ -141,14 +141,14 @@ def result_file_name(url: Column, run_date: Column) -> Column:
     return F.concat(F.date_format(run_date, "yyMMdd"), F.lit("_"), stem, F.lit(".json"))
 
 
-def article_pdf_url(article: Column, realm: str = "be", locale: str = "nl-BE") -> Column:
-    tail = (
-        f"?_realm={realm}&_locale={locale}"
-        f"&blocks={'%2C'.join(ARTICLE_PDF_BLOCKS)}&action=DOWNLOAD"
-    )
+def article_pdf_url(article: Column, realm: str | Column = "be", locale: str | Column = "nl-BE") -> Column:
+    tail = F.concat(
+        F.lit("?_realm="), F.lit(realm), F.lit("&_locale="), F.lit(locale),
+        F.lit(f"&blocks={'%2C'.join(ARTICLE_PDF_BLOCKS)}&action=DOWNLOAD"),
+    )
     encoded = F.base64(article.cast("binary"))
     # Spark's base64 may break long output into lines.
-    return F.concat(F.lit(ARTICLE_PDF_HOST), F.regexp_replace(encoded, r"[\r\n]", ""), F.lit(tail))
+    return F.concat(F.lit(ARTICLE_PDF_HOST), F.regexp_replace(encoded, r"[\r\n]", ""), tail)
 
 
 def trailing_article(url: Column) -> Column:

@@ -72,3 +72,7 @@ def document_cards(
             present(F.transform(page.select(card_selector, page.subtree(box)), card_hit)),
         ).otherwise(none()),
     )
+
+
+def has_document_cards(page: Page, cards_selector: str = "div.cards") -> Column:
+    return page.first(cards_selector).isNotNull()

@@ -134,6 +134,33 @@ def rows(page: Page, **params) -> Column:
     return rows_with_noise(page, **params)[0]
 
 
+def section_texts(
+    page: Page,
+    box: Column,
+    section_headers: Sequence[str],
+    skip_texts: Sequence[str] = (),
+    among: Sequence[str] = (),
+) -> Column:
+    """Place and text of the headers in a container (the page, if NULL), or of all elements
+    ``among`` whose tags they are; the text is NULL if it starts no section."""
+    skipped = [text.lower() for text in skip_texts]
+
+    def usable(text: Column) -> Column:
+        kept = text != ""
+        return kept & ~F.lower(text).isin(skipped) if skipped else kept
+
+    def header(h: Column) -> Column:
+        starts = h["tag"].isin(list(section_headers)) & (box.isNull() | inside(h, box))
+        text = let(F.when(starts, page.text(h)), lambda t: F.when(usable(t), t))
+        return F.struct(h["pre"].alias("pre"), text.alias("text"))
+
+    return F.transform(page.select(tags(*(among or section_headers))), header)
+
+
+def last_section_text(headers: Column) -> Column:
+    return last_of(F.filter(headers, lambda h: h["text"].isNotNull()))["text"]
+
+
 def list_split(
     page: Page,
     container: str = "body",
@@ -148,24 +175,13 @@ def list_split(
     The section is the last header before the item in the container whose text
     is not in ``skip_texts``.
     """
-    skipped = [text.lower() for text in skip_texts]
     # Headings are found by their number; other headers by a search.
     numbered = set(section_headers) <= set(HEADINGS)
 
     def header_texts(box: Column) -> Column:
-        """Place and text of all headers; the text is NULL if it starts no section."""
-
-        def header(h: Column) -> Column:
-            starts = h["tag"].isin(list(section_headers)) & (box.isNull() | inside(h, box))
-            text = let(F.when(starts, page.text(h)), lambda t: F.when(usable(t), t))
-            return F.struct(h["pre"].alias("pre"), text.alias("text"))
+        return section_texts(page, box, section_headers, skip_texts, HEADINGS if numbered else ())
 
-        return F.transform(
-            page.select(tags(*(HEADINGS if numbered else section_headers))), header
-        )
-
-    def last_text(headers: Column) -> Column:
-        return last_of(F.filter(headers, lambda h: h["text"].isNotNull()))["text"]
+    last_text = last_section_text
 
     def section_text(element: Column, headers: Column) -> Column:
         if not numbered:
@@ -175,10 +191,6 @@ def list_split(
             last_text(F.slice(headers, F.lit(1), element["heads"])),
         )
 
-    def usable(text: Column) -> Column:
-        kept = text != ""
-        return kept & ~F.lower(text).isin(skipped) if skipped else kept
-
     def item_hit(element: Column, headers: Column) -> Column:
         pieces = F.split(page.raw_text(element, split_on), _quoted(split_on))
         parts = F.filter(F.transform(pieces, clean_text), lambda p: p != "")

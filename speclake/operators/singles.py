@@ -82,17 +82,27 @@ def datasheet_link(
     if not selectors:
         return none()
 
-    def addresses(elements: Column, name: str) -> Column:
-        held = F.transform(elements, lambda e: e["attrs"][name])
+    tries = datasheet_tries(page, selectors, attribute)
+    address = let(F.coalesce(*tries), lambda url: absolute_url(url, base_url))
+    return single(target_section, target_key, address)
+
+
+def datasheet_tries(page: Page, selectors: Sequence[str], attribute: str) -> list[Column]:
+    """First datasheet address by each selector, then by link text."""
+
+    def addresses(elements: Column) -> Column:
+        held = F.transform(elements, lambda e: e["attrs"][attribute])
         return F.filter(held, is_datasheet_url)
 
     links = page.select(((Step(tag="a", attrs=(("href", "", ""),)),),))
-    tries = [first_of(addresses(page.select(rule), attribute)) for rule in selectors]
     # The address test is cheaper than the text test and goes first.
-    by_text = F.filter(links, lambda e: let(e["attrs"]["href"], is_datasheet_url) & names_datasheet(page, e))
-    tries.append(first_of(by_text)["attrs"]["href"])
-    address = let(F.coalesce(*tries), lambda url: absolute_url(url, base_url))
-    return single(target_section, target_key, address)
+    by_text = F.filter(
+        links, lambda e: let(e["attrs"]["href"], is_datasheet_url) & names_datasheet(page, e)
+    )
+    return [
+        *[first_of(addresses(page.select(rule))) for rule in selectors],
+        first_of(by_text)["attrs"]["href"],
+    ]
 
 
 def image(
@@ -110,15 +120,7 @@ def image(
     The first selector with such an image decides.  ``all`` writes a JSON list
     and counts its members.
     """
-    rules = [selectors] if isinstance(selectors, str) else list(selectors)
-    rules = [rule for rule in rules or [selector] if rule]
-    found = [
-        F.filter(
-            F.transform(page.select(rule), lambda e: e["attrs"][attribute]),
-            lambda url: url.isNotNull(),
-        )
-        for rule in rules
-    ]
+    found = image_tries(page, selectors, selector, attribute)
     chosen = F.array().cast("array<string>")
     for urls in reversed(found):
         chosen = _first_filled(urls, chosen)
@@ -135,6 +137,21 @@ def image(
     return let(chosen, write)
 
 
+def image_tries(
+    page: Page, selectors: Sequence[str], selector: str, attribute: str
+) -> list[Column]:
+    """Addresses of the images by each selector."""
+    rules = [selectors] if isinstance(selectors, str) else list(selectors)
+    rules = [rule for rule in rules or [selector] if rule]
+    return [
+        F.filter(
+            F.transform(page.select(rule), lambda e: e["attrs"][attribute]),
+            lambda url: url.isNotNull(),
+        )
+        for rule in rules
+    ]
+
+
 def _first_filled(urls: Column, others: Column) -> Column:
     return let(urls, lambda u: F.when(F.size(u) > 0, u).otherwise(others))
 

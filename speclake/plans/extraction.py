@@ -8,6 +8,7 @@ sites.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
@@ -27,7 +28,7 @@ from speclake.operators.parse import ESCAPE_WINDOW, TREE_COLUMNS, parse_pages
 from speclake.operators.registry import run_specs
 from speclake.plans.assemble import documents_from_hits, kv_raw_from_hits
 from speclake.session import require_settings
-from speclake.sources.sites import Sites, load_sites
+from speclake.sources.sites import Site, Sites, load_sites
 
 
 def source_marks(sites: Sites) -> tuple[str, ...]:
@@ -59,15 +60,17 @@ _SITE_HITS: WeakKeyDictionary[Sites, tuple[SparkContext, Column]] = WeakKeyDicti
 
 
 def _site_hits(sites: Sites) -> Column:
-    page, vendor = page_of(), F.col("vendor")
+    return by_site(sites, lambda site: run_specs(page_of(), site.specs, site.name)).cast(HITS)
+
+
+def by_site(sites: Sites, value: Callable[[Site], Column]) -> Column:
+    """The value for the page's site, by the column ``vendor``."""
     generic = sites.spec_source("")
-    answer = run_specs(page, generic.specs, generic.name)
+    answer = value(generic)
     for site in reversed(sites.all()):
         if site.vendor != generic.vendor:
-            answer = F.when(
-                vendor == site.vendor, run_specs(page, site.specs, site.name)
-            ).otherwise(answer)
-    return answer.cast(HITS)
+            answer = F.when(F.col("vendor") == site.vendor, value(site)).otherwise(answer)
+    return answer
 
 
 def read_trees(
@@ -88,11 +91,13 @@ def extract_pages(
     vendor: Column | None = None,
     by_address: tuple[tuple[str, str], ...] = SITE_BY_ADDRESS,
     escape_window: int = ESCAPE_WINDOW,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per page: the columns of the page other than its text, ``vendor``,
     ``vendor_name``, ``canonical_url``, ``last_heading``, ``hits`` and ``error``.
 
-    ``vendor`` skips classification where the site is known beforehand.
+    ``vendor`` skips classification where the site is known beforehand; ``also``
+    adds columns read from the page in the same pass.
     """
     require_settings(pages.sparkSession)
     sites = sites or load_sites()
@@ -113,6 +118,7 @@ def extract_pages(
         "canonical_url",
         last_filled(F.col("headings")).alias("last_heading"),
         site_hits(sites).alias("hits"),
+        *[column.alias(name) for name, column in (also or {}).items()],
         "error",
     )
 
