@@ -42,6 +42,26 @@ def single(section: str, key: str, value: Column, kind: str = "string",
     )
 
 
+# The kind of an entry that tells what went wrong instead of writing a value.
+ERROR = "error"
+
+
+def failing(hits: Column, problem: Column) -> Column:
+    """Hits with a problem told behind them where there is one.
+
+    What was written before stays, what was counted is lost: the operator ended
+    with an error.
+    """
+    told = F.array(hit(F.lit(""), F.lit(""), problem, ERROR, F.lit(0)))
+    uncounted = F.transform(hits, lambda h: h.withField("weight", F.lit(0)))
+    return F.when(problem.isNull(), hits).otherwise(F.concat(uncounted, told))
+
+
+def written(hits: Column) -> Column:
+    """Hits that write a value."""
+    return F.filter(hits, lambda h: h["value_kind"] != ERROR)
+
+
 def stamp(hits: Column, spec_ord: int, extractor_type: str) -> Column:
     """Completes hits with the place and type of the operator that made them."""
     return F.transform(

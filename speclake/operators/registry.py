@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from speclake.operators import downloads, embedded, pairs, singles, variants
-from speclake.operators.hits import HITS, none, stamp
+from speclake.operators.hits import HITS, failing, hit, none, present, stamp
 from speclake.operators.page import Page, let
 
 
@@ -112,6 +115,74 @@ def register(name: str, operator: Operator, reads_earlier: bool = False) -> None
         READS_EARLIER.add(name)
 
 
+def register_python(name: str, function: Callable[..., Iterable[tuple[str, str, str]]], *inputs: str) -> None:
+    """Makes a Python function an operator: a table function over a page's arrays.
+
+    It is called with the named arrays of the page (``inputs``, such as
+    ``nodes`` and ``texts``) and the spec's parameters, and yields (section, key,
+    value).  It runs in Arrow batches, on the pages of the sites that use it.  If
+    it raises on a page, what it has yielded by then is written, its count is
+    lost, and the error is told (`assemble.spec_errors`); other specs and pages
+    go on.
+    """
+    inputs = inputs or ("nodes", "texts")
+
+    def found(spec: dict, wanted: Column) -> Column:
+        parameters = {k: v for k, v in spec.items() if k != "type"}
+
+        @F.arrow_udf("STRUCT<rows: ARRAY<STRUCT<section: STRING, key: STRING, value: STRING>>, error: STRING>")
+        def run(*columns: pa.Array) -> pa.Array:
+            out = []
+            for values in zip(*(c.to_pylist() for c in columns), strict=True):
+                if values[0] is None:  # a page of another site
+                    out.append(None)
+                    continue
+                rows, error = [], None
+                try:
+                    for section, key, value in function(*values, **parameters):
+                        rows.append({"section": str(section), "key": str(key), "value": str(value)})
+                except Exception as problem:
+                    error = f"{type(problem).__name__}: {problem}"
+                out.append({"rows": rows, "error": error})
+            return pa.array(out, _FOUND)
+
+        return run(*[F.when(wanted, F.col(column)) for column in inputs])
+
+    def operator(_page: Page, spec: dict, _context: Context) -> Column:
+        column = F.col(_python_column(spec))
+        rows = F.transform(column["rows"], lambda r: hit(r["section"], r["key"], r["value"]))
+        return F.coalesce(failing(present(rows), column["error"]), none())
+
+    register(name, operator)
+    PYTHON[name] = found
+
+
+# Python operators by type: (spec, pages wanted) -> what the function gives.
+PYTHON: dict[str, Callable[[dict, Column], Column]] = {}
+
+
+def _python_column(spec: dict) -> str:
+    """Name of the column with what a Python operator gives."""
+    return "_own_" + hashlib.md5(json.dumps(spec, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def python_columns(sites) -> dict[str, Column]:
+    """Columns that the sites' Python operators read, to be added where ``vendor`` is known."""
+    users: dict[str, tuple[dict, list[str]]] = {}
+    for site in sites.all():
+        for spec in site.specs:
+            if spec.get("type") in PYTHON:
+                users.setdefault(_python_column(spec), (spec, []))[1].append(site.vendor)
+    return {
+        name: PYTHON[spec["type"]](spec, F.col("vendor").isin(vendors))
+        for name, (spec, vendors) in users.items()
+    }
+
+
+_ROW = pa.struct([("section", pa.string()), ("key", pa.string()), ("value", pa.string())])
+_FOUND = pa.struct([("rows", pa.list_(_ROW)), ("error", pa.string())])
+
+
 def checked(operator: Operator, page: Page, spec: dict, context: Context) -> Column:
     """The operator's hits; an error if its parameters cannot be used.
 

@@ -11,7 +11,6 @@ page, again as data.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -22,6 +21,7 @@ from speclake.functions.text import clean_plain_text, clean_text, strip
 from speclake.functions.urls import absolute_from, base_parts, is_datasheet_url
 from speclake.operators import pairs, singles
 from speclake.operators.hits import hit, none, present
+from speclake.operators.matching import Automaton, RuleIndex, RuleMatcher
 from speclake.operators.page import UNKNOWN, Page, first_of, inside, last_of, let
 from speclake.operators.selectors import SELECTOR, Step, as_data, selector, tags
 
@@ -322,44 +322,15 @@ def hits_by_data(page: Page, specs: Column) -> Column:
 CANDIDATES = f"STRUCT<ord: INT, vendor: STRING, maybe: ARRAY<STRUCT<ord: INT, vendor: STRING, rule: {SELECTOR}>>>"
 
 
-class _Automaton:
-    """Least number of the patterns that occur in a text."""
-
-    def __init__(self, patterns: Iterable[tuple[str, int]]):
-        import ahocorasick
-
-        self.always = None
-        least: dict[str, int] = {}
-        for pattern, number in patterns:
-            least[pattern] = min(number, least.get(pattern, number))
-        self.always = least.pop("", None)
-        self.tree = ahocorasick.Automaton() if least else None
-        for pattern, number in least.items():
-            self.tree.add_word(pattern, number)
-        if self.tree is not None:
-            self.tree.make_automaton()
-
-    def least(self, texts: Iterable[str | None]) -> int | None:
-        found = []
-        for text in texts:
-            if text is None:
-                continue
-            if self.always is not None:
-                found.append(self.always)
-            if self.tree is not None:
-                found += [number for _, number in self.tree.iter(text)]
-        return min(found, default=None)
-
-
 def address_matcher(marks: Iterable[tuple[str, str]]) -> Callable[[Column], Column]:
     """Site of an address: that of the first mark, in order, which it holds."""
     marks = list(marks)
-    held: list[_Automaton] = []
+    held = []
 
     @F.arrow_udf("string")
     def site(urls: pa.Array) -> pa.Array:
         if not held:
-            held.append(_Automaton((mark, i) for i, (mark, _) in enumerate(marks)))
+            held.append(Automaton((mark, i) for i, (mark, _) in enumerate(marks)))
         numbers = [held[0].least([url]) for url in urls.to_pylist()]
         return pa.array([None if n is None else marks[n][1] for n in numbers], pa.string())
 
@@ -376,48 +347,25 @@ def _anchor(chain: tuple[Step, ...]) -> str:
     return step.tag or "*"
 
 
-class _Rules:
-    """All detection rules, in the workers."""
-
-    def __init__(self, rules: list[tuple[str, str, str]]):
-        by_kind = defaultdict(list)
-        self.vendors = [vendor for vendor, _, _ in rules]
-        for i, (_, kind, arg) in enumerate(rules):
-            by_kind[kind].append((arg, i))
-        self.texts = _Automaton((arg.lower(), i) for arg, i in by_kind["text_contains"])
-        self.classes = _Automaton(by_kind["class_contains"])
-        self.ids: dict[str, int] = {}
-        for arg, i in by_kind["id"]:
-            self.ids.setdefault(arg, i)
-        self.anchors = defaultdict(set)
-        self.selectors = {}
-        for arg, i in by_kind["selector"]:
-            chosen = selector(arg)
-            self.selectors[i] = [
+def _rule_index(rules: list[tuple[str, str, str]]) -> RuleIndex:
+    """All detection rules (vendor, kind, arg), ready for the workers."""
+    selectors = {i: selector(arg) for i, (_, kind, arg) in enumerate(rules) if kind == "selector"}
+    names = ("tag", "id", "classes", "attrs", "without", "nth", "child")
+    return RuleIndex(
+        rules,
+        {
+            i: [
                 [
-                    {
-                        "tag": s.tag, "id": s.id, "classes": list(s.classes),
-                        "attrs": [dict(zip(("name", "op", "value"), a, strict=True)) for a in s.attrs],
-                        "without": list(s.without), "nth": s.nth, "child": s.child,
-                    }
-                    for s in chain
+                    dict(zip(names, step, strict=True))
+                    | {"attrs": [dict(zip(("name", "op", "value"), a, strict=True)) for a in step[3]]}
+                    for step in chain
                 ]
-                for chain in chosen
-            ]
-            for chain in chosen:
-                self.anchors[_anchor(chain)].add(i)
-
-    def candidates(self, text: str | None, lists: list[str], ids: list[str], names: list[str]) -> dict:
-        sure = [self.texts.least([text]), self.classes.least(lists)]
-        sure += [self.ids.get(name) for name in ids]
-        least = min((x for x in sure if x is not None), default=None)
-        keys = {"*", *names, *(f"#{i}" for i in ids), *(f".{c}" for joined in lists for c in joined.split(" "))}
-        maybe = sorted({i for key in keys for i in self.anchors.get(key, ()) if least is None or i < least})
-        return {
-            "ord": least,
-            "vendor": None if least is None else self.vendors[least],
-            "maybe": [{"ord": i, "vendor": self.vendors[i], "rule": self.selectors[i]} for i in maybe],
-        }
+                for chain in as_data(chosen)
+            ]
+            for i, chosen in selectors.items()
+        },
+        [(_anchor(chain), i) for i, chosen in selectors.items() for chain in chosen],
+    )
 
 
 def site_by_rule_data(page: Page, rules: list[tuple[str, str, str]], wanted: Column) -> Column:
@@ -425,12 +373,13 @@ def site_by_rule_data(page: Page, rules: list[tuple[str, str, str]], wanted: Col
 
     Only pages for which ``wanted`` holds are looked at.
     """
-    held: list[_Rules] = []
+    index = _rule_index(rules)
+    held = []
 
     @F.arrow_udf(CANDIDATES)
     def candidates(texts: pa.Array, lists: pa.Array, ids: pa.Array, names: pa.Array) -> pa.Array:
         if not held:
-            held.append(_Rules(rules))
+            held.append(RuleMatcher(index))
         rows = zip(texts.to_pylist(), lists.to_pylist(), ids.to_pylist(), names.to_pylist(), strict=True)
         kind = pa.struct([("ord", pa.int32()), ("vendor", pa.string()), ("maybe", _MAYBE)])
         empty = {"ord": None, "vendor": None, "maybe": []}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from speclake.functions.text import format_stamp, preview
 from speclake.functions.urls import result_file_name
+from speclake.operators.hits import ERROR, written
 from speclake.operators.page import let
 
 KV_COLUMNS = (
@@ -24,7 +25,7 @@ def last_writes(hits: Column) -> Column:
     its first place and takes the last value.
     """
     entries = F.transform(
-        hits,
+        written(hits),
         lambda h: F.struct(
             F.struct(h["section"].alias("section"), h["key"].alias("key")).alias("key"),
             F.struct(h["value"].alias("value"), h["value_kind"].alias("value_kind")).alias(
@@ -93,8 +94,9 @@ def kv_map(hits: Column) -> Column:
 
 
 def stats_map(hits: Column) -> Column:
-    """Operator type -> items written, repeated keys included."""
-    types = F.array_distinct(F.transform(hits, lambda h: h["extractor_type"]))
+    """Operator type -> items written, repeated keys included; nothing for a type without items."""
+    counted = F.filter(hits, lambda h: h["weight"] > 0)
+    types = F.array_distinct(F.transform(counted, lambda h: h["extractor_type"]))
 
     def total(kind: Column) -> Column:
         return F.aggregate(
@@ -132,12 +134,10 @@ def documents_from_hits(
 
 
 def kv_raw_from_hits(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per write, numbered in write order."""
+    """One row per write, numbered in write order.  Errors are no writes, see ``spec_errors``."""
     # The outer form on purpose: for the inner one the optimizer would test the
     # array in a filter below, and so work out all hits a second time.
-    return extracted.select(
-        *keys, F.posexplode_outer("hits").alias("hit_ord", "h")
-    ).where(F.col("hit_ord").isNotNull()).select(
+    return _entries(extracted, keys).where(F.col("h.value_kind") != ERROR).select(
         *keys,
         *[
             F.col("hit_ord") if name == "hit_ord" else F.col(f"h.{name}").alias(name)
@@ -146,6 +146,25 @@ def kv_raw_from_hits(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _entries(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return extracted.select(
+        *keys, F.posexplode_outer("hits").alias("hit_ord", "h")
+    ).where(F.col("hit_ord").isNotNull())
+
+
+def spec_errors(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The quarantine table of specs: every spec that ended with an error on a page, and why.
+
+    It comes out of the same pass as the facts; the other specs of the page went on.
+    """
+    return _entries(extracted, keys).where(F.col("h.value_kind") == ERROR).select(
+        *keys,
+        F.col("h.spec_ord").alias("spec_ord"),
+        F.col("h.extractor_type").alias("extractor_type"),
+        F.col("h.value").alias("message"),
+    )
+
+
 def kv_from_hits(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per kept (section, key), without a shuffle."""
     return (
@@ -185,7 +204,8 @@ def last_write(kv_raw: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def stats(kv_raw: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return kv_raw.groupBy(*keys, "extractor_type").agg(
+    """Items per operator type; nothing for a type without items."""
+    return kv_raw.where(F.col("weight") > 0).groupBy(*keys, "extractor_type").agg(
         F.sum("weight").cast("bigint").alias("items")
     )
 

@@ -25,7 +25,7 @@ from speclake.operators.embedded import IMAGE_HOST
 from speclake.operators.hits import HITS
 from speclake.operators.page import last_filled, page_of, with_headings
 from speclake.operators.parse import ESCAPE_WINDOW, TREE_COLUMNS, parse_pages
-from speclake.operators.registry import run_specs
+from speclake.operators.registry import python_columns, run_specs
 from speclake.plans.assemble import documents_from_hits, kv_raw_from_hits
 from speclake.session import require_settings
 from speclake.sources.sites import Site, Sites, load_sites
@@ -111,7 +111,7 @@ def extract_pages(
         canonical_url(page).alias("canonical_url"),
         decided.alias("vendor"),
     )
-    return classified.select(
+    return classified.withColumns(python_columns(sites)).select(
         *keys,
         "vendor",
         site_name(F.col("vendor"), sites).alias("vendor_name"),

@@ -24,7 +24,7 @@ from speclake.operators.classify import GENERIC, SITE_BY_ADDRESS, canonical_url
 from speclake.operators.hits import HITS
 from speclake.operators.page import last_filled, page_of
 from speclake.operators.parse import ESCAPE_WINDOW, TREE_COLUMNS
-from speclake.operators.registry import run_specs
+from speclake.operators.registry import python_columns, run_specs
 from speclake.operators.site_data import (
     SPEC,
     address_matcher,
@@ -117,7 +117,7 @@ def extract_pages(
         exists = table.select(F.col("_site").alias("_known"))
         known = known.join(exists, wanted == F.col("_known"), "left")
         wanted = F.coalesce("_known", F.lit(GENERIC))
-    joined = known.withColumn("_wanted", wanted).join(table, F.col("_wanted") == F.col("_site"), "left")
+    joined = known.withColumns(python_columns(sites)).withColumn("_wanted", wanted).join(table, F.col("_wanted") == F.col("_site"), "left")
     page = page_of()
     hits = hits_by_data(page, F.col("_specs"))
     for number, site in own_groups(sites).values():
