@@ -9,9 +9,12 @@ or main element is not entered further, and there every line counts, lists and
 tables of links too.  Elsewhere the region starts and ends at content lines,
 and list items and cells that are links for the most part are left out.
 
-Markup that says what it is never counts: navigation, headers, footers, asides,
-forms, scripts, styles, notices, adverts and reader comments, by element, role,
-class or id.
+Markup that says what it is never counts, be it a block or inside one:
+navigation, headers, footers, asides, forms, scripts, styles, notices, adverts
+and reader comments, by element, role, class or id.  A class or id says so only
+by its last word, words of layout left out (``post-comments``, ``sidebar-left``,
+but not ``has-sidebar`` or ``notice-period``), and no name takes out an element
+that turns out to hold the first article or main element.
 
 One page is one row and the unit of work: nothing is shuffled.
 
@@ -23,6 +26,7 @@ than those named are left out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -68,18 +72,29 @@ NAMES = frozenset(
     "searchbox form".split()
 )
 OUTER_NAMES = NAMES | {"header"}
+REMARKS = frozenset("comment comments respond replies disqus".split())
+# Words of layout behind a name, and words before it that turn its meaning.
+LAYOUT = frozenset(
+    "area bar block box bottom button buttons center column container content group inner item items "
+    "left link links list outer panel posts right section slot thread top unit wrap wrapper".split()
+)
+TURNED = frozenset("has with without no not is layout body".split())
 WHOLE = frozenset("html body main article".split())
 CONTENT = frozenset("main article".split())
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+# Why an element is apart: not at all, by its name only, for sure.
+IN, NAMED, OUT = range(3)
+
+
 class Line:
-    __slots__ = ("text", "linked", "tags", "path", "tag", "apart")
+    __slots__ = ("text", "linked", "tags", "block", "tag")
 
-    def __init__(self, text, linked, tags, path, tag, apart):
+    def __init__(self, text, linked, tags, block, tag):
         self.text, self.linked, self.tags = text, linked, tags
-        self.path, self.tag, self.apart = path, tag, apart
+        self.block, self.tag = block, tag  # number and name of the innermost block
 
 
 class Reader(HTMLParser):
@@ -88,38 +103,48 @@ class Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, number, apart
+        self.open: list[tuple[str, int, int]] = []  # name, number, apart
+        self.counts: Counter[str] = Counter()  # open elements by name
         self.names: dict[int, str] = {0: "html"}
+        self.blocks: list[int] = [0]  # open blocks
+        self.parents: dict[int, int] = {}  # of blocks, in document order
         self.parts: list[str] = []
-        self.linked, self.tags, self.anchors, self.content = 0, 0, 0, 0
+        self.linked, self.tags, self.content, self.skipped = 0, 0, 0, False
+        self.met = False  # an article or main element
 
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            apart = bool(self.open) and self.open[-1][2]
-            path = tuple(n for name, n, _ in self.open if name in BLOCKS)
-            tag = next((x[0] for x in reversed(self.open) if x[0] in BLOCKS), "")
-            self.lines.append(Line(text, self.linked, max(1, self.tags), path, tag, apart))
+            block = self.blocks[-1]
+            tag = self.names[block] if block else ""
+            self.lines.append(Line(text, self.linked, max(1, self.tags), block, tag))
+        if text or self.skipped:
             self.tags = 0
-        self.parts, self.linked = [], 0
+        self.parts, self.linked, self.skipped = [], 0, False
 
-    def _is_apart(self, tag, attrs) -> bool:
+    def _apart(self, tag, attrs) -> int:
         if tag in WHOLE:
-            return False
+            return IN
         if tag == "header" and self.content:
-            return False  # an article's own header: its headings count, see handle_data
+            return IN  # an article's own header: its headings count, see handle_data
         if tag in APART:
-            return True
+            return OUT
         given = dict(attrs)
         if given.get("role", "") in ROLES or given.get("aria-hidden") == "true" or "hidden" in given:
-            return True
+            return OUT
         if "none" in (given.get("style") or "") and re.search(r"display\s*:\s*none", given["style"]):
-            return True
-        names = f"{given.get('class') or ''} {given.get('id') or ''}"
-        if not names.strip():
-            return False
-        tokens = {t.lower() for t in _TOKENS.findall(names)}
-        return not tokens.isdisjoint(NAMES if self.content else OUTER_NAMES)
+            return OUT
+        names = f"{given.get('class') or ''} {given.get('id') or ''}".split()
+        known = NAMES if self.content else OUTER_NAMES
+        found = {self._last_word(name) for name in names} & known
+        return IN if not found else OUT if found & REMARKS else NAMED
+
+    @staticmethod
+    def _last_word(name: str) -> str:
+        words = [t.lower() for t in _TOKENS.findall(name)]
+        while len(words) > 1 and words[-1] in LAYOUT:
+            words.pop()
+        return "" if not words or words[0] in TURNED else words[-1]
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -131,12 +156,22 @@ class Reader(HTMLParser):
             self._close("p")
         elif tag == "li" and self.open and self.open[-1][0] == "li":
             self._close("li")
-        apart = bool(self.open) and self.open[-1][2] or self._is_apart(tag, attrs)
+        above = self.open[-1][2] if self.open else IN
+        if tag in CONTENT and above == NAMED and not self.met:
+            # A wrapper, whatever it is called.
+            self.open = [(name, n, IN if apart == NAMED else apart) for name, n, apart in self.open]
+            above = IN
+        apart = above or self._apart(tag, attrs)
         number = len(self.names)
         self.names[number] = tag
         self.open.append((tag, number, apart))
-        self.anchors += tag == "a"
-        self.content += tag in CONTENT and not apart
+        self.counts[tag] += 1
+        if tag in BLOCKS:
+            self.parents[number] = self.blocks[-1]
+            self.blocks.append(number)
+        if tag in CONTENT and not apart:
+            self.content += 1
+            self.met = True
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -152,11 +187,15 @@ class Reader(HTMLParser):
 
     def _close(self, tag):
         """Closes the innermost such element, unless it lies outside a stronger one."""
+        if not self.counts[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
                 for gone, _, apart in self.open[i:]:
-                    self.anchors -= gone == "a"
+                    self.counts[gone] -= 1
+                    if gone in BLOCKS:
+                        self.blocks.pop()
                     self.content -= gone in CONTENT and not apart
                 del self.open[i:]
                 return
@@ -166,13 +205,13 @@ class Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.open and self.open[-1][2] and self.open[-1][0] in ("script", "style", "template"):
+        if self.open and self.open[-1][2]:
+            self.skipped = self.skipped or bool(data.strip())
+            return
+        if self.content and self.counts["header"] and not any(self.counts[h] for h in HEADINGS):
             return
-        if self.content and any(x[0] == "header" for x in self.open):
-            if not any(x[0] in HEADINGS for x in self.open):
-                return
         self.parts.append(data)
-        if self.anchors:
+        if self.counts["a"]:
             self.linked += len(data.strip())
 
 
@@ -184,23 +223,37 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), mode="valid")
 
 
-def region_of(lines: list[Line], chosen: list[int], names: dict[int, str]) -> int:
+def region_of(lines: list[Line], chosen: list[int], reader: Reader) -> int:
     """The innermost element that holds most of the chosen lines' text."""
-    total = sum(len(lines[i].text) for i in chosen)
-    region, depth = 0, 0
+    names, parents = reader.names, reader.parents
+    held = dict.fromkeys([0, *parents], 0)
+    for i in chosen:
+        held[lines[i].block] += len(lines[i].text)
+    total = sum(held.values())
+    for block in reversed(parents):  # children come after their parents
+        held[parents[block]] += held[block]
+    heaviest: dict[int, int] = {}
+    for block, parent in parents.items():
+        if held[block] > held.get(heaviest.get(parent), 0):
+            heaviest[parent] = block
+    region = 0
     while names.get(region) not in CONTENT:
-        held: dict[int, int] = {}
-        for i in chosen:
-            path = lines[i].path
-            if (not region or region in path) and len(path) > depth:
-                held[path[depth]] = held.get(path[depth], 0) + len(lines[i].text)
-        best = max(held, key=held.get, default=None)
+        best = heaviest.get(region)
         if best is None or held[best] < MOST * total or names[best] in ("p", "li", "pre"):
             return region
-        region, depth = best, depth + 1
+        region = best
     return region
 
 
+def blocks_below(reader: Reader, wanted) -> set[int]:
+    """Blocks for which ``wanted`` holds, and all blocks in them."""
+    found = {0} if wanted(0) else set()
+    for block, parent in reader.parents.items():
+        if parent in found or wanted(block):
+            found.add(block)
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     if not page:
@@ -210,7 +263,7 @@ def main_text(page: str | None) -> str:
         reader.feed(page[at : at + FEED])
     reader.close()
     reader.flush()
-    lines = [x for x in reader.lines if not x.apart]
+    lines = reader.lines
     if not lines:
         return ""
     plain = np.array([max(0, len(x.text) - x.linked) for x in lines], float)
@@ -221,23 +274,25 @@ def main_text(page: str | None) -> str:
         chosen = [i for i in range(len(lines)) if plain[i] > 0]
     if not chosen:
         return ""
-    region = region_of(lines, chosen, reader.names)
-    inside = [i for i, x in enumerate(lines) if not region or region in x.path]
+    region = region_of(lines, chosen, reader)
+    below = blocks_below(reader, lambda block: block == region)
+    inside = [i for i, x in enumerate(lines) if x.block in below]
     if reader.names.get(region) not in CONTENT:
-        known = [i for i in inside if i in set(chosen)]
+        sure, here = set(chosen), set(inside)
+        known = [i for i in inside if i in sure]
         low, high = known[0], known[-1]
-        while low - 1 in inside and lines[low - 1].tag in HEADINGS:
+        while low - 1 in here and lines[low - 1].tag in HEADINGS:
             low -= 1
         inside = [i for i in inside if low <= i <= high]
         if not any(lines[i].tag == "h1" for i in inside):
             titles = [i for i, x in enumerate(lines) if x.tag == "h1" and i < inside[0]]
             inside = titles[-1:] + inside
     links = ("li", "td", "dd", "ul", "ol")
+    whole = blocks_below(reader, lambda block: reader.names[block] in CONTENT)
     kept = [
         x.text
         for x in (lines[i] for i in inside)
-        if not (x.tag in links and x.linked >= 0.8 * len(x.text))
-        or any(reader.names[n] in CONTENT for n in x.path)
+        if not (x.tag in links and x.linked >= 0.8 * len(x.text)) or x.block in whole
     ]
     return " ".join(kept)
 

@@ -37,7 +37,7 @@ from speclake.llm import words as W
 from speclake.llm.shared import Kept, arrow_schema, in_arrow
 
 BLANK = "▁"
-KEPT = 250_000  # words of each of two generations
+KEPT = 400_000  # words of each of two generations
 LONG = 48
 _NONE = np.int32(2**31 - 1)  # no such pair
 
@@ -66,7 +66,8 @@ class Pieces:
                 self.pieces[piece] = (i, sp.get_score(i))
         self.begin, self.end, self.unknown = sp.bos_id(), sp.eos_id(), sp.unk_id()
         by_word = all(BLANK not in p.lstrip(BLANK) for p in self.pieces)
-        self.cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if by_word else r"(?s).+").findall
+        self.by_word = by_word
+        self.find = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if by_word else r"(?s).+").findall
         self.known = Kept(KEPT)
         self._index()
 
@@ -250,9 +251,18 @@ class Pieces:
                     ids.append(self.unknown)
         return ids
 
+    def cut(self, text: str | None) -> list[str]:
+        """A text's words, each with the blanks before it marked."""
+        if not text:
+            return []
+        odd = BLANK in text or "  " in text or "\0" in text or text[0] == " " or text[-1] == " "
+        if self.by_word and not odd:  # single blanks only: no pattern is needed
+            return (BLANK + text.replace(" ", "\0" + BLANK)).split("\0")
+        return self.find(BLANK + text.replace(" ", BLANK))
+
     def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of texts, each with begin and end."""
-        cut = [self.cut(BLANK + t.replace(" ", BLANK)) if t else () for t in texts]
+        cut = [self.cut(t) for t in texts]
         known = self.known.of(set().union(*cut), self.merged_together)
         out = []
         for words in cut:
@@ -289,7 +299,8 @@ def encode(
     """Per document: ids as little-endian unsigned 32-bit integers, and the decoded text.
 
     With ``digests``, hashes of both instead, so that neither leaves the task.
-    ``check`` compares with the library's ids; without it ``agrees`` is NULL.
+    ``check`` compares with the library's ids, which are returned where they
+    differ (``agrees`` is false there); without it ``agrees`` is NULL.
     """
     held = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
     own = T._parse_datatype_string(DIGEST if digests else OUT)
@@ -309,6 +320,9 @@ def encode(
                     [t or "" for t in texts], add_bos=True, add_eos=True, num_threads=1
                 )
                 agrees = [a == b for a, b in zip(lists, other, strict=True)]
+                for i in [i for i, same in enumerate(agrees) if not same]:  # the library's ids count
+                    lists[i], ids[i] = other[i], np.array(other[i], "<u4")
+                    decoded[i] = vocabulary.library.decode(other[i])
             if digests:
                 first = [hashlib.sha256(i).hexdigest() for i in ids]
                 second = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]

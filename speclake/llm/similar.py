@@ -591,10 +591,15 @@ def first_of_each(
             F.col("class").isNotNull()
             & (F.struct(F.col("id").isNull(), "id", "h") != F.col("first"))
         )
-        .select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+        .select("id", "h")
         .distinct()
     )
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.join(
-        gone, F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(whole) == F.col("_h")), "left_anti"
+    # The row goes into a struct of its own, as its columns may have any names.
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(key).alias("key"),
+        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("hash"),
     )
+    return held.join(
+        gone, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_anti"
+    ).select("row.*")

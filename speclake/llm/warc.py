@@ -217,25 +217,26 @@ def _agree() -> Column:
 
 
 def latest_before(captures: DataFrame) -> DataFrame:
-    """(record_id, source): for every revisit the latest full response of its address before it."""
-    order = ["address", "at", "late", "record_id"]
-    rows = (
-        captures.where("address IS NOT NULL AND at IS NOT NULL AND record_id IS NOT NULL")
-        .select(
-            "address", "at", "record_id",
-            (F.col("kind") == "revisit").alias("late"),
-            F.when(F.col("kind") == "response", F.col("record_id")).alias("own"),
-        )
+    """(row, source_row): for every revisit the latest full response of its address before it.
+
+    ``row`` tells a capture from all others, also from those of its record id.
+    Of responses of one time the one of the greatest (record_id, row) counts.
+    """
+    order = ["address", "at", "late", "record_id", "row"]
+    rows = captures.where("address IS NOT NULL AND at IS NOT NULL").select(
+        "address", "at", "record_id", "row",
+        (F.col("kind") == "revisit").alias("late"),
+        F.when(F.col("kind") == "response", F.col("row")).alias("own"),
     )
     # Ranges of the order; written, so a part is the same rows in every later step.
     ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     held = staged(ranged)
-    within = Window.partitionBy("part", "address").orderBy("at", "late", "record_id")
+    within = Window.partitionBy("part", "address").orderBy("at", "late", "record_id", "row")
     seen = held.withColumn(
         "inner", F.last("own", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
     )
     ends = held.groupBy("address", "part").agg(
-        F.max_by("own", F.when(F.col("own").isNotNull(), F.struct("at", "record_id"))).alias("end")
+        F.max_by("own", F.when(F.col("own").isNotNull(), F.struct("at", "record_id", "row"))).alias("end")
     )
     over = Window.partitionBy("address").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("carry", F.last("end", ignorenulls=True).over(over)).where(
@@ -244,15 +245,15 @@ def latest_before(captures: DataFrame) -> DataFrame:
     return (
         seen.where("late")
         .join(carried.select("address", "part", "carry"), ["address", "part"], "left")
-        .select("record_id", F.coalesce("inner", "carry").alias("source"))
-        .where("source IS NOT NULL")
-        .distinct()
+        .select("row", F.coalesce("inner", "carry").alias("source_row"))
+        .where("source_row IS NOT NULL")
     )
 
 
 def resolve(records: DataFrame) -> DataFrame:
     """Every revisit, of records as ``read`` gives them, with what it stands for.
 
+    Each record counts, also those that share a record id or are there twice.
     Columns: record_id, url, at, source (record id of the response, NULL if
     there is none), resolved, reason, status, headers (merged), digest, length.
     """
@@ -267,19 +268,23 @@ def resolve(records: DataFrame) -> DataFrame:
         captures.where(full | not_modified).select(
             "record_id", "kind", "url", "address", "at", "digest", "headers",
             F.octet_length("body").cast("long").alias("length"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     found = latest_before(captures)
     olds = captures.where("kind = 'response'").select(
+        F.col("row").alias("source_row"),
         F.col("record_id").alias("source"),
         F.col("digest").alias("o_digest"),
         F.col("headers").alias("o_headers"),
         F.col("length").alias("o_length"),
-    ).dropDuplicates(["source"])
+    )
+    revisits = captures.where("kind = 'revisit'")
+    # Revisits without a source take no part in the join by source.
+    sourced = revisits.join(found, "row").join(olds, "source_row")
     rows = (
-        captures.where("kind = 'revisit'")
-        .join(found, "record_id", "left")
-        .join(olds, "source", "left")
+        revisits.join(found, "row", "left_anti")
+        .unionByName(sourced, allowMissingColumns=True)
         .withColumns(
             {
                 "tag": _tag("headers"), "o_tag": _tag("o_headers"),

@@ -76,3 +76,51 @@ def test_links_in_articles_of_a_wider_region():
 def test_links_elsewhere_are_left_out():
     page = f"<div><p>{LONG}</p><ul><li><a href=/>Home</a></li></ul><p>{LONG}</p></div>"
     assert M.main_text(page) == f"{LONG} {LONG}"
+
+
+INSIDE = f"<article><h1>T</h1><p>{LONG}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content has-sidebar'>{INSIDE}</div>",
+        f"<div class='form-horizontal layout-sidebar-right'><ul><li><a href=/>x</a></ul>{INSIDE}</div>",
+        f"<div class=sidebar><div id=search><p>Search</p>{INSIDE}<p>More</p></div></div>",
+        f"{INSIDE}<section class=comment-list><article><p>{LONG}</p></article></section>",
+        f"{INSIDE}<div class=sidebar><article><p>{LONG}</p></article></div>",
+        f"<article><h1>T</h1><p>{LONG} <button>Share this</button><span class='advert'>Buy now</span></p>"
+        "<svg><text>drawn</text></svg><textarea>typed</textarea></article>",
+    ],
+)
+def test_wrappers_and_inline_parts(page):
+    assert M.main_text(page) == f"T {LONG}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<div class='notice-period'>{}</div>", "<section class='related-work'>{}</section>",
+     "<section id='search-algorithm'>{}</section>", "<p class='no-comment'>{}</p>"],
+)
+def test_sections_of_an_article_stay(part):
+    page = f"<article><h1>T</h1>{part.format('<p>' + LONG + '</p>')}<p>{LONG}</p></article>"
+    assert M.main_text(page) == f"T {LONG} {LONG}"
+
+
+def test_deep_and_long_pages_take_no_square_time():
+    import time
+
+    start = time.perf_counter()
+    deep = "<div>" * 50_000 + LONG + "</div></b>" * 50_000
+    assert M.main_text(deep) == LONG
+    assert M.main_text(f"<p>{LONG}</p>" * 30_000) == " ".join([LONG] * 30_000)
+    assert time.perf_counter() - start < 30
+
+
+def test_tables_of_any_shape(spark):
+    rows = [(1, "u", f"<p>{LONG}</p>", "t", 5), (1, "u", f"<p>{LONG}</p>", "t", 5), (None, None, None, "t", 6)]
+    frame = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING, text STRING, n_chars INT")
+    found = M.extract(frame)
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.text) for r in found.collect()) == [(0, ""), (1, LONG), (1, LONG)]
+    assert M.extract(frame.limit(0)).collect() == []

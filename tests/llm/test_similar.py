@@ -57,6 +57,18 @@ def test_equals_brute_force(spark, documents, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
 
 
+def test_first_of_each_keeps_columns_of_any_names(spark):
+    from speclake.llm import similar
+
+    rows = [(1, "a b c d e f", 7, "x", 1, 2, 3), (2, "a b c d e f", 8, "y", 4, 5, 6), (3, None, 9, "z", 7, 8, 9)]
+    frame = spark.createDataFrame(
+        rows, "doc_id LONG, text STRING, _id INT, _h STRING, id INT, hash INT, `a.b` INT"
+    )
+    kept = similar.first_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_size_boundary_is_the_cheapest():
     assert similar.boundary([]) == 0
     assert similar.boundary([(3, 1, 10), (4, 2, 10), (5, 50, 10)]) == 5

@@ -86,6 +86,30 @@ def test_equals_brute_force(spark):
     assert {r.record_id: (r.source, r.resolved, r.headers) for r in rows} == brute(records)
 
 
+def test_records_of_one_id(spark):
+    """Revisits and responses that share ids, and rows that are there twice: every row by itself."""
+    rng = random.Random(12)
+    urls = ["http://a.com/x", "http://b.com/", None]
+    records = [record(rng, n, urls) | {"record_id": f"r{n % 9}"} for n in range(150)]
+    records = [r | {"headers": {"etag": '"a"', "n": str(i)}} for i, r in enumerate(records)]
+    taken = set()
+    for r in records:  # responses of one address, time and id would be ties
+        while r["kind"] == "response" and r["at"] and (r["url"], r["at"], r["record_id"]) in taken:
+            r["at"] += timedelta(seconds=100)
+        taken.add((r["url"], r["at"], r["record_id"]))
+    records += records[:30:7]
+    files = spark.createDataFrame([(warc.written(r),) for r in records], "content BINARY")
+    rows = warc.resolve(warc.read(files)).collect()
+    want = [
+        (r["record_id"], r["at"], *next(iter(brute([o for o in records if o["kind"] == "response"] + [r]).values())))
+        for r in records
+        if r["kind"] == "revisit"
+    ]
+    got = [(r.record_id, r.at, r.source, r.resolved, r.headers) for r in rows]
+    want, got = ([(*x[:4], sorted((x[4] or {}).items())) for x in some] for some in (want, got))
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 40
+
+
 def test_malformed_records(spark):
     good = warc.written(record(random.Random(1), 1, ["http://a.com/"]))
     plain = __import__("gzip").decompress(good)
