@@ -37,7 +37,7 @@ from speclake.llm import words as W
 from speclake.llm.shared import Kept, arrow_schema, in_arrow
 
 BLANK = "▁"
-KEPT = 400_000  # words of each of two generations
+KEPT = 700_000  # words of each of two generations
 LONG = 48
 _NONE = np.int32(2**31 - 1)  # no such pair
 
