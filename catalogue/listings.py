@@ -16,6 +16,7 @@ from speclake.plans.variants import variant_rows
 from speclake.session import shared_root, staged
 from speclake.sources.sinks import landed_pages, latest
 from speclake.sources.sites import Sites, load_sites
+from speclake.streaming import landing
 from speclake.streaming.pages import page_stream, stream_documents
 
 P = F.col
@@ -348,6 +349,45 @@ def stream_extract(spark, folder):
     )
 
 
+@query("stream_upsert", """
+    SELECT url AS address, CASE page_id % 2 WHEN 0 THEN '260102' ELSE '260101' END AS run_date,
+           page_id, CASE WHEN page_id % 3 = 0 AND page_id % 7 <> 0 THEN 2 ELSE 1 END AS version,
+           CASE WHEN page_id % 7 = 0 THEN 2 ELSE 0 END AS dead_letters
+    FROM pages""")
+def stream_upsert(spark, folder):
+    """Pages that are delivered again, changed, or without text, over several batches."""
+    place = f"{shared_root(spark)}/upsert-{uuid.uuid4().hex}"
+    given = table(spark, folder, "pages").select(
+        "page_id", "url", P("page_id").alias("at"),
+        F.concat(F.lit('<b id="p'), "page_id", F.lit('">1</b>'), "html").alias("html"),
+    )
+    changed = given.where("page_id % 3 = 0 OR page_id % 7 = 0").withColumn(
+        "html", F.when(P("page_id") % 7 != 0, F.replace("html", F.lit('">1</b>'), F.lit('">2</b>')))
+    )
+    for frame in (given, changed, changed):  # the second delivery comes twice
+        frame.write.mode("append").parquet(f"{place}/in")
+    stream = (
+        spark.readStream.schema("page_id LONG, url STRING, at LONG, html STRING")
+        .option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    )
+    sites = Sites({"generic": {"name": "Any", "specs": [
+        {"type": "text", "selector": "b", "target_section": "Page", "target_key": "Version"},
+        {"type": "attribute", "selector": "b", "attribute": "id", "target_section": "Page",
+         "target_key": "Id"},
+    ]}})
+    day = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-01-02 00:00:00")) - P("at") % 2 * 86_400)
+    landing.land_documents(stream, place, day, sites=sites).awaitTermination()
+    found = landing.landed_documents(spark, place)
+    value = lambda name: F.get_json_object("document", f"$.kv.Page.{name}")
+    dead = landing.dead_letters(spark, place).groupBy("address").agg(
+        F.count("*").cast("int").alias("dead")
+    )
+    return found.join(dead, "address", "left").select(
+        "address", "run_date", F.substring(value("Id"), 2, 20).cast("long").alias("page_id"),
+        value("Version").cast("int").alias("version"), F.coalesce("dead", F.lit(0)).alias("dead_letters"),
+    )
+
+
 # --- what a listing's fragments give together ---------------------------------------------
 def _listings(spark, folder, html, specs):
     """Events as fragments of one listing per user."""

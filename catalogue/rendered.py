@@ -555,6 +555,23 @@ def _sectioned(spark, folder):
     )
 
 
+@query("nested_rows_noise", f"""
+    SELECT {KEY}, 'Outer' AS key, p_name AS value FROM part
+    UNION ALL
+    SELECT {KEY}, 'Inner', CASE {KEY} % 2 WHEN 0 THEN 'second ' ELSE 'first ' END || p_size FROM part""")
+def nested_rows_noise(spark, folder):
+    """What an outer row takes out is gone for the row in it."""
+    noise = F.when(P(KEY) % 2 == 0, F.lit("noise")).otherwise(F.lit("plain"))
+    page = markup(
+        '<div class="row"><b>Outer</b><u>', P("p_name"), '</u><div class="row"><p class="', noise,
+        '"><b>Inner</b></p><b>Inner</b><p class="', noise, '"><u>first ', P("p_size"), "</u></p><u>second ",
+        P("p_size"), "</u></div></div>",
+    )
+    pages = parts(spark, folder).select(KEY, page.alias("html"))
+    spec = {"type": "rows", "rows": ".row", "key": "b", "value": "u", "remove_noise": [".noise"]}
+    return kv(pages, only(spec)).select(KEY, "key", "value")
+
+
 # --- all sites at once -------------------------------------------------------------------------------
 _MIXED = f"""CASE {KEY} % 9
     WHEN 0 THEN 'ABB' WHEN 1 THEN 'Siemens' WHEN 2 THEN 'Siemens' WHEN 3 THEN 'VEGA'

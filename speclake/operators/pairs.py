@@ -94,13 +94,14 @@ def rows_with_noise(
     multiple_values: bool = False,
     remove_noise: Sequence[str] = (),
 ) -> tuple[Column, Column | None]:
-    """``rows`` together with the elements it takes out of the page."""
+    """``rows`` together with the elements it takes out of the page.
+
+    Rows are read in page order.  A row's key is read before its noise goes, its
+    value after it, and what an outer row took out is gone for the rows in it.
+    """
     if not (rows and key and value):
         return none(), None
 
-    def noise(row: Column) -> Column:
-        return page.select(", ".join(remove_noise), page.subtree(row))
-
     def value_text(rest: Page, row: Column) -> Column:
         chosen = rest.select(value, rest.subtree(row))
         if multiple_values:
@@ -108,22 +109,45 @@ def rows_with_noise(
             return F.array_join(values, " | ")
         return let(first_of(chosen), rest.text)
 
-    def row_hit(row: Column) -> Column:
-        # The key is read before the noise goes, the value after it.
-        label = page.first_text(key, page.subtree(row))
-        text = (
-            let(noise(row), lambda gone: value_text(page.without(gone), row))
-            if remove_noise
-            else value_text(page, row)
+    found = page.select(rows)
+    if not remove_noise:
+        plain = F.transform(
+            found,
+            lambda row: hit(
+                page.section(row), page.first_text(key, page.subtree(row)), value_text(page, row)
+            ),
         )
-        return hit(page.section(row), label, text)
+        return present(plain), None
 
-    found = page.select(rows)
-    removed = None
-    if remove_noise:
-        keyed = F.filter(found, lambda r: page.first_text(key, page.subtree(r)) != "")
-        removed = F.flatten(F.transform(keyed, noise))
-    return present(F.transform(found, row_hit)), removed
+    nothing = F.filter(page.nodes, lambda n: F.lit(False))
+
+    def read(state: Column, row: Column) -> Column:
+        # Only what reaches behind the row's start can lie in it, or in a later row.
+        return let(
+            F.filter(state["near"], lambda x: x["last"] >= row["pre"]),
+            lambda near: let(
+                page.without(near).first_text(key, page.subtree(row)),
+                lambda label: F.when(label != "", cleared(state, row, near, label)).otherwise(state),
+            ),
+        )
+
+    def cleared(state: Column, row: Column, near: Column, label: Column) -> Column:
+        before = page.without(near)
+
+        def after(noise: Column) -> Column:
+            text = value_text(before.without(noise), row)
+            return F.struct(
+                F.concat(near, noise).alias("near"),
+                F.concat(state["removed"], noise).alias("removed"),
+                F.concat(state["hits"], F.array(hit(page.section(row), label, text))).alias("hits"),
+            )
+
+        return let(before.select(", ".join(remove_noise), page.subtree(row)), after)
+
+    start = F.struct(nothing.alias("near"), nothing.alias("removed"), none().alias("hits"))
+    # Worked out once: the state is a column of two uses.
+    state = F.aggregate(found, start, read)
+    return present(state["hits"]), state["removed"]
 
 
 def rows(page: Page, **params) -> Column:

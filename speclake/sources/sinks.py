@@ -51,8 +51,8 @@ def json_values(kv: Column, kinds: Column | None = None) -> Column:
     )
 
 
-def document_json(documents: DataFrame) -> DataFrame:
-    """(run_date, file_name, document): one JSON text per page."""
+def document_json(documents: DataFrame, *more: str) -> DataFrame:
+    """(run_date, url, file_name, document) and the columns ``more``: one JSON text per page."""
     document = F.struct(
         "vendor",
         json_values(F.col("kv"), F.col("json_keys")).alias("kv"),
@@ -64,6 +64,7 @@ def document_json(documents: DataFrame) -> DataFrame:
         F.col("metadata.canonical_url").alias("url"),
         "file_name",
         F.to_json(document).alias("document"),
+        *more,
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +283,67 @@ def test_own_operator(extract):
     finally:
         del OPERATORS["title_case"]
     assert found["p"] == [("S", "Own", "Two Words")]
+
+
+def _tree(rng, depth=0):
+    """A random tree: [tag, class, children], a child may be a text."""
+    tag, name = rng.choice([("div", "r"), ("div", "r"), ("b", ""), ("u", ""), ("i", ""), ("p", "n"), ("p", "")])
+    children = [f"t{rng.randint(0, 99)} " if rng.random() < 0.7 else ""]
+    if depth < 5 and tag in ("div", "p"):
+        for _ in range(rng.randint(0, 4)):
+            children += [_tree(rng, depth + 1), f"x{rng.randint(0, 9)} " if rng.random() < 0.3 else ""]
+    return [tag, name, children]
+
+
+def _markup(node):
+    if isinstance(node, str):
+        return node
+    tag, name, children = node
+    return f"<{tag} class='{name}'>" + "".join(map(_markup, children)) + f"</{tag}>"
+
+
+def _all(node):
+    for child in node[2]:
+        if not isinstance(child, str):
+            yield child
+            yield from _all(child)
+
+
+def _content(node):
+    return " ".join("".join(_markup(c) if isinstance(c, str) else f" {_content(c)} " for c in node[2]).split())
+
+
+def _mutating(root):
+    """Rows read one after the other from a tree that loses their noise."""
+    out = []
+    for row in [n for n in _all(root) if n[:2] == ["div", "r"]]:
+        key = next((n for n in _all(row) if n[0] == "b"), None)
+        label = _content(key) if key else ""
+        if not label:
+            continue
+        for noise in [n for n in _all(row) if n[0] == "i" or n[1] == "n"]:
+            for x in [noise, *_all(noise)]:
+                x[2] = []  # gone with all that is in it
+
+        def drop(node):
+            node[2] = [c for c in node[2] if isinstance(c, str) or not (c[0] == "i" or c[1] == "n")]
+            for c in node[2]:
+                if not isinstance(c, str):
+                    drop(c)
+
+        drop(row)
+        value = next((n for n in _all(row) if n[0] == "u"), None)
+        if value and _content(value):
+            out.append(("Unknown", label, _content(value)))
+    return out
+
+
+def test_noise_of_outer_rows_is_gone_for_nested_ones(extract):
+    rng = random.Random(21)
+    spec = {"type": "rows", "rows": "div.r", "key": "b", "value": "u", "remove_noise": ["i", ".n"]}
+    trees = {f"p{i}": ["body", "", [_tree(rng) for _ in range(3)]] for i in range(150)}
+    pages = {name: _markup(tree) for name, tree in trees.items()}
+    found = extract(spec, pages)
+    want = {name: _mutating(tree) for name, tree in trees.items()}
+    assert {name: found[name] for name in want} == want
+    assert sum(map(len, want.values())) > 60
