@@ -41,14 +41,22 @@ def require_settings(spark: SparkSession) -> None:
         raise RuntimeError(f"call speclake.session.configure first; not set: {', '.join(wrong)}")
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and tasks share one process, and so its folders."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where it is unset (a session of one machine, as in tests) a folder of
-    this machine is taken.
+    Only in a session of one machine, as in tests, it may be unset; a folder of
+    this machine is taken then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="speclake-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
