@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from speclake.session import shared_root
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Keeps Arrow batches small: texts may be long, and a batch is held whole."""
@@ -22,14 +23,9 @@ def prepared(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a session of one machine, as in tests)
-    is a folder of this machine set.
+    Only in a session of one machine, as in tests, it may be unset.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
 
 
 def staged(rows: DataFrame) -> DataFrame:
