@@ -13,8 +13,9 @@ Words not met before are encoded together: the agendas of all of them are the
 rows of one array, and each round merges every word's best pair.  Words of more
 than ``LONG`` characters take an agenda of their own.
 
-Each Arrow batch is checked against the library's own ids; ``agrees`` tells so
-for every text.
+Each Arrow batch is checked against the library's own ids, each word that its
+texts hold once; ``agrees`` tells the outcome for every text, and a text with a
+word that differs gets the library's ids.
 
 Defined cases: NULL and empty texts have only the begin and end ids and decode
 to an empty text; repeated rows are each encoded; an empty table gives no rows;
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from speclake.llm import words as W
 from speclake.llm.shared import Kept, arrow_schema, in_arrow
 
 BLANK = "▁"
-KEPT = 700_000  # words of each of two generations
+KEPT = 500_000  # words of each of two generations
 LONG = 48
 _NONE = np.int32(2**31 - 1)  # no such pair
 
@@ -260,18 +262,41 @@ class Pieces:
             return (BLANK + text.replace(" ", "\0" + BLANK)).split("\0")
         return self.find(BLANK + text.replace(" ", BLANK))
 
-    def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of texts, each with begin and end."""
+    def encoded(self, texts: list[str | None], check: bool = False) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of texts, each with begin and end, and whether they are the library's.
+
+        A text's ids are those of its words one after the other, in the library
+        as here.  So every word that the texts hold is compared, once for all
+        texts; a text with one that differs gets the library's ids.
+        """
         cut = [self.cut(t) for t in texts]
-        known = self.known.of(set().union(*cut), self.merged_together)
-        out = []
-        for words in cut:
+        distinct = set().union(*cut)
+        known = self.known.of(distinct, self.merged_together)
+        wrong = self.differing(list(distinct), known) if check else set()
+        out, agrees = [], []
+        for text, words in zip(texts, cut, strict=True):
+            agrees.append(wrong.isdisjoint(words))
+            if not agrees[-1]:
+                whole = self.library.encode(text, add_bos=True, add_eos=True)
+                out.append(np.array(whole, "<u4"))
+                continue
             body = b"".join([known[w] for w in words])
             ids = np.empty(len(body) // 4 + 2, "<u4")
             ids[0], ids[-1] = self.begin, self.end
             ids[1:-1] = np.frombuffer(body, "<u4")
             out.append(ids)
-        return out
+        return out, agrees
+
+    def differing(self, words: list[str], known: dict[str, bytes]) -> set[str]:
+        """Words whose ids are not the library's."""
+        # The library marks a text's start with a blank itself.
+        other = self.library.encode([w[1:].replace(BLANK, " ") for w in words], num_threads=1)
+        sizes = np.fromiter(map(len, other), np.int64, len(other))
+        ids = np.fromiter(chain.from_iterable(other), "<u4", int(sizes.sum()))
+        own = [known[w] for w in words]
+        if b"".join(own) == ids.tobytes() and all(len(a) == 4 * b for a, b in zip(own, sizes.tolist(), strict=True)):
+            return set()
+        return {w for w, a, b in zip(words, own, other, strict=True) if a != np.array(b, "<u4").tobytes()}
 
 
 _loaded: dict[str, Pieces] = {}
@@ -299,8 +324,9 @@ def encode(
     """Per document: ids as little-endian unsigned 32-bit integers, and the decoded text.
 
     With ``digests``, hashes of both instead, so that neither leaves the task.
-    ``check`` compares with the library's ids, which are returned where they
-    differ (``agrees`` is false there); without it ``agrees`` is NULL.
+    ``check`` compares all words of a batch with the library's ids, which are
+    returned where they differ (``agrees`` is false there); without it ``agrees``
+    is NULL.
     """
     held = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
     own = T._parse_datatype_string(DIGEST if digests else OUT)
@@ -311,18 +337,9 @@ def encode(
         vocabulary = loaded(model)
         for some in W.slices(batch, "_text", W.PIECE // 2):
             texts = some.column(1).to_pylist()
-            ids = vocabulary.encoded(texts)
-            lists = [i.tolist() for i in ids]
-            decoded = vocabulary.library.decode(lists)
-            agrees = [None] * len(ids)
-            if check:
-                other = vocabulary.library.encode(
-                    [t or "" for t in texts], add_bos=True, add_eos=True, num_threads=1
-                )
-                agrees = [a == b for a, b in zip(lists, other, strict=True)]
-                for i in [i for i, same in enumerate(agrees) if not same]:  # the library's ids count
-                    lists[i], ids[i] = other[i], np.array(other[i], "<u4")
-                    decoded[i] = vocabulary.library.decode(other[i])
+            ids, agrees = vocabulary.encoded(texts, check)
+            decoded = vocabulary.library.decode([i.tolist() for i in ids])
+            agrees = agrees if check else [None] * len(ids)
             if digests:
                 first = [hashlib.sha256(i).hexdigest() for i in ids]
                 second = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]

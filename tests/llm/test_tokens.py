@@ -28,10 +28,10 @@ def vocabulary():
 
 def test_pieces_equal_the_library(vocabulary):
     some = [*texts(1, 1500), "", "x" * 500, "supercalifragilistic" * 40]
-    found = [i.tolist() for i in vocabulary.encoded(some)]
+    found = [i.tolist() for i in vocabulary.encoded(some)[0]]
     assert found == vocabulary.library.encode(some, add_bos=True, add_eos=True)
     alone = [
-        [1, *(i for w in vocabulary.cut("▁" + t.replace(" ", "▁")) for i in vocabulary.merged(w)), 2]
+        [1, *(i for w in vocabulary.cut(t) for i in vocabulary.merged(w)), 2]
         if t else [1, 2]
         for t in some
     ]
@@ -107,3 +107,16 @@ def test_round_trip_null_keys_and_empty(spark, documents):
     rows = token_ids.round_trip(documents([(4, "a"), (None, "b"), (None, None)]), path, 2)
     assert [r.doc_id for r in rows.orderBy("start").collect()] == [None, None, 4]
     assert token_ids.round_trip(documents([]), path, 2).collect() == []
+
+
+def test_words_that_differ_get_the_library_ids(spark, documents):
+    """A wrong union is found in whatever text has it, and does not get through."""
+    vocabulary = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["the  house ", None, "", "▁a the", " the\0end\n", "house"]
+    ids, agrees = vocabulary.encoded(texts, check=True)
+    want = [vocabulary.library.encode(t or "", add_bos=True, add_eos=True) for t in texts]
+    assert [i.tolist() for i in ids] == want and all(agrees)
+    known = vocabulary.known.young
+    known["▁the"] = known["▁the"] * 2
+    ids, agrees = vocabulary.encoded(texts, check=True)
+    assert [i.tolist() for i in ids] == want and agrees == [False, True, True, False, True, True]
