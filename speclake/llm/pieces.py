@@ -289,8 +289,13 @@ class Pieces:
 
     def differing(self, words: list[str], known: dict[str, bytes]) -> set[str]:
         """Words whose ids are not the library's."""
-        # The library marks a text's start with a blank itself.
-        other = self.library.encode([w[1:].replace(BLANK, " ") for w in words], num_threads=1)
+        # The library marks a text's start with a blank itself, but no empty text's:
+        # words of blanks only are looked at behind another one.
+        before = self.library.encode("a")
+        other = self.library.encode(
+            [w[1:].replace(BLANK, " ") if w.strip(BLANK) else "a" + " " * len(w) for w in words], num_threads=1
+        )
+        other = [ids if w.strip(BLANK) else ids[len(before) :] for w, ids in zip(words, other, strict=True)]
         sizes = np.fromiter(map(len, other), np.int64, len(other))
         ids = np.fromiter(chain.from_iterable(other), "<u4", int(sizes.sum()))
         own = [known[w] for w in words]
