@@ -2,15 +2,17 @@
 
 A block is a run of consecutive lines that just reaches ``LEAST_WORDS`` words,
 counted on from its first line or back from its last: all lines of any longer
-common run lie in common blocks.  A block held by ``RARE`` documents at most
-pairs all of them, and each pair is aligned by patience diff: common ends, then
-lines that are unique in both, in their longest common order, then the gaps
-between.  Runs of aligned lines with ``LEAST_WORDS`` words or more are deleted
-from the later document.  A block held by more documents is deleted from all
-but the first without pairing them.  So pairs grow with the documents and never
-with their square, and all that the alignment of every pair would delete is
-deleted; beyond ``RARE`` documents, common blocks that an alignment passes over
-(moved, or repeated in a document) are deleted too.
+common run lie in common blocks.  The first document that holds a block owns it.
+Every document is aligned with the owners of its blocks by patience diff: common
+ends, then lines that are unique in both, in their longest common order, then the
+gaps between.  Runs of aligned lines with ``LEAST_WORDS`` words or more are deleted
+from the later document.  A block that an alignment passes over, as it moved or is
+repeated, is aligned by itself with its place in the owner, line by line.
+
+So, whatever the number of holders, a line is deleted if and only if it lies in a
+run of ``LEAST_WORDS`` words or more that an earlier document holds too; that is
+all that the alignment of every pair would delete, and the moved blocks.  Pairs
+grow with the documents and never with their square.
 
 Documents are ordered by their key.  A line is compared without white space at
 its ends, as a 64-bit hash; lines without a word are neither compared nor
@@ -34,7 +36,6 @@ from pyspark.sql import functions as F
 
 from speclake.llm.shared import arrow_schema, in_arrow, staged
 
-RARE = 8
 LEAST_WORDS = 12
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -113,8 +114,8 @@ def _starts(column) -> np.ndarray:
     return offsets - offsets[0]
 
 
-def shared_blocks(lines: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Documents and their blocks that others hold too, with number and first of the holders."""
+def owner_pairs(lines: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Pairs (early, late): every document with the owners of its blocks."""
     schema = f"doc {_doc_type(lines)}, blocks ARRAY<BIGINT>"
     shape = arrow_schema(schema)
 
@@ -130,76 +131,19 @@ def shared_blocks(lines: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     held = in_arrow(rows, step, schema).select(
         "doc", F.explode(F.array_distinct("blocks")).alias("hash")
     ).distinct()
-    counted = (
+    owned = (
         held.groupBy("hash")
-        .agg(F.count("*").alias("n"), F.min("doc").alias("first"))
+        .agg(F.count("*").alias("n"), F.min("doc").alias("early"))
         .where("n > 1")
+        .drop("n")
     )
-    return held.join(counted, "hash")
-
-
-def block_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs (early, late) of documents that share a block of ``RARE`` holders at most."""
-    return _all_pairs(shared.where(F.col("n") <= RARE)).distinct()
-
-
-def _all_pairs(shared: DataFrame) -> DataFrame:
     return (
-        shared.groupBy("hash")
-        .agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-        .select(F.posexplode("docs").alias("i", "late"), "docs")
-        .select(F.explode(F.slice("docs", 1, F.col("i"))).alias("early"), "late")
-    )
-
-
-def block_places(lines: DataFrame, shared: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Per document: places of the blocks of more holders than ``RARE``, but for the first's."""
-    late = (
-        shared.where((F.col("n") > RARE) & (F.col("doc") != F.col("first")))
-        .groupBy("doc")
-        .agg(F.collect_list("hash").alias("known"))
-    )
-    rows = lines.join(late, "doc").select("doc", "hashes", "words", "places", "known")
-    schema = f"doc {_doc_type(lines)}, gone ARRAY<INT>"
-    shape = arrow_schema(schema)
-
-    def step(batch):
-        gone = []
-        for n in range(batch.num_rows):
-            hashes, words, places, known = (
-                np.asarray(batch.column(i)[n].values) for i in range(1, 5)
-            )
-            low, high, value = blocks_of(hashes, words, np.array([0, len(hashes)]), least)
-            found = np.isin(value, known)
-            inside = np.zeros(len(hashes) + 1, np.int64)
-            np.add.at(inside, low[found], 1)
-            np.add.at(inside, high[found] + 1, -1)
-            gone.append(places[np.cumsum(inside)[:-1] > 0].tolist())
-        yield pa.record_batch([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], schema=shape)
-
-    return in_arrow(rows, step, schema)
-
-
-def pairs_of(lines: DataFrame, rare: int) -> DataFrame:
-    """Pairs (early, late) by lines: all of a line's documents up to ``rare``, else with the first.
-
-    Fewer than all pairs; for comparisons only.
-    """
-    held = lines.where(F.col("doc.id").isNotNull()).select(
-        "doc", F.explode(F.array_distinct("hashes")).alias("hash")
-    ).distinct()
-    counted = (
-        held.groupBy("hash")
-        .agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-        .where("n > 1")
-    )
-    shared = held.join(counted, "hash")
-    star = shared.where((F.col("n") > rare) & (F.col("doc") != F.col("first"))).select(
-        F.col("first").alias("early"), F.col("doc").alias("late")
+        held.withColumnRenamed("doc", "late")
+        .join(owned, "hash")
+        .where(F.col("early") != F.col("late"))
+        .select("early", "late")
+        .distinct()
     )
-    # At most ``rare`` documents per line.
-    few = _all_pairs(shared.where(F.col("n") <= rare))
-    return star.unionByName(few).distinct()
 
 
 def patience(x: list[int], y: list[int]) -> list[tuple[int, int]]:
@@ -276,57 +220,97 @@ def common_lines(x: list[int], y: list[int], words: list[int], least: int) -> li
     return out
 
 
-def deletions(
-    lines: DataFrame, rare: int | None = None, least: int = LEAST_WORDS
-) -> DataFrame:
-    """Per document that loses lines: their places in the text, rising.
-
-    With ``rare``, only the pairs of ``pairs_of`` are aligned, and blocks are not looked for.
-    """
-    shared = staged(shared_blocks(lines, least)) if rare is None else None
-    pairs = block_pairs(shared) if rare is None else pairs_of(lines, rare)
-    late = lines.select(F.col("doc").alias("late"), "hashes", "words", "places").distinct()
-    early = lines.select(F.col("doc").alias("early"), F.col("hashes").alias("others")).distinct()
-    rows = pairs.join(early, "early").join(late, "late").select(
-        F.col("late").alias("doc"), "others", "hashes", "words", "places"
+def passed_over(early: _Lines, late: _Lines, aligned: np.ndarray, least: int) -> np.ndarray:
+    """Marks lines of blocks that the alignment left out and the other document of the row holds."""
+    low, high, value = blocks_of(late.hashes, late.words, late.starts, least)
+    sums = np.concatenate(([0], np.cumsum(aligned)))
+    left = sums[high + 1] - sums[low] <= high - low
+    low, high, value = low[left], high[left], value[left]
+    marks = aligned.copy()
+    if not len(low):
+        return marks
+    at, until, known = blocks_of(early.hashes, early.words, early.starts, least)
+    places = dict(zip(zip(early.rows(at).tolist(), known.tolist(), strict=True),
+                      zip(at.tolist(), until.tolist(), strict=True), strict=True))
+    for row, a, b, v in zip(late.rows(low).tolist(), low.tolist(), high.tolist(), value.tolist(), strict=True):
+        c, d = places.get((row, v), (0, -1))
+        if d - c == b - a and np.array_equal(early.hashes[c : d + 1], late.hashes[a : b + 1]):
+            marks[a : b + 1] = True
+    return marks
+
+
+class _Lines:
+    """Lines of one side of a batch of pairs."""
+
+    def __init__(self, hashes, words):
+        self.hashes, self.words, self.starts = _flat(hashes), _flat(words), _starts(hashes)
+
+    def rows(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, "right") - 1
+
+
+def deletions(lines: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Per document that loses lines: their places in the text, rising, and for each line
+    of the text whether it goes."""
+    # The owner's lines come last: a hot owner's join is one AQE can split, and its lines
+    # are not shuffled once per pair.
+    late = lines.dropDuplicates(["doc"]).select(
+        F.col("doc").alias("late"), "n_lines", "hashes", "words", "places"
+    )
+    early = lines.dropDuplicates(["doc"]).select(
+        F.col("doc").alias("early"), F.col("hashes").alias("others"), F.col("words").alias("other_words")
+    )
+    rows = owner_pairs(lines, least).join(late, "late").join(early, "early").select(
+        F.col("late").alias("doc"), "n_lines", "others", "other_words", "hashes", "words", "places"
     )
-    schema = f"doc {_doc_type(lines)}, gone ARRAY<INT>"
+    schema = f"doc {_doc_type(lines)}, n_lines INT, gone ARRAY<INT>"
     shape = arrow_schema(schema)
 
     def align(batch):
-        keep, gone = [], []
-        columns = [batch.column(i) for i in range(1, 5)]
+        x = _Lines(batch.column(2), batch.column(3))
+        y = _Lines(batch.column(4), batch.column(5))
+        places = _flat(batch.column(6))
+        aligned = np.zeros(len(y.hashes), bool)
         for n in range(batch.num_rows):
-            x, y, words, places = (np.asarray(c[n].values).tolist() for c in columns)
-            found = common_lines(x, y, words, least)
-            if found:
-                keep.append(n)
-                gone.append([places[j] for j in found])
-        yield pa.record_batch(
-            [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(gone, pa.list_(pa.int32()))],
-            schema=shape,
-        )
-
-    found = in_arrow(rows, align, schema)
-    if rare is None:
-        found = found.unionByName(block_places(lines, shared, least))
-    return (
-        found.select("doc", F.explode("gone").alias("place"))
+            a, b = y.starts[n], y.starts[n + 1]
+            others = x.hashes[x.starts[n] : x.starts[n + 1]].tolist()
+            found = common_lines(others, y.hashes[a:b].tolist(), y.words[a:b].tolist(), least)
+            aligned[a + np.array(found, np.int64)] = True
+        gone = np.flatnonzero(passed_over(x, y, aligned, least))
+        offsets = np.searchsorted(gone, y.starts).astype(np.int32)
+        taken = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[gone], pa.int32()))
+        yield pa.record_batch([batch.column(0), batch.column(1), taken], schema=shape)
+
+    found = (
+        in_arrow(rows, align, schema)
+        .select("doc", "n_lines", F.explode("gone").alias("place"))
         .distinct()
-        .groupBy("doc")
+        .groupBy("doc", "n_lines")
         .agg(F.sort_array(F.collect_list("place")).alias("gone"))
     )
+    schema = f"doc {_doc_type(lines)}, gone ARRAY<INT>, goes ARRAY<BOOLEAN>"
+    flagged = arrow_schema(schema)
+
+    def flags(batch):
+        ends = np.concatenate(([0], np.cumsum(np.asarray(batch.column(1), np.int64))))
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(_starts(batch.column(2))))
+        goes = np.zeros(ends[-1], bool)
+        goes[ends[rows] + _flat(batch.column(2))] = True
+        each = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(goes))
+        yield pa.record_batch([batch.column(0), batch.column(2), each], schema=flagged)
+
+    return in_arrow(found, flags, schema)
 
 
 def report(
     docs: DataFrame, key: str = "doc_id", text: str = "text",
-    rare: int | None = None, least: int = LEAST_WORDS,
+    least: int = LEAST_WORDS,
 ) -> DataFrame:
     """Per document: key, n_lines, words, and number, words and places of deleted lines."""
     lines = staged(lines_of(docs, key, text))
-    joined = lines.join(deletions(lines, rare, least), "doc", "left")
+    joined = lines.join(deletions(lines, least), "doc", "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
-    taken = F.filter(F.arrays_zip("places", "words"), lambda x: F.array_contains(gone, x["places"]))
+    taken = F.filter(F.arrays_zip("places", "words"), lambda x: F.get("goes", x["places"]))
 
     def total(words):
         return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + w)
@@ -343,27 +327,27 @@ def report(
 
 def deduped(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars",
-    rare: int | None = None, least: int = LEAST_WORDS,
+    least: int = LEAST_WORDS,
 ) -> DataFrame:
     """The documents without the deleted lines; those that lose every word are left out."""
     lines = staged(lines_of(docs, key, text))
-    gone = deletions(lines, rare, least).select(
-        F.col("doc.id").alias("_id"), F.col("doc.h").alias("_h"), "gone"
+    gone = deletions(lines, least).select(
+        F.col("doc.id").alias("_id"), F.col("doc.h").alias("_h"), "goes"
     )
     whole = F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"))
     joined = rows.join(
         gone, (F.col(f"row.`{key}`") == F.col("_id")) & (F.xxhash64(whole) == F.col("_h")), "left"
     )
-    left = F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("gone", i))
+    left = F.filter(F.split(whole, "\n"), lambda x, i: ~F.get("goes", i))
     out = joined.withColumn(
-        "out", F.when(F.col("gone").isNull(), F.col(f"row.`{text}`")).otherwise(
+        "out", F.when(F.col("goes").isNull(), F.col(f"row.`{text}`")).otherwise(
             F.array_join(left, "\n"))
-    ).where(F.col("gone").isNull() | F.col("out").rlike(WORD))
+    ).where(F.col("goes").isNull() | F.col("out").rlike(WORD))
     columns = [
         F.col("out").alias(c)
         if c == text
-        else F.when(F.col("gone").isNull(), F.col(f"row.`{c}`"))
+        else F.when(F.col("goes").isNull(), F.col(f"row.`{c}`"))
         .otherwise(F.length("out").cast(docs.schema[c].dataType))
         .alias(c)
         if c == length
