@@ -497,3 +497,39 @@ def fragment_article_pdf(spark, folder):
     found = _listings(spark, folder, page, ({"type": "dl"}, {"type": "phoenix_pdf", "locale": "de-DE"}))
     facts = frags.fragment_kv(found, ["user_id"])
     return facts.where(P("key") == "PDF Datasheet").select("user_id", "value")
+
+
+@query("fragment_containers", """
+    WITH t AS (
+      SELECT user_id, event_id AS e,
+             min(event_id) FILTER (event_id % 5 = 1) OVER (PARTITION BY user_id) AS opens
+      FROM events),
+    u AS (
+      SELECT *, min(e) FILTER (e > opens AND (e % 3 = 0 OR e % 5 = 1)) OVER (PARTITION BY user_id) AS closes FROM t)
+    SELECT user_id, e AS frag_no, 'early' AS key, e::VARCHAR AS value FROM u
+    WHERE opens IS NULL OR (e > opens AND e <= coalesce(closes, e))
+    UNION ALL
+    SELECT user_id, e, 'late', e::VARCHAR FROM u
+    WHERE opens IS NULL OR (e >= opens AND e < coalesce(closes, e + 1))
+    UNION ALL
+    SELECT user_id, e, 'item ' || e, e::VARCHAR FROM u""")
+def fragment_containers(spark, folder):
+    """Containers that one fragment opens and another closes; only the first of a listing is read.
+
+    Every fifth fragment opens one, it and every third close the one before: with
+    ``main``, the elements left open in it go too.
+    """
+    e = P("event_id")
+    page = markup(
+        "<dl><dt>early</dt><dd>", e, "</dd></dl>", _where((e % 3 == 0) | (e % 5 == 1), "</main>"),
+        _where(e % 5 == 1, '<main><div class="specs x"><p>'),
+        "<dl><dt>late</dt><dd>", e, "</dd></dl><ul><li><b>item ", e, "</b><i>", e, "</i></li></ul>",
+    )
+    rows = rendering(table(spark, folder, "events").select("user_id", "event_id")).select(
+        "user_id", e.alias("frag_no"), page.alias("html")
+    )
+    sites = only(
+        {"type": "dl", "container": "main .specs"}, {"type": "li_split", "container": "article"}
+    )
+    found = frags.extract_fragments(rows, F.lit("generic"), ["user_id"], sites, pieces=True)
+    return frags.fragment_facts(found, ["user_id"]).select("user_id", "frag_no", "key", "value")

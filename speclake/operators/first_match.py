@@ -18,6 +18,7 @@ from speclake.functions.text import clean_plain_text, strip
 from speclake.functions.urls import absolute_url, prefix_by_name
 from speclake.operators import downloads, pairs, singles
 from speclake.operators.hits import HITS, single, stamp
+from speclake.operators.open_elements import MARK
 from speclake.operators.page import Page, last_of, let
 from speclake.operators.registry import COUNTED_AS
 
@@ -172,3 +173,33 @@ def last_headers(page: Page, specs: tuple[dict, ...]) -> Column:
 
     found = _usable(specs)(page, 0, take, [])
     return (F.array() if found is None else found).cast(HEADERS)
+
+
+BOXES = "ARRAY<STRUCT<spec_ord INT, box STRING>>"
+# Types that read below a container.
+IN_CONTAINER = ("table", "dl", "li_split", "product_variants", "list_variants")
+
+
+def boxes(page: Page, specs: tuple[dict, ...], number: Column, opened: Column) -> Column:
+    """Which element each operator's container is; NULL: none.
+
+    An element is named by the piece that opens it and its place there: by its
+    mark if it was opened before, else by ``number`` and its place in the page,
+    less the ``opened`` elements that the piece begins in.
+    """
+
+    def take(page: Page, at: int, spec: dict) -> Column | None:
+        container = spec.get("container", "body")
+        if spec.get("type") not in IN_CONTAINER or not container:
+            return None
+        name = let(
+            page.first(container),
+            lambda box: F.when(
+                box.isNotNull(),
+                F.coalesce(box["attrs"][MARK], F.concat(number, box["pre"] - opened)),
+            ),
+        )
+        return F.array(F.struct(F.lit(at).alias("spec_ord"), name.alias("box"))).cast(BOXES)
+
+    found = _usable(specs)(page, 0, take, [])
+    return (F.array() if found is None else found).cast(BOXES)

@@ -4,6 +4,13 @@ A merged listing page can be of any size, so fragments are extracted one by
 one.  What crosses fragments is carried on small rows: the heading a fragment
 starts under, the running section of each list operator, first matches, the
 canonical address, and the order of writes.
+
+Fragments that are pieces of one document, cut anywhere between its tags, carry the
+elements that are open where they begin as well (``pieces``): each is read within
+these, and an operator's container is the first of the whole document, from the
+piece that opens it to the one that closes it.  Text, a row or an item that is cut
+is read by its parts, and rows of a table that is cut and has headings inside are
+under the heading that their piece starts under.
 """
 
 from __future__ import annotations
@@ -14,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speclake.functions.urls import article_pdf_url, trailing_article
-from speclake.operators.first_match import FIRST_STATES, first_states, last_headers
+from speclake.operators.first_match import FIRST_STATES, boxes, first_states, last_headers
+from speclake.operators.open_elements import with_open_elements
 from speclake.operators.ordered import with_value_before
 from speclake.operators.page import UNKNOWN, page_of
 from speclake.operators.registry import COUNTED_AS
@@ -41,20 +49,33 @@ def extract_fragments(
     keys: Sequence[str],
     sites: Sites | None = None,
     html: str = "html",
+    pieces: bool = False,
 ) -> DataFrame:
     """One row per fragment: hits, states of first matches, last heading, the
     heading it starts under, and the running sections it ends with.
 
     The site of a listing is known from its address, so ``vendor`` is given.
+
+    ``pieces``: the fragments are pieces of one document and not pages of their
+    own; their texts are taken as they are, not as escaped ones.
     """
     sites = sites or load_sites()
     page = page_of()
+    options = {}
+    if pieces:
+        fragments = with_open_elements(fragments, keys, "frag_no", html, staged)
+        options["escape_window"] = 0
     also = {
         "firsts": by_site(sites, lambda site: first_states(page, site.specs, site.name)),
         "headers": by_site(sites, lambda site: last_headers(page, site.specs)),
         "articles": by_site(sites, lambda site: _articles(site.specs)),
     }
-    extracted = staged(extract_pages(fragments, sites, html=html, vendor=vendor, also=also))
+    if pieces:
+        own = F.concat(F.col("frag_no"), F.lit(":"))
+        also["boxes"] = by_site(sites, lambda site: boxes(page, site.specs, own, F.col("_opened")))
+    extracted = staged(
+        extract_pages(fragments, sites, html=html, vendor=vendor, also=also, **options).drop("_opened")
+    )
     return with_value_before(
         extracted, keys, "frag_no", F.col("last_heading"), "heading_before", skip_nulls=True
     )
@@ -95,6 +116,8 @@ def fragment_facts(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     matches only that of the listing is left.
     """
     facts = kv_raw_from_hits(extracted, [*keys, "frag_no", "heading_before"])
+    if "boxes" in extracted.columns:
+        facts = _without(facts, _outside(extracted, keys), [*keys, "frag_no", "spec_ord"])
     unknown = F.col("section") == UNKNOWN
     section = F.when(
         unknown & F.col("extractor_type").isin(*UNDER_HEADINGS),
@@ -118,11 +141,39 @@ def _nulls_equal(left: DataFrame, right: DataFrame, names: Sequence[str], how: s
     return left.join(other, same, how).drop(*[f"_r_{n}" for n in names])
 
 
+def _outside(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fragments and operators that read outside of the document's first container, if it has one."""
+    read = extracted.select(*keys, "frag_no", F.explode("boxes").alias("b")).select(
+        *keys, "frag_no", "b.spec_ord", "b.box"
+    )
+    first = (
+        read.where(F.col("box").isNotNull())
+        .groupBy(*keys, "spec_ord")
+        .agg(F.min_by("box", "frag_no").alias("first_box"))
+    )
+    return (
+        _nulls_equal(read, first, [*keys, "spec_ord"], "inner")
+        .where(~F.col("box").eqNullSafe(F.col("first_box")))
+        .select(*keys, "frag_no", "spec_ord")
+    )
+
+
+def _without(rows: DataFrame, gone: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows that have no equal in ``gone``; NULLs are equal."""
+    other = gone.withColumnsRenamed({n: f"_r_{n}" for n in names})
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
+    return rows.join(other, same, "left_anti")
+
+
 def _with_running_sections(facts: DataFrame, extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """List items above a fragment's first header take the header that ran before."""
     ends = extracted.select(*keys, "frag_no", F.explode("headers").alias("h")).select(
         *keys, "frag_no", F.col("h.spec_ord").alias("spec_ord"), F.col("h.text").alias("_text")
     )
+    if "boxes" in extracted.columns:
+        ends = _without(ends, _outside(extracted, keys), [*keys, "frag_no", "spec_ord"])
     runs = (
         with_value_before(
             ends, [*keys, "spec_ord"], "frag_no", F.col("_text"), "section_before", skip_nulls=True

@@ -69,3 +69,87 @@ def test_no_fragments(spark):
     sites = Sites({"generic": {"name": "Any", "specs": SPECS}})
     pieces = fragments.extract_fragments(frame, F.lit("generic"), ["page"], sites)
     assert fragments.fragment_kv(pieces, ["page"]).collect() == []
+
+
+CUT_PIECES = (
+    '<div class="box">', "<div>", "</div>", "</div>", "<section>", "</section>", "<p>", "</p>", "<br>",
+    "</table><h2>Title {n}</h2>", "</table><h3>Part {n}</h3>", "<script>'</div>'</script>",
+    "<dl><dt>a</dt><dd>{n}</dd></dl>", "<table><tr><td>b{n}</td><td>{n}</td></tr></table>",
+    "<tr><td>c</td><td>{n}</td></tr>", "</table><table>", "</table>",
+    "<li><b>d</b><i>{n}</i></li>", "<dl><dt>e{n}</dt><dd>{n}</dd></dl>",
+)
+CUT_SPECS = [
+    {"type": "dl", "container": "div.box"},
+    {"type": "li_split", "container": "section", "items": "li", "section_headers": ["h3"]},
+    {"type": "table", "container": "div.box"},
+    {"type": "dl", "container": "section div.box"},
+    {"type": "li_split", "container": "div.box p", "items": "li"},
+    {"type": "dl"},
+]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_containers_reach_over_pieces(spark, extract, seed):
+    rng = random.Random(seed)
+    merged, rows = {}, []
+    for page in range(80):
+        parts = [
+            "".join(rng.choice(CUT_PIECES).format(n=100 * page + 10 * f + i) for i in range(rng.choice([0, 1, 3])))
+            for f in range(rng.choice([1, 4, 9]))
+        ]
+        merged[f"p{page}"] = "".join(parts)
+        rows += [(f"p{page}", f * rng.choice([1, 3000]), part) for f, part in enumerate(parts)]
+    rows = [(p, n, h) for n, (p, _, h) in zip(order_of(rows), rows, strict=True)]
+    want = {
+        (page, section, key, value)
+        for page, hits in extract(CUT_SPECS, merged).items()
+        for (section, key), value in {(s, k): v for s, k, v in hits}.items()
+    }
+    frame = spark.createDataFrame(rows, "page STRING, frag_no LONG, html STRING")
+    sites = Sites({"generic": {"name": "Any", "specs": CUT_SPECS}})
+    found = fragments.fragment_kv(
+        fragments.extract_fragments(frame, F.lit("generic"), ["page"], sites, pieces=True), ["page"]
+    )
+    assert {(r.page, r.section, r.key, r.value) for r in found.collect()} == want
+
+
+def order_of(rows):
+    """Rising numbers within a page, some far apart, so that pages lie in several ranges."""
+    at, last, out = 0, None, []
+    for page, step, _ in rows:
+        at = at + 1 + step if page == last else 0
+        last = page
+        out.append(at)
+    return out
+
+
+def test_words_join():
+    """Folding words in any cuts gives the open elements of the whole."""
+    from speclake.operators.open_elements import Word, word_of
+
+    rng = random.Random(0)
+    tags = ["<a>", "<b>", "<c>", "</a>", "</b>", "</c>", "<br>", "text"]
+    for _ in range(300):
+        pieces = ["".join(rng.choice(tags) for _ in range(rng.randint(0, 5))) for _ in range(6)]
+        stack = []
+        for n, piece in enumerate(pieces):
+            place = 0
+            for tag in piece.replace("text", "").replace("<", " <").split():
+                if tag[1] != "/":
+                    if tag != "<br>":
+                        stack.append((tag[1:-1], f"{n}:{place}"))
+                    place += 1
+                elif any(name == tag[2:-1] for name, _ in stack):
+                    while stack.pop()[0] != tag[2:-1]:
+                        pass
+        words = [word_of(piece, n) for n, piece in enumerate(pieces)]
+        want = [f'<{name} speclake-opened="{place}">' for name, place in stack]
+        cut = rng.randint(0, 6)
+        left, right = Word(), Word()
+        for w in words[:cut]:
+            left.extend(w)
+        for w in words[cut:]:
+            right.extend(w)
+        whole = Word(left.tokens, whole=True)
+        whole.extend(right.tokens)
+        assert whole.tokens == want
