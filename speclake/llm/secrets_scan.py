@@ -58,6 +58,7 @@ PEM = re.compile(
     rb"-----BEGIN ([A-Z0-9]+ )?PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1?PRIVATE KEY-----"
 )
 JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+JWT_RUN = re.compile(rb"eyJ[A-Za-z0-9_-]*")
 IBAN = re.compile(rb"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9]){12,18}")
 IBAN_GOES_ON, CARD_GOES_ON = re.compile(rb"[A-Za-z0-9]"), re.compile(rb"[0-9]")
@@ -210,6 +211,9 @@ def spans_of(text: bytes) -> list[tuple[int, int, int]]:
                 taken = match.end()
                 if holds(match):
                     out.append((start, KINDS.index(kind), match.end()))
+            elif pattern is JWT and (run := JWT_RUN.match(text, start)):
+                # What follows the run decided, and it is the same for all starts in the run.
+                taken = run.end()
     for match in HEX_RUN.finditer(text.translate(HEX_CLASS)):
         out.append((match.start(), KINDS.index("hex"), match.end()))
     classes = text.translate(CLASSES)

@@ -111,3 +111,28 @@ def test_ibans_of_their_countrys_length_come_first():
     number = "AT61 1904 3002 3457 3201"
     longer = [w for w in range(1000) if S.iban_holds(f"{number} {w:03}".encode())]
     assert longer and all(own(f"{number} {w:03}", "iban") == [(0, 24)] for w in longer)
+
+
+def test_tokens_equal_brute_force():
+    """A start is tried wherever no match covers it."""
+    rng = random.Random(4)
+    head = "eyJhbGciOiJIUzI1NiJ9"
+    parts = [head, "eyJ", "EYJ", ".", "..", "e30", "-", "_", "x", " ", "eyJh", "é", "\n"]
+    seen = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14))).encode()
+        want = [(m.start(), m.end()) for m in S.JWT.finditer(text) if S.jwt_holds(m[0])]
+        assert own(text.decode(), "jwt") == want, text
+        seen += len(want)
+    assert seen > 100
+
+
+def test_token_starts_without_end_are_linear():
+    import time
+
+    token = "eyJhbGciOiJIUzI1NiJ9.e30.abc"
+    start = time.process_time()
+    for text in (b"eyJ" * 300_000, b"eyJ." * 200_000, (b"eyJ" * 1000 + b".") * 300):
+        found = [s for s in S.spans_of(text + b" " + token.encode()) if S.KINDS[s[1]] == "jwt"]
+        assert [(s, e) for s, _, e in found][-1] == (len(text) + 1, len(text) + 1 + len(token))
+    assert time.process_time() - start < 20
