@@ -16,7 +16,7 @@ from speclake.plans.variants import variant_rows
 from speclake.session import shared_root, staged
 from speclake.sources.sinks import landed_pages, latest
 from speclake.sources.sites import Sites, load_sites
-from speclake.streaming import landing
+from speclake.streaming import changes, landing
 from speclake.streaming.pages import page_stream, stream_documents
 
 P = F.col
@@ -533,3 +533,35 @@ def fragment_containers(spark, folder):
     )
     found = frags.extract_fragments(rows, F.lit("generic"), ["user_id"], sites, pieces=True)
     return frags.fragment_facts(found, ["user_id"]).select("user_id", "frag_no", "key", "value")
+
+
+@query("stream_state_change", """
+    WITH d AS (SELECT user_id, event_id AS e, event_type AS state,
+                      CASE WHEN event_id % 10 = 0 THEN 4
+                           ELSE 1 + event_id * 3 // (SELECT max(event_id) + 1 FROM events) END AS batch
+               FROM events),
+    m AS (SELECT *, coalesce(batch = 4 AND e < max(e) FILTER (batch < 4)
+                                              OVER (PARTITION BY user_id), false) AS late FROM d),
+    t AS (SELECT user_id, e, lag(state) OVER (PARTITION BY user_id ORDER BY e) AS before
+          FROM m WHERE NOT late),
+    s AS (SELECT user_id, e, lag(state) OVER (PARTITION BY user_id ORDER BY e) AS before FROM d)
+    SELECT m.user_id, m.e AS event_id, late,
+           CASE WHEN NOT late THEN state <> t.before END AS changed, state <> s.before AS settled
+    FROM m JOIN s ON m.user_id = s.user_id AND m.e = s.e
+    LEFT JOIN t ON m.user_id = t.user_id AND m.e = t.e""")
+def stream_state_change(spark, folder):
+    """Events as fragments that come in four deliveries, every tenth in the last."""
+    place = f"{shared_root(spark)}/changes-{uuid.uuid4().hex}"
+    events = table(spark, folder, "events").select("user_id", "event_id", "event_type")
+    many = events.agg(F.max("event_id") + 1).first()[0] or 1
+    third = F.floor(P("event_id") * 3 / F.lit(many))
+    dealt = events.withColumn("delivery", F.when(P("event_id") % 10 == 0, 3).otherwise(third))
+    for number in range(4):
+        dealt.where(P("delivery") == number).drop("delivery").write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{place}/in")
+        changes.stream_changes(stream, place, ["user_id"], "event_id", "event_type").awaitTermination()
+    told = changes.told_changes(spark, place).select("user_id", "event_id", "changed", "late")
+    settled = changes.settled_changes(spark, place, ["user_id"], "event_id", "event_type")
+    return told.join(
+        settled.select("user_id", "event_id", P("changed").alias("settled")), ["user_id", "event_id"]
+    )
