@@ -252,12 +252,11 @@ class _Lines:
 def deletions(lines: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """Per document that loses lines: their places in the text, rising, and for each line
     of the text whether it goes."""
-    # The owner's lines come last: a hot owner's join is one AQE can split, and its lines
-    # are not shuffled once per pair.
-    late = lines.dropDuplicates(["doc"]).select(
-        F.col("doc").alias("late"), "n_lines", "hashes", "words", "places"
-    )
-    early = lines.dropDuplicates(["doc"]).select(
+    # The owner's lines come last, so they are not shuffled once per pair.  Both sides of
+    # that join are plain shuffles, as AQE splits a hot owner's rows only then.
+    once = staged(lines.dropDuplicates(["doc"]))
+    late = once.select(F.col("doc").alias("late"), "n_lines", "hashes", "words", "places")
+    early = once.select(
         F.col("doc").alias("early"), F.col("hashes").alias("others"), F.col("words").alias("other_words")
     )
     rows = owner_pairs(lines, least).join(late, "late").join(early, "early").select(
