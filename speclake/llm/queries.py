@@ -94,6 +94,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 # White-space words of a text; counts of a pattern in a text.
 _SQL_WORDS = r"coalesce(regexp_extract_all({text}, '[^\x20\x09-\x0D]+'), [])"
+_SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _sql_count(text: str, pattern: str) -> str:
@@ -186,7 +187,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "op2_similar",
     f"""
-    WITH RECURSIVE d AS (SELECT doc_id, {_SQL_WORDS.format(text='text')} AS w FROM documents),
+    WITH RECURSIVE d AS (SELECT doc_id, {_SQL_WORDS.format(text=_SQL_LOWER)} AS w FROM documents),
     sets AS (
       SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {similar.N}
                      THEN [array_to_string(w, ' ')]
@@ -209,7 +210,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return similar.classes(table(spark, folder, "documents"))
+    return similar.classes(table(spark, folder, "documents"), lower=True)
 
 
 @query("op10_warc")

@@ -40,7 +40,8 @@ Defined cases: NULL and empty texts, and texts of white space, have an empty
 set and are linked with nothing; a text of fewer than ``N`` words has its whole
 run as the one shingle; rows with a NULL key take part, and their component is
 the least key that is not NULL; an empty table gives no rows; other columns
-are left out by ``classes`` and kept by ``first_of_each``.
+are left out by ``classes`` and kept by ``first_of_each``; letters
+are compared as they are, or, with ``lower``, A-Z as a-z.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def _names(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     )
 
 
-def _base(held: DataFrame, n: int, percent: int) -> DataFrame:
+def _base(held: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
     """Per document its set's name and size; with the set's first use in a task, its first shingles."""
     schema = T.StructType(
         [held.schema["id"], *T._parse_datatype_string("h LONG, set LONG, n INT, keys ARRAY<LONG>").fields]
@@ -125,7 +126,7 @@ def _base(held: DataFrame, n: int, percent: int) -> DataFrame:
         seen: set[int] = set()  # the task's sets
         for batch in batches:
             for some in W.slices(batch, "t"):
-                hashes, bounds = shingle_sets(W.words_of(some.column(2), W.SPACED), n)
+                hashes, bounds = shingle_sets(W.words_of(some.column(2), W.SPACED, lower), n)
                 sizes = np.diff(bounds)
                 names = _names(hashes, bounds)
                 new = []
@@ -186,7 +187,9 @@ def _survivors(base: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _whole(held: DataFrame, base: DataFrame, survivors: DataFrame, n: int) -> DataFrame:
+def _whole(
+    held: DataFrame, base: DataFrame, survivors: DataFrame, n: int, lower: bool
+) -> DataFrame:
     """The survivors' shingles, from one document of each set."""
     one = (
         base.join(survivors.select("set"), "set")
@@ -205,7 +208,7 @@ def _whole(held: DataFrame, base: DataFrame, survivors: DataFrame, n: int) -> Da
     def run(batches):
         for batch in batches:
             for some in W.slices(batch, "t"):
-                hashes, bounds = shingle_sets(W.words_of(some.column(1), W.SPACED), n)
+                hashes, bounds = shingle_sets(W.words_of(some.column(1), W.SPACED, lower), n)
                 cut = np.stack((bounds[:-1], bounds[1:]), axis=1)
                 yield pa.record_batch(
                     [
@@ -548,20 +551,27 @@ def set_links(whole: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def classes(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    n: int = N,
+    percent: int = PERCENT,
+    lower: bool = False,
 ) -> DataFrame:
-    """Per document: key, n_shingles and component_id."""
-    shown = _classes(docs, key, text, n, percent)
+    """Per document: key, n_shingles and component_id; ``lower`` takes A-Z for a-z."""
+    shown = _classes(docs, key, text, n, percent, lower)
     return shown.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"),
                         F.coalesce("component", "id").alias("component_id"))
 
 
-def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+def _classes(
+    docs: DataFrame, key: str, text: str, n: int, percent: int, lower: bool
+) -> DataFrame:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     held = docs.select(F.col(key).alias("id"), F.xxhash64(whole).alias("h"), whole.alias("t"))
-    base = staged(_base(held, n, percent))
+    base = staged(_base(held, n, percent, lower))
     survivors = staged(_survivors(base, percent))
-    roots = components(set_links(staged(_whole(held, base, survivors, n)), percent))
+    roots = components(set_links(staged(_whole(held, base, survivors, n, lower)), percent))
     rows = base.select("id", "h", "n", "set").join(
         roots.withColumnRenamed("node", "set"), "set", "left"
     )
@@ -579,13 +589,18 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
 
 
 def first_of_each(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    n: int = N,
+    percent: int = PERCENT,
+    lower: bool = False,
 ) -> DataFrame:
     """The documents, with all their columns, but only the one of each class with the least key.
 
     Documents with an empty set all stay; so do rows that repeat the kept one's key and text.
     """
-    shown = _classes(docs, key, text, n, percent)
+    shown = _classes(docs, key, text, n, percent, lower)
     gone = (
         shown.where(
             F.col("class").isNotNull()

@@ -91,6 +91,18 @@ def test_null_keys_and_repeated_rows(spark):
     ]
 
 
+def test_query_lower_cases_ascii_letters(spark, tmp_path):
+    from speclake.llm.queries import QUERIES
+
+    rows = [(1, "The Cat sat ON the mat"), (2, "the cat SAT on The Mat"), (3, "Ä B C D E f"),
+            (4, "ä b c d e f"), (5, "A a a A a A a"), (6, "ABC \x0bDEF"), (7, "abc def")]
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(tuple(r) for r in QUERIES["op2_similar"](spark, str(tmp_path)).collect())
+    assert found == [(1, 2, 1), (2, 2, 1), (3, 2, 3), (4, 2, 4), (5, 1, 5), (6, 1, 6), (7, 1, 6)]
+    assert similar.classes(frame).where("doc_id = 2").first().component_id == 2
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id LONG, text STRING")
     assert similar.classes(frame).collect() == []
