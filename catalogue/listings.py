@@ -12,6 +12,7 @@ from speclake.operators import listing
 from speclake.operators.page import page_of
 from speclake.operators.parse import parse_pages
 from speclake.plans import fragments as frags
+from speclake.plans.extraction import extract_documents
 from speclake.plans.variants import variant_rows
 from speclake.session import shared_root, staged
 from speclake.sources.sinks import landed_pages, latest
@@ -339,10 +340,12 @@ def stream_extract(spark, folder):
         {"type": "text", "selector": "div.ad", "target_section": "Page", "target_key": "Ad"},
     ]}})
     place = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    pages = page_stream(spark, folder, "pages.parquet")
+    # The table may be one file or a folder of files; a stream reads both by a pattern.
+    pages = page_stream(spark, f"{folder}/{{pages.parquet}}")
+    schema = extract_documents(pages, sites).schema
     run = stream_documents(pages, f"{place}/out", f"{place}/checkpoint", sites)
     run.awaitTermination()
-    out = spark.read.parquet(f"{place}/out")
+    out = spark.read.schema(schema).parquet(f"{place}/out")
     return out.select(
         "page_id", "vendor", P("kv")["Page"]["Lang"].alias("lang"),
         P("kv")["Page"]["Ad"].alias("ad"),

@@ -248,3 +248,20 @@ def test_large_page_stays_near_linear(spark):
     }
     assert row.last == {"a": "7999", "Size": "7999", "x": "y", "q": "r"}
     assert time.perf_counter() - start < 60
+
+
+def test_stream_reads_tables_of_several_files(spark, tmp_path):
+    from catalogue.listings import stream_extract
+
+    rows = [(i, f"u{i}", f'<html lang="l{i}"><div class="ad">a{i}</div></html>') for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    want = [(i, "Any", f"l{i}", f"a{i}") for i in range(6)]
+    pages.repartition(3).write.parquet(f"{tmp_path}/many/pages.parquet")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/part")
+    (one,) = (tmp_path / "part").glob("*.parquet")
+    (tmp_path / "one").mkdir()
+    one.rename(tmp_path / "one" / "pages.parquet")
+    pages.limit(0).coalesce(1).write.parquet(f"{tmp_path}/none/pages.parquet")
+    for folder, found in (("many", want), ("one", want), ("none", [])):
+        rows = stream_extract(configure(spark), f"{tmp_path}/{folder}").collect()
+        assert sorted(map(tuple, rows)) == found
