@@ -173,7 +173,7 @@ def opened_before(
     names = [*keys, "_range"]
     renamed = borders.select(*[F.col(n).alias(f"_b_{n}") for n in names], F.col("before").alias("_border"))
     inside = folded.where(F.col(order).isNotNull()).join(
-        renamed, _equal(names, [f"_b_{n}" for n in names])
+        renamed.hint("merge"), _equal(names, [f"_b_{n}" for n in names])
     )
     rows = inside.where((F.size("before") > 0) | (F.size("_border") > 0)).select(
         *keys, order, "_border", "before"
@@ -204,7 +204,7 @@ def with_open_elements(
     names = [*keys, order]
     opened = opened_before(pieces, keys, order, html, stage, width)
     renamed = opened.select(*[F.col(n).alias(f"_o_{n}") for n in names], F.col("opened").alias("_tags"))
-    joined = pieces.join(renamed, _equal(names, [f"_o_{n}" for n in names]), "left")
+    joined = pieces.join(renamed.hint("merge"), _equal(names, [f"_o_{n}" for n in names]), "left")
     within = F.concat(F.array_join("_tags", ""), F.coalesce(html, F.lit("")))
     return joined.withColumns({
         html: F.when(F.col("_tags").isNotNull(), within).otherwise(F.col(html)),

@@ -24,7 +24,8 @@ def with_value_before(
     ``order`` is a whole number, unique within a key.  Each key is cut into
     ranges of ``width`` order values, so a window never holds more than
     ``width`` rows, however many rows a key has.  What crosses a range border
-    is one value per range, carried by a second window over the ranges.
+    is one value per range, carried by a second window over the ranges.  There may
+    be as many of these as rows, so they are joined by a shuffle, never broadcast.
     """
     own = [*keys, "_range"]
     held = rows.withColumn("_range", F.floor(F.col(order) / F.lit(width))).withColumn(
@@ -57,7 +58,7 @@ def with_value_before(
         seen = seen.withColumn("_first", F.row_number().over(in_order) == 1)
         found = F.when(F.col("_first"), F.col("_border.v")).otherwise(F.col("_inner"))
     return (
-        seen.join(borders, own, "left")
+        seen.join(borders.hint("merge"), own, "left")
         .withColumn(name, found)
         .drop("_range", "_value", "_inner", "_first", "_border")
     )

@@ -133,12 +133,15 @@ def fragment_facts(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _nulls_equal(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
-    """A join on columns whose NULLs are equal; those of ``right`` go."""
+    """A join on columns whose NULLs are equal; those of ``right`` go.
+
+    Both sides grow with the listings, so neither is broadcast.
+    """
     other = right.withColumnsRenamed({n: f"_r_{n}" for n in names})
     same = F.lit(True)
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
-    return left.join(other, same, how).drop(*[f"_r_{n}" for n in names])
+    return left.join(other.hint("merge"), same, how).drop(*[f"_r_{n}" for n in names])
 
 
 def _outside(extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -164,7 +167,7 @@ def _without(rows: DataFrame, gone: DataFrame, names: Sequence[str]) -> DataFram
     same = F.lit(True)
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
-    return rows.join(other, same, "left_anti")
+    return rows.join(other.hint("merge"), same, "left_anti")
 
 
 def _with_running_sections(facts: DataFrame, extracted: DataFrame, keys: Sequence[str]) -> DataFrame:

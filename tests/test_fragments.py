@@ -153,3 +153,16 @@ def test_words_join():
         whole = Word(left.tokens, whole=True)
         whole.extend(right.tokens)
         assert whole.tokens == want
+
+
+@pytest.mark.parametrize("pieces", [False, True])
+def test_nothing_of_a_listing_is_broadcast(spark, pieces):
+    """Rows that grow with the listings would fill the driver."""
+    rows = [(i % 3, i, PIECES[i % len(PIECES)].format(n=i)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "page LONG, frag_no LONG, html STRING")
+    sites = Sites({"generic": {"name": "Any", "specs": SPECS}})
+    found = fragments.extract_fragments(frame, F.lit("generic"), ["page"], sites, pieces=pieces)
+    written = fragments.fragment_kv(found, ["page"])
+    assert written.collect()
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
