@@ -34,7 +34,9 @@ whether an odd number of shingles falls to i.  Where two sketches differ the
 sets must, so more differing bits than a linked pair may have shingles rule it
 out for sure.  A sketch has about 2 to 4 bits per shingle, a 25th of the
 shingles' own size.  What passes is compared exactly: no link between
-components is lost.
+components is lost.  Two blocks give the sets that are in such a pair, not the
+pairs, of which there may be many more; these sets' shingles are compared in one
+task, which gives the links that join components.
 
 Defined cases: NULL and empty texts, and texts of white space, have an empty
 set and are linked with nothing; a text of fewer than ``N`` words has its whole
@@ -60,6 +62,7 @@ N = 5
 PERCENT = 75
 SPARE = 16  # one more common shingle is asked for per so many, in the filter
 BLOCK = 512  # sets of a block
+SHINGLES = 1024  # shingles per set of a block, on average
 BROADCAST = 1_000_000  # keys that may be broadcast, 24 bytes each
 
 
@@ -426,26 +429,33 @@ def _families(apart: DataFrame) -> DataFrame:
     return (
         components(steps, "set", "leader")
         .select(F.col("node").alias("set"), F.col("root").alias("family"))
-        .join(apart.select("set", "root").distinct(), "set")
+        .join(apart.select("set", "root", "n").distinct(), "set")
     )
 
 
-def _across(apart: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components, family by family and block by block.
+def _across(
+    apart: DataFrame, drawn: DataFrame, whole: DataFrame, percent: int
+) -> DataFrame:
+    """Links that join different components, family by family and block by block.
 
     A component with many sets in a family has blocks of its own; two blocks of
-    one component are not compared.  Blocks hold sketches only.
+    one component are not compared.  Blocks hold sketches only; shingles are read
+    of the sets that have a partner which sketches do not rule out.
     """
     every = staged(_families(apart))
     sizes = every.groupBy("family", "root").agg(F.count("*").alias("own"))
     part = F.when(F.col("own") * 2 >= BLOCK, F.col("root"))
     placed = every.join(sizes, ["family", "root"]).withColumn("part", part)
-    totals = placed.groupBy("family", "part").agg(F.count("*").alias("total"))
+    totals = placed.groupBy("family", "part").agg(
+        F.greatest(
+            F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * SHINGLES))
+        ).alias("total")
+    )
     placed = placed.join(
         totals.select(F.col("family").alias("_f"), F.col("part").alias("_p"), "total"),
         (F.col("family") == F.col("_f")) & F.col("part").eqNullSafe(F.col("_p")),
     ).withColumn(
-        "block", F.pmod(F.xxhash64("set"), F.ceil(F.col("total") / BLOCK)).cast("int")
+        "block", F.pmod(F.xxhash64("set"), F.col("total")).cast("int")
     )
     placed = staged(placed.select("family", "part", "block", "set", "root"))
     blocks = placed.select("family", "part", "block").distinct()
@@ -469,18 +479,72 @@ def _across(apart: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     rows = (
         pairs.join(filled.select("family", F.col("at").alias("x"), F.col("sets").alias("first")), ["family", "x"])
         .join(filled.select("family", F.col("at").alias("y"), F.col("sets").alias("second")), ["family", "y"])
-        .select("first", "second")
+        .select(F.xxhash64("family", "x", "y").alias("meeting"), "first", "second")
     )
-    schema = "a LONG, b LONG"
+    schema = "meeting LONG, set LONG, root LONG"
     shape = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                found = _block_pairs(_block(batch.column(0), i), _block(batch.column(1), i), percent)
-                yield pa.record_batch([pa.array(x) for x in found], schema=shape)
+                sets, roots = _near(_block(batch.column(1), i), _block(batch.column(2), i), percent)
+                meeting = np.full(len(sets), batch.column(0)[i].as_py(), np.int64)
+                yield pa.record_batch([pa.array(x) for x in (meeting, sets, roots)], schema=shape)
+
+    near = staged(rows.mapInArrow(run, schema))
+    gathered = (
+        near.join(whole.select("set", "shingles"), "set")
+        .groupBy("meeting")
+        .agg(F.collect_list(F.struct("set", "root", "shingles")).alias("sets"))
+        .select("sets")
+    )
+    pair = "a LONG, b LONG"
+    pair_shape = arrow_schema(pair)
 
-    return rows.mapInArrow(run, schema).distinct()
+    def joined(batches):
+        for batch in batches:
+            column = batch.column(0)
+            for low, high in zip(column.offsets[:-1].tolist(), column.offsets[1:].tolist(), strict=True):
+                found = _joining(column.values[low:high], percent)
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in found], schema=pair_shape)
+
+    return gathered.mapInArrow(joined, pair)
+
+
+def _joining(rows: pa.StructArray, percent: int) -> tuple[list[int], list[int]]:
+    """Links (greater, lesser) between components, as many as join all that have one."""
+    names, roots = (np.asarray(rows.field(k)) for k in ("set", "root"))
+    column = rows.field("shingles")
+    at, values = np.asarray(column.offsets), np.asarray(column.values)
+    lists = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    drawn = [sketch(x) for x in lists]
+    sizes, words = np.diff(at).astype(np.int64), np.array([len(x) for x in drawn])
+    places = [np.flatnonzero(words == w) for w in np.unique(words)]
+    parts = [(some, np.array([drawn[i] for i in some])) for some in places]
+    above = dict.fromkeys(roots.tolist())
+
+    def top(root: int) -> int:
+        while above[root] is not None:
+            root = above[root]
+        return root
+
+    first, second = [], []
+    for k, (some, bits) in enumerate(parts):
+        for others, more in parts[k:]:
+            hit = _close(bits, sizes[some], more, sizes[others], percent)
+            hit &= roots[some][:, None] != roots[others][None, :]
+            for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+                i, j = int(some[i]), int(others[j])
+                x, y = top(int(roots[i])), top(int(roots[j]))
+                if x == y:
+                    continue
+                both = np.sort(np.concatenate((lists[i], lists[j])))
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (len(both) - common):
+                    above[max(x, y)] = min(x, y)
+                    first.append(max(int(names[i]), int(names[j])))
+                    second.append(min(int(names[i]), int(names[j])))
+    return first, second
 
 
 def _block(column: pa.ListArray, i: int):
@@ -499,21 +563,25 @@ def _block(column: pa.ListArray, i: int):
     return out
 
 
-def _block_pairs(first, second, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (greater, lesser) of different components that sketches do not rule out."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _close(bits, sizes, more, counts, percent: int) -> np.ndarray:
+    """Which pairs of two lots of sets their sketches do not rule out."""
+    words = min(bits.shape[1], more.shape[1])
+    x, y = folded(bits, words), folded(more, words)
+    differing = np.zeros((len(x), len(y)), np.int64)
+    for k in range(words):
+        differing += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return may_link(differing, sizes[:, None], counts[None, :], percent)
+
+
+def _near(first, second, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets, and their roots, that are in a pair of different components that sketches do not rule out."""
+    known: dict[int, int] = {}
     for names, roots, sizes, bits in first:
         for others, their, counts, more in second:
-            words = min(bits.shape[1], more.shape[1])
-            x, y = folded(bits, words), folded(more, words)
-            differing = np.zeros((len(x), len(y)), np.int64)
-            for k in range(words):
-                differing += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-            hit = may_link(differing, sizes[:, None], counts[None, :], percent)
-            i, j = np.nonzero(hit & (roots[:, None] != their[None, :]))
-            a.append(np.maximum(names[i], others[j]))
-            b.append(np.minimum(names[i], others[j]))
-    return np.concatenate(a), np.concatenate(b)
+            hit = _close(bits, sizes, more, counts, percent) & (roots[:, None] != their[None, :])
+            for some, own, found in ((names, roots, hit.any(axis=1)), (others, their, hit.any(axis=0))):
+                known.update(zip(some[found].tolist(), own[found].tolist(), strict=True))
+    return np.array(list(known), np.int64), np.array(list(known.values()), np.int64)
 
 
 def set_links(whole: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -544,10 +612,8 @@ def set_links(whole: DataFrame, percent: int = PERCENT) -> DataFrame:
         .where("low != high")
         .select("key")
     )
-    apart = staged(placed.join(spread, "key").select("key", "set", "root"))
-    # A leader is the least set of its key, so pairs with leaders come in this order too.
-    left = staged(_across(apart, drawn, percent).join(done, ["a", "b"], "left_anti"))
-    return links.unionByName(_linked(left, whole, percent))
+    apart = staged(placed.join(spread, "key").select("key", "set", "root", "n"))
+    return links.unionByName(_across(apart, drawn, whole, percent))
 
 
 def classes(

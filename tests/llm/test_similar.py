@@ -108,6 +108,25 @@ def test_empty_table(spark):
     assert similar.classes(frame).collect() == []
 
 
+def test_blocks_give_sets_and_joining_links():
+    """Not every pair: of k sets that are all near each other, k rows and k - 1 links."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63 - 1, 200)
+    sets = [np.sort(np.concatenate((base, rng.integers(-(2**63), 2**63 - 1, 8)))) for _ in range(90)]
+    bits = np.array([similar.sketch(x) for x in sets])
+    names, roots, sizes = np.arange(90), np.arange(90), np.full(90, 208)
+    near, own = similar._near([(names, roots, sizes, bits)], [(names, roots, sizes, bits)], 75)
+    assert sorted(near.tolist()) == list(range(90)) and (near == own).all()
+    rows = [{"set": i, "root": i, "shingles": x.tolist()} for i, x in enumerate(sets)]
+    kind = pa.struct([("set", pa.int64()), ("root", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    first, second = similar._joining(pa.array(rows, kind), 75)
+    assert len(first) == len(second) == 89 and {*first, *second} == set(range(90))
+    assert similar._joining(pa.array(rows, kind), 93) == ([], [])
+
+
 def test_sketches_rule_out_no_linked_pair():
     import numpy as np
 
