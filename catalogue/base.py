@@ -34,14 +34,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Rows of a task that renders and reads pages, and merges what it found.
+RENDERED = 50_000
+
+
 def rendering(rows: DataFrame, *columns: str) -> DataFrame:
     """Narrow rows that are about to be rendered as pages, dealt out evenly.
 
     A row grows a hundred times when it becomes a page, so rows are dealt out
-    while they are narrow, whatever their number, and never by a key.
+    while they are narrow, and never by a key.  Every core gets a part; a part
+    has about ``RENDERED`` rows at most, so that a task's memory does not grow
+    with the table.
     """
     chosen = rows.select(*columns) if columns else rows
-    return chosen.repartition(chosen.sparkSession.sparkContext.defaultParallelism)
+    parts = -(-chosen.count() // RENDERED)
+    return chosen.repartition(max(parts, chosen.sparkSession.sparkContext.defaultParallelism))
 
 
 def markup(*parts: str | Column) -> Column:

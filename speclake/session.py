@@ -17,11 +17,13 @@ RESULT_SETTINGS = {
 }
 
 # A compressed split of page text grows many times when read, and one page is
-# the unit of work, so input splits and Arrow batches are kept small.
+# the unit of work, so input splits and Arrow batches are kept small.  Facts repeat
+# their sections and keys, so they shrink in a shuffle too; a task holds 8 MB of it.
 SCALE_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(8 * 1024 * 1024),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }

@@ -265,3 +265,14 @@ def test_stream_reads_tables_of_several_files(spark, tmp_path):
     for folder, found in (("many", want), ("one", want), ("none", [])):
         rows = stream_extract(configure(spark), f"{tmp_path}/{folder}").collect()
         assert sorted(map(tuple, rows)) == found
+
+
+def test_rendering_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    from catalogue import base
+
+    monkeypatch.setattr(base, "RENDERED", 100)
+    cores = spark.sparkContext.defaultParallelism
+    assert base.rendering(spark.range(5)).rdd.getNumPartitions() == cores
+    many = base.rendering(spark.range(100 * cores + 450))
+    sizes = many.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == cores + 5 and max(r["count"] for r in sizes) <= 110
