@@ -37,8 +37,10 @@ def variant_records(
         return F.array().cast(f"ARRAY<{RECORD}>")
 
     def record(card: Column) -> Column:
-        below = page.subtree(card)
+        # Every field looks below the card, so what is there is worked out once.
+        return let(page.subtree(card), lambda below: fields_of(card, below))
 
+    def fields_of(card: Column, below: Column) -> Column:
         def element(name: str) -> Column:
             return page.first(fields[name], below)
 

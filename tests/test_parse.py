@@ -186,3 +186,42 @@ def test_given_pages_are_regular():
         fast = _Tree()
         assert fast.read_regular(page)
         assert state(fast) == state(slow_tree(page))
+
+
+def test_pages_of_one_shape_share_a_tree(monkeypatch):
+    """Tags and texts are put into the tree of the page's shape, which is built once."""
+    from speclake.operators import parse
+
+    built = []
+    own = parse._Tree.__init__
+    monkeypatch.setattr(parse._Tree, "__init__", lambda self, *a: (built.append(1), own(self, *a))[1])
+    pages = [
+        f'<div class="a {"b" * (i % 3)}" id=n{i}><p>x{i} &amp; y</p> \n <br><pre> \n</pre>'
+        f"<template>&lt;b&gt;{i}&lt;/b&gt;</template></div>{'z' * (i % 2)}"
+        for i in range(60)
+    ]
+    out, shapes = parse._PageColumns, parse._Shapes()
+    fast = out(shapes, window=0)
+    for page in pages:
+        fast.add(page, ())
+    # Texts at the end or none, one class or two, and the template's own page.
+    assert len(built) == 5
+    slow = out(parse._Shapes(), window=0)
+    monkeypatch.setattr(slow.shapes, "read", lambda page: None)
+    for page in pages:
+        slow.add(page, ())
+    names = list(parse.TREE_COLUMNS)
+    for a, b in zip(fast.arrays(names), slow.arrays(names), strict=True):
+        assert a.to_pylist() == b.to_pylist()
+
+
+@pytest.mark.parametrize("page", [
+    "<p>a <b", "<a t='x > y'>1</a>", '<a t="x < y">1</a>', "<!-- <b>1</b> -->", "<!-- a > b -->1", "a < b<i>1</i>",
+    "<script>1</script>", "<style>p</style>", "<a b='c'd>1</a>", "</p x><i>1</i>", "<i>&amp</i>", "<p/ >", "x",
+    "<template><!-- &lt; --></template>",
+])
+def test_pages_without_a_shape(page):
+    from speclake.operators.parse import _Shapes, read_page
+
+    tree, want = read_page(page, _Shapes()), read_tree(page)
+    assert (tree.nodes, tree.texts, tree.scripts) == (want.nodes, want.texts, want.scripts)
