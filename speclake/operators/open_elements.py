@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from speclake.operators.parse import VOID_TAGS
+from speclake.operators.parse import _KEPT_CHARS, _KEPT_TAGS, _REGULAR, _TAGS, VOID_TAGS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,6 +36,9 @@ MARK = "speclake-opened"
 # Elements that end with their piece, as markup in them is text.
 TEXT_TAGS = frozenset("script style textarea title".split())
 
+# Elements whose content an HTML reader may take as text.
+_RAW_TAGS = TEXT_TAGS | frozenset("iframe noembed noframes noscript plaintext xmp".split())
+
 _NAME = re.compile(r"<([^\s/>]+)")
 
 
@@ -98,8 +101,48 @@ class _Reader(HTMLParser):
         self.word.end(tag)
 
 
-def word_of(html: str | None, number: int) -> list[str]:
-    """The word of one piece."""
+class _Tags(dict):
+    """Tags met lately, by their text: kind, name and what follows the name; None for irregular ones."""
+
+    def __missing__(self, text: str) -> tuple[str, str, str] | None:
+        if len(self) > _KEPT_TAGS:
+            self.clear()
+        found = _REGULAR.fullmatch(f"<{text}>")
+        kept = None
+        if found is not None:
+            end, tag, attrs, empty, _ = found.groups()
+            name = (tag or "").lower()
+            if tag is None:
+                kept = ("!", "", "")
+            elif end:
+                kept = None if attrs or empty or name in _RAW_TAGS else ("/", name, "")
+            elif name not in _RAW_TAGS:
+                kept = ("br" if empty or name in VOID_TAGS else "p", name, text[len(tag) :])
+        if len(text) <= _KEPT_CHARS:
+            self[text] = kept
+        return kept
+
+
+def _regular_word(html: str, number: int, tags: _Tags) -> list[str] | None:
+    """The word of a piece of regular markup; None for any other."""
+    found = [tags[text] for text in _TAGS.findall(html)]
+    if None in found or html.count("<") != len(found):
+        return None
+    word, count = Word(), 0
+    for kind, name, rest in found:
+        if kind == "/":
+            word.end(name)
+        elif kind != "!":
+            if kind == "p":
+                word.start(name, f'<{name} {MARK}="{number}:{count}"{rest}>')
+            count += 1
+    return word.tokens
+
+
+def word_of(html: str | None, number: int, tags: _Tags | None = None) -> list[str]:
+    """The word of one piece; ``tags`` keeps what its tags are from piece to piece."""
+    if tags is not None and (regular := _regular_word(html or "", number, tags)) is not None:
+        return regular
     reader = _Reader(number)
     reader.feed(html or "")
     reader.close()
@@ -119,9 +162,10 @@ def _words(pieces: DataFrame, keys: Sequence[str], order: str, html: str) -> Dat
     shape = to_arrow_schema(schema)
 
     def read(batches):
+        tags = _Tags()
         for batch in batches:
             numbers, texts = batch.column(len(names) - 1), batch.column(len(names))
-            words = [word_of(t.as_py(), n.as_py()) for n, t in zip(numbers, texts, strict=True)]
+            words = [word_of(t.as_py(), n.as_py(), tags) for n, t in zip(numbers, texts, strict=True)]
             yield pa.record_batch(
                 [*batch.columns[: len(names)], pa.array(words, pa.list_(pa.string()))], schema=shape
             )
@@ -133,20 +177,33 @@ def _folded(rows: DataFrame, by: Sequence[str], order: str, whole: bool) -> Data
     """Per row the word of all rows before it in its group; the word of the whole group, in a row without order."""
     schema = _fields(rows, [*by, order], T.StructField("before", _WORD.dataType))
     shape = to_arrow_schema(schema)
+    names = [*by, order]
+
+    def fold(batches):
+        group, word = None, Word(whole=whole)
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        word, before = Word(whole=whole), []
-        for tokens in table["word"]:
-            before.append(list(word.tokens))
-            word.extend(tokens.as_py())
-        before.append(word.tokens)
-        orders = [*table[order].to_pylist(), None]
-        groups = [pa.array([table[n][0].as_py()] * len(orders), shape.field(n).type) for n in by]
-        made = [pa.array(orders, shape.field(order).type), pa.array(before, pa.list_(pa.string()))]
-        return pa.Table.from_arrays([*groups, *made], schema=shape)
-
-    return rows.groupBy(*by).applyInArrow(fold, schema)
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+        for batch in batches:
+            out = []
+            *keys, orders, words = (column.to_pylist() for column in batch.columns)
+            for *own, place, tokens in zip(*keys, orders, words, strict=True):
+                if group is None or not all(a == b or a != a and b != b for a, b in zip(group, own, strict=True)):
+                    if group is not None:
+                        out.append((*group, None, word.tokens))
+                    group, word = own, Word(whole=whole)
+                out.append((*own, place, list(word.tokens)))
+                word.extend(tokens)
+            if out:
+                yield made(out)
+        if group is not None:
+            yield made([(*group, None, word.tokens)])
+
+    # A group's rows lie together, in their order: there are many small groups.
+    dealt = rows.select(*names, "word").repartition(*by).sortWithinPartitions(*by, order)
+    return dealt.mapInArrow(fold, schema)
 
 
 def _equal(left: Sequence[str], right: Sequence[str]) -> Column:

@@ -166,3 +166,33 @@ def test_nothing_of_a_listing_is_broadcast(spark, pieces):
     assert written.collect()
     plan = written._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_words_of_regular_pieces():
+    """Pieces of regular markup are read by their tags alone, with the words of an HTML reader."""
+    from speclake.operators.open_elements import _regular_word, _Tags, word_of
+
+    tags = _Tags()
+    for n, piece in enumerate((
+        '<DIV Class="a"\n>x<p/><br></p><b>y</b><!-- c --></i><i a=1>', "</main><main><p>", "<!DOCTYPE html><hr><u>", "",
+    )):
+        assert _regular_word(piece, n, tags) == word_of(piece, n)
+    for piece in ("<title><b></title>", "a <b", '<a t="<u>">', "</p x>", "<p cla"):
+        assert _regular_word(piece, 1, tags) is None
+        assert word_of(piece, 1, tags) == word_of(piece, 1)
+
+
+def test_words_are_folded_without_a_call_per_group(spark):
+    """Many listings of few pieces: groups are told in the stream of sorted rows."""
+    from speclake.operators.open_elements import MARK, opened_before
+
+    nan = float("nan")
+    rows = [(k, n, h) for k in (None, nan, 1.0) for n, h in ((5000, "</p>"), (2, "<p>"), (1, "<div>"), (7, "</div><i>"))]
+    pieces = spark.createDataFrame(rows, "k DOUBLE, n LONG, html STRING")
+    opened = opened_before(pieces, ["k"], "n", "html", lambda rows: rows)
+    assert "InArrow" in (plan := opened._jdf.queryExecution().executedPlan().toString())
+    assert "FlatMapGroupsInArrow" not in plan
+    got = sorted((str(r.k), r.n, r.opened) for r in opened.collect())
+    div, p, i = (f'<{t} {MARK}="{n}:0">' for t, n in (("div", 1), ("p", 2), ("i", 7)))
+    want = ((2, [div]), (5000, [i]), (7, [div, p]))
+    assert got == sorted((k, n, o) for k in ("None", "nan", "1.0") for n, o in want)
