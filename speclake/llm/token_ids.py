@@ -24,6 +24,7 @@ table gives no segments; other columns are left out.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,8 @@ IDS = 1 << 20  # ids per segment
 RANGE_BYTES = 16 << 20  # text bytes per range of the key
 MARKS = ".,;:!?*$%&#"
 KEPT = 120_000  # words of each of two generations
+# Letters that stand for themselves in every normal form, then a few marks.
+PLAIN = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]{{0,3}})")
 
 
 class EliasFano:
@@ -181,10 +184,56 @@ class Encoder:
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
+        self.model = self.tokenizer.model
+        self.marks: dict[str, list[int]] = {"": []}
+        letters = [chr(c) for c in range(256) if PLAIN.fullmatch(chr(c))]
+        # Bytes of these letters that byte-level vocabularies write as other characters.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        held = set("".join(letters).lower().encode())
+        self.letters = [(chr(b), chr(256 + i)) for i, b in enumerate(hidden) if b in held]
+        probes = [*letters, "".join(letters), "The", "token", "Straße", "über", "niño", "ÉCOLE", *map("a{}b".format, letters)]
+        self.direct = self.folds and bool(self.ends.any()) and all(self._core(w) == self._ids(w) for w in probes)
+
+    def _core(self, letters: str) -> list[int]:
+        """Ids of a run of letters, by the library's model alone: normalising and cutting leave it as it is."""
+        low = letters.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1")
+            for byte, letter in self.letters:
+                low = low.replace(byte, letter)
+        return [token.id for token in self.model.tokenize(low)]
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learnt(self, new: list[str]) -> list[bytes]:
+        """Ids of words: runs of plain letters, with marks after them or not, by the model alone."""
+        if not self.direct:
+            return self._learnt_by_text(new)
+        match, core, marks, tokenize = PLAIN.fullmatch, self._core, self.marks, self.model.tokenize
+        ids: list[int] = []
+        ends, other = [0], []
+        for w in new:
+            found = match(w)
+            if found is None:
+                other.append(w)
+            else:
+                letters, after = found.groups()
+                ids += [t.id for t in tokenize(letters.lower())] if letters.isascii() else core(letters)
+                if after:
+                    if after not in marks:
+                        marks[after] = self._ids(after)
+                    ids += marks[after]
+            ends.append(len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        learnt = [data[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
+        if other:
+            rest = dict(zip(other, self._learnt_by_text(other), strict=True))
+            learnt = [rest.get(w, known) for w, known in zip(new, learnt, strict=True)]
+        return learnt
+
+    def _learnt_by_text(self, new: list[str]) -> list[bytes]:
         """Ids of words.
 
         A run of letters and the marks after it are encoded apart by the

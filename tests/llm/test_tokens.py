@@ -120,3 +120,24 @@ def test_words_that_differ_get_the_library_ids(spark, documents):
     known["▁the"] = known["▁the"] * 2
     ids, agrees = vocabulary.encoded(texts, check=True)
     assert [i.tolist() for i in ids] == want and agrees == [False, True, True, False, True, True]
+
+
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    """New words of plain letters need no normalising or cutting, and have the library's ids."""
+    encoder = token_ids.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.direct
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZàéíñóößøÿÀÉÑØ"
+    words = [
+        "".join(draw.choices(letters, k=draw.randint(1, 14))) + "".join(draw.choices(token_ids.MARKS, k=draw.randint(0, 5)))
+        for _ in range(3000)
+    ]
+    odd = ["x́y", "İx", "ΑΣ", "ªº", "µm", "a×b", "ﬁn", "don't", "x1", "1", "Ǆ", "é", "中文", "<unk>", "a<b", "", "\xa0x"]
+    want = [encoder._ids(w) for w in words + odd]
+    got = [np.frombuffer(data, "<u4").tolist() for data in encoder._learnt(words + odd)]
+    assert got == want
+    assert encoder.encoded([" ".join(words + odd)])[0] == np.array(encoder._ids(" ".join(words + odd)), "<u4").tobytes()
+    for mark in ("", ".", ",!"):
+        encoder._learnt([f"a{mark}"])
+    monkeypatch.setattr(encoder, "_ids", None)
+    assert len(encoder._learnt(["neverseen", "Jamás.", "ñoño,!"])) == 3
