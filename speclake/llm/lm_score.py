@@ -3,9 +3,10 @@
 Spark counts, trains and scores; `recurrent` is the model.
 
 * **Counts.** Every word of every document is counted, combined per task before
-  the shuffle.  Words with a share of at least 1 / ``HEAVY`` of all tokens are
-  at most ``HEAVY`` words whatever the corpus: these, the only ones that a join
-  by word could pile up, go to every task.  All others are joined by word.
+  the shuffle.  The most frequent words, at most ``HEAVY`` of them whatever the
+  corpus, go to every task; among them are all with a share of at least
+  1 / ``HEAVY`` of all tokens, the only ones that a join by word could pile up.
+  All others are joined by word, in parts of about ``JOINED`` distinct words.
 * **Training.** Every training document is read once, in ``ROUNDS`` rounds dealt
   by checksum.  In a round each task starts from the same parameters, learns
   from its documents, and gives its parameters back; they are averaged, weighted
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice, repeat
 from typing import NamedTuple
 from zlib import crc32
 
@@ -53,6 +55,7 @@ RATE = 0.02
 LONGEST = 64
 SLICE = 1024
 DISTINCT = 1 << 19  # words a task counts before it hands them on
+JOINED = 1 << 18  # words a task holds to join others with their counts
 
 END = b" "  # no word
 
@@ -69,13 +72,6 @@ class Lexicon(NamedTuple):
     shape: recurrent.Shape
 
 
-class _Numbers(dict):
-    """Number of a word; light words have numbers by class."""
-
-    def __missing__(self, word: bytes) -> int:
-        return self.heavy + crc32(word[-2:]) % self.rare
-
-
 def _words(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased, then the end; bytes split at \\x20 and \\x09-\\x0D only."""
     words = (text or "").encode().lower().split()
@@ -132,9 +128,20 @@ def lexicon(counts: DataFrame, heavy: int = HEAVY, words: int = WORDS, rare: int
         F.count_if(F.col("c") > 0).alias("distinct"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("all"),
     ).first()
-    # n / all >= 1 / heavy holds for ``heavy`` words at most.
-    found = counts.where((F.col("n") * heavy >= total["all"]) | (F.col("word") == END)).collect()
-    found = sorted((-1 if w == END else 0, -c, bytes(w)) for w, c, _ in found)
+    # n / all >= 1 / heavy holds for ``heavy`` words at most; as many more as there is room
+    # for are taken in steps of the fourth root of two, so a few sums tell where to end.
+    size = F.floor(F.log2("n") * 4)
+    room, least = heavy, None
+    for row in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["size"]
+    often = F.col("n") * heavy >= total["all"]
+    if least is not None:
+        often = often | (size >= least)
+    found = counts.where(often | (F.col("word") == END)).select("word", "c").collect()
+    found = sorted((-1 if w == END else 0, -c, bytes(w)) for w, c in found)
     if not found:
         found = [(-1, 0, END)]
     known = [w for _, _, w in found]
@@ -170,15 +177,35 @@ class _Reader:
     def __init__(self, known: Lexicon):
         shape = known.shape
         self.heavy = len(known.numbers)
-        self.numbers = _Numbers(known.numbers)
-        self.numbers.heavy, self.numbers.rare = self.heavy, shape.rare
+        self.numbers, self.rare = known.numbers, shape.rare
         classes = np.array([crc32(w[-2:]) % shape.rare for w in known.numbers], np.int64)
         self.classes = np.concatenate((classes, np.arange(shape.rare)))
         number = np.arange(self.heavy + shape.rare)
         self.symbols = np.where(number < shape.words, number, shape.words + self.classes).astype(np.int32)
 
     def read(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        """Numbers of words; light words have numbers by class."""
+        found = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
+        light = np.flatnonzero(found < 0)
+        found[light] = [self.heavy + crc32(words[i][-2:]) % self.rare for i in light.tolist()]
+        return found
+
+
+class _Symbols(dict):
+    """Symbols of words, as the model reads them; those met are kept, ``HEAVY`` at most."""
+
+    def __init__(self, known: Lexicon):
+        super().__init__(islice(known.numbers.items(), known.shape.words))
+        self.shape = known.shape
+
+    def __missing__(self, word: bytes) -> int:
+        symbol = self.shape.words + crc32(word[-2:]) % self.shape.rare
+        if len(self) < HEAVY:
+            self[word] = symbol
+        return symbol
+
+    def read(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 # --- Training ---
@@ -188,13 +215,14 @@ def _learn(rows: DataFrame, known: Lexicon, start: np.ndarray, rate: float) -> D
     """(slice, weight, numbers): the parameters of every task after its documents."""
     schema = "slice INT, weight DOUBLE, numbers ARRAY<DOUBLE>"
     wide = arrow_schema(schema)
+    known = known._replace(numbers=dict(islice(known.numbers.items(), known.shape.words)), counts=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, shape = _Reader(known), known.shape
+        reader, shape = _Symbols(known), known.shape
         like = recurrent.initial(shape, np.ones(shape.symbols))
         p = recurrent.unflat(start, like)
         texts = (
-            (None, reader.symbols[reader.read(_words(text.as_py()))])
+            (None, reader.read(_words(text.as_py())))
             for batch in batches
             for text in batch.column("text")
         )
@@ -297,8 +325,12 @@ def score(docs: DataFrame, counts: DataFrame, known: Lexicon, parameters: np.nda
     # Light words: fewer than 1 / HEAVY of all tokens each, so no task gets many rows of one word.
     light = rows.select("row", F.explode("light").alias("word"))
     c = F.coalesce("c", F.lit(0))
+    # Every word has one row of counts, so parts of equal size are told by their number.
+    parts = max(1, -(-counts.count() // JOINED))
+    counted = counts.select("word", "c").repartition(parts, "word").hint("shuffle_hash")
     sums = (
-        light.join(counts.select("word", "c"), "word", "left")
+        light.repartition(parts, "word")
+        .join(counted, "word", "left")
         .groupBy("row")
         .agg(
             F.sum(F.log10(c + F.lit(0.5))).alias("more"),

@@ -28,6 +28,7 @@ import numpy as np
 
 POOL = 1 << 21
 PART = 1 << 10
+AHEAD = 16
 
 Parameters = dict[str, np.ndarray]
 
@@ -114,18 +115,34 @@ def _longest_first(texts: Iterable[tuple[object, np.ndarray]]) -> Iterator[tuple
 
 
 def windows(texts: Iterable[tuple[object, np.ndarray]], many: int, steps: int) -> Iterator[Window]:
-    """Deals texts (key, symbols; each ends with 0) to lanes, a lane's next text when one ends."""
+    """Deals texts (key, symbols; each ends with 0) to lanes, a lane's next text when one ends.
+
+    Symbols of a text that fills the window are taken from all lanes at once, out of a
+    table with the next ``AHEAD`` windows of every lane.
+    """
     source = _longest_first(texts)
-    # [key, symbols, place]
+    # [key, symbols, place where the lane's row of ``ahead`` begins]
     running: list[list | None] = [None] * many
+    ahead = np.zeros((many, 1 + AHEAD * steps), np.int32)  # behind the symbol before
+    place, left = np.zeros((2, many), np.int64)
+    span = np.arange(steps + 1)
     while True:
         read = np.zeros((len(running), steps), np.int32)
         wanted = np.zeros_like(read)
         owner = np.zeros_like(read)
-        filled = np.zeros(len(running), np.int64)
-        keys, ended = [], []
-        for lane, now in enumerate(running):
-            t = 0
+        filled = np.full(len(running), steps)
+        going = left > steps
+        full = np.flatnonzero(going)
+        both = ahead[full[:, None], place[full, None] + span]
+        read[full], wanted[full] = both[:, :-1], both[:, 1:]
+        owner[full] = np.arange(len(full))[:, None]
+        place[full] += steps
+        left[full] -= steps
+        keys, ended = [running[lane][0] for lane in full], []
+        for lane in np.flatnonzero(~going).tolist():
+            now, t = running[lane], 0
+            if now is not None:
+                now[2] += int(place[lane])
             while t < steps:
                 if now is None:
                     following = next(source, None)
@@ -146,19 +163,29 @@ def windows(texts: Iterable[tuple[object, np.ndarray]], many: int, steps: int) -
                     now = None
             running[lane] = now
             filled[lane] = t
-        order = np.argsort(-filled, kind="stable")
-        order = order[filled[order] > 0]
-        if not len(order):
-            return
-        running = [running[i] for i in order]
-        active = np.searchsorted(-filled[order], -np.arange(steps), "left")
-        active = active[active > 0]
-        part = (order, slice(len(active)))
+            place[lane] = left[lane] = 0
+            if now is not None:
+                following = now[1][now[2] - 1 : now[2] + AHEAD * steps]
+                ahead[lane, : len(following)] = following
+                left[lane] = len(following) - 1
+        if (filled == steps).all():
+            order = np.arange(len(running))
+            active = np.full(steps, len(running))
+        else:
+            order = np.argsort(-filled, kind="stable")
+            order = order[filled[order] > 0]
+            if not len(order):
+                return
+            running = [running[i] for i in order]
+            ahead, place, left = ahead[order], place[order], left[order]
+            read, wanted, owner = read[order], wanted[order], owner[order]
+            active = np.searchsorted(-filled[order], -np.arange(steps), "left")
+            active = active[active > 0]
         yield Window(
             order,
-            *(np.ascontiguousarray(x[part[0]].T[part[1]]) for x in (read, wanted)),
+            *(np.ascontiguousarray(x.T[: len(active)]) for x in (read, wanted)),
             active,
-            np.ascontiguousarray(owner[order].T[part[1]]),
+            np.ascontiguousarray(owner.T[: len(active)]),
             keys,
             ended,
         )
@@ -196,8 +223,7 @@ class Space:
 
 
 def _sigmoid(x: np.ndarray) -> None:
-    """In place."""
-    x *= 0.5
+    """Of twice the numbers, in place."""
     np.tanh(x, out=x)
     x *= 0.5
     x += 0.5
@@ -210,12 +236,15 @@ def _states(p: Parameters, space: Space, window: Window) -> None:
     state[:, : len(window.order)] = space.state[:, window.order]
     steps = len(window.active)
     space.before[:steps] = 0
-    for t, n in enumerate(window.active):
-        symbols = window.read[t, :n]
+    goes_on = (window.read != 0).astype(state.dtype)  # a text starts at zero
+    weights, again = p["input"].copy(), p["again"].copy()
+    weights[:, : 2 * h] *= 0.5  # half of what the gates are to see, once for all steps
+    again[: 2 * h] *= 0.5
+    for t, n in enumerate(window.active.tolist()):
         before = space.before[t, :, :n]
-        np.multiply(state[:, :n], (symbols != 0).astype(state.dtype), out=before)  # a text starts at zero
-        own = p["input"].take(symbols, axis=0).T
-        past = np.matmul(p["again"], before, out=space.past[:, :n] if n == many else None)
+        np.multiply(state[:, :n], goes_on[t, :n], out=before)
+        own = weights.take(window.read[t, :n], axis=0).T
+        past = np.matmul(again, before, out=space.past[:, :n] if n == many else None)
         gates, inner, new = space.gates[t, :, :n], space.inner[t, :, :n], space.new[t, :, :n]
         np.add(own[: 2 * h], past[: 2 * h], out=gates)
         _sigmoid(gates)
@@ -273,12 +302,13 @@ def _outputs(p: Parameters, shape: Shape, space: Space, window: Window, learn: b
     outer += p["outer_bias"]
     sums = _exponentials(outer, 1)
     step, lane = np.indices((steps, many), sparse=True)
-    classes = _classes(shape, symbols)
-    found = np.log(np.maximum(outer[step, classes, lane] / sums, 1e-35)).astype(np.float64)
+    wanted = (step * outer.shape[1] + _classes(shape, symbols)) * many + lane
+    all_outer = outer.reshape(-1)
+    found = np.log(np.maximum(all_outer.take(wanted) / sums, 1e-35)).astype(np.float64)
     g: Parameters = {}
     if learn:
         outer *= (on / sums)[:, None, :].astype(outer.dtype)
-        outer[step, classes, lane] -= on
+        all_outer[wanted] -= on
         g["outer"] = np.matmul(outer, out.transpose(0, 2, 1)).sum(axis=0)
         g["outer_bias"] = outer.sum(axis=2).sum(axis=0)[:, None]
         np.matmul(p["outer"].T, outer, out=space.back[:steps])
@@ -332,6 +362,7 @@ def gradients(p: Parameters, shape: Shape, space: Space, window: Window) -> tupl
     ahead = np.zeros_like(space.state)  # gradient that comes from the next step
     symbols = np.zeros((steps, ahead.shape[1]), np.int64)
     symbols[:, : window.read.shape[1]] = window.read
+    goes_on = (symbols != 0).astype(ahead.dtype)
     weights = p["again"].T
     for t in range(steps - 1, -1, -1):
         before, new = space.before[t], space.new[t]
@@ -360,7 +391,7 @@ def gradients(p: Parameters, shape: Shape, space: Space, window: Window) -> tupl
         d_reset *= space.inner[t]
         past[: 2 * h] = own[: 2 * h]
         ahead += weights @ past
-        ahead *= symbols[t] != 0
+        ahead *= goes_on[t]
     g["input"] = _gathered(symbols, space.owns[:steps], p["input"])
     g["again"] = np.matmul(space.pasts[:steps], space.before[:steps].transpose(0, 2, 1)).sum(axis=0)
     g["reset_bias"] = space.pasts[:steps, 2 * h :].sum(axis=2).sum(axis=0)[:, None]
@@ -371,9 +402,9 @@ def gradients(p: Parameters, shape: Shape, space: Space, window: Window) -> tupl
 
 def _gathered(symbols: np.ndarray, columns: np.ndarray, like: np.ndarray) -> np.ndarray:
     """Sums of the columns [step, number, lane] of equal symbols."""
-    width = like.shape[1]
-    places = symbols[:, None, :] * width + np.arange(width)[None, :, None]
-    return np.bincount(places.ravel(), columns.ravel(), like.size).reshape(like.shape).astype(like.dtype)
+    symbols = symbols.ravel()
+    rows = columns.transpose(1, 0, 2).reshape(like.shape[1], -1)
+    return np.stack([np.bincount(symbols, row, len(like)) for row in rows], axis=1).astype(like.dtype)
 
 
 class Adam:
@@ -381,22 +412,22 @@ class Adam:
 
     def __init__(self, p: Parameters, rate: float, most: float = 1.0):
         self.rate, self.most, self.turn = rate, most, 0
-        self.mean = {name: np.zeros_like(x) for name, x in p.items()}
-        self.square = {name: np.zeros_like(x) for name, x in p.items()}
+        self.mean, self.square = np.zeros((2, flat(p).size), flat(p).dtype)
 
     def step(self, p: Parameters, g: Parameters) -> None:
         self.turn += 1
         norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
         by = min(1.0, self.most / max(norm, 1e-12))
         rate = self.rate * float(np.sqrt(1 - 0.999**self.turn)) / (1 - 0.9**self.turn)
-        for name in p:
-            x = g[name]
-            x *= by
-            mean, square = self.mean[name], self.square[name]
-            mean += 0.1 * (x - mean)
-            x *= x
-            square += 0.001 * (x - square)
-            p[name] -= rate * mean / (np.sqrt(square) + 1e-8)
+        x = flat({name: g[name] for name in p})  # all parameters at once
+        x *= by
+        self.mean += 0.1 * (x - self.mean)
+        x *= x
+        self.square += 0.001 * (x - self.square)
+        now, at = rate * self.mean / (np.sqrt(self.square) + 1e-8), 0
+        for y in p.values():
+            y -= now[at : at + y.size].reshape(y.shape)
+            at += y.size
 
 
 def train(

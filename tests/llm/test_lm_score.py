@@ -198,3 +198,14 @@ def test_empty(spark, documents):
     assert lm_score.report(documents([])).collect() == []
     rows = lm_score.report(documents([(k, "a b") for k in range(50) if held(k)])).collect()
     assert rows and all(r.train_tokens == 0 == r.n_known and r.base_score == 0 for r in rows)
+
+
+def test_most_frequent_words_fill_the_room(spark):
+    """Words below a share of 1 / heavy are taken too, the most frequent first, while there is room."""
+    rows = [(b"w%02d" % i, 100, 100) for i in range(4)] + [(b"x%02d" % i, 2, 2) for i in range(40)]
+    rows += [(b"y%03d" % i, 1, 1) for i in range(400)]
+    counts = spark.createDataFrame([(lm_score.END, 50, 50), *rows], "word BINARY, c LONG, n LONG")
+    known = lm_score.lexicon(counts, 64, 8)
+    assert list(known.numbers) == [lm_score.END] + [w for w, c, _ in rows if c > 1]
+    assert list(known.numbers) == list(lm_score.lexicon(counts, 45, 8).numbers)
+    assert len(lm_score.lexicon(counts, 44, 8).numbers) == 5
