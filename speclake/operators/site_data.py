@@ -4,8 +4,8 @@ A spec becomes a struct of the type ``SPEC``, and one expression per operator
 *type* reads its parameters from there.  Site rules are matched by a small
 Arrow function that holds all of them: addresses, page texts and class lists by
 one multi-pattern automaton each, ids by a dictionary; selectors are looked up by
-the id, class or tag of their last step, and only those found are tested on the
-page, again as data.
+an id or class of any step, or else by a tag, and only those found are tested on
+the page, again as data.
 """
 
 from __future__ import annotations
@@ -338,13 +338,16 @@ def address_matcher(marks: Iterable[tuple[str, str]]) -> Callable[[Column], Colu
 
 
 def _anchor(chain: tuple[Step, ...]) -> str:
-    """What a page must hold for the last step of a chain to be met."""
-    step = chain[-1]
-    if step.id is not None:
-        return f"#{step.id}"
-    if step.classes:
-        return f".{step.classes[0]}"
-    return step.tag or "*"
+    """What a page must hold for a chain to be met: every step of it is some element's.
+
+    An id or class of any step tells more than the last step's tag, which pages of
+    all sites may hold.
+    """
+    steps = chain[::-1]
+    marks = [f"#{step.id}" for step in steps if step.id is not None]
+    marks += [f".{name}" for step in steps for name in step.classes]
+    marks += [step.tag for step in steps if step.tag]
+    return marks[0] if marks else "*"
 
 
 def _rule_index(rules: list[tuple[str, str, str]]) -> RuleIndex:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from catalogue.many_sites import generated_sites, shop_pages
 from catalogue.rendered import mixed_pages
+from speclake.operators.matching import RuleMatcher
 from speclake.operators.page import page_of
 from speclake.operators.parse import parse_pages
 from speclake.operators.selectors import SELECTOR, as_data
-from speclake.operators.site_data import BY_DATA, specs_as_data
+from speclake.operators.site_data import BY_DATA, _rule_index, specs_as_data
 from speclake.plans import extraction, site_tables
 from speclake.sources.sites import Sites, load_sites
 
@@ -128,6 +129,20 @@ def test_rules_of_all_kinds(spark):
         assert rows[0] == rows[1]
 
 
+def test_a_rule_is_tried_where_any_step_may_hold():
+    """Ids and classes of outer steps tell pages apart, however common the last step's tag is."""
+    rules = [(f"v{i}", "selector", f"div.box{i} > b[data-s='{i}']") for i in range(50)]
+    rules += [("w", "selector", "#top em, p b"), ("x", "selector", "[data-z]")]
+    matcher = RuleMatcher(_rule_index(rules))
+
+    def tried(lists, ids, names):
+        return [m["ord"] for m in matcher.candidates("", lists, ids, names)["maybe"]]
+
+    assert tried(["a box3 c", "box7x", ""], [], ["div", "b"]) == [3, 50, 51]
+    assert tried([""], ["top"], ["div", "em"]) == [50, 51]
+    assert tried([""], [], ["em"]) == [51]
+
+
 def test_plan_does_not_grow(spark):
     def built(many):
         sites, by_address = generated_sites(many)
