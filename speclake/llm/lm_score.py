@@ -29,14 +29,14 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import islice, pairwise
 from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speclake.llm import recurrent
+from speclake.llm import words as W
 from speclake.llm.shared import arrow_schema, staged
 
 FOLDS, HELD_OUT = 5, 1  # documents of this remainder are not learned from
@@ -55,9 +56,12 @@ RATE = 0.02
 LONGEST = 64
 SLICE = 1024
 DISTINCT = 1 << 19  # words a task counts before it hands them on
+ROWS = 1 << 16  # of them at a time
 JOINED = 1 << 18  # words a task holds to join others with their counts
 
 END = b" "  # no word
+_BLANKS = b" \t\n\v\f\r"
+_LOWER = bytes(range(256)).lower()
 
 
 class Lexicon(NamedTuple):
@@ -72,13 +76,46 @@ class Lexicon(NamedTuple):
     shape: recurrent.Shape
 
 
+class _Text(NamedTuple):
+    """Words of several texts, A-Z lower-cased: split at \\x20 and \\x09-\\x0D only, ends left out."""
+
+    words: pa.BinaryArray
+    data: np.ndarray  # the words' bytes, one behind the other
+    offsets: np.ndarray
+    bounds: np.ndarray  # words of text i are bounds[i]:bounds[i + 1]
+
+
+def _text(column: pa.Array) -> _Text:
+    data, texts = W.buffer_of(column)
+    inside = ((data - np.uint8(9)) > 4) & (data != 32)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # Texts touch in the buffer; their words do not.
+    borders = texts[1:-1][(texts[1:-1] > 0) & (texts[1:-1] < len(data))]
+    first[borders] = inside[borders]
+    last[borders - 1] = inside[borders - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sizes = ends - starts
+    kept = data.tobytes().translate(_LOWER, _BLANKS)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    long = np.flatnonzero(sizes > LONGEST)
+    if len(long):
+        parts, at = [], 0
+        for i in long.tolist():
+            parts += [kept[at : offsets[i]], END + hashlib.sha256(kept[offsets[i] : offsets[i + 1]]).digest()]
+            at = offsets[i + 1]
+            sizes[i] = len(parts[-1])
+        kept = b"".join([*parts, kept[at:]])
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(kept)]
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), buffers)
+    return _Text(words, np.frombuffer(kept, np.uint8), offsets, np.searchsorted(starts, texts, "left"))
+
+
 def _words(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased, then the end; bytes split at \\x20 and \\x09-\\x0D only."""
-    words = (text or "").encode().lower().split()
-    if words and max(map(len, words)) > LONGEST:
-        words = [w if len(w) <= LONGEST else END + hashlib.sha256(w).digest() for w in words]
-    words.append(END)
-    return words
+    """One text's words, then the end."""
+    return [*_text(pa.array([text], pa.string())).words.to_pylist(), END]
 
 
 def _fold() -> Column:
@@ -98,22 +135,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c, n): tokens of each word in training documents, and in all."""
     schema = arrow_schema("word BINARY, c LONG, n LONG")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned, other = Counter(), Counter()
-
-        def handed_on() -> Iterator[pa.RecordBatch]:
-            for counter, share in ((learned, 1), (other, 0)):
-                n = pa.array(counter.values(), pa.int64())
-                c = n if share else pa.array(np.zeros(len(counter), np.int64))
-                yield pa.record_batch([pa.array(counter.keys(), pa.binary()), c, n], schema=schema)
-                counter.clear()
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(parts).group_by("word", use_threads=False)
+        return rows.aggregate([("c", "sum"), ("n", "sum")]).rename_columns(schema.names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, parts, size = schema.empty_table(), [], 0
         for batch in batches:
-            for text, held in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
-                (other if held else learned).update(_words(text.as_py()))
-                if len(learned) + len(other) > DISTINCT:
-                    yield from handed_on()
-        yield from handed_on()
+            for some in W.slices(batch, "text"):
+                for held in (False, True):
+                    column = some.filter(pc.equal(some.column("held_out"), held)).column("text")
+                    if not len(column):
+                        continue
+                    found = _text(column).words.value_counts()
+                    words = pa.concat_arrays([found.field(0), pa.array([END], pa.binary())])
+                    n = pa.concat_arrays([found.field(1), pa.array([len(column)], pa.int64())])
+                    c = pa.array(np.zeros(len(n), np.int64)) if held else n
+                    parts.append(pa.Table.from_arrays([words, c, n], schema=schema))
+                    size += len(n)
+            if size > DISTINCT:
+                whole, parts, size = summed([whole, *parts]), [], 0
+                if len(whole) > DISTINCT:
+                    yield from whole.to_batches(ROWS)
+                    whole = schema.empty_table()
+        yield from summed([whole, *parts]).to_batches(ROWS)
 
     rows = _folded(docs).select("text", "held_out")
     return rows.mapInArrow(run, "word BINARY, c LONG, n LONG").groupBy("word").agg(
@@ -172,40 +217,30 @@ def lexicon(counts: DataFrame, heavy: int = HEAVY, words: int = WORDS, rare: int
 
 
 class _Reader:
-    """Numbers and symbols of a text's words."""
-
-    def __init__(self, known: Lexicon):
-        shape = known.shape
-        self.heavy = len(known.numbers)
-        self.numbers, self.rare = known.numbers, shape.rare
-        classes = np.array([crc32(w[-2:]) % shape.rare for w in known.numbers], np.int64)
-        self.classes = np.concatenate((classes, np.arange(shape.rare)))
-        number = np.arange(self.heavy + shape.rare)
-        self.symbols = np.where(number < shape.words, number, shape.words + self.classes).astype(np.int32)
-
-    def read(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of words; light words have numbers by class."""
-        found = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
+    """Numbers of words: places among those known, and behind them a number for each class of others."""
+
+    def __init__(self, known: pa.BinaryArray, rare: int):
+        self.known, self.heavy, self.rare = known, len(known), rare
+        # The class of a word is that of its last two bytes, or of its only one.
+        self.two = np.array([crc32(bytes((a, b))) % rare for a in range(256) for b in range(256)], np.int32)
+        self.one = np.array([crc32(bytes((b,))) % rare for b in range(256)], np.int32)
+
+    def classes(self, text: _Text, some: np.ndarray) -> np.ndarray:
+        """Classes of the words at these places."""
+        ends, starts = text.offsets[some + 1], text.offsets[some]
+        last = text.data[ends - 1]
+        before = text.data[np.maximum(ends - 2, 0)].astype(np.int32)
+        return np.where(ends - starts > 1, self.two[before * 256 + last], self.one[last])
+
+    def read(self, text: _Text) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' words, each text's end behind them, and the texts' borders."""
+        found = pc.index_in(text.words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False)
         light = np.flatnonzero(found < 0)
-        found[light] = [self.heavy + crc32(words[i][-2:]) % self.rare for i in light.tolist()]
-        return found
-
-
-class _Symbols(dict):
-    """Symbols of words, as the model reads them; those met are kept, ``HEAVY`` at most."""
-
-    def __init__(self, known: Lexicon):
-        super().__init__(islice(known.numbers.items(), known.shape.words))
-        self.shape = known.shape
-
-    def __missing__(self, word: bytes) -> int:
-        symbol = self.shape.words + crc32(word[-2:]) % self.shape.rare
-        if len(self) < HEAVY:
-            self[word] = symbol
-        return symbol
-
-    def read(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        if len(light):
+            found = found.copy()
+            found[light] = self.heavy + self.classes(text, light)
+        # The end is the first of all that are known.
+        return np.insert(found, text.bounds[1:], 0), text.bounds + np.arange(len(text.bounds))
 
 
 # --- Training ---
@@ -215,18 +250,22 @@ def _learn(rows: DataFrame, known: Lexicon, start: np.ndarray, rate: float) -> D
     """(slice, weight, numbers): the parameters of every task after its documents."""
     schema = "slice INT, weight DOUBLE, numbers ARRAY<DOUBLE>"
     wide = arrow_schema(schema)
-    known = known._replace(numbers=dict(islice(known.numbers.items(), known.shape.words)), counts=None)
+    shape = known.shape
+    own = pa.array(islice(known.numbers, shape.words), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, shape = _Symbols(known), known.shape
+        reader = _Reader(own, shape.rare)
         like = recurrent.initial(shape, np.ones(shape.symbols))
         p = recurrent.unflat(start, like)
-        texts = (
-            (None, reader.read(_words(text.as_py())))
-            for batch in batches
-            for text in batch.column("text")
-        )
-        met, _ = recurrent.train(p, shape, recurrent.Adam(p, rate), texts)
+
+        def texts() -> Iterator[tuple[None, np.ndarray]]:
+            for batch in batches:
+                for some in W.slices(batch, "text"):
+                    symbols, bounds = reader.read(_text(some.column("text")))
+                    for a, b in pairwise(bounds.tolist()):
+                        yield None, symbols[a:b].copy()  # else it holds all of its slice
+
+        met, _ = recurrent.train(p, shape, recurrent.Adam(p, rate), texts())
         if met:
             whole = recurrent.flat(p).astype(np.float64)
             places = range(0, len(whole), SLICE)
@@ -273,33 +312,49 @@ def _read(docs: DataFrame, known: Lexicon, parameters: np.ndarray) -> DataFrame:
     rows = _folded(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
     schema = T._parse_datatype_string(_SCORED.format(key=rows.schema["doc_id"].dataType.simpleString()))
 
+    vocabulary = pa.array(known.numbers, pa.binary())
+    known = known._replace(numbers=None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, shape = _Reader(known), known.shape
+        shape = known.shape
+        reader = _Reader(vocabulary, shape.rare)
         heavy, wide = reader.heavy, arrow_schema(schema)
         p = recurrent.unflat(parameters, recurrent.initial(shape, np.ones(shape.symbols)))
+        classes = np.array([crc32(w[-2:]) % shape.rare for w in vocabulary.to_pylist()], np.int64)
+        classes = np.concatenate((classes, np.arange(shape.rare)))
+        number = np.arange(heavy + shape.rare)
+        symbols = np.where(number < shape.words, number, shape.words + classes).astype(np.int32)
         # log10 of count + 0.5 (light words': added when counts are joined) and of the divisors.
         own = np.concatenate((np.log10(known.counts + 0.5), np.zeros(shape.rare)))
         base = own - np.log10(known.tokens + 0.5 * (known.distinct + 1))
-        inside = own - np.log10(known.rare_tokens + 0.5 * (known.rare_distinct + 1))[reader.classes]
+        inside = own - np.log10(known.rare_tokens + 0.5 * (known.rare_distinct + 1))[classes]
         inside[: shape.words] = 0
-        seen = np.concatenate((known.counts > 0, np.zeros(shape.rare, bool)))
+        seen = np.concatenate((known.counts > 0, np.zeros(shape.rare, bool))).astype(np.int64)
         waiting: dict[int, tuple] = {}
 
         def texts() -> Iterator[tuple[int, np.ndarray]]:
             for batch in batches:
-                for i, row in enumerate(batch.column("row").to_pylist()):
-                    words = _words(batch.column("text")[i].as_py())
-                    numbers = reader.read(words)
-                    waiting[row] = (
-                        batch.column("doc_id")[i].as_py(),
-                        batch.column("held_out")[i].as_py(),
-                        len(words),
-                        int(seen[numbers].sum()),
-                        float(base[numbers].sum()),
-                        float(inside[numbers].sum()),
-                        [words[j] for j in np.flatnonzero(numbers >= heavy)],
+                for some in W.slices(batch, "text"):
+                    text = _text(some.column("text"))
+                    numbers, bounds = reader.read(text)
+                    at = bounds[:-1]  # no text is without an end
+                    light = np.flatnonzero(numbers >= heavy)
+                    # Words have no ends between them, so a place is less by the texts before.
+                    words = text.words.take(pa.array(light - np.searchsorted(bounds, light, "right") + 1))
+                    cuts = np.searchsorted(light, bounds)
+                    columns = zip(
+                        some.column("doc_id").to_pylist(),
+                        some.column("held_out").to_pylist(),
+                        np.diff(bounds).tolist(),
+                        *(np.add.reduceat(x[numbers], at).tolist() for x in (seen, base, inside)),
+                        (words[a:b].to_pylist() for a, b in pairwise(cuts.tolist())),
+                        strict=True,
                     )
-                    yield row, reader.symbols[numbers]
+                    all_symbols = symbols[numbers]
+                    borders = pairwise(bounds.tolist())
+                    for row, (a, b), values in zip(some.column("row").to_pylist(), borders, columns, strict=True):
+                        waiting[row] = values
+                        yield row, all_symbols[a:b].copy()
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             columns = zip(*rows, strict=True)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -138,7 +139,7 @@ def windows(texts: Iterable[tuple[object, np.ndarray]], many: int, steps: int) -
         owner[full] = np.arange(len(full))[:, None]
         place[full] += steps
         left[full] -= steps
-        keys, ended = [running[lane][0] for lane in full], []
+        keys, ended = [running[lane][0] for lane in full.tolist()], []
         for lane in np.flatnonzero(~going).tolist():
             now, t = running[lane], 0
             if now is not None:
@@ -195,29 +196,32 @@ class Space:
     """Arrays for a window of given size, used again and again.
 
     Lanes are the last axis, so all sums over states and outcomes run along
-    whole rows of lanes.
+    whole rows of lanes.  What only backpropagation reads is kept of all steps to
+    learn from, and of the last one otherwise.
     """
 
-    def __init__(self, shape: Shape, steps: int, many: int, kind: type = np.float32):
-        h, c = shape.state, shape.classes + shape.rare
+    def __init__(self, shape: Shape, steps: int, many: int, kind: type = np.float32, learn: bool = True):
+        h, c, kept = shape.state, shape.classes + shape.rare, steps if learn else 1
+        self.learn = learn
         self.state = np.zeros((h, many), kind)
         self.out = np.empty((steps, h, many), kind)
-        self.before = np.empty((steps, h, many), kind)
-        self.gates = np.empty((steps, 2 * h, many), kind)
-        self.inner = np.empty((steps, h, many), kind)
-        self.new = np.empty((steps, h, many), kind)
+        self.before = np.empty((kept, h, many), kind)
+        self.gates = np.empty((kept, 2 * h, many), kind)
+        self.inner = np.empty((kept, h, many), kind)
+        self.new = np.empty((kept, h, many), kind)
         self.past = np.empty((3 * h, many), kind)
         self.outer = np.empty((steps, c, many), kind)
-        self.back = np.empty((steps, h, many), kind)
-        self.owns = np.empty((steps, 3 * h, many), kind)
-        self.pasts = np.empty((steps, 3 * h, many), kind)
+        if learn:
+            self.back = np.empty((steps, h, many), kind)
+            # Gradients by place: new state as the input sees it, update, reset, new state as the past does.
+            self.places = np.empty((steps, 4 * h, many), kind)
 
     def fitted(self, shape: Shape, window: Window) -> Space:
         """A space of half the lanes, once half of them have no more texts."""
         steps, _, many = self.out.shape
         if 2 * len(window.order) > many or many == 1:
             return self
-        less = Space(shape, steps, many // 2, self.out.dtype.type)
+        less = Space(shape, steps, many // 2, self.out.dtype.type, self.learn)
         less.state = self.state
         return less.fitted(shape, window)
 
@@ -235,17 +239,19 @@ def _states(p: Parameters, space: Space, window: Window) -> None:
     state = np.zeros((h, many), space.out.dtype)
     state[:, : len(window.order)] = space.state[:, window.order]
     steps = len(window.active)
-    space.before[:steps] = 0
+    space.before[:] = 0
     goes_on = (window.read != 0).astype(state.dtype)  # a text starts at zero
     weights, again = p["input"].copy(), p["again"].copy()
     weights[:, : 2 * h] *= 0.5  # half of what the gates are to see, once for all steps
     again[: 2 * h] *= 0.5
+    kept = len(space.before)
     for t, n in enumerate(window.active.tolist()):
-        before = space.before[t, :, :n]
+        k = t % kept
+        before = space.before[k, :, :n]
         np.multiply(state[:, :n], goes_on[t, :n], out=before)
         own = weights.take(window.read[t, :n], axis=0).T
         past = np.matmul(again, before, out=space.past[:, :n] if n == many else None)
-        gates, inner, new = space.gates[t, :, :n], space.inner[t, :, :n], space.new[t, :, :n]
+        gates, inner, new = space.gates[k, :, :n], space.inner[k, :, :n], space.new[k, :, :n]
         np.add(own[: 2 * h], past[: 2 * h], out=gates)
         _sigmoid(gates)
         np.add(past[2 * h :], p["reset_bias"], out=inner)
@@ -261,17 +267,12 @@ def _states(p: Parameters, space: Space, window: Window) -> None:
     space.state = state.copy()
 
 
-def _by_class(shape: Shape, symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(class, places, numbers inside the class) of the frequent words among the symbols."""
+def _by_class(shape: Shape, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the frequent words among the symbols, by class, and the classes' borders."""
     frequent = np.flatnonzero((symbols < shape.words) & (symbols >= 0))
     classes = symbols[frequent] // shape.width
     order = frequent[np.argsort(classes.astype(np.uint16), kind="stable")]
-    start = 0
-    for k, many in enumerate(np.bincount(classes, minlength=shape.classes)):
-        if many:
-            places = order[start : start + many]
-            yield k, places, symbols[places] % shape.width
-        start += many
+    return order, np.concatenate(([0], np.cumsum(np.bincount(classes, minlength=shape.classes))))
 
 
 def _classes(shape: Shape, symbols: np.ndarray) -> np.ndarray:
@@ -313,22 +314,34 @@ def _outputs(p: Parameters, shape: Shape, space: Space, window: Window, learn: b
         g["outer_bias"] = outer.sum(axis=2).sum(axis=0)[:, None]
         np.matmul(p["outer"].T, outer, out=space.back[:steps])
         g["inner"], g["inner_bias"] = np.zeros_like(p["inner"]), np.zeros_like(p["inner_bias"])
-        more = np.zeros((steps * many, shape.state), outer.dtype)
     rows = out.transpose(0, 2, 1).reshape(-1, shape.state)
-    flat_found = found.reshape(-1)
-    for k, places, numbers in _by_class(shape, np.where(on, symbols, -1).ravel()):
-        mine, r = rows.take(places, axis=0), np.arange(len(places))
+    words = np.where(on, symbols, -1).ravel()
+    order, borders = _by_class(shape, words)
+    rows, numbers = rows.take(order, axis=0), words[order] % shape.width
+    inside = np.ones(steps * many, outer.dtype)
+    chances, back = np.empty(len(order), outer.dtype), np.empty_like(rows)
+    every = np.arange(int(np.diff(borders).max(initial=0)))
+    for k, (start, end) in enumerate(pairwise(borders.tolist())):
+        if start == end:
+            continue
+        mine = rows[start:end]
         inner = np.matmul(p["inner"][k], mine.T)
         inner += p["inner_bias"][k]
         sums = _exponentials(inner, 0)
-        flat_found[places] += np.log(np.maximum(inner[numbers, r] / sums, 1e-35))
+        wanted = numbers[start:end] * (end - start) + every[: end - start]
+        all_inner = inner.reshape(-1)
+        np.divide(all_inner.take(wanted), sums, out=chances[start:end])
         if learn:
             inner *= 1 / sums
-            inner[numbers, r] -= 1
+            all_inner[wanted] -= 1
             g["inner"][k] = inner @ mine
             g["inner_bias"][k] = inner.sum(axis=1)[:, None]
-            more[places] = (p["inner"][k].T @ inner).T
+            back[start:end] = (p["inner"][k].T @ inner).T
+    inside[order] = chances
+    found += np.log(np.maximum(inside, 1e-35)).reshape(found.shape)
     if learn:
+        more = np.zeros((steps * many, shape.state), outer.dtype)
+        more[order] = back
         space.back[:steps] += more.reshape(steps, many, -1).transpose(0, 2, 1)
     found *= on
     return found, g
@@ -338,7 +351,7 @@ def score(
     p: Parameters, shape: Shape, texts: Iterable[tuple[object, np.ndarray]], many: int = 256, steps: int = 32
 ) -> Iterator[tuple[object, float]]:
     """(key, natural log of the text's probability), each text when it has been read to its end."""
-    space = Space(shape, steps, many)
+    space = Space(shape, steps, many, learn=False)
     total: dict = {}
     for window in windows(texts, many, steps):
         space = space.fitted(shape, window)
@@ -371,8 +384,7 @@ def gradients(p: Parameters, shape: Shape, space: Space, window: Window) -> tupl
         if m < ahead.shape[1]:  # lanes that are over: nothing was read there
             for x in (new, space.gates[t], space.inner[t]):
                 x[:, m:] = 0
-        own, past = space.owns[t], space.pasts[t]
-        d_update, d_reset, d_new = own[:h], own[h : 2 * h], own[2 * h :]
+        d_new, d_update, d_reset, d_inner = space.places[t].reshape(4, h, -1)
         total = space.back[t]
         total += ahead
         np.multiply(total, update, out=ahead)
@@ -384,17 +396,15 @@ def gradients(p: Parameters, shape: Shape, space: Space, window: Window) -> tupl
         d_update *= ahead
         np.multiply(d_update, update, out=d_reset)
         d_update -= d_reset
-        d_inner = past[2 * h :]
         np.multiply(d_new, reset, out=d_inner)
         np.subtract(1, reset, out=d_reset)
         d_reset *= d_inner
         d_reset *= space.inner[t]
-        past[: 2 * h] = own[: 2 * h]
-        ahead += weights @ past
+        ahead += weights @ space.places[t, h:]
         ahead *= goes_on[t]
-    g["input"] = _gathered(symbols, space.owns[:steps], p["input"])
-    g["again"] = np.matmul(space.pasts[:steps], space.before[:steps].transpose(0, 2, 1)).sum(axis=0)
-    g["reset_bias"] = space.pasts[:steps, 2 * h :].sum(axis=2).sum(axis=0)[:, None]
+    g["input"] = np.roll(_gathered(symbols, space.places[:steps, : 3 * h], p["input"]), -h, axis=1)
+    g["again"] = np.matmul(space.places[:steps, h:], space.before[:steps].transpose(0, 2, 1)).sum(axis=0)
+    g["reset_bias"] = space.places[:steps, 3 * h :].sum(axis=2).sum(axis=0)[:, None]
     for x in g.values():
         x /= n
     return n, -float(found.sum()) / n, g

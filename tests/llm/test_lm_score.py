@@ -209,3 +209,29 @@ def test_most_frequent_words_fill_the_room(spark):
     assert list(known.numbers) == [lm_score.END] + [w for w, c, _ in rows if c > 1]
     assert list(known.numbers) == list(lm_score.lexicon(counts, 45, 8).numbers)
     assert len(lm_score.lexicon(counts, 44, 8).numbers) == 5
+
+
+def test_words_of_all_texts_are_read_at_once():
+    """Texts touch in a column's buffer; their words do not."""
+    import pyarrow as pa
+
+    texts = ["The cat", None, "", "x", "É\tab\x1cc", " \n", "Y" * 65 + " y", "b\x00 C\x0bd", "é", "z" * 64]
+    want = [[] if t is None else t.encode().lower().split() for t in texts]
+    found = lm_score._text(pa.array(texts).slice(1))
+    assert np.diff(found.bounds).tolist() == [len(w) for w in want[1:]]
+    words = found.words.to_pylist()
+    assert [w if len(w) <= 64 else None for t in want[1:] for w in t] == [
+        None if w.startswith(lm_score.END) else w for w in words
+    ]
+    known = [lm_score.END, b"x", b"ab\x1cc", next(w for w in words if w.startswith(lm_score.END))]
+    numbers, bounds = lm_score._Reader(pa.array(known, pa.binary()), 8).read(found)
+    assert (numbers[bounds[1:] - 1] == 0).all() and len(numbers) == len(words) + len(texts) - 1
+    number = lambda w: known.index(w) if w in known else len(known) + crc32(w[-2:]) % 8
+    assert numbers[numbers != 0].tolist() == [number(w) for w in words]
+
+
+def test_scoring_keeps_no_steps_for_backpropagation():
+    shape = recurrent.Shape(20, 4, width=8)
+    kept, scored = (recurrent.Space(shape, 32, 16, learn=learn) for learn in (True, False))
+    assert kept.gates.shape[0] == kept.new.shape[0] == 32 and scored.gates.shape[0] == scored.new.shape[0] == 1
+    assert not hasattr(scored, "places")
