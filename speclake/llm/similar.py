@@ -8,7 +8,9 @@ Before the join, a lossless filter.  Linked sets of n and m shingles share at
 least o(n) = ceil(n * PERCENT / 100) of them, so in any fixed order of all
 shingles the first n - o(n) + s of each set have s in common.  Ordered by hash,
 those first shingles are counted, and only sets survive in which enough of
-them occur elsewhere.  Only these sets' shingles are counted as a whole, which
+them occur elsewhere.  A task hands on a shingle of two of its sets at most, as
+it knows by itself that further ones meet others there; so shingles are shuffled
+once, and none has many rows.  Only these sets' shingles are counted as a whole, which
 gives the order of the join: rarest first.
 
 The join goes by size.
@@ -63,6 +65,7 @@ PERCENT = 75
 SPARE = 16  # one more common shingle is asked for per so many, in the filter
 BLOCK = 512  # sets of a block
 SHINGLES = 1024  # shingles per set of a block, on average
+LOT = 1 << 20  # first shingles that a task holds to compare its sets by them
 BROADCAST = 1_000_000  # keys that may be broadcast, 24 bytes each
 
 
@@ -119,14 +122,38 @@ def _names(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _base(held: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
-    """Per document its set's name and size; with the set's first use in a task, its first shingles."""
+    """Per document its set's name and size; with the set's first use in a task, its first shingles.
+
+    ``keys`` leaves out those that two sets before it in a lot of documents have; ``met``
+    is their number.
+    """
     schema = T.StructType(
-        [held.schema["id"], *T._parse_datatype_string("h LONG, set LONG, n INT, keys ARRAY<LONG>").fields]
+        [held.schema["id"], *T._parse_datatype_string("h LONG, set LONG, n INT, met INT, keys ARRAY<LONG>").fields]
     )
     shape = arrow_schema(schema)
 
+    def told(lot: list[tuple]) -> pa.RecordBatch:
+        ids, hs, names, sizes, taken, keys = zip(*lot, strict=True)
+        taken, keys = np.concatenate(taken), np.concatenate(keys)
+        many = np.maximum(taken, 0)
+        kept, met = _first_two(keys, many)
+        ends = np.cumsum(many - met)
+        cut = np.stack((ends - (many - met), ends), axis=1)
+        return pa.record_batch(
+            [
+                pa.concat_arrays(ids),
+                pa.concat_arrays(hs),
+                pa.array(np.concatenate(names)),
+                pa.array(np.concatenate(sizes).astype(np.int32)),
+                pa.array(met.astype(np.int32)),
+                _parts(keys[kept], cut, np.flatnonzero(taken >= 0)),
+            ],
+            schema=shape,
+        )
+
     def run(batches):
         seen: set[int] = set()  # the task's sets
+        lot, size = [], 0
         for batch in batches:
             for some in W.slices(batch, "t"):
                 hashes, bounds = shingle_sets(W.words_of(some.column(2), W.SPACED, lower), n)
@@ -138,21 +165,36 @@ def _base(held: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
                         seen.add(name)
                         new.append(i)
                 firsts = sizes - least_common(sizes, percent) + _spare(sizes, percent)
-                cut = np.stack((bounds[:-1], bounds[:-1] + np.minimum(firsts, sizes)), axis=1)
-                yield pa.record_batch(
-                    [
-                        some.column(0),
-                        some.column(1),
-                        pa.array(names),
-                        pa.array(sizes.astype(np.int32)),
-                        _parts(hashes, cut, np.array(new, np.int64)),
-                    ],
-                    schema=shape,
-                )
+                taken = np.full(len(sizes), -1)  # no keys at all
+                taken[new] = np.minimum(firsts, sizes)[new]
+                cut = np.stack((bounds[:-1], bounds[:-1] + np.maximum(taken, 0)), axis=1)
+                keys = np.asarray(_parts(hashes, cut, np.array(new, np.int64)).values).view(np.uint64)
+                lot.append((some.column(0), some.column(1), names, sizes, taken, keys))
+                size += len(keys) + len(sizes)
+                if size > LOT:
+                    yield told(lot)
+                    lot, size = [], 0
+        if lot:
+            yield told(lot)
 
     return held.mapInArrow(run, schema)
 
 
+def _first_two(keys: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys that no two sets before have, and per set how many of its keys are left out.
+
+    Sets follow each other in ``keys``, with ``taken`` different keys each.
+    """
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    more = np.zeros(len(keys), bool)
+    more[2:] = ranked[2:] == ranked[:-2]
+    left_out = np.zeros(len(keys), bool)
+    left_out[order[more]] = True
+    owner = W.owners(np.concatenate(([0], np.cumsum(taken))))
+    return np.flatnonzero(~left_out), np.bincount(owner[left_out], minlength=len(taken))
+
+
 def _parts(hashes: np.ndarray, cut: np.ndarray, some: np.ndarray) -> pa.ListArray:
     """A list column: hashes[cut[i]] for the chosen rows, NULL for the others."""
     sizes = np.zeros(len(cut), np.int64)
@@ -172,19 +214,23 @@ def _common(n: Column, percent: int) -> Column:
 
 def _survivors(base: DataFrame, percent: int) -> DataFrame:
     """Sets of whose first shingles enough occur in other sets."""
-    first = base.where("keys IS NOT NULL").select("set", "n", F.explode("keys").alias("key"))
+    held = base.where("keys IS NOT NULL")
+    # No key has more than two rows of a lot; both that read them read one exchange.
+    first = held.select("set", F.explode("keys").alias("key")).repartition("key")
     shared = (
         first.groupBy("key")
         .agg(F.min("set").alias("a"), F.max("set").alias("b"))
         .where("a != b")
         .select("key")
     )
+    met = first.join(shared, "key").select("set", F.lit(None).cast("int").alias("n"), F.lit(1).alias("met"))
     # A set that several tasks saw counts more than once; that only keeps more.
     least = F.floor(_common(F.col("n"), percent) / F.lit(SPARE)) + 1
     return (
-        first.join(shared, "key")
+        held.select("set", "n", "met")
+        .unionByName(met)
         .groupBy("set")
-        .agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        .agg(F.sum("met").alias("c"), F.max("n").alias("n"))
         .where(F.col("c") >= least)
         .select("set", "n")
     )
@@ -230,7 +276,7 @@ def _firsts(whole: DataFrame, percent: int) -> DataFrame:
 
     ``scan`` is how many of them are among the first n - o(n) + 1.
     """
-    each = whole.select("set", "n", F.explode("shingles").alias("s"))
+    each = whole.select("set", F.explode("shingles").alias("s"))
     counted = (
         each.groupBy("s")
         .agg(F.count("*").alias("f"), F.min("set").alias("a"), F.max("set").alias("b"))
@@ -243,10 +289,8 @@ def _firsts(whole: DataFrame, percent: int) -> DataFrame:
     return (
         each.join(counted, "s")
         .groupBy("set")
-        .agg(
-            F.first("n").alias("n"),
-            F.array_sort(F.collect_set(F.struct("f", "s"))).alias("all"),
-        )
+        .agg(F.array_sort(F.collect_set(F.struct("f", "s"))).alias("all"))
+        .join(whole.select("set", "n").distinct(), "set")
         .where(known >= o)
         .select(
             "set",

@@ -142,3 +142,31 @@ def test_sketches_rule_out_no_linked_pair():
             words = min(a.shape[1], b.shape[1])
             differing = np.bitwise_count(similar.folded(a, words) ^ similar.folded(b, words)).sum()
             assert similar.may_link(int(differing), len(x), len(y), 75)
+
+
+def test_a_common_shingle_has_two_rows_of_a_task(spark, documents, monkeypatch):
+    """What a task knows to be shared is counted there; the same sets survive."""
+    rng = random.Random(6)
+    voc = [f"w{i}" for i in range(500)]
+    lines = [" ".join(rng.choices(voc, k=8)) for _ in range(3)]
+    texts = [" ".join([*rng.choices(lines, k=2), *rng.choices(voc, k=rng.randint(0, 12))]) for _ in range(150)]
+    texts += [None, "", *texts[:20]]
+    docs = documents(list(enumerate(texts))).selectExpr("doc_id AS id", "xxhash64(text) AS h", "coalesce(text, '') AS t")
+    found = {}
+    for lot in (1 << 20, 1):
+        monkeypatch.setattr(similar, "LOT", lot)
+        base = similar.staged(similar._base(docs.coalesce(1), 5, 75, False))
+        rows = base.where("keys IS NOT NULL").selectExpr("explode(keys) AS key").groupBy("key").count()
+        assert lot == 1 or rows.agg({"count": "max"}).first()[0] == 2
+        assert base.count() == len(texts)
+        found[lot] = {tuple(r) for r in similar._survivors(base, 75).collect()}
+    firsts = {}
+    for t in texts:
+        hashes, _ = similar.shingle_sets(similar.W.words_of(similar.pa.array([t or ""]), similar.W.SPACED, False), 5)
+        n = len(hashes)
+        firsts[tuple(hashes.tolist())] = set(hashes[: n - similar.least_common(n) + 1 + n // similar.SPARE].tolist())
+    want = 0
+    for whole, own in firsts.items():
+        met = sum(any(k in other for s, other in firsts.items() if s != whole) for k in own)
+        want += bool(whole) and met >= similar.least_common(len(whole)) // similar.SPARE + 1
+    assert found[1] == found[1 << 20] and 0 < len(found[1]) == want < len(firsts)
