@@ -74,8 +74,7 @@ def order_variants(spark, folder):
     pages = lines.select("l_orderkey", page.alias("html"))
     spec = load_sites().spec_source("phoenix").specs[5]
     # These pages hold markup as text, so that says nothing about the whole page.
-    want = ("nodes", "texts", "template_nodes", "template_texts")
-    parsed = parse_pages(pages, want=want, escape_window=0)
+    parsed = parse_pages(pages, escape_window=0, cards=spec)
     return variant_rows(parsed, ["l_orderkey"], spec).select(
         "l_orderkey", "item_reference", "title", "url", "image", "list_price", "your_price",
         "availability",

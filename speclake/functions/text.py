@@ -48,7 +48,10 @@ def css_url(style: Column) -> Column:
 
 def clean_list_price(price: Column) -> Column:
     """Cleaned price without the one slash that may end it."""
-    text = clean_text(price)
+    return without_slash(clean_text(price))
+
+
+def without_slash(text: Column) -> Column:
     return F.when(
         F.endswith(text, F.lit("/")), F.trim(F.regexp_replace(text, "/$", ""))
     ).otherwise(text)

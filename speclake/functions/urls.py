@@ -80,8 +80,11 @@ def absolute_from(url: Column, parts: Sequence[Column]) -> Column:
     path = F.regexp_extract(url, r"^[^?#]*", 0)
     rest = F.substr(url, F.length(path) + 1)
     rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
+    # Most addresses are rooted paths without dots to resolve.
+    plain = F.startswith(url, F.lit("/")) & ~F.startswith(url, F.lit("//")) & ~F.contains(url, F.lit("/."))
     return (
-        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url)
+        F.when(plain, F.concat(root, url))
+        .when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url)
         .when(F.startswith(url, F.lit("//")), F.concat(scheme, url))
         .when(url == "", base)
         .when(F.startswith(url, F.lit("#")), F.concat(page, url))

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from speclake.functions.text import clean_list_price, clean_your_price
+from speclake.functions.text import clean_list_price, clean_your_price, without_slash
 from speclake.functions.urls import absolute_url
 from speclake.operators.hits import none, single
 from speclake.operators.page import Page, first_of, let
@@ -136,10 +136,11 @@ def _specs(page: Page, below: Column, config: Mapping) -> Column:
             page.first_text(config["value"], inner).alias("value"),
         )
 
-    pairs = F.filter(
-        F.transform(page.select(config["rows"], below), pair),
-        lambda p: (p["key"] != "") & (p["value"] != ""),
-    )
+    return _spec_map(F.transform(page.select(config["rows"], below), pair))
+
+
+def _spec_map(told: Column) -> Column:
+    pairs = F.filter(told, lambda p: (p["key"] != "") & (p["value"] != ""))
     # The last of equal labels stays, at the place of the first.
     return let(
         pairs,
@@ -160,6 +161,27 @@ def _specs(page: Page, below: Column, config: Mapping) -> Column:
     )
 
 
+def held_records(cards: Column) -> Column:
+    """Cards as found by the parse (``operators/cards.py``) that give a record."""
+    plain = [name for name in TEXT_FIELDS if name != "your_price"]
+    return F.filter(
+        cards,
+        lambda c: F.coalesce(*[c[name] for name in plain]).isNotNull()
+        | (c["your_price"] != "")
+        | F.exists(c["specs"], lambda p: (p["key"] != "") & (p["value"] != "")),
+    )
+
+
+def held_record(card: Column, base_url: str = "") -> dict[str, Column]:
+    """Fields of the record of one such card, whose texts are clean."""
+    values = {name: card[name] for name in TEXT_FIELDS}
+    values["url"] = absolute_url(card["url"], base_url)
+    values["list_price"] = without_slash(card["list_price"])
+    values["your_price"] = F.nullif(card["your_price"], F.lit(""))
+    specs = F.when(card["specs"].isNotNull(), _spec_map(card["specs"]))
+    return {**values, "specs": specs}
+
+
 def product_variants(page: Page, **params) -> Column:
     """All records as one JSON value, counted by card."""
     if not params.get("variant_selector"):
