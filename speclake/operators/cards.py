@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping
 from typing import NamedTuple
 
@@ -55,7 +56,9 @@ CARD_FIELDS = (
 CARDS = "ARRAY<STRUCT<" + ", ".join(f"{name}: STRING" for name in CARD_FIELDS) + (
     ", specs: ARRAY<STRUCT<key: STRING, value: STRING>>>>"
 )
-OWN_PRICE = "your_price"
+_OWN, _FIELDS = CARD_FIELDS.index("your_price"), len(CARD_FIELDS)
+# Fixed value: characters of all cards of a batch; pages with more are read in smaller batches.
+_MOST_CHARS = 16 * _OUTPUT_CHARS
 
 # The references that most texts hold no others of; "&amp;" is last, as it gives none of these.
 _COMMON = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&"))
@@ -156,41 +159,46 @@ class Rule:
                 here = parent[here]
         return False
 
-    def first(self, nodes: Nodes, chains: list[Chain], start: int, end: int) -> int:
-        if not chains:
-            return -1
-        return next((at for at in range(start, end) if self.holds(nodes, at, chains)), -1)
+    def all(self, nodes: Nodes, chains: list[Chain]) -> list[int]:
+        """The elements of a page that a selector takes; which card they are in makes no difference."""
+        return [at for at, mark in enumerate(nodes.marks) if mark and self.holds(nodes, at, chains)]
 
     def found(self, nodes: Nodes) -> list[Found]:
         """The cards of a page in page order."""
-        if not self.cards:
-            return []
         size = len(nodes.parent)
-        box = self.first(nodes, self.container, 0, size)
-        start, end = (0, size) if box < 0 else (box + 1, nodes.last[box] + 1)
+        box = _first(self.all(nodes, self.container), 0, size)
+        scope = (0, size) if box < 0 else (box + 1, nodes.last[box] + 1)
+        cards = _between(self.all(nodes, self.cards), *scope)
+        if not cards:
+            return []
+        fields = [self.all(nodes, rule) for rule in self.fields]
+        rows, keys, values = [self.all(nodes, rule) for rule in self.specs] if self.specs else ([], [], [])
         out = []
-        for card in range(start, end):
-            if not self.holds(nodes, card, self.cards):
-                continue
+        for card in cards:
             below = card + 1, nodes.last[card] + 1
             specs = []
-            if self.specs:
-                rows, key, value = self.specs
-                for row in range(*below):
-                    if self.holds(nodes, row, rows):
-                        inner = row + 1, nodes.last[row] + 1
-                        specs.append((self.first(nodes, key, *inner), self.first(nodes, value, *inner)))
-            out.append(Found(card, [self.first(nodes, rule, *below) for rule in self.fields], specs))
+            for row in _between(rows, *below):
+                inner = row + 1, nodes.last[row] + 1
+                specs.append((_first(keys, *inner), _first(values, *inner)))
+            out.append(Found(card, [_first(taken, *below) for taken in fields], specs))
         return out
 
     def found_inside(self, nodes: Nodes) -> list[Found]:
         """What a template of its own gives: one card, of which only the own price is read."""
-        price = self.fields[CARD_FIELDS.index(OWN_PRICE)]
-        fields = [-1] * len(CARD_FIELDS)
-        fields[CARD_FIELDS.index(OWN_PRICE)] = self.first(nodes, price, 0, len(nodes.parent))
+        fields = [-1] * _FIELDS
+        fields[_OWN] = _first(self.all(nodes, self.fields[_OWN]), 0, len(nodes.parent))
         return [Found(-1, fields, [])]
 
 
+def _between(elements: list[int], start: int, end: int) -> list[int]:
+    return elements[bisect_left(elements, start) : bisect_left(elements, end)]
+
+
+def _first(elements: list[int], start: int, end: int) -> int:
+    at = bisect_left(elements, start)
+    return elements[at] if at < len(elements) and elements[at] < end else -1
+
+
 def _attribute(held: str | None, op: str, value: str) -> bool:
     if held is None or op == "":
         return held is not None
@@ -218,10 +226,6 @@ class _Plan(NamedTuple):
     templates: list[tuple[int, list[int]]]  # parts that may hold markup as text, and the cells they may fill
 
 
-_OWN = CARD_FIELDS.index(OWN_PRICE)
-_FIELDS = len(CARD_FIELDS)
-
-
 def _cells(found: list[Found]) -> Iterator[tuple[int, int, str | None]]:
     """(cell, element, attribute) of all that was found."""
     for i, card in enumerate(found):
@@ -285,6 +289,10 @@ class _Cells(NamedTuple):
     spec_counts: np.ndarray
 
 
+class TooLarge(Exception):
+    """Cards of a batch hold too much text for one batch, as cards inside others repeat it."""
+
+
 class CardReader:
     """Pages to what their cards hold."""
 
@@ -297,7 +305,7 @@ class CardReader:
         self.plans: dict[bytes, _Plan | None] = {}
 
     def read(self, column: pa.StringArray) -> tuple[pa.ListArray, set[int]]:
-        """Cards by page, and the pages that cannot be read."""
+        """Cards by page, and the pages that cannot be read; ``TooLarge`` if there is more than one page."""
         if self.shapes.make_room():
             self.plans.clear()
         count = len(column)
@@ -366,6 +374,8 @@ class CardReader:
         joined = 0
         cells: list[_Cells] = []
         bad: set[int] = set()
+        # A template gives one text at most.
+        most = _MOST_CHARS if count > 1 and self.inside else None
         inner: list[tuple[int, np.ndarray, int, list[int]]] = []
         inner_texts: list[str] = []
 
@@ -407,12 +417,16 @@ class CardReader:
                             inner_texts.append(text)
             cells.append(_Cells(pages, places, plan.cards, plan.spec_counts))
 
+        odd_chars = 0
         for i in odd:
             try:
                 found, texts, last, held = self._by_tree(column[i].as_py())
             except Exception:  # one bad page must not end the job
                 bad.add(i)
                 continue
+            odd_chars += sum(len(text) for _, text in texts)
+            if most and odd_chars > most:
+                raise TooLarge
             places = np.full((1, _size(found)), -1, np.int64)
             for cell, text in texts:
                 places[0, cell] = extra_base + len(extra)
@@ -439,12 +453,26 @@ class CardReader:
         )
         if joined:
             counts = np.append(0, np.cumsum(np.concatenate(join_counts))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(counts), pool.take(pa.array(np.concatenate(joins))))
+            several = np.concatenate(joins)
+            if most and _lengths(pool)[several].sum() > most:
+                raise TooLarge
+            lists = pa.ListArray.from_arrays(pa.array(counts), pool.take(pa.array(several)))
             behind = len(pool)
             pool = pa.concat_arrays([pool, pc.binary_join(lists, " ")])
         else:
             behind = 0
-        return _listed(cells, pool, behind, count, bad), bad
+        return _listed(cells, pool, behind, count, bad, most), bad
+
+    def parts(self, column: pa.StringArray, start: int = 0) -> Iterator[tuple[int, pa.ListArray]]:
+        """Cards by page, in parts of the batch that are not too large, each with its first page."""
+        try:
+            found, _ = self.read(column)
+        except TooLarge:
+            half = len(column) // 2
+            yield from self.parts(column[:half], start)
+            yield from self.parts(column[half:], start + half)
+        else:
+            yield start, found
 
     def _prices(self, texts: list[str]) -> tuple[list[str | None], set[int]]:
         cards, bad = self.read(pa.array(texts, pa.string()))
@@ -539,7 +567,13 @@ def _cleaned(texts: pa.StringArray) -> pa.StringArray:
     return pa.concat_arrays([texts, pa.array(fresh, pa.string())]).take(pa.array(at))
 
 
-def _listed(cells: list[_Cells], pool: pa.StringArray, behind: int, count: int, bad: set[int]) -> pa.ListArray:
+def _lengths(texts: pa.StringArray) -> np.ndarray:
+    return np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1]).astype(np.int64)
+
+
+def _listed(
+    cells: list[_Cells], pool: pa.StringArray, behind: int, count: int, bad: set[int], most: int | None
+) -> pa.ListArray:
     """Cards that hold anything, by page."""
     none = np.zeros(0, np.int64)
     pages = np.concatenate([none, *[np.repeat(c.pages, c.cards) for c in cells]])
@@ -553,6 +587,9 @@ def _listed(cells: list[_Cells], pool: pa.StringArray, behind: int, count: int,
     chosen = chosen[np.argsort(pages[chosen], kind="stable")]
     places = np.where(places < -1, behind - 2 - places, places)[chosen]
     specs = np.where(specs < -1, behind - 2 - specs, specs)
+    lengths = _lengths(pool)
+    if most and lengths[places[places >= 0]].sum() + lengths[specs[specs >= 0]].sum() > most:
+        raise TooLarge
 
     def texts(at: np.ndarray) -> list[pa.StringArray]:
         """Clean texts of all columns."""
@@ -609,12 +646,24 @@ def read_cards(pages: DataFrame, html: str, config: Mapping, escape_window: int)
         collecting = gc.isenabled()
         gc.disable()  # as in ``parse_pages``
         try:
-            for batch in batches:
+            for batch in gathered(batches):
                 yield from cards(batch, reader)
         finally:
             if collecting:
                 gc.enable()
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Small batches are read together, as every one costs some steps of its own.
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _OUTPUT_CHARS:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
     def cards(batch: pa.RecordBatch, reader: CardReader) -> Iterator[pa.RecordBatch]:
         texts = batch.column(batch.schema.get_field_index(html)).cast(pa.string())
         sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
@@ -629,9 +678,10 @@ def read_cards(pages: DataFrame, html: str, config: Mapping, escape_window: int)
                 own = own.fill_null("")
             if escape_window:
                 own = pa.array([_unescaped(page, escape_window) for page in own.to_pylist()], pa.string())
-            found, _ = reader.read(own)
             other = [batch.column(batch.schema.get_field_index(n)).slice(start, end - start) for n in names]
-            yield pa.RecordBatch.from_arrays([*other, found], names=schema.names)
+            for at, found in reader.parts(own):
+                kept = [values.slice(at, len(found)) for values in other]
+                yield pa.RecordBatch.from_arrays([*kept, found], names=schema.names)
 
     return pages.select(*names, html).mapInArrow(read, schema)
 

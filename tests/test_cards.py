@@ -100,6 +100,21 @@ def test_what_is_kept_is_bounded(monkeypatch):
         assert len(reader.shapes.frames) < 30 and len(reader.plans) < 30
 
 
+@pytest.mark.parametrize("odd", ["", "<script></script>", "<b>x</b>"])
+def test_cards_in_cards_are_handed_over_in_parts(monkeypatch, odd):
+    """Elements left open nest, so a text may be in all cards before it."""
+    monkeypatch.setattr(found, "_MOST_CHARS", 20_000)
+    spec = {"variant_selector": "div", "fields": {"title": "p"}}
+    pages = [odd + f"<div><p>{i} text" * (5 * i) for i in range(20)]
+    reader = found.CardReader(found.read_rule(**spec))
+    parts = [*reader.parts(pa.array(["cut", *pages])[1:])]
+    assert len(parts) > 2 and [at for at, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
+    got = [page for _, part in parts for page in part.to_pylist()]
+    assert [[c["title"] for c in page] for page in got] == [
+        [" ".join([f"{i} text"] * (5 * i - n)) for n in range(5 * i)] for i in range(20)
+    ]
+
+
 def test_frames_of_tags():
     """A tag read by what it shares with others is the tag read by itself."""
     tags = [
